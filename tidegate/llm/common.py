@@ -114,3 +114,24 @@ def align(a: np.ndarray, b: np.ndarray, diagonal: int | None = None, band: int =
         else:
             j -= 1
     return score, matches, i, ai, j, bj
+
+
+def seed_windows(starts: list[int], length: int, slack: int, end: int) -> list[tuple[int, int]]:
+    """Where a passage of so many words may lie, from the starts that its seeds imply: merged, padded by slack.
+
+    A very long stretch of overlapping starts is cut into pieces that overlap by a whole padded passage.
+    """
+    out: list[list[int]] = []
+    for s in sorted(starts):
+        if out and s - out[-1][1] <= slack:
+            out[-1][1] = s
+        else:
+            out.append([s, s])
+    whole, got = length + 2 * slack, []
+    for lo, hi in out:
+        lo, hi = max(0, lo - slack), min(end, hi + length + slack)
+        while hi - lo > 4 * whole:
+            got.append((lo, lo + 4 * whole))
+            lo += 3 * whole
+        got.append((lo, hi))
+    return got
