@@ -7,17 +7,57 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import simhash_dedup
+from tidegate.llm import decontaminate, license_scan, line_dedup, simhash_dedup
 from tidegate.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "fingerprint", F.col("component").alias("component_id"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and item: how often the item is aligned in the document, and the best alignment."""
+    rows = decontaminate.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    best = F.max_by(F.struct("start_word", "end_word"), F.struct("similarity", -F.col("start_word")))
+    out = rows.groupBy("id", "item_id").agg(F.count("*").alias("n_passages"), F.max("similarity").alias("similarity"), best.alias("at"))
+    return out.select(F.col("id").alias("doc_id"), "item_id", "n_passages", "similarity", "at.start_word", "at.end_word")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_decontaminate": op6_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": r"""
+        WITH lines AS (
+            SELECT d.doc_id, u.k, u.line
+            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents) d,
+                 LATERAL (SELECT unnest(d.ls) AS line, generate_subscripts(d.ls, 1) AS k) u),
+        keyed AS (
+            SELECT doc_id, k, line,
+                   translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM lines),
+        many AS (
+            SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40
+            GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+        marked AS (
+            SELECT keyed.*, many.key IS NOT NULL AND keyed.doc_id <> many.last AS gone
+            FROM keyed LEFT JOIN many ON keyed.key = many.key)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id""",
+}
