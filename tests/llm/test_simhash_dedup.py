@@ -69,6 +69,10 @@ def test_links_of_a_leaf_and_of_a_tree_equal_all_pairs(dense):
             break
         comp = new
     assert [links.find(i) for i in range(len(pts))] == comp.tolist()
+    halves = [m._Links(pts, 3, half, 1, leaf=32) for half in (0xFFFFFFFF, 0xFFFFFFFF << 32)]
+    for i in range(len(pts)):
+        halves[0].join(i, halves[1].find(i))
+    assert [halves[0].find(i) for i in range(len(pts))] == comp.tolist()
     tree = m.VantageTree(pts, len(pts), 64, 3)
     leaves, index = tree.route(pts)
     homes = [set(leaves[index == i].tolist()) for i in range(len(pts))]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidegate.llm.common import checkpoint, connected_components
 
 SEED = 42
+ALL_BITS = (1 << 64) - 1
 
 
 def simhash(text: str | None, shingle: int = 3) -> int:
@@ -43,15 +44,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 class VantageTree:
     """Top levels of a vantage-point tree. Each inner node has a vantage point and a radius.
 
-    At a node, fingerprints within the radius go inside; those beyond ``radius - reach`` go outside. A pair that
+    Distances are taken over the bits of ``mask``, where ``reach`` is how far apart a linked pair may lie. At a node, fingerprints within the radius go inside; those beyond ``radius - reach`` go outside. A pair that
     is linked and lies on both sides has its inner end within ``reach`` of the boundary, by the triangle
     inequality, so every linked pair shares a leaf and only one side is copied.
     """
 
-    def __init__(self, sample: np.ndarray, total: int, leaf: int, reach: int, seed: int = 7):
-        self.reach, self.nodes = reach, []
+    def __init__(self, sample: np.ndarray, total: int, leaf: int, reach: int, mask: int = ALL_BITS, seed: int = 7):
+        self.reach, self.mask, self.nodes = reach, np.uint64(mask), []
         rng = np.random.default_rng(seed)
-        self._grow(np.unique(sample), total / max(1, len(sample)), leaf, rng)
+        self._grow(sample & self.mask, total / max(1, len(sample)), leaf, rng)
 
     def _grow(self, pts: np.ndarray, weight: float, leaf: int, rng) -> int:
         me = len(self.nodes)
@@ -83,16 +84,17 @@ class VantageTree:
                 index.append(idx)
                 continue
             v, mu, inside, outside = self.nodes[node]
-            d = np.bitwise_count(pts[idx] ^ np.uint64(v))
+            d = np.bitwise_count((pts[idx] & self.mask) ^ np.uint64(v))
             todo += [(inside, idx[d <= mu]), (outside, idx[d.astype(np.int16) > mu - self.reach])]
         return (np.concatenate(leaves), np.concatenate(index)) if leaves else (np.empty(0, np.int32), np.empty(0, np.int64))
 
 
 class _Links:
-    """Components of the fingerprints of one leaf."""
+    """Components of the fingerprints of one leaf: of the pairs within ``reach``, those within ``near`` over ``mask``."""
 
-    def __init__(self, pts: np.ndarray, reach: int, leaf: int = 128):
+    def __init__(self, pts: np.ndarray, reach: int, mask: int = ALL_BITS, near: int | None = None, leaf: int = 128):
         self.pts, self.reach, self.leaf, self.up = pts, reach, leaf, list(range(len(pts)))
+        self.views = [(pts & np.uint64(mask), reach if near is None else near), (pts, reach)]
         self.rng = np.random.default_rng(11)
         self._search(np.arange(len(pts)))
 
@@ -122,9 +124,9 @@ class _Links:
                 return
 
     def _search(self, start: np.ndarray) -> None:
-        todo = [(start, 0)]
+        todo = [(start, 0, 0)]
         while todo:
-            idx, depth = todo.pop()
+            idx, depth, view = todo.pop()
             if len(idx) < 2:
                 continue
             if len(idx) <= self.leaf:
@@ -139,34 +141,41 @@ class _Links:
                 self.join(v, int(j))
             if np.count_nonzero(d <= 4 * self.reach) > len(idx) // 2 and self._one(idx):
                 continue
+            seen, near = self.views[view]
+            d = np.bitwise_count(seen[idx] ^ seen[v]).astype(np.int16)
             mu = int(np.median(d))
-            inner, outer = idx[d <= mu], idx[d > mu - self.reach]
-            if depth > 40 or max(len(inner), len(outer)) >= 0.97 * len(idx):
-                self._all(idx)
+            inner, outer = idx[d <= mu], idx[d > mu - near]
+            if depth <= 40 and max(len(inner), len(outer)) < 0.97 * len(idx):
+                todo += [(inner, depth + 1, view), (outer, depth + 1, view)]
+            elif view == 0:
+                todo.append((idx, 0, 1))
             else:
-                todo += [(inner, depth + 1), (outer, depth + 1)]
+                self._all(idx)
 
 
 def link_fingerprints(codes: DataFrame, reach: int = 3, leaf: int = 8192, sample: int = 65536) -> DataFrame:
     """Links among (rep, fp) rows of distinct fingerprints as (a, b) edges that keep every component whole.
 
-    The tree's top is fitted on at most ``2 * sample`` fingerprints, chosen by hash; every fingerprint is routed
+    Fingerprints within ``reach`` are within half of it over the upper or the lower 32 bits, so there is a tree
+    for each half: with so short a reach few fingerprints lie near a boundary and are copied. A tree's top is fitted on at most ``2 * sample`` fingerprints, chosen by hash; every fingerprint is routed
     through it. A leaf gives one edge for each fingerprint that has a link, towards the first of its component,
     so that a dense group costs no more rows than it has members.
     """
     total = codes.count()
     share = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(min(1.0, sample / max(1, total)) * (1 << 30))
     some = codes.where(share).select("fp").limit(2 * sample).toPandas()["fp"].to_numpy(dtype=np.int64).view(np.uint64)
-    tree = VantageTree(some, total, leaf, reach)
+    masks = [(1 << 32) - 1, ALL_BITS - (1 << 32) + 1]
+    trees = [VantageTree(some, total, leaf, reach // 2, mask) for mask in masks]
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            leaves, index = tree.route(pdf["fp"].to_numpy(dtype=np.int64).view(np.uint64))
-            yield pd.DataFrame({"shard": leaves, "rep": pdf["rep"].to_numpy()[index], "fp": pdf["fp"].to_numpy()[index]})
+            for k, tree in enumerate(trees):
+                leaves, index = tree.route(pdf["fp"].to_numpy(dtype=np.int64).view(np.uint64))
+                yield pd.DataFrame({"shard": leaves * 2 + k, "rep": pdf["rep"].to_numpy()[index], "fp": pdf["fp"].to_numpy()[index]})
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep", ignore_index=True)
-        links = _Links(pdf["fp"].to_numpy(dtype=np.int64).view(np.uint64), reach)
+        links = _Links(pdf["fp"].to_numpy(dtype=np.int64).view(np.uint64), reach, masks[int(pdf["shard"].iloc[0]) % 2], reach // 2)
         rep = pdf["rep"].to_numpy()
         root = np.array([links.find(i) for i in range(len(rep))], dtype=np.int64)
         away = root != np.arange(len(rep))
