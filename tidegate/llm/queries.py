@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import decontaminate, license_scan, line_dedup, simhash_dedup
+from tidegate.llm import decontaminate, html_extract, license_scan, line_dedup, quality, simhash_dedup
 from tidegate.llm.common import table
 
 
@@ -33,11 +33,23 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "item_id", "n_passages", "similarity", "at.start_word", "at.end_word")
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", "url", html_extract.extract(F.col("html")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op9_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are drawn."""
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontaminate": op6_decontaminate,
+    "op8_html_extract": op8_html_extract,
+    "op9_quality_resample": op9_quality_resample,
 }
 
 ORACLE_SQL: dict[str, str] = {
