@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import decontaminate, html_extract, license_scan, line_dedup, quality, simhash_dedup
+from tidegate.llm import decontaminate, html_extract, license_scan, line_dedup, quality, simhash_dedup, url_filter
 from tidegate.llm.common import table
 
 
@@ -20,6 +20,21 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "fingerprint", F.col("component").alias("component_id"))
 
 
+#: (verdict, host, path), fixed by the query's contract.
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes: the labels of the documents whose numbers stand in the urls; bad is low quality or toxic."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    number = F.regexp_extract(url_filter.path_of(F.col("url")), r"^/[a-z]+/([0-9]{1,18})", 1)
+    cited = pages.select("url", F.when(number != "", number).cast("long").alias("doc_id"))
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad")
+    outcomes = cited.join(labels.select("doc_id", "quality", "toxic"), "doc_id").select("url", bad)
+    out = url_filter.judge(pages, outcomes, RULES)
+    return out.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", F.round("bad_rate", 6).alias("bad_rate"), F.round("bound", 6).alias("bound"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -46,6 +61,7 @@ def op9_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op4_url_filter": op4_url_filter,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op8_html_extract": op8_html_extract,
@@ -53,6 +69,47 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_url_filter": r"""
+        WITH p AS (
+            SELECT page_id, url,
+                   translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+            FROM pages),
+        q AS (SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain,
+                     list_extract(string_split(host, '.'), -1) AS suffix FROM p),
+        o AS (SELECT q.host, q.domain, q.suffix, CASE WHEN l.quality = 0 OR l.toxic = 1 THEN 1 ELSE 0 END AS bad
+              FROM q JOIN labels l ON l.doc_id = try_cast(regexp_extract(q.path, '^/[a-z]+/([0-9]{1,18})', 1) AS BIGINT)),
+        s AS (SELECT suffix, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM o GROUP BY suffix),
+        d AS (SELECT domain, suffix, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM o GROUP BY domain, suffix),
+        h AS (SELECT host, domain, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM o GROUP BY host, domain),
+        t AS (SELECT coalesce((sum(bad) + 0.5) / (sum(n) + 1.0), 0.5) AS rate FROM s),
+        r0 AS (SELECT (sum(n * power(bad / n - rate, 2) / (rate * (1 - rate))) - (count(*) - 1))
+                      / nullif(greatest(sum(n) - sum(n * n) / sum(n) - (count(*) - 1), 0), 0) AS r FROM s, t),
+        m0 AS (SELECT CASE WHEN r > 0 THEN least(1000.0, greatest(5.0, (1 - r) / r)) ELSE 1000.0 END AS m FROM r0),
+        s2 AS (SELECT suffix, (bad + m * rate) / (n + m) AS suffix_rate FROM s, m0, t),
+        r1 AS (SELECT (sum(n * power(bad / n - suffix_rate, 2) / (suffix_rate * (1 - suffix_rate))) - (count(*) - 1))
+                      / nullif(greatest(sum(n) - sum(n * n) / sum(n) - (count(*) - 1), 0), 0) AS r FROM d JOIN s2 USING (suffix)),
+        m1 AS (SELECT CASE WHEN r > 0 THEN least(1000.0, greatest(5.0, (1 - r) / r)) ELSE 1000.0 END AS m FROM r1),
+        d2 AS (SELECT domain, (bad + m * suffix_rate) / (n + m) AS domain_rate FROM d JOIN s2 USING (suffix), m1),
+        r2 AS (SELECT (sum(n * power(bad / n - domain_rate, 2) / (domain_rate * (1 - domain_rate))) - (count(*) - 1))
+                      / nullif(greatest(sum(n) - sum(n * n) / sum(n) - (count(*) - 1), 0), 0) AS r FROM h JOIN d2 USING (domain)),
+        m2 AS (SELECT CASE WHEN r > 0 THEN least(1000.0, greatest(5.0, (1 - r) / r)) ELSE 1000.0 END AS m FROM r2),
+        h2 AS (SELECT host, (bad + m * domain_rate) / (n + m) AS host_rate, n + m AS size FROM h JOIN d2 USING (domain), m2),
+        j AS (SELECT q.*, coalesce(host_rate, domain_rate, suffix_rate, t.rate) AS bad_rate, coalesce(h2.size, m2.m) AS size
+              FROM q LEFT JOIN h2 USING (host) LEFT JOIN d2 USING (domain) LEFT JOIN s2 USING (suffix), t, m2),
+        f AS (SELECT *, bad_rate - 1.645 * sqrt(bad_rate * (1 - bad_rate) / (size + 1)) AS bound,
+                     CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                          WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+                          WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+                          WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+                          WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+              FROM j)
+        SELECT page_id, host, path, rule,
+               CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+                    WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict,
+               round(bad_rate, 6) AS bad_rate, round(bound, 6) AS bound
+        FROM f""",
     "op5_line_dedup": r"""
         WITH lines AS (
             SELECT d.doc_id, u.k, u.line
