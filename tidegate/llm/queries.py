@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import decontaminate, html_extract, license_scan, line_dedup, quality, simhash_dedup, url_filter
+from tidegate.llm import decontaminate, html_extract, license_scan, line_dedup, packing, quality, simhash_dedup, url_filter
 from tidegate.llm.common import table
 
 
@@ -48,6 +48,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "item_id", "n_passages", "similarity", "at.start_word", "at.end_word")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(packing.document_sizes(table(spark, sf_dir, "documents")))
+    return out.select(F.col("id").alias("doc_id"), "piece", F.col("start").alias("start_word"), F.col("length").alias("n_words"), "bin")
+
+
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", "url", html_extract.extract(F.col("html")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontaminate": op6_decontaminate,
+    "op7_packing": op7_packing,
     "op8_html_extract": op8_html_extract,
     "op9_quality_resample": op9_quality_resample,
 }
