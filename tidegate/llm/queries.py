@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import decontaminate, html_extract, license_scan, line_dedup, packing, quality, simhash_dedup, url_filter
+from tidegate.llm import decontaminate, html_extract, license_scan, line_dedup, packing, quality, simhash_dedup, substring_dedup, url_filter
 from tidegate.llm.common import table
 
 
@@ -63,6 +63,13 @@ def op9_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return out.select(
+        F.col("id").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("rep").alias("rep_doc_id"), F.col("rep_start").alias("rep_start_word"), F.col("rep_end").alias("rep_end_word"), "similarity"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -72,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_html_extract": op8_html_extract,
     "op9_quality_resample": op9_quality_resample,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
