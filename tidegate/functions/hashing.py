@@ -39,8 +39,12 @@ def fnv1a64(texts: pd.Series) -> pd.Series:
 def ngrams(token: Column, low: int = 3, high: int = 6, pad: str = "<", end: str = ">") -> Column:
     """The token as ``w:token`` and all character n-grams of the padded token."""
     padded = F.concat(F.lit(pad), token, F.lit(end))
-    grams = [F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - (n - 1))), lambda i, n=n: F.substr(padded, i, F.lit(n)))).otherwise(F.array()) for n in range(low, high + 1)]
-    return F.concat(F.array(F.concat(F.lit("w:"), token)), *grams)
+
+    def of_length(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - (n - 1)))
+        return F.when(F.length(padded) >= n, F.transform(places, lambda i: F.substr(padded, i, F.lit(n)))).otherwise(F.array())
+
+    return F.concat(F.array(F.concat(F.lit("w:"), token)), *map(of_length, range(low, high + 1)))
 
 
 def buckets(grams: Column, n_buckets: int) -> Column:

@@ -15,7 +15,7 @@ SPACES = r"(?U)[\s\x1c-\x1f]+"
 PUNCTUATION = r"(?U)[\s\p{Z}\x1c-\x1f\-_.,;:!?'\"()\[\]{}<>/\\|@#$%^&*=~`·・。，、；：！？“”‘’（）【】《》…—]"
 DEDUP_PUNCTUATION = r"(?U)[\s\p{Z}\x1c-\x1f\-_.,;:!?'\"()·・。，、；：！？“”‘’（）]"
 #: Traditional forms and their simplified ones, in pairs.
-TRADITIONAL, SIMPLIFIED = "錢賭網貸現購買賣號碼優惠發財驗證點擊開戶銀行轉賬證據話騙術傳銷", "钱赌网贷现购买卖号码优惠发财验证点击开户银行转账证据话骗术传销"
+TRADITIONAL, SIMPLIFIED = "錢賭網貸現購買賣號碼優發財驗證點擊開戶銀轉賬據話騙術傳銷", "钱赌网贷现购买卖号码优发财验证点击开户银转账据话骗术传销"
 
 
 @F.pandas_udf(StringType())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +20,6 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", header: bo
 
 def decode_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): whole files as UTF-8 (with or without a mark), else GBK; files that are neither raise an error."""
-    import pandas as pd
-
     def one(data: bytes) -> str:
         for name in ("utf-8-sig", "gbk", "utf-8"):
             try:
