@@ -57,7 +57,7 @@ def test_counts_weights_and_top_k_equal_brute_force(spark):
     want_raw, want_hit = brute_counts(rows, target, 14)
     assert (n, k) == (300, len(target)) and (raw == want_raw).all() and (hit == want_hit).all()
     weights = {r.id: r for r in m.weigh(docs, marks, bits=14).collect()}
-    ratio = m.log_ratios(raw, hit, n, k, 4.0, 0.7)
+    ratio = m.log_ratios(raw, hit, n, k, 8.0, 1.0)
     for i, t, *_ in rows:
         assert math.isclose(weights[i].log_weight, m.log_weight(t, ratio, 14, {}) / 0.25, abs_tol=1e-6)
     assert all((weights[i].log_weight < -3) == (i % 5 == 0) for i in weights)

@@ -64,16 +64,16 @@ def counts(docs: DataFrame, target: np.ndarray, bits: int, id_col: str, text_col
                         hit[b] += 1
                 n[0] += 1
                 n[1] += int(g)
-        yield pd.DataFrame({"chunk": [-1], "raw": [np.array(n[:1]).tobytes()], "hit": [np.array(n[1:]).tobytes()]})
+        yield pd.DataFrame({"chunk": [-1], "raw": [np.array(n[:1], np.int32).tobytes()], "hit": [np.array(n[1:], np.int32).tobytes()]})
         for k in np.nonzero(raw.reshape(-1, CHUNK).any(axis=1))[0]:
             part = slice(k * CHUNK, (k + 1) * CHUNK)
-            yield pd.DataFrame({"chunk": [k], "raw": [raw[part].astype(np.int64).tobytes()], "hit": [hit[part].astype(np.int64).tobytes()]})
+            yield pd.DataFrame({"chunk": [k], "raw": [raw[part].tobytes()], "hit": [hit[part].tobytes()]})
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         have: dict[int, list[np.ndarray]] = {}
         for pdf in batches:
             for k, raw, hit in zip(pdf["chunk"], pdf["raw"], pdf["hit"], strict=True):
-                a, b = np.frombuffer(raw, np.int64), np.frombuffer(hit, np.int64)
+                a, b = np.frombuffer(raw, np.int32).astype(np.int64), np.frombuffer(hit, np.int32).astype(np.int64)
                 have[k] = [have[k][0] + a, have[k][1] + b] if k in have else [a, b]
         for k, (a, b) in have.items():
             yield pd.DataFrame({"chunk": [k], "raw": [a.tobytes()], "hit": [b.tobytes()]})
@@ -95,8 +95,10 @@ def log_ratios(raw: np.ndarray, hit: np.ndarray, n: int, target: int, sure: floa
     """log(target / raw) of each bucket; zero where the counts don't tell the two apart.
 
     Two models of one vocabulary differ by a constant besides, as the raw text also holds what the target lacks;
-    the median over the target's words is taken off. A ratio counts if the square roots of the counts differ by
-    ``sure`` standard deviations and the ratio is over e**least either way.
+    the median over the target's words is taken off. A ratio counts if it is over e**least either way and the
+    square roots of the counts differ by ``sure`` standard deviations, or half as many where it is over
+    e**(2 * least): a group of copies that shares a bucket with common words moves its ratio a little, however
+    large the counts are.
     """
     if not target:
         return np.zeros(len(raw), np.float32)
@@ -108,7 +110,9 @@ def log_ratios(raw: np.ndarray, hit: np.ndarray, n: int, target: int, sure: floa
     lr = lr - middle
     expect = expect * np.exp(middle)
     z = 2 * (np.sqrt(hit + 0.375) - np.sqrt(expect + 0.375))
-    return np.where((np.abs(z) >= sure) & (np.abs(lr) >= least), lr, 0.0).astype(np.float32)
+    far = np.abs(lr)
+    tells = (far >= least) & (np.abs(z) >= np.where(far >= 2 * least, sure / 2, sure))
+    return np.where(tells, lr, 0.0).astype(np.float32)
 
 
 def target_ids(labels: DataFrame, wanted: str, most: int, id_col: str) -> np.ndarray:
@@ -120,7 +124,7 @@ def target_ids(labels: DataFrame, wanted: str, most: int, id_col: str) -> np.nda
     return rows.toPandas()["id"].to_numpy(dtype=np.int64)
 
 
-def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", wanted: str = "quality = 1 AND toxic = 0", bits: int = 20, most_labels: int = 200_000, sure: float = 4.0, least: float = 0.7, temperature: float = 0.25) -> DataFrame:
+def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", wanted: str = "quality = 1 AND toxic = 0", bits: int = 21, most_labels: int = 200_000, sure: float = 8.0, least: float = 1.0, temperature: float = 0.25) -> DataFrame:
     """(id, log_weight, key) of every document: log of target over raw likelihood over temperature, and that plus Gumbel noise.
 
     Models count in how many documents each of ``2**bits`` buckets of one- and two-word n-grams occurs, an n-gram
