@@ -35,6 +35,13 @@ def test_equals_brute_force(spark):
     assert run(spark, rows) == want
 
 
+def test_hot_and_other_keys_are_joined_alike(spark, monkeypatch):
+    rows = [(r.doc_id, r.text, "a", "b") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    rows += [(10_000 + k, "a line that is in very many of all documents\nown", "a", "b") for k in range(500)]
+    monkeypatch.setattr(m, "MOST_HOT", 20)
+    assert run(spark, rows) == brute(rows)
+
+
 def test_a_full_filter_changes_nothing(spark):
     rows = [(r.doc_id, r.text, "a", "b") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     assert run(spark, rows, most_bits=16, min_docs=2) == brute(rows, min_docs=2)

@@ -14,6 +14,7 @@ from tidegate.llm.common import ASCII_SPACE, checkpoint
 
 CHUNK = 1 << 15  # bytes of a filter that travel as one row
 PROBES = 3
+MOST_HOT = 1000
 
 
 def line_key(line: str, min_chars: int) -> bytes | None:
@@ -108,7 +109,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, drop): for each document that loses lines, the keys (128-bit) of the lines it loses.
 
     Only keys that the filter suspects are shuffled, as (key, id) rows without text. Distinct ids are counted in
-    two aggregations, so that a line held by a third of all documents is summed before it meets.
+    two aggregations, so that a line held by a third of all documents is summed before it meets; its rows are
+    joined where they lie, as the hot keys (``MOST_HOT`` at most) are broadcast.
     """
     bitmap, bits = suspected(docs, text_col, min_chars, most_bits)
     spark = docs.sparkSession
@@ -129,8 +131,14 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(probe, "key binary, id long")
     rows = checkpoint(rows.distinct())
-    many = rows.groupBy("key").agg(F.count("id").alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs).select(F.col("key").alias("k"), "last")
-    return rows.join(many, rows["key"] == many["k"]).where(~F.col("id").eqNullSafe(F.col("last"))).groupBy("id").agg(F.collect_list("key").alias("drop"))
+    many = rows.groupBy("key").agg(F.count("id").alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs).select(F.col("key").alias("k"), "last", "n")
+    # a key with over a MOST_HOT-th of the rows is hot; there can't be more than MOST_HOT of them
+    hot = F.col("n") * MOST_HOT > rows.count()
+    often = F.broadcast(many.where(hot))
+    rest = rows.join(often, rows["key"] == often["k"], "left_anti")
+    few = many.where(~hot)
+    met = rows.join(often, rows["key"] == often["k"]).unionByName(rest.join(few, rest["key"] == few["k"]))
+    return met.where(~F.col("id").eqNullSafe(F.col("last"))).groupBy("id").agg(F.collect_list("key").alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, most_bits: int = 30, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -168,5 +176,3 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     out = both.mapInPandas(strip, ", ".join(["id long, kept string, n_lines long, n_dropped long", *(f"{x} {kinds[x]}" for x in more)]))
     return out.select("id", "kept", "n_lines", "n_dropped", *(F.col(x).alias(c) for c, x in zip(carry, more, strict=True)))
-
-
