@@ -56,6 +56,20 @@ def test_planted_exact_and_edited_passages_are_found_and_nothing_else(spark):
         assert r.similarity >= 0.8 and set(texts[r.id][r.start_word : r.end_word]) & set(m.words_of(items[r.item_id][1]))
 
 
+def test_copies_edited_at_every_fifth_and_sixth_word_are_found(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    items = [(k, " ".join(word() for _ in range(30)), "a") for k in range(20)]
+    docs = []
+    for every in (5, 6):
+        for k, text, _ in items:
+            copy = [word() if i % every == every - 1 else w for i, w in enumerate(text.split())]
+            docs.append((100 * every + k, " ".join([word() for _ in range(40)] + copy + [word() for _ in range(40)]), "a", "b"))
+    got = m.contaminated_pairs(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    # with every fifth replaced the aligned stretch holds 24 of 30 words: just the limit
+    assert {(r.id, r.item_id) for r in got} == {(100 * every + k, k) for every in (5, 6) for k in range(20)}
+
+
 def test_blocks_of_items_give_the_same(spark):
     docs, items, want = made(2)
     got = m.contaminated_pairs(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), block_chars=1000).collect()

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare word n-grams seed a Smith-Waterman alignment of passages with test items."""
+"""Benchmark decontamination: short word n-grams seed a Smith-Waterman alignment of passages with test items."""
 
 from __future__ import annotations
 
@@ -19,13 +19,13 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Items:
-    """A block of test items: their words as small numbers, and the codes of their word n-grams."""
+    """A block of test items of at least ``least`` words: their words as small numbers, and the codes of their word n-grams."""
 
-    def __init__(self, rows: list[tuple[int, str]], n: int):
+    def __init__(self, rows: list[tuple[int, str]], least: int, n: int = 3):
         self.n, self.vocabulary, self.items = n, {}, []
         for item, text in rows:
             words = words_of(text)
-            if len(words) >= n:
+            if len(words) >= max(least, n):
                 self.items.append((item, np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], dtype=np.uint64)))
         self.grams = [gram_codes(codes, n) for _, codes in self.items]
         self.known = np.unique(np.concatenate(self.grams)) if self.grams else np.empty(0, np.uint64)
@@ -49,34 +49,12 @@ class Items:
         return at[same], k[same]
 
 
-def gram_counts(docs: DataFrame, text_col: str, items: Items) -> dict[int, int]:
-    """In how many documents each n-gram of the items occurs; as many counts as the block has n-grams."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block = shared.value
-        total = np.zeros(len(block.known), dtype=np.int64)
-        for pdf in batches:
-            for text in pdf["text"]:
-                total[np.unique(block.hits(block.codes(text), block.known)[1])] += 1
-        at = np.nonzero(total)[0]
-        yield pd.DataFrame({"gram": at, "n": total[at]})
-
-    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    return {r["gram"]: r["n"] for r in rows}
-
-
-def rare_seeds(items: Items, counts: dict[int, int], apart: int) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
-    """Of any ``apart`` n-grams in a row of an item, the one in the fewest documents (the first, if tied) is a seed.
-
-    An item always has seeds, however often it has been copied. Returns the codes and where they lie in items.
-    """
+def all_seeds(items: Items) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+    """The codes of all n-grams of the items and where they lie in items."""
     places: dict[int, list[tuple[int, int]]] = {}
     for k, grams in enumerate(items.grams):
-        often = np.array([counts.get(int(i), 0) for i in np.searchsorted(items.known, grams)])
-        picks = {i + int(often[i : i + apart].argmin()) for i in range(max(1, len(grams) - apart + 1))}
-        for p in picks:
-            places.setdefault(int(grams[p]), []).append((k, p))
+        for p, code in enumerate(grams.tolist()):
+            places.setdefault(code, []).append((k, p))
     codes = sorted(places)
     return np.array(codes, dtype=np.uint64), [places[c] for c in codes]
 
@@ -95,6 +73,9 @@ def leaks_in(text: str | None, items: Items, seeds: np.ndarray, places: list, le
         slack = max(4, len(words) // 4)
         found = []
         for lo, hi in seed_windows(begun, len(words), slack, len(codes)):
+            # no alignment matches more words than occur in the stretch
+            if np.isin(words, codes[lo:hi]).sum() < least * len(words):
+                continue
             score, matches, _, _, start, end = align(words, codes[lo:hi])
             if matches >= least * max(len(words), end - start):
                 found.append({"item_id": item, "similarity": matches / max(len(words), end - start), "score": score, "start_word": lo + start, "end_word": lo + end})
@@ -112,13 +93,14 @@ def _scan(shared, least: float):
     return scan
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 5, apart: int = 2, least: float = 0.8, block_chars: int = 16_000_000) -> Column:
+def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 5, seed: int = 3, least: float = 0.8, block_chars: int = 16_000_000) -> Column:
     """A column for ``docs``: the list of passages of its text that copy or paraphrase an item.
 
     Words are runs of letters, digits and underscores, lower-cased. A passage counts if an alignment matches at
-    least ``least`` of the longer of the item and the aligned stretch, and keeps one seed of ``n`` words. Items
-    are read in blocks of about ``block_chars`` characters, the bound on what is broadcast; each block is a scan
-    for counts and one for alignments, without a shuffle of texts. Null and empty texts have no passages; items
+    least ``least`` of the longer of the item and the aligned stretch. Every run of ``seed`` words of an item is a
+    seed, so a passage of six words or more with up to a fifth of them replaced keeps one; a copy may be missed whose words
+    are inserted and deleted in turn so that no three of the item's stay together, or of whose five the middle one is replaced. Items are read in blocks of about
+    ``block_chars`` characters, the bound on what is broadcast; each block is a scan, without a shuffle of texts. Null and empty texts have no passages; items
     that are null or have fewer than ``n`` words match nothing; repeated items count once; no items, empty lists.
     """
     good = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t"))
@@ -127,8 +109,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     parts = [F.array().cast(LEAKS)]
     for b in range(blocks):
         rows = good.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).distinct().collect()
-        items = Items(sorted((r["i"], r["t"]) for r in rows), n)
-        seeds, places = rare_seeds(items, gram_counts(docs, text_col, items), apart)
+        items = Items(sorted((r["i"], r["t"]) for r in rows), n, seed)
+        seeds, places = all_seeds(items)
         parts.append(_scan(docs.sparkSession.sparkContext.broadcast((items, seeds, places)), least)(F.col(text_col)))
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
