@@ -60,3 +60,84 @@ def test_nulls_empty_very_long_deep_and_repeated_pages(spark):
     assert got[6].t.startswith("a")
     empty = spark.createDataFrame([], SCHEMA)
     assert empty.select(m.extract(empty["html"])).count() == 0
+
+
+def test_generated_pages_without_article_elements_equal_their_articles():
+    import pandas as pd
+
+    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html
+    wrong = [k for k, h in enumerate(pages) if m.main_text(h.replace("<article>", "<div>").replace("</article>", "</div>")) != expected(h)]
+    assert len(pages) == 250 and not wrong
+
+
+HEAD = "<h1>The title of it</h1>"
+STORY = HEAD + "".join(f"<p>Paragraph number {k} with some plain words of prose in it, as articles have.</p>" for k in range(6))
+LINES = "\n".join(re.sub("<[^>]*>", "", x) for x in re.findall("<h1>.*?</h1>|<p>.*?</p>", STORY))
+NAV = "<nav><a href=a>A</a></nav>"
+SHAPES = {
+    "head never ended": f"<html><head><title>t</title><body>{NAV}<article>{STORY}</article>",
+    "neither head nor body ended": f"<head><title>t</title><meta charset=x><article>{STORY}</article>",
+    "a class that names what is beside": f"<body>{NAV}<div class='content has-sidebar'>{STORY}</div>",
+    "a class that names what is above": f"<body>{NAV}<div class='post with-header'>{STORY}</div>",
+    "drawing closed by a slash": f"<body>{NAV}<svg class='i'/><article>{STORY}</article>",
+    "drawing never closed": f"<body>{NAV}<svg class='i'><path d=x><article>{STORY}</article>",
+    "main with little text": f"<main><p>Short main.</p></main><div>{STORY}</div>",
+    "a form around the page": f"<form id=page>{NAV}<div>{STORY}</div></form>",
+    "remarks longer than the story": f"<div><div class=post>{STORY}</div><div class=comments>{STORY.replace('h1', 'h3') * 5}</div></div>",
+    "remarks within the article": f"<article>{STORY}<section id=comments>{STORY.replace('h1', 'h3') * 3}</section></article>",
+    "advert and sharing within": f"<article>{STORY[:200]}<div class=ad-slot>Buy this now.</div>{STORY[200:]}<div class=share-buttons><a href=x>Share</a></div></article>".replace(STORY[:200] + "<div", STORY[: STORY.index("</p>") + 4] + "<div").replace("</div>" + STORY[200:], "</div>" + STORY[STORY.index("</p>") + 4 :]),
+    "paragraphs in the body itself": f"<body>{NAV}{STORY}<footer>Imprint</footer>",
+    "a table for the layout": f"<table><tr><td><a href=1>One</a> <a href=2>Two</a><td>{STORY}</table>",
+    "an attribute with brackets and quotes": f"<body><div title='a > b \"c\"'>{STORY}</div>",
+    "text kept from readers": f"<article>{STORY}<p hidden>No.</p><div style='display: none'>No.</div><!-- <p>No.</p> --><template><p>No.</p></template></article>",
+}
+
+
+def test_shapes_that_names_or_markup_could_mislead():
+    for name, page in SHAPES.items():
+        assert m.main_text(page) == LINES, name
+    assert m.main_text(f"<article>{STORY}<p class='market-share'>Shares rose.</p></article>") == LINES + "\nShares rose."
+
+
+def slow(node):
+    """(characters, tags, linked ones of both, density's inputs) of a node by plain recursion."""
+    chars = tags = link_chars = link_tags = 0
+    for k in node.kids:
+        if isinstance(k, str):
+            chars += len("".join(k.split()))
+        elif not k.drop:
+            c, t, lc, lt = slow(k)
+            chars, tags, link_chars, link_tags = chars + c, tags + t + 1, link_chars + lc, link_tags + lt
+    return (chars, tags, chars, tags + 1) if node.tag == "a" else (chars, tags, link_chars, link_tags)
+
+
+def test_densities_equal_the_formula_written_out():
+    import math
+
+    page = f"<body>{NAV}<div><a href=x>One <b>link</b></a> text <p>more text</p></div><div>{STORY}</div><ul><li><a href=y>Y</a><li>z</ul>"
+    root = m.parse(page)
+    nodes = m.measure(root)
+    total, _, total_links, _ = slow(root)
+    for n in nodes:
+        c, t, lc, lt = slow(n)
+        want = 0.0
+        if c:
+            t, lt1, lc1 = max(1, t), max(1, lt), max(1, lc)
+            base = math.log(c / max(1, c - lc) * lc + total_links / total * c + math.e)
+            want = max(0.0, c / t * math.log(max(1.0, c / lc1 * t / lt1)) / math.log(max(math.e, base)))
+        assert math.isclose(n.density, want, rel_tol=1e-9, abs_tol=1e-12), n.tag
+        assert math.isclose(n.total, sum(k.density for k in n.kids if not isinstance(k, str) and not k.drop), rel_tol=1e-9, abs_tol=1e-12)
+    best = max((n for n in nodes if n is not root and n.tag not in m.PARTS), key=lambda n: n.total)
+    assert m.main_nodes(root)[0] is best
+
+
+def test_hostile_markup_takes_linear_time():
+    import time
+
+    def seconds(page):
+        began = time.perf_counter()
+        m.main_text(page)
+        return time.perf_counter() - began
+
+    for bad in ('<a "', '<p>a<b c="d', "<", "</", "<!--", "<svg><p>", "<div a='"):
+        assert seconds(bad * 40_000) < 5, bad

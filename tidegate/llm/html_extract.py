@@ -12,10 +12,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is not text to read.
-OPAQUE = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select option datalist".split())
+#: Their content is text up to their own end tag.
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: What they hold is not text to read.
+OPAQUE = RAW | frozenset("noscript template svg math object canvas audio video select option datalist".split())
 #: Not part of an article wherever they stand.
-ASIDE = frozenset("nav footer aside form button input dialog menu search".split())
+ASIDE = frozenset("nav footer aside button input dialog menu search".split())
+#: Roles that say the same.
+ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert status menu menubar toolbar form".split())
 #: They run on within a line; all other elements start and end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that end an open paragraph when they begin.
@@ -24,52 +28,94 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
 ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tbody": ("thead tbody tr td th", "table"), "option": ("option", "select")}
 ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.items()}
 CONTAINER = frozenset(("article", "main"))
-#: Words in a class, id or role that mark what is not the article.
-ASIDE_WORDS = frozenset(
-    "ad ads adbox adblock adslot advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist respond replies reply disqus consent cookie cookies gdpr copyright complementary contentinfo footer footnav header masthead menu menubar nav navbar navigation newsletter notice notices alert alerts notification pagination pager paywall popup modal overlay promo promoted promotion recommended recommendations related share sharing sharebar shares sidebar sidenav signup login social sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets disclaimer hidden skip".split()
-)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Parts of a text, not whole ones.
+PARTS = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr thead tbody tfoot caption figcaption".split())
+#: Elements of HTML that end an open drawing or formula when they begin.
+OUT_OF_DRAWING = ENDS_P | INLINE - frozenset(("a",)) | frozenset("body head li dd dt".split())
+#: First words of a class or id that speak against a part of a page. They decide between parts, never alone.
+HINTS = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs cookie cookies consent copyright disqus comment comments footer menu navbar newsletter notice pagination pager paywall popup modal promo promoted recommended related replies respond share sharing sidebar sponsor sponsored subscribe toolbar widget".split())
+#: Readers' remarks may be longer than what they remark on.
+REMARKS = frozenset("comment comments disqus replies respond".split())
+OPENS = re.compile(r"<(?:(/?)([A-Za-z][^\s/>]*)|(!--)|[!?/])")
+#: One attribute as HTML reads it: quotes count after an equals sign only; or the end of the tag.
+ATTRIBUTE = re.compile(r"[\s/]*+(?:(>)|(=?[^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>]*+)))?)")
 SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total", "depth")
+    __slots__ = ("tag", "up", "kids", "drop", "hint", "chars", "tags", "link_chars", "link_tags", "density", "total", "depth")
 
-    def __init__(self, tag: str, up: Node | None, drop: bool):
-        self.tag, self.up, self.kids, self.drop, self.depth = tag, up, [], drop, up.depth + 1 if up else 0
+    def __init__(self, tag: str, up: Node | None, drop: bool, hint: int = 0):
+        self.tag, self.up, self.kids, self.drop, self.hint, self.depth = tag, up, [], drop, hint, up.depth + 1 if up else 0
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _unwanted(tag: str, attributes: str, up: Node) -> bool:
-    if tag in OPAQUE or tag in ASIDE:
+def _unwanted(tag: str, attributes: dict[str, str], up: Node) -> bool:
+    """By element, role, or because it is not shown. A page's header goes, an article's own stays."""
+    role = attributes.get("role", "").lower()
+    if tag in OPAQUE or tag in ASIDE or role in ASIDE_ROLES and role != "banner":
         return True
-    if tag == "header":  # the page's, not an article's own
+    if tag == "header" or role == "banner":
         while up is not None and up.tag not in CONTAINER:
             up = up.up
         return up is None
-    if not attributes or tag in ("body", "html") or tag in CONTAINER:
-        return False
-    for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "style":
-            if "display:none" in value.replace(" ", "").lower():
-                return True
-        elif any(w.lower() in ASIDE_WORDS for w in SPLIT.split(value)):
-            return True
-    return False
+    return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+
+
+def _hint(tag: str, attributes: dict[str, str]) -> int:
+    """2 for forms and readers' remarks, 1 for other parts whose class or id begins with such a word, 0 else."""
+    if tag == "form":
+        return 2
+    if not attributes or tag in INLINE and tag != "span" or tag in ("p", "h1", "h2", "h3", "blockquote", "pre") or tag in CONTAINER:
+        return 0
+    first = {SPLIT.split(name, maxsplit=1)[0].lower() for name in (attributes.get("class", "") + " " + attributes.get("id", "")).split()}
+    return 2 if first & REMARKS else int(bool(first & HINTS))
+
+
+def _attributes(html: str, pos: int) -> tuple[dict[str, str], int, bool]:
+    """(attributes, where the tag ends, whether by a slash) from behind a tag's name; the first of equal names stands.
+
+    A tag that does not end before the page does takes the rest with it.
+    """
+    out: dict[str, str] = {}
+    end = len(html)
+    while pos < end:
+        m = ATTRIBUTE.match(html, pos)
+        if m[1]:
+            return out, m.end(), html[m.end() - 2] == "/" and m[0] != ">" and "/" in m[0]
+        if m.end() == pos:
+            break
+        pos = m.end()
+        if m[2]:
+            value = m[3] or m[4] or m[5] or ""
+            out.setdefault(m[2].lower(), html_codes.unescape(value) if "&" in value else value)
+    return out, end, False
 
 
 def parse(html: str) -> Node:
-    """The tree of a page. Missing end tags are supplied, stray ones passed over; text stands as strings in kids."""
-    root = at = Node("html", None, False)
+    """The tree of a page. Missing end tags are supplied, stray ones passed over; text stands as strings in kids.
+
+    The tags of html, head and body make no nodes: the root stands for the body, whether or not they are written.
+    """
+    root = at = Node("body", None, False)
+    drawings = 0  # open svg and math
+    opened: dict[str, int] = {}
     pos, end = 0, len(html)
+
+    def leave(node: Node) -> None:
+        """Close everything up to and with the node."""
+        nonlocal at, drawings
+        while True:
+            opened[at.tag] -= 1
+            drawings -= at.tag in ("svg", "math")
+            last, at = at, at.up
+            if last is node:
+                return
+
     while pos < end:
-        m = TOKEN.search(html, pos)
+        m = OPENS.search(html, pos)
         text = html[pos : m.start() if m else end]
         if text:
             at.kids.append(html_codes.unescape(text) if "&" in text else text)
@@ -77,27 +123,37 @@ def parse(html: str) -> Node:
             break
         pos = m.end()
         if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                at.kids.append(m[0][9:].removesuffix("]]>"))
+            close = html.find("-->" if m[3] else ">", pos - 2 if m[3] else pos)
+            pos = end if close < 0 else close + (3 if m[3] else 1)
             continue
         tag = m[2].lower()
+        if html.startswith(">", pos):
+            attributes, pos, closed = {}, pos + 1, False
+        else:
+            attributes, pos, closed = _attributes(html, pos)
+        if tag in ("html", "head", "body"):
+            continue
         if m[1]:
-            x = at
-            while x.up is not None and x.tag != tag:
-                x = x.up
-            if x.up is not None:
-                at = x.up
+            if opened.get(tag):
+                x = at
+                while x.tag != tag:
+                    x = x.up
+                leave(x)
             elif tag == "p":
-                at.kids.append(Node("p", at, False))
+                at.kids.append(Node("p", at, at.drop, at.hint))
             continue
-        if tag == "html":
-            continue
-        if tag in ENDS_P:
+        if drawings and tag in OUT_OF_DRAWING:
+            x = at
+            while x.tag not in ("svg", "math", "foreignobject", "desc", "annotation-xml"):
+                x = x.up
+            if x.tag in ("svg", "math"):
+                leave(x)
+        if tag in ENDS_P and opened.get("p"):
             x = at
-            while x is not None and x.tag != "p" and (x.tag in INLINE):
+            while x.tag in INLINE:
                 x = x.up
-            if x is not None and x.tag == "p":
-                at = x.up
+            if x.tag == "p":
+                leave(x)
         elif tag in ENDS:
             ended, stop = ENDS[tag]
             x, last = at, None
@@ -105,17 +161,18 @@ def parse(html: str) -> Node:
                 last = x if x.tag in ended else last
                 x = x.up
             if last is not None:
-                at = last.up
-        node = Node(tag, at, at.drop or _unwanted(tag, m[3], at))
+                leave(last)
+        node = Node(tag, at, at.drop or _unwanted(tag, attributes, at), at.hint or _hint(tag, attributes))
         at.kids.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in OPAQUE | ENDS_P:
+        if tag in VOID or closed and (drawings or tag in ("svg", "math")):
             continue
-        if tag in OPAQUE and tag != "head":
-            closed = re.compile(rf"</{tag}\s*>", re.I).search(html, pos)
-            pos = closed.end() if closed else end
+        if tag in RAW and not drawings:
+            found = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, pos)
+            pos = _attributes(html, found.end())[1] if found else end
             continue
-        if node.depth < 2000:  # deeper ones are taken as closed at once
-            at = node
+        opened[tag] = opened.get(tag, 0) + 1
+        drawings += tag in ("svg", "math")
+        at = node
     return root
 
 
@@ -160,40 +217,52 @@ def measure(root: Node) -> list[Node]:
 def main_nodes(root: Node) -> list[Node]:
     """The content, in page order.
 
-    Among article elements (main elements, if there are none) that with the largest sum is taken whole, if it has
-    a quarter of the characters. If not, the subtree with the largest sum of all is taken. The least density on
-    its path to the body is the threshold: below each node that reaches it, the subtree with the largest sum is
-    taken too. A top heading beside the first choice is its title.
+    The subtree with the largest density sum is the first choice, or the body if most of the text stands in it
+    without a container of its own. A paragraph or a run within a line is no choice. The least density on its path to the body is the
+    threshold: below each node that reaches it, the subtree with the largest sum is taken too. A top heading beside
+    the first choice is its title.
+
+    Names decide where densities leave it open: a part that a class or id speaks against is chosen only if no other
+    has a tenth of its sum, and isn't taken besides another; within what is chosen it is left out if it has less than
+    a third of the characters (readers' remarks and forms, in any case). If the first choice holds most of an article
+    or main element, that is taken whole, and nothing outside of it.
     """
     nodes = measure(root)
-    peak = {}
-    for n in reversed(nodes):
-        peak[n] = max([n, *(peak[k] for k in n.kids if k in peak)], key=lambda x: (x.total, x.density, -x.depth))
-    best = peak[root]
+    rank = lambda x: (x.total, x.density, -x.depth)
+    loose = sum(len(SPACE.sub("", k)) if isinstance(k, str) else k.chars for k in root.kids if isinstance(k, str) or k.tag in PARTS and not k.drop)
+    inner = [n for n in nodes if n is not root and n.chars and n.tag not in PARTS]
+    best = max(inner, key=rank) if inner and 2 * loose <= root.chars else root
+    plain = max((n for n in inner if not n.hint), key=rank, default=best)
+    if best.hint and 10 * plain.total >= best.total and 10 * plain.chars >= best.chars:
+        best = plain
     path = [best]
     while path[-1].up is not None:
         path.append(path[-1].up)
-    named = [n for n in nodes if n.tag == "article"] or [n for n in nodes if n.tag == "main"]
-    if named:
-        top = max(named, key=lambda x: (x.total, x.density, -x.depth))
-        x = top
-        while x.up is not None:  # an article within an article is part of it
-            x = x.up
-            top = x if x.tag == top.tag else top
-        if best is top or 4 * top.chars >= root.chars:
-            return [top]
-    least = min(x.density for x in path if x.tag not in ("body", "html") or x is best)
-    marked = {best, *(k for k in (best.up.kids if best.up else ()) if isinstance(k, Node) and k.tag == "h1" and not k.drop)}
-    for n in nodes:
-        if n.density >= least:
-            marked.add(peak[n])
-    chosen, todo = [], [root]
-    while todo:
-        n = todo.pop()
-        if n in marked and (n.density >= least or n is best or n.tag == "h1"):
-            chosen.append(n)
-        else:
-            todo += [k for k in reversed(n.kids) if isinstance(k, Node) and not k.drop]
+    whole = next((n for n in path if n.tag in CONTAINER and 2 * best.chars >= n.chars), None)
+    while whole is not None and (around := next((n for n in path[path.index(whole) + 1 :] if n.tag == whole.tag), None)) is not None:
+        whole = around  # an article within an article is part of it
+    if whole is not None:
+        chosen = [whole]
+    else:
+        least = min(x.density for x in path if x is not root or x is best)
+        peak: dict[Node, Node | None] = {}
+        for n in reversed(nodes):
+            below = [peak[k] for k in n.kids if peak.get(k)]
+            peak[n] = max(below + [n] * (n.tag not in PARTS), key=rank, default=None)
+        marked = {best, *(k for k in (best.up.kids if best.up else ()) if isinstance(k, Node) and k.tag == "h1" and not k.drop)}
+        marked |= {peak[n] or n for n in nodes if n.density >= least and n is not root and not n.hint}
+        chosen, todo = [], [root]
+        while todo:
+            n = todo.pop()
+            if n in marked and (n.density >= least or n is best or n.tag == "h1") and (n is best or not n.hint):
+                chosen.append(n)
+            else:
+                todo += [k for k in reversed(n.kids) if isinstance(k, Node) and not k.drop]
+    if not best.hint:
+        for top in chosen:
+            for n in _order(top):
+                if n.hint and n is not top and (n.hint == 2 or 3 * n.chars < top.chars):
+                    n.drop = True
     return chosen
 
 
@@ -231,9 +300,10 @@ def main_text(html: str | None) -> str:
 def extract(html: Column) -> Column:
     """The main text of each page of a column of HTML.
 
-    Scripts, forms, menus, adverts and the like are left out by element, class, id or role; the subtree with the
-    largest density sum, and its peers above the threshold, are kept whole. Null, empty and text-free pages give
-    an empty text; text without any tag is one block. Each row stands alone, so repeated rows give equal texts.
+    Scripts, menus and the like are left out by element and role; the subtree with the largest density sum, and its
+    peers above the threshold, are kept (see ``main_nodes``). Null, empty and text-free pages give an empty text; text
+    without any tag is one block. Each row stands alone, so repeated rows give equal texts; other columns are not
+    read. A tag that never ends takes the rest of the page with it, as in a browser.
     """
 
     @F.pandas_udf("string")
