@@ -17,20 +17,26 @@ CHUNK = 4096  # buckets that travel as one row
 
 
 def grams(text: str | None, seen: dict) -> np.ndarray:
-    """Codes of a text's n-grams: its words and its pairs of words, with repeats.
+    """Codes of a text's n-grams: its words as they are written and its pairs of words, with repeats.
 
-    Words count as they are written. If over a 64th of them are in capitals, or repeat the word before, how many
-    do (by powers of two of their share) is a word of its own.
+    As n-grams count once a document, a text that says its words over and over would look like one that says them
+    once: pairs of equal words, signs left out, are one n-gram whatever the word, told apart by
+    the share of all words that they make up, in powers of two from a 64th.
     """
     tokens = TOKEN.findall(text or "")
     if not tokens:
         return np.empty(0, dtype=np.uint64)
     codes = word_codes(tokens, seen)
-    upper = sum(1 for t in tokens if len(t) > 2 and t.isupper())
-    same = int((codes[1:] == codes[:-1]).sum())
-    shape = [1000 * k + int(np.log2(64 * n / len(tokens))) for k, n in ((1, upper), (2, same)) if 64 * n > len(tokens)]
     pairs = (codes[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (codes[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
-    return np.concatenate([codes, np.array(shape, dtype=np.uint64), pairs]) * np.uint64(0xD6E8FEB86659FD93)
+    words = codes if text.isalnum() else codes[[t[0].isalnum() or t[0] == "_" for t in tokens]]
+    same = int((words[1:] == words[:-1]).sum())
+    again = [np.uint64(1 + int(np.log2(64 * same / len(codes))))] if 64 * same > len(codes) else []
+    return np.concatenate([codes, pairs, np.array(again, dtype=np.uint64)]) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def table_bits(documents: int) -> int:
+    """The models grow with the corpus: eight buckets a document, 2**21 at least and 2**24 at most (16 bytes each at the driver)."""
+    return min(24, max(21, (8 * documents - 1).bit_length()))
 
 
 def buckets(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,8 +47,11 @@ def buckets(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def log_weight(text: str | None, ratio: np.ndarray, bits: int, seen: dict) -> float:
-    """Sum over the text's distinct n-grams. Of an n-gram's two buckets the one with less evidence counts, and none
-    if they differ in sign, so that an n-gram which shares one bucket with a telling one is not taken for it."""
+    """Log of the ratio of the likelihoods of the text's n-grams, each counted once, under the target and the raw model.
+
+    As in a count-min sketch, of an n-gram's two buckets the one nearer to zero stands for it, so that an n-gram which
+    shares one bucket with a telling one is not taken for it.
+    """
     a, b = (ratio[x] for x in buckets(np.unique(grams(text, seen)), bits))
     return float(np.where(a * b > 0, np.where(np.abs(a) < np.abs(b), a, b), 0.0).sum(dtype=np.float64))
 
@@ -92,13 +101,13 @@ def counts(docs: DataFrame, target: np.ndarray, bits: int, id_col: str, text_col
 
 
 def log_ratios(raw: np.ndarray, hit: np.ndarray, n: int, target: int, sure: float, least: float) -> np.ndarray:
-    """log(target / raw) of each bucket; zero where the counts don't tell the two apart.
+    """log(target / raw) of each bucket, both counts with one added, at the scale of the target.
 
-    Two models of one vocabulary differ by a constant besides, as the raw text also holds what the target lacks;
-    the median over the target's words is taken off. A ratio counts if it is over e**least either way and the
-    square roots of the counts differ by ``sure`` standard deviations, or half as many where it is over
-    e**(2 * least): a group of copies that shares a bucket with common words moves its ratio a little, however
-    large the counts are.
+    Two models of one vocabulary differ by a constant besides, as the raw text also holds what the target lacks; the
+    median over the target's words is taken off. Where the counts don't differ by more than chance and copying make
+    them (the square roots by ``sure`` standard deviations, the ratio by e**least), the target model is the raw model:
+    the n-grams of a text, and those of its copies, come and go together, so their differences add up instead of
+    cancelling. The README has the figures without this.
     """
     if not target:
         return np.zeros(len(raw), np.float32)
@@ -108,30 +117,29 @@ def log_ratios(raw: np.ndarray, hit: np.ndarray, n: int, target: int, sure: floa
     weight = np.cumsum(hit[order])
     middle = lr[order[np.searchsorted(weight, weight[-1] / 2)]] if weight[-1] else 0.0
     lr = lr - middle
-    expect = expect * np.exp(middle)
-    z = 2 * (np.sqrt(hit + 0.375) - np.sqrt(expect + 0.375))
-    far = np.abs(lr)
-    tells = (far >= least) & (np.abs(z) >= np.where(far >= 2 * least, sure / 2, sure))
-    return np.where(tells, lr, 0.0).astype(np.float32)
+    z = 2 * (np.sqrt(hit + 0.375) - np.sqrt(expect * np.exp(middle) + 0.375))
+    return np.where((np.abs(lr) >= least) & (np.abs(z) >= sure), lr, 0.0).astype(np.float32)
 
 
 def target_ids(labels: DataFrame, wanted: str, most: int, id_col: str) -> np.ndarray:
-    """Ids of labelled rows that make up the target: at most ``most``, chosen by hash."""
+    """Ids of labelled rows that make up the target: at most ``most``, those of the smallest hashes, so that a rerun takes the same."""
     rows = labels.where(wanted).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()
     n = rows.count()
     if n > most:
-        rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(most / n * (1 << 30))).limit(most)
+        rows = rows.orderBy(F.xxhash64("id"), "id").limit(most)
     return rows.toPandas()["id"].to_numpy(dtype=np.int64)
 
 
-def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", wanted: str = "quality = 1 AND toxic = 0", bits: int = 21, most_labels: int = 200_000, sure: float = 8.0, least: float = 1.0, temperature: float = 0.25) -> DataFrame:
-    """(id, log_weight, key) of every document: log of target over raw likelihood over temperature, and that plus Gumbel noise.
+def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", wanted: str = "quality = 1 AND toxic = 0", bits: int | None = None, most_labels: int = 200_000, sure: float = 8.0, least: float = 1.0) -> DataFrame:
+    """(id, log_weight, key) of every document: log of target over raw likelihood, and that plus Gumbel noise.
 
     Models count in how many documents each of ``2**bits`` buckets of one- and two-word n-grams occurs, an n-gram
-    in a bucket of either half of the table; the raw model over all documents, the target model over at most ``most_labels`` labelled rows that meet ``wanted``.
-    The noise comes from the id, so that a rerun draws the same. Null and empty texts and texts without evidence
-    weigh zero, as does everything if no row is labelled. Rows that repeat an id are each weighed.
+    in a bucket of either half of the table (``table_bits`` of the corpus by default); the raw model over all
+    documents, the target model over at most ``most_labels`` labelled rows that meet ``wanted``. The noise comes from
+    the id, so that a rerun draws the same. Null and empty texts and texts without evidence weigh zero, as does
+    everything if no row is labelled. Rows that repeat an id are each weighed. Other columns are not read.
     """
+    bits = table_bits(docs.count()) if bits is None else bits
     raw, hit, n, target = counts(docs, target_ids(labels, wanted, most_labels, id_col), bits, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(log_ratios(raw, hit, n, target, sure, least))
 
@@ -144,8 +152,7 @@ def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     u = (F.pmod(F.xxhash64(F.col(id_col), F.lit("gumbel")), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     noise = -F.log(-F.log(u))
     rows = docs.select(F.col(id_col).alias("id"), weight(F.col(text_col)).alias("log_weight"), noise.alias("noise"))
-    cool = F.col("log_weight") / F.lit(temperature)
-    return rows.select("id", cool.alias("log_weight"), (cool + F.col("noise")).alias("key"))
+    return rows.select("id", "log_weight", (F.col("log_weight") + F.col("noise")).alias("key"))
 
 
 def kth_largest(rows: DataFrame, col: str, k: int, bins: int = 1024, few: int = 10_000) -> float:
@@ -178,8 +185,9 @@ def kth_largest(rows: DataFrame, col: str, k: int, bins: int = 1024, few: int =
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, **more) -> DataFrame:
     """The documents that are drawn: (id, log_weight, key) of the ``k`` largest keys, all that tie with the last.
 
-    Without ``k``, it is the sum over all documents of the weight, at most one each: the expected number that the
-    target model accepts. An empty table gives no rows.
+    ``k`` is how many to draw. Without it, it is the sum over all documents of the weight, at most one each: the
+    expected number that the target model accepts, so that a filter keeps as many as look like the target. An empty
+    table gives no rows.
     """
     rows = checkpoint(weigh(docs, labels, **more))
     if k is None:
