@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import WORD, align, gram_codes, seed_windows
+from tidegate.llm.common import WORD, align, gram_codes
 from tidegate.llm.license_templates import TEMPLATES
 
 HITS = "array<struct<license:string,coverage:double,matched_words:int,start_char:int,end_char:int>>"
@@ -23,6 +23,17 @@ def winnow(grams: np.ndarray, window: int) -> list[int]:
     return sorted({k + w - 1 - int(grams[k : k + w][::-1].argmin()) for k in range(len(grams) - w + 1)})
 
 
+def diagonals(starts: list[int], band: int) -> list[tuple[int, int]]:
+    """(first, last) of the starts that seeds imply, in groups no wider than ``band``: an alignment stays banded however many seeds there are."""
+    out: list[list[int]] = []
+    for s in sorted(set(starts)):
+        if out and s - out[-1][0] <= band:
+            out[-1][1] = s
+        else:
+            out.append([s, s])
+    return [(a, b) for a, b in out]
+
+
 class TemplateIndex:
     """Inverted index from a template's winnowed word n-grams to (template, place)."""
 
@@ -41,12 +52,21 @@ class TemplateIndex:
         self.keys = np.array(sorted(places), dtype=np.uint64)
         self.places = [places[k] for k in sorted(places)]
 
+    def words_of(self, text: str) -> tuple[np.ndarray, list | None]:
+        """(codes of a text's words, their spans in the text if they had to be found).
+
+        Where lowering changes a text's length, words are parted first and lowered then.
+        """
+        get, lower = self.vocabulary.get, text.lower()
+        if len(lower) == len(text):
+            return np.array([get(w, 0) for w in WORD.findall(lower)], dtype=np.uint64), None
+        found = list(WORD.finditer(text))
+        return np.array([get(m[0].lower(), 0) for m in found], dtype=np.uint64), [m.span() for m in found]
+
     def scan(self, text: str | None, least: float) -> list[dict]:
         """The stretches of the text that match at least ``least`` of a template, in order of place."""
         text = text or ""
-        lower = text.lower()
-        get = self.vocabulary.get
-        codes = np.array([get(w, 0) for w in WORD.findall(lower)], dtype=np.uint64)
+        codes, spans = self.words_of(text)
         if len(codes) < self.n:
             return []
         at = np.nonzero(np.convolve(codes > 0, np.ones(self.n, dtype=np.int32), "valid") == self.n)[0]
@@ -60,17 +80,17 @@ class TemplateIndex:
                 starts.setdefault(t, []).append(pos - p)
         if not starts:
             return []
-        # lower() may change a text's length, so the words are found again in the text itself
-        spans = [m.span() for m in WORD.finditer(text if len(lower) == len(text) else lower)]
+        spans = spans or [m.span() for m in WORD.finditer(text)]
         out = []
         for t, begun in starts.items():
             name, words = self.templates[t]
             band = max(3, len(words) // 5)
-            for lo, hi in seed_windows(begun, len(words), band, len(codes)):
-                inside = [s - lo for s in begun if lo - band <= s <= hi]
-                middle = (min(inside) + max(inside)) // 2 if inside else 0
-                reach = band + ((max(inside) - min(inside)) // 2 + 1 if inside else hi - lo)
-                _, matches, _, _, a, b = align(words, codes[lo:hi], middle, reach)
+            for first, last in diagonals(begun, band):
+                reach = band + (last - first)
+                lo, hi = max(0, first - band), min(len(codes), last + len(words) + band)
+                if lo >= hi:
+                    continue
+                _, matches, _, _, a, b = align(words, codes[lo:hi], (first + last) // 2 - lo, reach)
                 if matches >= least * max(len(words), b - a):
                     out.append({"license": name, "coverage": matches / max(len(words), b - a), "matched_words": matches, "start_char": spans[lo + a][0], "end_char": spans[lo + b - 1][1]})
         kept: list[dict] = []
@@ -80,12 +100,14 @@ class TemplateIndex:
         return sorted(kept, key=lambda x: x["start_char"])
 
 
-def licenses(text: Column, templates: list[tuple[str, str]] = TEMPLATES, n: int = 3, window: int = 2, least: float = 0.9) -> Column:
+def licenses(text: Column, templates: list[tuple[str, str]] = TEMPLATES, n: int = 3, window: int = 2, least: float = 0.5) -> Column:
     """The licence wordings that a text holds: name, coverage (matched words in order as a share of the longer of template and span), span.
 
-    ``start_char`` and ``end_char`` are code points of the text. A wording of fewer than ``n + window - 1`` words
-    may be missed if it is edited. Null and empty texts hold none; of wordings that overlap, the one with the most matched words is reported.
-    The index is as large as the templates, which are a fixed list, and travels with the function; texts never move.
+    Every aligned wording of at least the low coverage ``least`` is reported, cut and edited ones too; what counts as
+    the licence is for the reader of the coverage to say. ``start_char`` and ``end_char`` are code points of the text.
+    A wording of fewer than ``n + window - 1`` words may be missed if it is edited. Null and empty texts hold none; of
+    wordings that overlap, the one with the most matched words is reported. The index is as large as the templates,
+    which are a fixed list, and travels with the function; texts never move, other columns are not read.
     """
     index = TemplateIndex(templates, n, window)
 
@@ -100,6 +122,7 @@ def licenses(text: Column, templates: list[tuple[str, str]] = TEMPLATES, n: int
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """(id, license, coverage, matched_words, start_char, end_char): a row for each wording found.
 
-    Rows that repeat an id each report theirs; a null id is kept. An empty table gives no rows.
+    Rows that repeat an id each report theirs; a null id is kept. An empty table gives no rows. Columns of ``docs``
+    of any name do not meet these.
     """
     return docs.select(F.col(id_col).alias("id"), F.explode(licenses(F.col(text_col), **more)).alias("x")).select("id", "x.*")
