@@ -61,6 +61,31 @@ def test_documents_are_whole_and_bins_keep_the_rules(spark):
     assert sum(r.length for r in rows) / (512 * len(bins)) > 0.85
 
 
+def test_pieces_carry_their_text_and_clusters_come_from_outside(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    clusters = docs.selectExpr("doc_id AS id", "doc_id div 3 AS component").where("id % 5 <> 0")
+    sizes = m.document_sizes(docs, clusters=clusters, words=True)
+    known = {r.id: (r.size, r.source, r.cluster) for r in sizes.collect()}
+    rows = m.pack(sizes, 200, 100).collect()
+    check(rows, known, 200)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert all(known[i][2] == i // 3 for i in known if i % 5)
+    got = {}
+    for r in sorted(rows, key=lambda r: r.piece):
+        assert len(r.text.encode().split()) == r.length
+        got[r.id] = got.get(r.id, "") + r.text
+    assert got == {i: t.lstrip(" \t\n\x0b\x0c\r") for i, t in texts.items()}
+
+
+def test_groups_cost_little_fill(spark):
+    """Bins against what all words would fill, and against one group of all pieces."""
+    sizes = m.document_sizes(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    parts, whole = m.pack(sizes), m.pack(sizes, group_rows=10**9)
+    n = parts.select("bin").distinct().count()
+    bound = -(-parts.agg({"length": "sum"}).first()[0] // 1024)
+    assert n <= 1.02 * whole.select("bin").distinct().count() and n >= bound
+
+
 def test_nulls_empty_long_repeated_rows_and_no_rows(spark):
     rows = [(1, None, None, "x", 9), (2, "", "s", "x", 9), (3, "w " * 100000, "s", "x", 9), (4, "a b", "s", "x", 9), (4, "a b", "s", "x", 9), (None, "c", "s", "x", 9), (5, "A B", "t", "x", 9)]
     got = m.pack(m.document_sizes(spark.createDataFrame(rows, SCHEMA)), 1000).collect()

@@ -15,10 +15,17 @@ WORD = re.compile(r"\w+")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder that the session names (a temporary one where it names none, as in tests)."""
+    """Cut the lineage through the shared folder that the session names.
+
+    Where it names none, a temporary folder stands in on a local master, as in tests; a cluster's executors could not
+    see it, so there it is an error.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidegate-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidegate-"))
     return df.checkpoint(eager=True)
 
 

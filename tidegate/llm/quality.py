@@ -105,8 +105,8 @@ def log_ratios(raw: np.ndarray, hit: np.ndarray, n: int, target: int, sure: floa
 
     Two models of one vocabulary differ by a constant besides, as the raw text also holds what the target lacks; the
     median over the target's words is taken off. Where the counts don't differ by more than chance and copying make
-    them (the square roots by ``sure`` standard deviations, the ratio by e**least), the target model is the raw model:
-    the n-grams of a text, and those of its copies, come and go together, so their differences add up instead of
+    them (the square roots by ``sure`` standard deviations and the ratio by e**least, or half as many where it is over
+    e**(2 * least), which chance and copying seldom make), the target model is the raw model: the n-grams of a text, and those of its copies, come and go together, so their differences add up instead of
     cancelling. The README has the figures without this.
     """
     if not target:
@@ -118,7 +118,8 @@ def log_ratios(raw: np.ndarray, hit: np.ndarray, n: int, target: int, sure: floa
     middle = lr[order[np.searchsorted(weight, weight[-1] / 2)]] if weight[-1] else 0.0
     lr = lr - middle
     z = 2 * (np.sqrt(hit + 0.375) - np.sqrt(expect * np.exp(middle) + 0.375))
-    return np.where((np.abs(lr) >= least) & (np.abs(z) >= sure), lr, 0.0).astype(np.float32)
+    far = np.abs(lr)
+    return np.where((far >= least) & (np.abs(z) >= np.where(far >= 2 * least, sure / 2, sure)), lr, 0.0).astype(np.float32)
 
 
 def target_ids(labels: DataFrame, wanted: str, most: int, id_col: str) -> np.ndarray:
@@ -130,8 +131,8 @@ def target_ids(labels: DataFrame, wanted: str, most: int, id_col: str) -> np.nda
     return rows.toPandas()["id"].to_numpy(dtype=np.int64)
 
 
-def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", wanted: str = "quality = 1 AND toxic = 0", bits: int | None = None, most_labels: int = 200_000, sure: float = 8.0, least: float = 1.0) -> DataFrame:
-    """(id, log_weight, key) of every document: log of target over raw likelihood, and that plus Gumbel noise.
+def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", wanted: str = "quality = 1 AND toxic = 0", bits: int | None = None, most_labels: int = 200_000, sure: float = 8.0, least: float = 1.0, temperature: float = 0.25) -> DataFrame:
+    """(id, log_weight, key) of every document: log of target over raw likelihood over ``temperature``, and that plus Gumbel noise.
 
     Models count in how many documents each of ``2**bits`` buckets of one- and two-word n-grams occurs, an n-gram
     in a bucket of either half of the table (``table_bits`` of the corpus by default); the raw model over all
@@ -152,7 +153,8 @@ def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     u = (F.pmod(F.xxhash64(F.col(id_col), F.lit("gumbel")), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     noise = -F.log(-F.log(u))
     rows = docs.select(F.col(id_col).alias("id"), weight(F.col(text_col)).alias("log_weight"), noise.alias("noise"))
-    return rows.select("id", "log_weight", (F.col("log_weight") + F.col("noise")).alias("key"))
+    cool = F.col("log_weight") / F.lit(temperature)
+    return rows.select("id", cool.alias("log_weight"), (cool + F.col("noise")).alias("key"))
 
 
 def kth_largest(rows: DataFrame, col: str, k: int, bins: int = 1024, few: int = 10_000) -> float:

@@ -54,7 +54,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = packing.pack(packing.document_sizes(table(spark, sf_dir, "documents")))
+    """No bin holds two documents of one source, or of one component of near duplicates."""
+    docs = table(spark, sf_dir, "documents")
+    clusters = simhash_dedup.near_duplicates(docs).select("id", "component")
+    out = packing.pack(packing.document_sizes(docs, clusters=clusters))
     return out.select(F.col("id").alias("doc_id"), "piece", F.col("start").alias("start_word"), F.col("length").alias("n_words"), "bin")
 
 
