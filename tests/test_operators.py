@@ -32,7 +32,7 @@ def test_a_lexicon_in_parts_gives_the_same(spark):
     lex = spark.createDataFrame([("c", w) for w in ("ab", "bc", "cd", "x+y")], "category string, word string")
     texts = spark.createDataFrame([(1, "abcd"), (2, "y x")], TEXTS)
     v = keywords.automaton_rows(lex)
-    whole, parts = keywords.keyword_scan(texts, v), keywords.keyword_scan(texts, v, most_variants=7)
+    whole, parts = keywords.keyword_scan(texts, v), keywords.keyword_scan(texts, v, most_chars=300)
     assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, parts.collect()), key=str)
 
 
@@ -40,14 +40,52 @@ def test_rules(spark):
     texts = spark.createDataFrame([(1, "来加我好友")], TEXTS)
     lex = spark.createDataFrame([("c", "加我")], "category string, word string")
     rule = lambda *r: spark.createDataFrame(r, "id long, category string, pattern string, action string, note string, is_active boolean")
-    found = keywords.keyword_hits(texts, lex)
-    out = keywords.regex_exempt(found, texts, rule((1, "", "官方加我", "exempt", "", True), (2, "c", "加我", "exempt", "", True), (3, "", "加我", "exempt", "", True))).collect()
+    out = keywords.regex_exempt(texts, lex, rule((1, "", "官方加我", "exempt", "", True), (2, "c", "加我", "exempt", "", True), (3, "", "加我", "exempt", "", True))).collect()
     assert [r.rule_id for r in out] == [2]
-    assert keywords.regex_exempt(found, texts, rule((1, "d", "加我", "exempt", "", True))).first().rule_id is None
+    assert keywords.regex_exempt(texts, lex, rule((1, "d", "加我", "exempt", "", True))).first().rule_id is None
     r = keywords.regex_violate(texts, rule((1, "", "加.", "violate", "", True), (2, "", "加", "violate", "", False))).collect()
     assert [(x.start, x.end) for x in r] == [(1, 3)]
 
 
+RULE = "id long, category string, pattern string, action string, note string, is_active boolean"
+
+
+def test_violating_rules_equal_python_expressions_tried_one_by_one(spark):
+    import re
+
+    rng = random.Random(4)
+    patterns = [r"\bcat", r"(?<=x)cat", r"^dog", r"cat$", r"d.g", r"[a-c]at", r"(cat|dog)s?", r"CAT", r"ca+t", r"😀cat", r"q{2,3}", r"cat dog", r"\d+"]
+    texts = [(k, "".join(rng.choice(["cat", "dog", "x", " ", "😀", "CAT", "q", "7", "con"]) for _ in range(rng.randint(1, 12)))) for k in range(300)]
+    texts += [(300, "concat cat"), (301, ""), (302, None), (303, "İ cat")]
+    rules = spark.createDataFrame([(k, "c" if k % 2 else "", p, "violate", "", True) for k, p in enumerate(patterns)], RULE)
+    got = {(r.request_id, r.rule_id, r.category, r.start, r.end) for r in keywords.regex_violate(spark.createDataFrame(texts, TEXTS).repartition(3), rules).collect()}
+    want = {(i, k, "c" if k % 2 else "", m.start(), m.end()) for i, t in texts if t for k, p in enumerate(patterns) if (m := re.search(p, t))}
+    assert got == want and (300, 0, "", 7, 10) in got and len(got) > 300
+
+
+def test_wrong_rules_are_named_and_stop_the_job(spark):
+    import pytest
+
+    rules = spark.createDataFrame([(1, "", "a(", "violate", "", True), (2, "", "b", "allow", "", True), (3, "", None, "exempt", "", True), (4, "", "c", "exempt", "", True)], RULE)
+    assert {r.id: r.error.split(":")[0] for r in keywords.rule_errors(rules).collect()} == {1: "pattern", 2: "action", 3: "pattern"}
+    texts = spark.createDataFrame([(1, "abc")], TEXTS)
+    for bad in (1, 2):
+        with pytest.raises(ValueError, match=f"rule {bad}"):
+            keywords.regex_violate(texts, rules.where(f"id = {bad}"))
+    assert keywords.regex_violate(texts, rules.where("id = 4")).count() == 0
+
+
+def test_one_pass_gives_hits_exemptions_and_violations(spark):
+    texts = spark.createDataFrame([(1, "来加我好友"), (2, "x+y and 捡闻"), (3, None)], TEXTS)
+    words = spark.createDataFrame([("c", "加我"), ("c", "x+y"), ("d", "见闻")], "category string, word string")
+    rules = spark.createDataFrame([(1, "", "加我好友", "exempt", "", True), (2, "", "加我", "violate", "", True)], RULE)
+    known = {"捡": "jian", "见": "jian", "闻": "wen"}
+    rows = keywords.judged_hits(texts, words, rules, known).collect()
+    got = sorted((r.request_id, r.start, r.end, r.word, r.kind, r.rule_id or 0, r.violates) for r in rows)
+    assert got == [(1, 1, 3, "加我", "literal", 1, False), (1, 1, 3, "加我", "literal", 2, True), (2, 0, 3, "x+y", "literal", 0, False), (2, 8, 10, "见闻", "pinyin_full", 0, False)]
+    assert sorted(map(tuple, keywords.judged_hits(texts, words, rules, known, most_chars=60).collect()), key=str) == sorted(map(tuple, rows), key=str)
+
+
 def scores(spark, black, white):
     rows = [(1, "black", k + 1, k, f"c{k}", s) for k, s in enumerate(black)] + [(1, "white", k + 1, 100 + k, "w", s) for k, s in enumerate(white)]
     top = spark.createDataFrame(rows, "request_id long, pool string, rank int, vec_id long, category string, score double")

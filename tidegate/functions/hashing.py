@@ -15,18 +15,22 @@ FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 
 def _fnv(data: list[bytes]) -> np.ndarray:
-    """All strings at once, a byte place at a time; 64-bit wrap-around."""
+    """All strings at once, a byte place at a time; 64-bit wrap-around.
+
+    Strings stand end to end in order of length, so memory grows with their bytes and no long one makes the others wide.
+    """
+    size = np.array([len(d) for d in data], dtype=np.int64)
+    order = np.argsort(-size, kind="stable")
+    text = np.frombuffer(b"".join(data[k] for k in order), np.uint8)
+    size = size[order]
+    begin = np.cumsum(size) - size
     h = np.full(len(data), FNV_OFFSET, dtype=np.uint64)
-    size = np.array([len(d) for d in data])
-    if not len(data) or not size.max(initial=0):
-        return h
-    table = np.zeros((len(data), size.max()), dtype=np.uint64)
-    for k, d in enumerate(data):
-        table[k, : len(d)] = np.frombuffer(d, np.uint8)
-    for j in range(table.shape[1]):
-        on = size > j
-        h[on] = (h[on] ^ table[on, j]) * np.uint64(FNV_PRIME)
-    return h
+    longer = np.searchsorted(-size, -np.arange(size.max(initial=0)), "left")  # how many strings have that place
+    for j, n in enumerate(longer.tolist()):
+        h[:n] = (h[:n] ^ text[begin[:n] + j]) * np.uint64(FNV_PRIME)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
 
 
 @F.pandas_udf(StringType())

@@ -25,6 +25,7 @@ def replay(events: DataFrame, key: str, order: list[str], columns: list[str], st
         for pdf in batches:
             out = []
             for k, row in zip(pdf[key], pdf[columns].itertuples(index=False), strict=True):
+                k = None if pd.isna(k) else k  # rows without a key share one state
                 if k != here:
                     here, state = k, start()
                 out.append(step(state, tuple(row)))
@@ -91,7 +92,7 @@ def circuit_replay(calls: DataFrame, d: Defaults = DEFAULTS) -> DataFrame:
         s[1] = t + d.breaker_cooldown_s if not ok and (trial or s[0] >= d.breaker_failures) else None
         return "half_open" if trial else "closed"
 
-    return replay(calls, "provider", ["t"], ["t", "ok"], lambda: [0, None], step, "state string")
+    return replay(calls, "provider", ["t", *[c for c in calls.columns if c not in ("provider", "t")]], ["t", "ok"], lambda: [0, None], step, "state string")
 
 
 def failover_first(calls: DataFrame) -> DataFrame:

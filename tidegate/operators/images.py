@@ -20,7 +20,7 @@ def near_hashes(frames: DataFrame, known: DataFrame, distance: int) -> DataFrame
     bands = distance + 1
     width = digits // bands
     if width < 8:
-        pairs = frames.crossJoin(F.broadcast(known) if known.count() <= 10_000 else known)
+        pairs = frames.crossJoin(known)
     else:
         cut = lambda h: F.array(*(F.struct(F.lit(b).alias("band"), F.substring(h, b * width + 1, width if b < bands - 1 else digits).alias("part")) for b in range(bands)))
         a = frames.select("*", F.inline(cut(F.col("phash"))))

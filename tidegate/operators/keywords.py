@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions import text as T
+from tidegate.operators import pinyin
 
 SEPARATORS = ["@", "·", "・", "*"]
-HITS = "request_id long, word string, category string, kind string, rule long, matched string, start int, end int"
+#: Of hits of one word and span the first of these stands.
+KINDS = ["literal", "pinyin_full", "pinyin_fuzzy", "pinyin_init", "case", "fullwidth", "traditional", "simplified", "symbol"]
+KIND_ORDER = {k: n for n, k in enumerate(KINDS)}
 
 
 def generate_variants(words: DataFrame) -> DataFrame:
@@ -48,43 +52,196 @@ def automaton_rows(words: DataFrame) -> DataFrame:
     return plain.unionByName(ruled)
 
 
-def keyword_scan(texts: DataFrame, variants: DataFrame, most_variants: int = 5_000_000) -> DataFrame:
-    """(request_id, word, category, kind, rule, term, matched, start, end): every occurrence, overlaps included.
+class Lexicon:
+    """All variants in one automaton, with the sound variants in another; built in a worker from broadcast rows."""
 
-    The variants make one automaton, built once in each Python worker; their number is checked against
-    ``most_variants`` before they are broadcast, and a larger lexicon is scanned in as many parts as it takes.
+    def __init__(self, rows: list[tuple], sounds: list[tuple], known: dict[str, str]):
+        self.known = known
+        self.direct, self.said = self._machine(rows), self._machine(sounds)
+
+    @staticmethod
+    def _machine(rows: list[tuple]):
+        table: dict[str, list] = {}
+        for variant, *own in rows:
+            table.setdefault(variant, []).append(own)
+        if not table:
+            return None
+        machine = ahocorasick.Automaton()
+        for variant, own in table.items():
+            machine.add_word(variant, (variant, own))
+        machine.make_automaton()
+        return machine
+
+    def occurrences(self, text: str) -> Iterator[tuple]:
+        """(word, category, kind, rule, term, terms, matched, start, end) of every occurrence, overlaps included."""
+        if self.direct is not None:
+            for last, (variant, own) in self.direct.iter(text):
+                for o in own:
+                    yield *o, variant, last - len(variant) + 1, last + 1
+        if self.said is None:
+            return
+        said, place = pinyin.expand(text, self.known)
+        for heard, where in [(text, None)] + ([(said, place)] if said != text else []):
+            for last, (variant, own) in self.said.iter(heard):
+                start = last - len(variant) + 1
+                for o in own:
+                    yield (*o, variant, start, last + 1) if where is None else (*o, variant, where[start], where[last] + 1)
+
+    def hits(self, text: str) -> list[tuple]:
+        """(start, end, category, word, kind): one for each word and span, the first kind; AND rules whose terms are all there.
+
+        A rule hit goes from the first start to the last end. One that names a term twice has fewer distinct terms than it names, and never fires.
+        """
+        found: dict[tuple, str] = {}
+        rules: dict[tuple, list] = {}
+
+        def put(key: tuple, kind: str) -> None:
+            if key not in found or KIND_ORDER[kind] < KIND_ORDER[found[key]]:
+                found[key] = kind
+
+        for word, category, kind, rule, term, terms, _, start, end in self.occurrences(text):
+            if rule is None:
+                put((start, end, category, word), kind)
+            else:
+                r = rules.setdefault((rule, category, word), [set(), terms, start, end])
+                r[0].add(term)
+                r[2], r[3] = min(r[2], start), max(r[3], end)
+        for (_, category, word), (own, terms, start, end) in rules.items():
+            if len(own) == terms:
+                put((start, end, category, word), "literal")
+        return [(*key, kind) for key, kind in sorted(found.items())]
+
+
+class Rules:
+    """Rules of one action in order of id, found by the phrases that every match of them holds; built in a worker."""
+
+    def __init__(self, rows: list[tuple]):
+        self.rows, self.always, self.machine = rows, [], None
+        self.compiled: dict[int, re.Pattern] = {}
+        at: dict[str, list[int]] = {}
+        for k, (*_, phrases) in enumerate(rows):
+            for phrase in phrases:
+                at.setdefault(phrase, []).append(k)
+            if not phrases:
+                self.always.append(k)
+        if at:
+            self.machine = ahocorasick.Automaton()
+            for phrase, own in at.items():
+                self.machine.add_word(phrase, (phrase, own))
+            self.machine.make_automaton()
+
+    def candidates(self, text: str) -> list[int]:
+        """Places of the rules all of whose phrases the text holds, whatever their case, and of those without phrases."""
+        if self.machine is None:
+            return self.always
+        count: dict[int, int] = {}
+        for _, own in {x[0]: x for _, x in self.machine.iter(text.lower())}.values():
+            for k in own:
+                count[k] = count.get(k, 0) + 1
+        return sorted(self.always + [k for k, n in count.items() if n == len(self.rows[k][3])])
+
+    def search(self, k: int, text: str) -> re.Match | None:
+        if k not in self.compiled:
+            self.compiled[k] = re.compile(self.rows[k][2])
+        return self.compiled[k].search(text)
+
+    def first(self, around: str, category: str) -> int | None:
+        """Id of the first rule for the category, or for all, that matches."""
+        for k in self.candidates(around):
+            if self.rows[k][1] in ("", None, category) and self.search(k, around):
+                return self.rows[k][0]
+        return None
+
+    def matches(self, text: str) -> Iterator[tuple]:
+        """(id, category, pattern, start, end) of the first match of each rule that matches."""
+        for k in self.candidates(text):
+            m = self.search(k, text)
+            if m is not None:
+                yield self.rows[k][0], self.rows[k][1] or "", self.rows[k][2], m.start(), m.end()
+
+
+def rule_errors(rules: DataFrame) -> DataFrame:
+    """(id, error): rules whose action isn't violate or exempt, or whose pattern isn't a Python regular expression."""
+
+    @F.pandas_udf("string")
+    def wrong(patterns: pd.Series) -> pd.Series:
+        def one(pattern: str | None) -> str | None:
+            try:
+                re.compile(pattern)
+            except (re.error, TypeError) as error:
+                return f"pattern: {error}"
+            return None
+
+        return patterns.map(one)
+
+    bad = F.when(~F.coalesce(F.col("action").isin("violate", "exempt"), F.lit(False)), F.concat(F.lit("action: "), F.coalesce("action", F.lit("none")))).otherwise(wrong("pattern"))
+    return rules.select("id", bad.alias("error")).where("error IS NOT NULL")
+
+
+def active_rules(rules: DataFrame, action: str, most: int = 1_000_000) -> list[tuple]:
+    """(id, category, pattern, phrases) of the active rules of an action, in order of id.
+
+    Rules are settings that people write; over ``most`` of them, or any that ``rule_errors`` names, raise an error
+    before a text is read.
     """
-    n = variants.count()
-    parts = max(1, -(-n // most_variants))
-    found = [_scan(texts, variants.where(F.pmod(F.xxhash64("variant"), F.lit(parts)) == k)) for k in range(parts)]
-    return reduce(DataFrame.unionByName, found)
+    own = rules.where("is_active").where(F.coalesce(F.col("action") == action, F.lit(False)) | ~F.coalesce(F.col("action").isin("violate", "exempt"), F.lit(False)))
+    rows = own.select("id", F.coalesce("category", F.lit("")).alias("category"), "pattern", "action", T.pattern_phrases(F.col("pattern")).alias("phrases")).orderBy("id").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
+    out = []
+    for r in rows:
+        if r["action"] != action:
+            raise ValueError(f"rule {r['id']}: action {r['action']!r}")
+        try:
+            re.compile(r["pattern"])
+        except (re.error, TypeError) as error:
+            raise ValueError(f"rule {r['id']}: {error}") from error
+        out.append((r["id"], r["category"], r["pattern"], list(r["phrases"] or ())))
+    return out
+
+
+def lexicon_parts(variants: DataFrame, most_chars: int = 64_000_000) -> Iterator[list[tuple]]:
+    """The variants as rows for automata, in parts of about so many characters, the bound on what is broadcast.
+
+    All variants of a word, and all terms of an AND rule, come in one part.
+    """
+    rows = variants.select("variant", "word", "category", "kind", "rule", "term", F.size(T.keyword_terms(F.col("word"))).alias("terms"))
+    chars = rows.agg(F.sum(F.length("variant") + F.length("word") + F.lit(32))).first()[0] or 0
+    parts = max(1, -(-chars // most_chars))
+    for k in range(parts):
+        yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("category", "word"), F.lit(parts)) == k).collect()]
+
 
+def sound_rows(rows: list[tuple], known: dict[str, str]) -> list[tuple]:
+    """Sound variants of the words and terms among variant rows."""
+    terms = {(word, category, rule, term, n) for _, word, category, _, rule, term, n in rows}
+    return [(v, word, category, kind, rule, term, n) for word, category, rule, term, n in terms for v, kind in pinyin.variants(term or "", known)]
 
-def _scan(texts: DataFrame, variants: DataFrame) -> DataFrame:
-    table: dict[str, list] = {}
-    for r in variants.collect():
-        table.setdefault(r["variant"], []).append((r["word"], r["category"], r["kind"], r["rule"], r["term"]))
-    shared = texts.sparkSession.sparkContext.broadcast(table)
+
+def _scan(texts: DataFrame, make, each, schema: str) -> DataFrame:
+    """Rows that ``each(made, id, text)`` yields, one pass over (request_id, text); ``make`` builds what it needs once in a worker."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    whole = [c.split()[0] for c in schema.split(", ") if c.split()[1] == "long" and c.split()[0] != "request_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = ahocorasick.Automaton()
-        for variant, own in shared.value.items():
-            machine.add_word(variant, (variant, own))
-        machine.make_automaton()
+        made = make()
         for pdf in batches:
-            out = []
-            for i, text in zip(pdf["request_id"], pdf["text"], strict=True):
-                for last, (variant, own) in machine.iter(text) if text and shared.value else ():
-                    start = last - len(variant) + 1
-                    out += [(i, w, c, k, r, t, variant, start, last + 1) for w, c, k, r, t in own]
-            got = pd.DataFrame(out, columns=["request_id", "word", "category", "kind", "rule", "term", "matched", "start", "end"])
-            got["rule"] = pd.array(got["rule"], dtype="Int64")
-            yield got
-
-    schema = "request_id long, word string, category string, kind string, rule long, term string, matched string, start int, end int"
+            out = pd.DataFrame([row for i, text in zip(pdf["request_id"], pdf["text"], strict=True) if text for row in each(made, i, text)], columns=names)
+            yield out.astype(dict.fromkeys(whole, "Int64"))
+
     return texts.select("request_id", "text").mapInPandas(run, schema)
 
 
+def keyword_scan(texts: DataFrame, variants: DataFrame, most_chars: int = 64_000_000) -> DataFrame:
+    """(request_id, word, category, kind, rule, term, matched, start, end): every occurrence, overlaps included."""
+    found = []
+    for rows in lexicon_parts(variants, most_chars):
+        shared = texts.sparkSession.sparkContext.broadcast(rows)
+        each = lambda lexicon, i, text: ((i, *o[:5], *o[6:]) for o in lexicon.occurrences(text))
+        found.append(_scan(texts, lambda shared=shared: Lexicon(shared.value, [], {}), each, "request_id long, word string, category string, kind string, rule long, term string, matched string, start int, end int"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def and_hits(hits: DataFrame, variants: DataFrame) -> DataFrame:
     """One literal hit for each AND rule whose terms are all there, from the first start to the last end.
 
@@ -95,55 +252,65 @@ def and_hits(hits: DataFrame, variants: DataFrame) -> DataFrame:
     return own.where(F.col("n") == named).select("request_id", "word", "category", F.lit("literal").alias("kind"), "start", "end")
 
 
-def keyword_hits(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """(request_id, category, word, kind, start, end): hits of words and AND rules, one for each word and span.
+def judged_hits(texts: DataFrame, words: DataFrame, rules: DataFrame | None = None, known: dict[str, str] | None = None, window: int = 8, most_chars: int = 64_000_000) -> DataFrame:
+    """(request_id, category, word, kind, start, end, rule_id, violates): all that lexicon and rules find, in one pass over the texts.
 
-    Of hits of one (category, word, span) the kind that comes first among the variants stands.
+    Hits of words and AND rules, one for each word and span; of several kinds the first stands (``KINDS``). With
+    ``known`` readings, words are found by their sound too. ``rule_id`` is the first active exempting rule, of the
+    hit's category or of all, that matches within ``window`` characters around it, or null. The first match of each
+    active violating rule is a hit of its own, with its rule and ``violates`` true. A lexicon of over ``most_chars``
+    is scanned in parts; texts are never shuffled.
     """
-    variants = automaton_rows(words)
-    hits = keyword_scan(texts, variants)
-    plain = hits.where("rule IS NULL").select("request_id", "word", "category", "kind", "start", "end")
-    kinds = F.array_position(F.array(*map(F.lit, ["literal", "case", "fullwidth", "traditional", "simplified", "symbol"])), F.col("kind"))
-    first = Window.partitionBy("request_id", "category", "word", "start", "end").orderBy(kinds)
-    both = plain.unionByName(and_hits(hits, variants)).withColumn("n", F.row_number().over(first)).where("n = 1")
-    return both.select("request_id", "category", "word", "kind", "start", "end")
-
+    exempt, violate = (active_rules(rules, a) for a in ("exempt", "violate")) if rules is not None else ([], [])
+    context = texts.sparkSession.sparkContext
+    found = []
+    for part, rows in enumerate(lexicon_parts(automaton_rows(words), most_chars)):
+        shared = context.broadcast((rows, known or {}, exempt, violate if part == 0 else []))
+
+        def make(shared=shared):
+            rows, known, exempt, violate = shared.value
+            return Lexicon(rows, sound_rows(rows, known) if known else [], known), Rules(exempt), Rules(violate)
+
+        def each(made, i, text):
+            lexicon, exempt, violate = made
+            for start, end, category, word, kind in lexicon.hits(text):
+                around = text[max(0, start - window) : end + window]
+                yield i, category, word, kind, start, end, exempt.first(around, category) if exempt.rows else None, False
+            for rule, category, pattern, start, end in violate.matches(text):
+                yield i, category, pattern, "literal", start, end, rule, True
+
+        found.append(_scan(texts, make, each, "request_id long, category string, word string, kind string, start int, end int, rule_id long, violates boolean"))
+    return reduce(DataFrame.unionByName, found)
 
-def context(text: Column, start: Column, end: Column, window: int = 8) -> Column:
-    lo = F.greatest(F.lit(0), start - window)
-    return F.substr(text, lo + 1, end + window - lo)
 
+def keyword_hits(texts: DataFrame, words: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
+    """(request_id, category, word, kind, start, end): hits of words and AND rules, one for each word and span."""
+    return judged_hits(texts, words, known=known).select("request_id", "category", "word", "kind", "start", "end")
 
-def regex_exempt(hits: DataFrame, texts: DataFrame, rules: DataFrame, window: int = 8) -> DataFrame:
-    """Hits with ``rule_id``, the first active exempting rule that matches around them, or null.
 
-    A rule with an empty category holds for all. The rules are joined by condition; hits are what is large.
-    """
-    exempt = rules.where("is_active AND action = 'exempt'").select(F.col("id").alias("rule_id"), F.col("category").alias("rule_category"), "pattern")
-    placed = hits.join(texts.select("request_id", "text"), "request_id").withColumn("around", context(F.col("text"), F.col("start"), F.col("end"), window)).drop("text")
-    fits = ((F.col("rule_category") == "") | (F.col("rule_category") == F.col("category"))) & F.expr("around rlike pattern")
-    met = placed.join(exempt, fits, "left")
-    keys = ["request_id", "category", "word", "kind", "start", "end"]
-    return met.groupBy(*keys).agg(F.min("rule_id").alias("rule_id"))
+def regex_exempt(texts: DataFrame, words: DataFrame, rules: DataFrame, known: dict[str, str] | None = None, window: int = 8) -> DataFrame:
+    """Keyword hits with ``rule_id``, the first active exempting rule that matches around them, or null."""
+    return judged_hits(texts, words, rules.where("action = 'exempt'"), known, window).drop("violates")
 
 
 def rule_candidates(texts: DataFrame, rules: DataFrame) -> DataFrame:
     """(request_id, rule_id, pattern): rules that may match: those all of whose phrases the text holds, and all without phrases."""
-    rows = rules.select(F.col("id").alias("rule_id"), "pattern", T.pattern_phrases(F.col("pattern")).alias("phrases"))
-    low = texts.select("request_id", F.lower("text").alias("low"))
-    return low.join(rows, F.forall("phrases", lambda p: F.contains(F.col("low"), p))).select("request_id", "rule_id", "pattern")
+    rows = [(r["id"], "", r["pattern"], list(r["phrases"])) for r in rules.select("id", "pattern", T.pattern_phrases(F.col("pattern")).alias("phrases")).orderBy("id").collect()]
+    shared = texts.sparkSession.sparkContext.broadcast(rows)
+    each = lambda made, i, text: ((i, made.rows[k][0], made.rows[k][2]) for k in made.candidates(text))
+    blank = texts.select("request_id", F.when(F.coalesce("text", F.lit("")) == "", " ").otherwise(F.col("text")).alias("text"))
+    return _scan(blank, lambda: Rules(shared.value), each, "request_id long, rule_id long, pattern string")
 
 
 def regex_violate(texts: DataFrame, rules: DataFrame) -> DataFrame:
     """(request_id, rule_id, category, word, start, end): the first match of each active violating rule in each text.
 
-    Rules whose phrases a text lacks are passed over before any expression runs.
+    The phrases of all rules make one automaton; a rule whose phrases a text lacks is passed over before any
+    expression runs. Expressions are Python's; places count code points.
     """
-    active = rules.where("is_active AND action = 'violate'")
-    met = rule_candidates(texts, active).join(active.select(F.col("id").alias("rule_id"), "category"), "rule_id").join(texts.select("request_id", "text"), "request_id")
-    found = met.withColumn("matched", F.expr("regexp_substr(text, pattern)")).where("matched IS NOT NULL")
-    start = F.expr("locate(matched, text)") - 1
-    return found.select("request_id", "rule_id", "category", F.col("pattern").alias("word"), start.alias("start"), (start + F.length("matched")).alias("end"))
+    shared = texts.sparkSession.sparkContext.broadcast(active_rules(rules, "violate"))
+    each = lambda made, i, text: ((i, *m) for m in made.matches(text))
+    return _scan(texts, lambda: Rules(shared.value), each, "request_id long, rule_id long, category string, word string, start int, end int")
 
 
 def phrase_index(rules: DataFrame) -> DataFrame:

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,36 +66,3 @@ def expand(text: str, known: dict[str, str]) -> tuple[str, list[int]]:
                 place += [m.start() + k] * len(part)
             at = m.end()
     return "".join(out), place
-
-
-def pinyin_hits(texts: DataFrame, words: DataFrame, known: dict[str, str]) -> DataFrame:
-    """(request_id, category, word, kind, start, end): hits by sound in the raw text and in the text as it sounds.
-
-    Places are those of the raw text. A hit is kept once for each word and span. Matches aren't bound to syllables.
-    """
-    table: dict[str, list] = {}
-    for r in words.select("category", "word").distinct().collect():
-        for v, kind in variants((r["word"] or "").strip(), known):
-            table.setdefault(v, []).append((r["category"], r["word"], kind))
-    shared = texts.sparkSession.sparkContext.broadcast((table, known))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, known = shared.value
-        machine = ahocorasick.Automaton()
-        for v, own in table.items():
-            machine.add_word(v, (len(v), own))
-        machine.make_automaton()
-        for pdf in batches:
-            out: dict[tuple, str] = {}
-            for i, text in zip(pdf["request_id"], pdf["text"], strict=True):
-                if not text or not table:
-                    continue
-                said, place = expand(text, known)
-                for s, where in [(text, None)] + ([(said, place)] if said != text else []):
-                    for last, (n, own) in machine.iter(s):
-                        start, end = (last - n + 1, last + 1) if where is None else (where[last - n + 1], where[last] + 1)
-                        for category, word, kind in own:
-                            out.setdefault((i, category, word, start, end), kind)
-            yield pd.DataFrame([(i, c, w, k, s, e) for (i, c, w, s, e), k in out.items()], columns=["request_id", "category", "word", "kind", "start", "end"])
-
-    return texts.select("request_id", "text").mapInPandas(run, "request_id long, category string, word string, kind string, start int, end int")

@@ -22,17 +22,27 @@ def agreement(sample: DataFrame, verdicts: DataFrame) -> DataFrame:
         F.count_if(~v & o).alias("false_alarm"),
         F.count_if(v.isNull()).alias("judge_failed"),
     )
-    return s.withColumn("consistent_rate", F.when(F.col("reviewed") > 0, F.col("consistent") / F.col("reviewed")))
+    rate = lambda part, whole: F.when(whole > 0, part / whole)
+    c = F.col
+    return s.select(
+        "*",
+        rate(c("consistent"), c("reviewed")).alias("consistent_rate"),
+        rate(c("agree_violation"), c("orig_violations")).alias("violation_agree_rate"),
+        rate(c("consistent") - c("agree_violation"), c("reviewed") - c("orig_violations")).alias("safe_agree_rate"),
+    )
 
 
 def suggest(stats: DataFrame, d: Defaults = DEFAULTS) -> DataFrame:
-    """Stats with ``action`` and the thresholds it would give: raise, lower or hold, within 0 and 1, two digits."""
-    rate = F.col("consistent_rate")
+    """Stats with ``action`` and the thresholds it would give: raise, lower or hold, within 0 and 1, two digits.
+
+    What decides is how far the second opinion agrees where the first was a violation; without such rows, hold.
+    """
+    rate = F.col("violation_agree_rate")
     within = lambda x: F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(x))), 2)
-    high = F.when(rate >= d.review_agree_high, within(d.confidence_high + d.review_step)).when(rate <= d.review_agree_low, within(d.confidence_high - d.review_step)).otherwise(F.lit(d.confidence_high))
-    low = F.when(rate >= d.review_agree_high, within(d.confidence_low - d.review_step)).when(rate <= d.review_agree_low, within(d.confidence_low + d.review_step)).otherwise(F.lit(d.confidence_low))
-    action = F.when(rate >= d.review_agree_high, "raise_high").when(rate <= d.review_agree_low, "lower_high").otherwise("hold")
-    return stats.withColumn("action", action).withColumn("confidence_high", high).withColumn("alternative_low", low)
+    agrees, differs = F.coalesce(rate >= d.review_agree_high, F.lit(False)), F.coalesce(rate <= d.review_agree_low, F.lit(False))
+    move = lambda now, step: F.when(agrees, within(now + step)).when(differs, within(now - step)).otherwise(F.lit(now))
+    action = F.when(agrees, "raise_high").when(differs, "lower_high").otherwise("hold")
+    return stats.select("*", action.alias("action"), move(d.confidence_high, d.review_step).alias("confidence_high"), move(d.confidence_low, -d.review_step).alias("alternative_low"))
 
 
 def watch(stats: DataFrame, d: Defaults = DEFAULTS) -> DataFrame:

@@ -22,15 +22,15 @@ def add_vectors(pool: DataFrame, new: DataFrame) -> DataFrame:
     return fresh.join(pool.select("pool", "id"), ["pool", "id"], "left_anti").withColumn("embedding", V.l2_normalize(F.col("embedding")))
 
 
-def vector_topk(queries: DataFrame, pools: DataFrame, k: int = DEFAULTS.top_k) -> DataFrame:
+def vector_topk(queries: DataFrame, pools: DataFrame, k: int = DEFAULTS.top_k, others: bool = False) -> DataFrame:
     """(request_id, pool, rank, vec_id, category, score): each query's k nearest by cosine in each pool.
 
     Equal scores go to the larger vec_id. Queries and pools are packed in blocks of ``BLOCK`` rows, every block of
     queries meets every block of a pool once, and each meeting hands on k rows a query. Queries and vectors of no
-    length have no neighbours. Block numbers come from hashes, so a block's size doesn't hang on any key.
+    length have no neighbours. With ``others``, a vector whose vec_id is the request_id is no neighbour of it.
     """
 
-    def packed(rows: DataFrame, name: str, key: list[str]) -> DataFrame:
+    def packed(rows: DataFrame, name: str) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for group, part in pdf.groupby("pool", sort=False) if "pool" in pdf else [("", pdf)]:
@@ -40,26 +40,35 @@ def vector_topk(queries: DataFrame, pools: DataFrame, k: int = DEFAULTS.top_k) -
                         length = np.sqrt((m * m).sum(axis=1))
                         good = np.isfinite(length) & (length >= V.EPS)
                         m = m[good] / length[good, None]
-                        yield pd.DataFrame({"pool": [group], "n": [len(m)], f"{name}_ids": [some["id"].to_numpy(dtype="<i8")[good].tobytes()], f"{name}_vecs": [m.astype("<f8").tobytes()]})
+                        yield pd.DataFrame({"pool": [group], "n": [len(m)], f"{name}_ids": [some["id"].to_numpy(dtype="<i8")[good].tobytes()], f"{name}_vecs": [m.astype("<f8").tobytes()], f"{name}_kinds": [some["kind"][good].tolist()]})
 
-        return rows.where("v IS NOT NULL").mapInPandas(run, f"pool string, n int, {name}_ids binary, {name}_vecs binary").where("n > 0")
+        return rows.where("v IS NOT NULL").mapInPandas(run, f"pool string, n int, {name}_ids binary, {name}_vecs binary, {name}_kinds array<string>").where("n > 0")
 
-    q = packed(queries.select(F.col("request_id").cast("long").alias("id"), F.col("query").alias("v")), "q", []).select("q_ids", "q_vecs")
-    p = packed(pools.select(F.col("vec_id").cast("long").alias("id"), "pool", F.col("embedding").alias("v")), "p", ["pool"]).select("pool", "p_ids", "p_vecs")
+    q = packed(queries.select(F.col("request_id").cast("long").alias("id"), F.col("query").alias("v"), F.lit(None).cast("string").alias("kind")), "q").select("q_ids", "q_vecs")
+    p = packed(pools.select(F.col("vec_id").cast("long").alias("id"), "pool", F.col("embedding").alias("v"), F.col("category").alias("kind")), "p").select("pool", "p_ids", "p_vecs", "p_kinds")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 q_ids, p_ids = np.frombuffer(r.q_ids, "<i8"), np.frombuffer(r.p_ids, "<i8")
                 s = np.frombuffer(r.q_vecs, "<f8").reshape(len(q_ids), -1) @ np.frombuffer(r.p_vecs, "<f8").reshape(len(p_ids), -1).T
-                order = np.lexsort((np.broadcast_to(-p_ids, s.shape), -s.round(9)), axis=1)[:, :k]
-                n = order.shape[1]
-                yield pd.DataFrame({"request_id": np.repeat(q_ids, n), "pool": r.pool, "vec_id": p_ids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
-
-    met = q.crossJoin(p).mapInPandas(compare, "request_id long, pool string, vec_id long, score double")
+                if others:
+                    s[q_ids[:, None] == p_ids[None, :]] = -np.inf
+                near = s.round(9)
+                # all that reach the k-th score, ties included; they are put in order afterwards
+                least = np.partition(near, len(p_ids) - k, axis=1)[:, len(p_ids) - k] if len(p_ids) > k else np.full(len(q_ids), -np.inf)
+                row, col = np.nonzero((near >= least[:, None]) & (s > -np.inf))
+                order = np.lexsort((-p_ids[col], -near[row, col], row))
+                row, col = row[order], col[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                row, col = row[place < k], col[place < k]
+                kinds = np.array(r.p_kinds, dtype=object)
+                yield pd.DataFrame({"request_id": q_ids[row], "pool": r.pool, "vec_id": p_ids[col], "category": kinds[col], "score": s[row, col]})
+
+    met = q.crossJoin(p).mapInPandas(compare, "request_id long, pool string, vec_id long, category string, score double")
     best = Window.partitionBy("request_id", "pool").orderBy(F.desc(F.round("score", 9)), F.desc("vec_id"))
     top = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return top.join(pools.select("vec_id", "pool", "category"), ["vec_id", "pool"]).select("request_id", "pool", "rank", "vec_id", "category", "score")
+    return top.select("request_id", "pool", "rank", "vec_id", "category", "score")
 
 
 def pool_stats(pools: DataFrame) -> DataFrame:

@@ -10,39 +10,58 @@ from tidegate.functions import text as T
 from tidegate.operators import decisions, keywords, semantic
 
 
-def audit(requests: DataFrame, queries: DataFrame, pools: DataFrame, words: DataFrame, rules: DataFrame, verdicts: DataFrame, listed: DataFrame, d: Defaults = DEFAULTS) -> DataFrame:
-    """(request_id, text_hash, tier, has_violation, confidence, category, source, cache_hit, detail): a decision a request.
+def audit(
+    requests: DataFrame,
+    queries: DataFrame,
+    pools: DataFrame,
+    words: DataFrame,
+    rules: DataFrame,
+    verdicts: DataFrame,
+    listed: DataFrame,
+    d: Defaults = DEFAULTS,
+    light: DataFrame | None = None,
+    frames: DataFrame | None = None,
+    overrides: DataFrame | None = None,
+    known: dict[str, str] | None = None,
+    others: bool = False,
+) -> DataFrame:
+    """(request_id, text_hash, tier, has_violation, confidence, category, source, n_hits, error): a decision a request.
 
-    Equal normalised texts with equal query vectors aren't cached here: a batch decides each row. Requests on a
-    permanent list are decided by it. Requests without a vector in ``queries`` are decided by the rules alone.
+    Texts are scanned once, for words, sounds (``known`` readings) and rules. ``light`` is (request_id, violation),
+    ``frames`` (request_id, whitelisted, hash), ``overrides`` (request_id and thresholds). Requests whose text or a frame
+    is on a permanent list are decided by it; those without a vector in ``queries`` by the rules alone. Overrides of a
+    key that isn't of the full tier give an error and no decision; the other rows of the batch are decided all the same.
+    Equal texts aren't cached here: a batch decides each row.
     """
     texts = requests.select("request_id", T.normalize_text(F.col("text")).alias("text"), "key_tier")
-    hits = keywords.keyword_hits(texts, words)
-    judged = keywords.regex_exempt(hits, texts, rules, d.regex_window)
-    violate = keywords.regex_violate(texts, rules).select("request_id", "category", "word", F.lit("literal").alias("kind"), "start", "end")
-    kept = judged.where("rule_id IS NULL").drop("rule_id").unionByName(violate)
+    judged = keywords.judged_hits(texts, words, rules, known, d.regex_window)
     spark = requests.sparkSession
-    light = spark.createDataFrame([], "request_id long, violation boolean")
-    frames = spark.createDataFrame([], "request_id long, whitelisted boolean")
-    basic = decisions.basic_summary(texts, kept, light, frames)
-    signals = semantic.semantic_confidence(semantic.semantic_signals(semantic.vector_topk(queries, pools, d.top_k), d), d)
+    light = spark.createDataFrame([], "request_id long, violation boolean") if light is None else light
+    frames = spark.createDataFrame([], "request_id long, whitelisted boolean, hash string") if frames is None else frames
+    basic = decisions.basic_summary(texts, judged.where("violates OR rule_id IS NULL"), light, frames)
+    signals = semantic.semantic_confidence(semantic.semantic_signals(semantic.vector_topk(queries, pools, d.top_k, others), d), d)
+    if overrides is not None:
+        signals = decisions.with_overrides(signals, overrides, d)
     decided = decisions.decide(signals, basic, verdicts, d)
     hashed = texts.select("request_id", F.sha2("text", 256).alias("text_hash"), "key_tier")
-    fixed = decisions.permanent_list(hashed.select("request_id", F.col("text_hash").alias("hash")), listed).select("request_id", F.col("verdict").alias("list"))
-    rows = hashed.join(decided, "request_id").join(fixed, "request_id", "left")
-    black = F.col("list") == "black"
-    n_hits = kept.groupBy("request_id").agg(F.count("*").alias("n_hits"))
-    rows = rows.join(n_hits, "request_id", "left")
-    on_list = F.col("list").isNotNull()
+    hashes = hashed.select("request_id", F.col("text_hash").alias("hash")).unionByName(frames.where("hash IS NOT NULL").select("request_id", "hash"))
+    fixed = decisions.permanent_list(hashes, listed).select("request_id", F.col("verdict").alias("list"))
+    rows = hashed.join(decided, "request_id").join(basic.select("request_id", "n_hits"), "request_id").join(fixed, "request_id", "left")
+    own = overrides.select("request_id", F.lit(True).alias("overridden")) if overrides is not None else spark.createDataFrame([], "request_id long, overridden boolean")
+    rows = rows.join(own, "request_id", "left")
+    error = F.when(F.col("overridden") & (F.col("key_tier") != "full"), "overrides_not_permitted")
+    rows = rows.withColumn("error", error)
+    fine, black, on_list = F.col("error").isNull(), F.col("list") == "black", F.col("list").isNotNull()
     return rows.select(
         "request_id",
         "text_hash",
-        F.when(~on_list, F.col("tier")).alias("tier"),
-        F.when(on_list, black).otherwise(F.col("has_violation")).alias("has_violation"),
-        F.when(on_list, F.when(black, 1.0).otherwise(0.0)).otherwise(F.col("confidence")).alias("confidence"),
-        F.when(~on_list, F.col("category")).alias("category"),
-        F.when(on_list, "permanent_list").otherwise(F.col("source")).alias("source"),
-        decisions.detail_for(F.col("key_tier"), F.coalesce("n_hits", F.lit(0))).alias("n_hits"),
+        F.when(fine & ~on_list, F.col("tier")).alias("tier"),
+        F.when(fine, F.when(on_list, black).otherwise(F.col("has_violation"))).alias("has_violation"),
+        F.when(fine, F.when(on_list, F.when(black, 1.0).otherwise(0.0)).otherwise(F.col("confidence"))).alias("confidence"),
+        F.when(fine & ~on_list, F.col("category")).alias("category"),
+        F.when(fine, F.when(on_list, "permanent_list").otherwise(F.col("source"))).alias("source"),
+        decisions.detail_for(F.col("key_tier"), F.col("n_hits")).alias("n_hits"),
+        "error",
     )
 
 

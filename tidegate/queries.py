@@ -12,7 +12,7 @@ from tidegate.config import DEFAULTS
 from tidegate.functions import hashing as H
 from tidegate.functions import text as T
 from tidegate.functions import vectors as V
-from tidegate.operators import caches, corpus, decisions, images, keywords, logs, review, semantic
+from tidegate.operators import caches, corpus, decisions, images, keywords, logs, pinyin, review, semantic
 from tidegate.plans import funnel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
 
 
+def fnv_sql(x: str) -> str:
+    """64-bit FNV-1a of a text's UTF-8 bytes, in SQL."""
+    return f"list_reduce(list_transform(range(0, octet_length(encode({x}))), lambda i: ('0x' || substr(hex(encode({x})), 2 * i + 1, 2))::UHUGEINT), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, 14695981039346656037::UHUGEINT)"
+
+
 LOGS = """
     logs AS (SELECT event_id::VARCHAR AS request_id, ts, sha256(user_id::VARCHAR) AS text_hash, event_type = 'error' AS has_violation,
                     least(value / 500, 1.0) AS confidence, CASE WHEN event_type = 'error' THEN 'c' || (user_id % 3) END AS category,
@@ -44,9 +49,9 @@ NORMAL = r"""
                    CASE WHEN doc_id % 2 = 0 THEN 'full' ELSE 'standard' END AS key_tier FROM documents)"""
 POOLS = """
     pools AS (SELECT vec_id, CASE WHEN label < 5 THEN 'black' ELSE 'white' END AS pool, label::VARCHAR AS category, embedding
-              FROM embeddings WHERE vec_id % 2 = 1 OR vec_id % 10 = 0),
-    qv AS (SELECT vec_id AS request_id, embedding AS query FROM embeddings WHERE vec_id % 2 = 0),
-    met AS (SELECT request_id, pool, vec_id, category, list_cosine_similarity(query::DOUBLE[], embedding::DOUBLE[]) AS score FROM qv, pools),
+              FROM embeddings),
+    qv AS (SELECT vec_id AS request_id, embedding AS query FROM embeddings),
+    met AS (SELECT request_id, pool, vec_id, category, list_cosine_similarity(query::DOUBLE[], embedding::DOUBLE[]) AS score FROM qv JOIN pools ON request_id <> vec_id),
     top AS (SELECT *, row_number() OVER (PARTITION BY request_id, pool ORDER BY round(score, 9) DESC, vec_id DESC) AS rank FROM met QUALIFY rank <= 5),
     sig0 AS (SELECT request_id, max(score) FILTER (WHERE pool = 'black') AS black_top, max(score) FILTER (WHERE pool = 'white') AS white_top,
                     avg(score) FILTER (WHERE pool = 'black') AS black_avg, avg(score) FILTER (WHERE pool = 'white') AS white_avg,
@@ -79,8 +84,9 @@ EXEMPT = r"""
                FROM placed p LEFT JOIN rules u ON u.is_active AND u.action = 'exempt' AND (u.category = '' OR u.category = p.category) AND regexp_matches(p.around, u.pattern)
                GROUP BY ALL)"""
 VIOLATE = r"""
-    viol AS (SELECT request_id, id AS rule_id, category, pattern AS word, instr(text, m) - 1 AS start, instr(text, m) - 1 + length(m) AS "end"
-             FROM (SELECT request_id, text, id, category, pattern, regexp_extract(text, pattern) AS m
+    viol AS (SELECT request_id, id AS rule_id, category, pattern AS word, place AS start, place + length(m) AS "end"
+             FROM (SELECT request_id, text, id, category, pattern, regexp_extract(text, pattern) AS m,
+                          length(regexp_extract(text, '(?s)^(.*?)(?:' || pattern || ')', 1)) AS place
                    FROM req JOIN rules ON is_active AND action = 'violate' AND regexp_matches(text, pattern)))"""
 CORPUS = """
     corp AS (SELECT d.doc_id AS line_no, CASE WHEN l.toxic = 1 THEN 'black' ELSE 'white' END AS pool, d.text, d.source
@@ -120,7 +126,7 @@ def audit_key(spark, sf_dir):
 WORDS = [(1, " ＡＢ－Ｃ　１２３"), (2, "賭 博。網"), (3, "a+B"), (4, "Foo_Bar!"), (5, ""), (6, None), (7, "發財·優惠"), (8, "AB-C 123")]
 
 
-@query("SELECT * FROM (VALUES (1, 'abc123', ' AB-C 123'), (2, '赌博网', '賭 博。網'), (3, 'a+b', 'a+B'), (4, 'foobar', 'Foo_Bar!'), (5, '', ''), (6, NULL, NULL), (7, '发财优惠', '發財·優惠'), (8, 'abc123', 'AB-C 123')) AS t(id, word, narrow)".replace("(1,", "(1::BIGINT,"))
+@query("SELECT * FROM (VALUES (1, 'abc123', ' AB-C 123'), (2, '赌博网', '賭 博。網'), (3, 'a+b', 'a+B'), (4, 'foobar', 'Foo_Bar!'), (5, '', ''), (6, NULL, NULL), (7, '发財優惠', '發財·優惠'), (8, 'abc123', 'AB-C 123')) AS t(id, word, narrow)".replace("(1,", "(1::BIGINT,"))
 def normalize_keyword(spark, sf_dir):
     w = spark.createDataFrame(WORDS, "id long, w string")
     return w.select("id", T.normalize_keyword(F.col("w")).alias("word"), T.to_narrow(F.col("w")).alias("narrow"))
@@ -141,10 +147,19 @@ def keyword_preprocess(spark, sf_dir):
     return keywords.preprocess_keywords(spark.createDataFrame(LINES, "line_no long, line string, category string"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 1::BIGINT), (2, 2), (3, 1), (4, 4), (5, 4), (6, 6)) AS t(id, kept_id)")
+LETTERS, BROAD = "abcdefghijklmnopqrstuvwxyz", T.to_broad("abcdefghijklmnopqrstuvwxyz")
+
+
+@query(
+    rf"""WITH w AS (SELECT doc_id AS id, lang AS category, CASE doc_id % 4 WHEN 0 THEN x WHEN 1 THEN replace(x, ' ', '，') WHEN 2 THEN '【' || x || '】-' ELSE translate(x, '{LETTERS}', '{BROAD}') END AS word FROM (SELECT doc_id, lang, substr(coalesce(text, ''), 1, 4) AS x FROM documents))
+    SELECT id, min(id) OVER (PARTITION BY category, regexp_replace(translate(word, '{BROAD}', '{LETTERS}'), '[\s，【】.,!?:;]', '', 'g')) AS kept_id FROM w"""
+)
 def keyword_dedup(spark, sf_dir):
-    rows = [(1, "a", "spam word"), (2, "b", "spam word"), (3, "a", "ｓｐａｍ－word"), (4, "a", "SPAM"), (5, "a", "S.P.A.M"), (6, "a", "spam+word")]
-    return keywords.dedup_words(spark.createDataFrame(rows, "id long, category string, word string"))
+    """The first letters of each document, spelled with other signs and widths, as words of its language."""
+    x = F.substring(F.coalesce("text", F.lit("")), 1, 4)
+    k = F.col("doc_id") % 4
+    word = F.when(k == 0, x).when(k == 1, F.replace(x, F.lit(" "), F.lit("，"))).when(k == 2, F.concat(F.lit("【"), x, F.lit("】-"))).otherwise(F.translate(x, LETTERS, BROAD))
+    return keywords.dedup_words(D.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("category"), word.alias("word")))
 
 
 @query("SELECT * FROM (VALUES (1::BIGINT, 'mit|license'), (2, 'idiot|the'), (3, 'mail'), (4, ''), (5, 'scum|of'), (6, 'version'), (7, 'public|license|version')) AS t(id, phrases)")
@@ -207,12 +222,18 @@ def key_prefix_match(spark, sf_dir):
 
 # hashes and vectors
 
-@query()
+@query(f"SELECT doc_id, format('{{:016x}}', ({fnv_sql('source')})::UBIGINT) AS hash FROM documents")
 def fnv1a64(spark, sf_dir):
     return D.load(spark, sf_dir, "documents").select("doc_id", H.fnv1a64("source").alias("hash"))
 
 
-@query()
+@query(
+    rf"""WITH t AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '\s+')) AS token FROM documents),
+    g AS (SELECT token, list_concat(['w:' || token], flatten(list_transform(range(3, 7), lambda n: list_transform(range(1, greatest(1, length(token) + 4 - n)), lambda i: substr('<' || token || '>', i, n))))) AS g FROM t WHERE token <> ''),
+    u AS (SELECT token, unnest(g) AS gram, generate_subscripts(g, 1) AS k FROM g),
+    h AS (SELECT gram, (({fnv_sql('gram')}) % 65536)::INTEGER AS bucket FROM (SELECT DISTINCT gram FROM u))
+    SELECT token, count(*)::INTEGER AS n, string_agg(bucket::VARCHAR, ',' ORDER BY k) AS buckets FROM u JOIN h USING (gram) GROUP BY token"""
+)
 def ngram_features(spark, sf_dir):
     words = D.load(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("token")).where("token <> ''").distinct()
     grams = words.select("token", H.ngrams(F.col("token")).alias("g"))
@@ -289,8 +310,7 @@ def keyword_and_rule(spark, sf_dir):
 
 @query(f"""WITH {NORMAL}, {SCAN}, {RULES}, {EXEMPT} SELECT request_id, category, word, kind, start::INTEGER AS start, "end"::INTEGER AS "end", rule_id::BIGINT AS rule_id FROM judged""")
 def regex_exempt(spark, sf_dir):
-    texts = normalized(spark, sf_dir)
-    return keywords.regex_exempt(keywords.keyword_hits(texts, D.lexicon(spark)), texts, D.rules(spark))
+    return keywords.regex_exempt(normalized(spark, sf_dir), D.lexicon(spark), D.rules(spark))
 
 
 @query(f"""WITH {NORMAL}, {RULES}, {VIOLATE} SELECT request_id, rule_id::BIGINT AS rule_id, category, word, start::INTEGER AS start, "end"::INTEGER AS "end" FROM viol""")
@@ -317,18 +337,18 @@ def rules_filter(spark, sf_dir):
 
 @query(f"WITH {POOLS} SELECT request_id, pool, rank::INTEGER AS rank, vec_id, category, round(score, 6) AS score FROM top")
 def vector_topk(spark, sf_dir):
-    top = semantic.vector_topk(D.query_vectors(spark, sf_dir), D.pools(spark, sf_dir))
+    top = semantic.vector_topk(D.query_vectors(spark, sf_dir), D.pools(spark, sf_dir), others=True)
     return top.select("request_id", "pool", "rank", "vec_id", "category", F.round("score", 6).alias("score"))
 
 
 def _confidence(spark, sf_dir):
-    top = semantic.vector_topk(D.query_vectors(spark, sf_dir), D.pools(spark, sf_dir))
+    top = semantic.vector_topk(D.query_vectors(spark, sf_dir), D.pools(spark, sf_dir), others=True)
     return semantic.semantic_confidence(semantic.semantic_signals(top))
 
 
 @query(f"WITH {POOLS} SELECT request_id, round(black_top, 5) AS black_top, round(white_top, 5) AS white_top, round(black_avg, 5) AS black_avg, round(white_avg, 5) AS white_avg, round(margin, 5) AS margin, category FROM sig")
 def semantic_signals(spark, sf_dir):
-    s = semantic.semantic_signals(semantic.vector_topk(D.query_vectors(spark, sf_dir), D.pools(spark, sf_dir)))
+    s = semantic.semantic_signals(semantic.vector_topk(D.query_vectors(spark, sf_dir), D.pools(spark, sf_dir), others=True))
     return s.select("request_id", *(F.round(c, 5).alias(c) for c in ("black_top", "white_top", "black_avg", "white_avg", "margin")), "category")
 
 
@@ -348,7 +368,7 @@ RERANK = """rr AS (SELECT t.request_id, t.pool, t.vec_id, t.score, coalesce(list
 
 def _reranked(spark, sf_dir):
     q = D.query_vectors(spark, sf_dir)
-    top = semantic.vector_topk(q, D.pools(spark, sf_dir))
+    top = semantic.vector_topk(q, D.pools(spark, sf_dir), others=True)
     again = D.load(spark, sf_dir, "embeddings").where("(vec_id - 1) % 3 = 0 AND vec_id > 0").select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("again"))
     return top, semantic.rerank_local(top, q, again)
 
@@ -383,7 +403,15 @@ def vector_add(spark, sf_dir):
     return semantic.add_vectors(e.where("id % 3 = 0"), e).select("pool", "id", "seq")
 
 
-@query()
+@query(
+    f"""WITH t AS (SELECT conv_id * 1000 + turn AS request_id, coalesce(text, '') AS text FROM conversations),
+    c AS (SELECT request_id, ch, count(*) AS times FROM (SELECT request_id, unnest(regexp_extract_all(text, '(?s).')) AS ch FROM t) GROUP BY request_id, ch),
+    b AS (SELECT ch, (({fnv_sql("'w:' || ch")}) % 512)::BIGINT AS b1, (({fnv_sql("'<' || ch || '>'")}) % 512)::BIGINT AS b2 FROM (SELECT DISTINCT ch FROM c)),
+    m AS (SELECT request_id, {", ".join(f"sum(times * (sin(b1 * {k + 1}) + sin(b2 * {k + 1}))) / sum(2 * times) AS d{k}" for k in range(4))} FROM c JOIN b USING (ch) GROUP BY request_id),
+    z AS (SELECT request_id, 0.05 + 0.4 * x0 - x1 + 0.3 * x2 + 0.2 * x3 AS z0, -0.05 - 0.5 * x0 + 0.8 * x1 + 0.1 * x2 + 0.6 * x3 AS z1
+          FROM (SELECT t.request_id, {", ".join(f"coalesce(d{k}, 0) AS x{k}" for k in range(4))} FROM t LEFT JOIN m USING (request_id)))
+    SELECT request_id, (z1 > z0)::INTEGER AS label, round(1 / (1 + exp(z0 - z1)), 5) AS score, z1 > z0 AS violation FROM z"""
+)
 def light_model(spark, sf_dir):
     texts = D.load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), "text")
     weights = spark.range(512).select(F.col("id").cast("int").alias("bucket"), F.array(*(F.sin(F.col("id") * (k + 1)) for k in range(4))).alias("embedding"))
@@ -391,6 +419,63 @@ def light_model(spark, sf_dir):
     return out.select("request_id", "label", F.round("score", 5).alias("score"), "violation")
 
 
+@query(
+    f"""WITH {POOLS}, o AS (SELECT request_id, CASE WHEN request_id % 3 = 0 THEN 0.9 WHEN request_id % 3 = 1 THEN 0.67 ELSE 0.67 END AS threshold, CASE WHEN request_id % 2 = 0 THEN 0.0 ELSE 0.05 END AS w, CASE WHEN request_id % 5 = 0 THEN 0.2 ELSE 0.35 END AS low, 0.75 AS high FROM sig),
+    s2 AS (SELECT *, greatest(0.0, black_avg - white_avg - w) AS margin2 FROM sig JOIN o USING (request_id)),
+    s3 AS (SELECT *, greatest(0.0, least(1.0, 0.6 * black_top + 0.4 * margin2 / 0.3)) AS c FROM s2)
+    SELECT request_id, round(c, 5) AS confidence, (black_top >= threshold AND black_top - white_top >= 0.02) OR margin2 > 0 AS triggered, CASE WHEN c < low THEN 'safe' WHEN c > high THEN 'violation' ELSE 'llm' END AS tier FROM s3"""
+)
+def override_application(spark, sf_dir):
+    """Thresholds of some requests' own; what isn't finite falls back to the default."""
+    signals, i = _confidence(spark, sf_dir), F.col("request_id")
+    own = signals.select("request_id", F.when(i % 3 == 0, 0.9).when(i % 3 == 1, float("nan")).alias("semantic_threshold"), F.when(i % 2 == 0, 0.0).alias("margin_w"), F.when(i % 5 == 0, 0.2).alias("confidence_low"), F.lit(float("inf")).alias("confidence_high"))
+    out = decisions.with_overrides(signals, own)
+    return out.select("request_id", F.round("confidence", 5).alias("confidence"), "triggered", decisions.tier(F.col("confidence"), F.col("low"), F.col("high")).alias("tier"))
+
+
+@query(f"WITH {POOLS} SELECT request_id, array_to_string(list_transform([black_top], lambda x: round(x, 5)::VARCHAR), ',') AS black_top, round((black_avg - white_avg) * 1e6)::BIGINT AS margin FROM sig")
+def semantic_detail(spark, sf_dir):
+    out = decisions.semantic_detail(_confidence(spark, sf_dir))
+    return out.select("request_id", F.array_join(F.transform("black_top", lambda x: F.round(x, 5).cast("string")), ",").alias("black_top"), F.round(F.col("margin") * 1e6).cast("long").alias("margin"))
+
+
+@query(f"""WITH {NORMAL}, {SCAN}, {RULES}, {EXEMPT} SELECT j.request_id, j.category, j.word, j.start::INTEGER AS start, j."end"::INTEGER AS "end", coalesce(nullif(u.note, ''), u.pattern) AS reason FROM judged j JOIN rules u ON u.id = j.rule_id""")
+def exempted_detail(spark, sf_dir):
+    rules = D.rules(spark)
+    return decisions.exempted_detail(keywords.regex_exempt(normalized(spark, sf_dir), D.lexicon(spark), rules), rules)
+
+
+@query(f"WITH {NORMAL}, q AS (SELECT *, CASE WHEN length(text) > 20 THEN request_id END AS own FROM req WHERE request_id % 3 <> 0) SELECT sha256(text) AS text_hash, any_value(text) AS text, count(*) AS n FROM q GROUP BY sha256(text), own")
+def judge_distinct(spark, sf_dir):
+    """What a judging model is asked of the requests that two of three tiers send it."""
+    rows = normalized(spark, sf_dir).select("request_id", "text", F.sha2("text", 256).alias("text_hash"), F.when(F.col("request_id") % 3 == 0, "safe").otherwise("llm").alias("tier"))
+    return decisions.to_judge(rows)
+
+
+#: Readings that give some syllables of the table's languages as single characters.
+READINGS = [("甲", "the"), ("乙", "of"), ("丙", "an"), ("丁", "ang"), ("戊", "in")]
+SOUND_WORDS = [("sound", "甲乙"), ("sound", "丙乙"), ("sound", "甲乙戊")]
+
+
+@query(
+    """WITH v AS (SELECT * FROM (VALUES ('甲乙', 'theof', 'pinyin_full', 1), ('甲乙', 'the''of', 'pinyin_full', 1), ('丙乙', 'anof', 'pinyin_full', 1), ('丙乙', 'an''of', 'pinyin_full', 1), ('丙乙', 'ang''of', 'pinyin_fuzzy', 2),
+                                        ('甲乙戊', 'theofin', 'pinyin_full', 1), ('甲乙戊', 'the''of''in', 'pinyin_full', 1), ('甲乙戊', 'toi', 'pinyin_init', 3), ('甲乙戊', 't''o''i', 'pinyin_init', 3)) AS t(word, variant, kind, ord)),
+    d AS (SELECT doc_id AS request_id, replace(coalesce(text, ''), ' of ', chr(39) || 'of ') AS text FROM documents),
+    r AS (SELECT request_id, word, kind, ord, length(variant) AS n, unnest(range(0, length(text)::BIGINT)) AS p, text, variant FROM d JOIN v ON contains(text, variant))
+    SELECT request_id, 'sound' AS category, word, arg_min(kind, ord) AS kind, p::INTEGER AS start, (p + n)::INTEGER AS "end" FROM r WHERE substr(text, p + 1, n) = variant GROUP BY request_id, word, p, n"""
+)
+def pinyin_scan(spark, sf_dir):
+    """Words found by sound in every document; apostrophes stand where syllables part."""
+    d = D.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), F.replace(F.coalesce("text", F.lit("")), F.lit(" of "), F.lit("'of ")).alias("text"))
+    return keywords.keyword_hits(d, spark.createDataFrame(SOUND_WORDS, "category string, word string"), pinyin.readings(spark.createDataFrame(READINGS, "char string, syllable string")))
+
+
+@query(f"""WITH u AS (SELECT * FROM (VALUES (1, 'violate', 'a('), (2, 'allow', 'a'), (3, 'exempt', 'b+'), (4, NULL, 'c'), (5, 'violate', '[0-9]+')) AS t(id, action, pattern)) SELECT id::BIGINT AS id FROM u WHERE id IN (1, 2, 4)""")
+def rule_errors(spark, sf_dir):
+    rows = [(1, "violate", "a("), (2, "allow", "a"), (3, "exempt", "b+"), (4, None, "c"), (5, "violate", "[0-9]+")]
+    return keywords.rule_errors(spark.createDataFrame(rows, "id long, action string, pattern string")).select("id")
+
+
 # decisions
 
 @query("SELECT doc_id, CASE WHEN n_chars % 7 = 0 THEN 0.67 WHEN n_chars % 7 = 1 THEN 0.67 ELSE n_chars / 1000.0::DOUBLE END::DOUBLE AS threshold FROM documents")
@@ -402,7 +487,7 @@ def override_coalesce(spark, sf_dir):
 
 def _basic(spark, sf_dir):
     texts = normalized(spark, sf_dir)
-    judged = keywords.regex_exempt(keywords.keyword_hits(texts, D.lexicon(spark)), texts, D.rules(spark)).where("rule_id IS NULL")
+    judged = keywords.regex_exempt(texts, D.lexicon(spark), D.rules(spark)).where("rule_id IS NULL")
     light = D.verdicts(spark, sf_dir).select("request_id", (F.col("confidence") < 0.6).alias("violation"))
     frames = D.load(spark, sf_dir, "pages").select(F.col("page_id").alias("request_id"), (F.col("page_id") % 9 != 0).alias("whitelisted"))
     return texts, decisions.basic_summary(texts, judged, light, frames)
@@ -418,7 +503,7 @@ BASIC = """
 
 @query(f"WITH {NORMAL}, {SCAN}, {RULES}, {EXEMPT}, {BASIC} SELECT * FROM basic")
 def basic_summary(spark, sf_dir):
-    return _basic(spark, sf_dir)[1]
+    return _basic(spark, sf_dir)[1].drop("n_hits")
 
 
 MERGE = """
@@ -462,25 +547,27 @@ def permanent_list(spark, sf_dir):
     basic AS (SELECT request_id, literal IS NOT NULL AS risk, coalesce(literal, FALSE) AS strong, hit_category FROM req LEFT JOIN h USING (request_id)), {MERGE}
     SELECT request_id, sha256(text) AS text_hash, CASE WHEN list IS NULL THEN tier END AS tier, CASE WHEN list IS NOT NULL THEN list = 'black' ELSE has_violation END AS has_violation,
            round(CASE list WHEN 'black' THEN 1.0 WHEN 'white' THEN 0.0 ELSE confidence END, 5) AS confidence, CASE WHEN list IS NULL THEN category END AS category,
-           CASE WHEN list IS NULL THEN source ELSE 'permanent_list' END AS source, CASE WHEN key_tier = 'full' THEN coalesce(n_hits, 0) END AS n_hits
+           CASE WHEN list IS NULL THEN source ELSE 'permanent_list' END AS source, CASE WHEN key_tier = 'full' THEN coalesce(n_hits, 0) END AS n_hits, NULL::VARCHAR AS error
     FROM req JOIN dec USING (request_id) JOIN fixed USING (request_id) LEFT JOIN h USING (request_id)"""
 )
 def audit_funnel(spark, sf_dir):
-    out = funnel.audit(D.requests(spark, sf_dir), D.query_vectors(spark, sf_dir), D.pools(spark, sf_dir), D.lexicon(spark), D.rules(spark), D.verdicts(spark, sf_dir), _listed(spark, sf_dir))
+    out = funnel.audit(D.requests(spark, sf_dir), D.query_vectors(spark, sf_dir), D.pools(spark, sf_dir), D.lexicon(spark), D.rules(spark), D.verdicts(spark, sf_dir), _listed(spark, sf_dir), others=True)
     return out.withColumn("confidence", F.round("confidence", 5))
 
 
 # images
 
-FRAMES = """f AS (SELECT page_id AS frame_id, md5(url) AS md5, sha256(url) AS a FROM pages WHERE page_id % 5 <> 0),
-    w AS (SELECT page_id AS white_id, md5(url) AS white_md5, sha256(url) AS b FROM pages WHERE page_id % 5 = 0 OR page_id % 15 = 7),
+FRAMES = """f AS (SELECT page_id AS frame_id, md5(url || (page_id % 4)) AS md5,
+             CASE WHEN page_id % 4 >= 2 THEN translate(left(sha256(url), 1), '0123456789abcdef', '76543210fedcba98') ELSE left(sha256(url), 1) END || substr(sha256(url), 2, 62)
+             || translate(right(sha256(url), 1), '0123456789abcdef', CASE page_id % 4 WHEN 0 THEN '0123456789abcdef' WHEN 3 THEN 'fedcba9876543210' ELSE '32107654ba98fedc' END) AS a FROM pages),
+    w AS (SELECT page_id AS white_id, md5(url || '0') AS white_md5, sha256(url) AS b FROM pages WHERE page_id % 3 <> 1),
     d AS (SELECT frame_id, white_id, sum(bit_count(xor(('0x' || substr(a, k * 8 + 1, 8))::BIGINT, ('0x' || substr(b, k * 8 + 1, 8))::BIGINT)))::INTEGER AS distance FROM f, w, range(0, 8) r(k) GROUP BY frame_id, white_id)"""
 
 
-@query(f"WITH {FRAMES}, n AS (SELECT frame_id, arg_min(white_id, (distance, white_id)) AS white_id, min(distance) AS distance FROM d WHERE distance <= 100 GROUP BY frame_id) SELECT frame_id, white_id, distance FROM f LEFT JOIN n USING (frame_id)")
+@query(f"WITH {FRAMES}, n AS (SELECT frame_id, arg_min(white_id, (distance, white_id)) AS white_id, min(distance) AS distance FROM d WHERE distance <= 5 GROUP BY frame_id) SELECT frame_id, white_id, distance FROM f LEFT JOIN n USING (frame_id)")
 def whitelist_match(spark, sf_dir):
-    """Distances of unrelated hashes lie near 128 bits; the limit here lets some of them in."""
-    return images.whitelist_match(D.frames(spark, sf_dir), D.whitelist(spark, sf_dir), 100)
+    """Frames whose hashes lie 0, 2, 5 and 7 bits from those of the whitelist."""
+    return images.whitelist_match(D.frames(spark, sf_dir), D.whitelist(spark, sf_dir))
 
 
 @query(f"WITH {FRAMES}, n AS (SELECT frame_id, arg_min(white_id, (distance, white_id)) AS near FROM d WHERE distance <= 3 GROUP BY frame_id), e AS (SELECT frame_id, min(white_id) AS exact FROM f JOIN w ON md5 = white_md5 GROUP BY frame_id) SELECT frame_id, coalesce(exact, near) AS white_id, CASE WHEN exact IS NOT NULL THEN 'md5' WHEN near IS NOT NULL THEN 'phash' END AS how FROM f LEFT JOIN n USING (frame_id) LEFT JOIN e USING (frame_id)")
@@ -516,9 +603,9 @@ def log_page(spark, sf_dir):
     return logs.page(D.audit_logs(spark, sf_dir), 100, 50).select("request_id", "ts")
 
 
-@query(f"WITH {LOGS}, s AS (SELECT * FROM logs ORDER BY ts DESC, request_id DESC LIMIT 5000) SELECT request_id, confidence FROM s WHERE confidence BETWEEN 0.05 AND 0.3 ORDER BY ts DESC, request_id DESC LIMIT 50")
+@query(f"WITH {LOGS}, s AS (SELECT * FROM logs ORDER BY ts DESC, request_id DESC LIMIT 50000) SELECT request_id, confidence FROM s WHERE confidence BETWEEN 0.05 AND 0.3 ORDER BY ts DESC, request_id DESC LIMIT 50")
 def band_sample(spark, sf_dir):
-    return logs.band_sample(D.audit_logs(spark, sf_dir), 0.05, 0.3, 50, 5000).select("request_id", "confidence")
+    return logs.band_sample(D.audit_logs(spark, sf_dir), 0.05, 0.3, 50, 50_000).select("request_id", "confidence")
 
 
 @query(f"WITH {LOGS} SELECT count(*) AS total, count(*) FILTER (WHERE ts::DATE = DATE '2024-01-15') AS today, count(*) FILTER (WHERE ts::DATE = DATE '2024-01-15' AND has_violation) AS today_violations FROM logs")
@@ -531,12 +618,12 @@ def daily_trend(spark, sf_dir):
     return logs.daily_trend(D.audit_logs(spark, sf_dir), "2024-02-03").withColumn("day", F.col("day").cast("string"))
 
 
-BAND = "s0 AS (SELECT * FROM logs ORDER BY ts DESC, request_id DESC LIMIT 5000), s AS (SELECT * FROM s0 WHERE confidence BETWEEN 0.05 AND 0.3 ORDER BY ts DESC, request_id DESC LIMIT 51)"
+BAND = "s0 AS (SELECT * FROM logs ORDER BY ts DESC, request_id DESC LIMIT 50000), s AS (SELECT * FROM s0 WHERE confidence BETWEEN 0.05 AND 0.3 ORDER BY ts DESC, request_id DESC LIMIT 51)"
 STATS = "b AS (SELECT count(*) AS total, count(*) FILTER (WHERE has_violation) AS violations, count(*) FILTER (WHERE NOT has_violation) AS safes, round_even(count(*) FILTER (WHERE has_violation) / count(*)::DOUBLE, 3) AS share, round_even(min(confidence), 3) AS low, round_even(list_sort(list(confidence))[count(*)::BIGINT // 2 + 1], 3) AS median, round_even(max(confidence), 3) AS high FROM s)"
 
 
 def _band(spark, sf_dir):
-    return logs.band_sample(D.audit_logs(spark, sf_dir), 0.05, 0.3, 51, 5000)
+    return logs.band_sample(D.audit_logs(spark, sf_dir), 0.05, 0.3, 51, 50_000)
 
 
 @query(f"WITH {LOGS}, {BAND}, {STATS} SELECT * FROM b")
@@ -559,7 +646,9 @@ AGREE = """v AS (SELECT event_id::VARCHAR AS request_id, (event_id * 7) % 10 < 3
     a AS (SELECT count(*) AS sampled, count(is_violation) AS reviewed, count(*) FILTER (WHERE is_violation = has_violation) AS consistent, count(*) FILTER (WHERE is_violation AND has_violation) AS agree_violation,
                  count(*) FILTER (WHERE is_violation IS NOT NULL AND has_violation) AS orig_violations, count(*) FILTER (WHERE is_violation AND NOT has_violation) AS missed,
                  count(*) FILTER (WHERE NOT is_violation AND has_violation) AS false_alarm, count(*) FILTER (WHERE is_violation IS NULL) AS judge_failed FROM j),
-    r AS (SELECT *, CASE WHEN reviewed > 0 THEN consistent / reviewed::DOUBLE END AS consistent_rate FROM a)"""
+    r AS (SELECT *, CASE WHEN reviewed > 0 THEN consistent / reviewed::DOUBLE END AS consistent_rate,
+                 (SELECT avg(is_violation::INTEGER) FROM j WHERE is_violation IS NOT NULL AND has_violation) AS violation_agree_rate,
+                 (SELECT avg((NOT is_violation)::INTEGER) FROM j WHERE is_violation IS NOT NULL AND NOT has_violation) AS safe_agree_rate FROM a)"""
 
 
 def _second(spark, sf_dir):
@@ -567,14 +656,24 @@ def _second(spark, sf_dir):
     return e.select(F.col("event_id").cast("string").alias("request_id"), ((F.col("event_id") * 7) % 10 < 3).alias("is_violation"))
 
 
-@query(f"WITH {LOGS}, {BAND}, {AGREE} SELECT * REPLACE (round(consistent_rate, 6) AS consistent_rate) FROM r")
+@query(f"WITH {LOGS}, {BAND}, {AGREE} SELECT * REPLACE (round(consistent_rate, 6) AS consistent_rate, round(violation_agree_rate, 6) AS violation_agree_rate, round(safe_agree_rate, 6) AS safe_agree_rate) FROM r")
 def review_agreement(spark, sf_dir):
-    return review.agreement(_band(spark, sf_dir), _second(spark, sf_dir)).withColumn("consistent_rate", F.round("consistent_rate", 6))
+    out = review.agreement(_band(spark, sf_dir), _second(spark, sf_dir))
+    return out.withColumns({c: F.round(c, 6) for c in ("consistent_rate", "violation_agree_rate", "safe_agree_rate")})
 
 
-@query(f"WITH {LOGS}, {BAND}, {AGREE} SELECT round(consistent_rate, 6) AS consistent_rate, CASE WHEN consistent_rate >= 0.9 THEN 'raise_high' WHEN consistent_rate <= 0.5 THEN 'lower_high' ELSE 'hold' END AS action, CASE WHEN consistent_rate >= 0.9 THEN 0.8 WHEN consistent_rate <= 0.5 THEN 0.7 ELSE 0.75 END::DOUBLE AS confidence_high FROM r")
+@query(
+    f"""WITH {LOGS}, {BAND}, {AGREE}, g AS (SELECT 'all' AS part, * FROM r UNION ALL SELECT 'none', * REPLACE (NULL AS violation_agree_rate) FROM r UNION ALL SELECT 'most', * REPLACE (0.95 AS violation_agree_rate) FROM r)
+    SELECT part, round(violation_agree_rate, 6) AS violation_agree_rate, CASE WHEN violation_agree_rate >= 0.9 THEN 'raise_high' WHEN violation_agree_rate <= 0.5 THEN 'lower_high' ELSE 'hold' END AS action,
+           CASE WHEN violation_agree_rate >= 0.9 THEN 0.8 WHEN violation_agree_rate <= 0.5 THEN 0.7 ELSE 0.75 END::DOUBLE AS confidence_high,
+           CASE WHEN violation_agree_rate >= 0.9 THEN 0.3 WHEN violation_agree_rate <= 0.5 THEN 0.4 ELSE 0.35 END::DOUBLE AS alternative_low FROM g"""
+)
 def review_suggest(spark, sf_dir):
-    return review.suggest(review.agreement(_band(spark, sf_dir), _second(spark, sf_dir))).select(F.round("consistent_rate", 6).alias("consistent_rate"), "action", "confidence_high")
+    """The rate as it is, without any violation to compare, and where the second opinion mostly agrees."""
+    stats = review.agreement(_band(spark, sf_dir), _second(spark, sf_dir))
+    rate = F.when(F.col("part") == "all", F.col("violation_agree_rate")).when(F.col("part") == "most", 0.95)
+    parts = stats.withColumn("part", F.explode(F.array(*map(F.lit, ("all", "none", "most"))))).withColumn("violation_agree_rate", rate)
+    return review.suggest(parts).select("part", F.round("violation_agree_rate", 6).alias("violation_agree_rate"), "action", "confidence_high", "alternative_low")
 
 
 @query(f"WITH {LOGS}, {BAND}, {STATS}, {AGREE} SELECT (SELECT count(*) FROM s) AS n, 'full' AS mode, NULL::VARCHAR AS skipped_reason, sampled, reviewed, consistent, share FROM r, b")
@@ -686,7 +785,13 @@ def _seconds(spark, sf_dir):
     return D.load(spark, sf_dir, "events").select("user_id", "event_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    r AS (SELECT user_id, event_id, n, [t] AS seen, TRUE AS admitted FROM e WHERE n = 1
+          UNION ALL SELECT user_id, event_id, n, CASE WHEN len(held) < 2 THEN list_append(held, t) ELSE held END, len(held) < 2
+          FROM (SELECT e.*, list_filter(r.seen, lambda x: e.t - x <= 21600) AS held FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+    SELECT user_id, event_id, admitted FROM r"""
+)
 def rate_limit(spark, sf_dir):
     """A limit of 2 in 6 hours, so that it is reached."""
     from dataclasses import replace

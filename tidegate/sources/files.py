@@ -61,19 +61,53 @@ def read_lexicon_csv(spark: SparkSession, path: str, word: str = "word", kind: s
 
 
 def read_keyword_import(spark: SparkSession, path: str, header: tuple[str, ...] = ("category", "word", "keyword", "类别", "分类", "关键词")) -> DataFrame:
-    """(category, word, source) of a CSV of two columns; a first row that names columns is passed over."""
-    rows = spark.read.schema("category string, word string").csv(path)
-    first = F.lower(F.trim("category")).isin(*header) & F.lower(F.trim("word")).isin(*header)
-    return rows.where(~F.coalesce(first, F.lit(False))).select(F.trim("category").alias("category"), F.trim("word").alias("word"), F.lit("admin_import").alias("source")).where("word <> ''")
+    """(category, word, source) of CSV files of two columns; a first filled row of a file that names columns is passed over."""
+    rows = spark.read.schema("category string, word string").csv(path).withColumn("file", F.col("_metadata.file_path")).withColumn("at", F.monotonically_increasing_id())
+    rows = rows.where("coalesce(trim(category), '') <> '' AND coalesce(trim(word), '') <> ''")
+    tops = rows.groupBy("file").agg(F.min("at").alias("top"))
+    named = F.lower(F.trim("category")).isin(*header) & F.lower(F.trim("word")).isin(*header)
+    rows = rows.join(F.broadcast(tops), "file").where((F.col("at") != F.col("top")) | ~named)
+    return rows.select(F.trim("category").alias("category"), F.trim("word").alias("word"), F.lit("admin_import").alias("source")).where("word <> ''")
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """(category, pattern, action): rows with a pattern; an action that isn't given is exempt."""
-    rows = spark.read.json(path, schema="category string, pattern string, action string") if path.rstrip("/").endswith((".json", ".jsonl")) else spark.read.csv(path, header=True)
+    """(category, pattern, action): rows with a pattern; an action that isn't given is exempt.
+
+    JSON has an object a line or one list of objects; anything else in it, or an action that isn't violate or exempt, raises an error.
+    """
+    if path.rstrip("/").endswith((".json", ".jsonl")):
+        lines = spark.read.option("multiLine", str(path.rstrip("/").endswith(".json")).lower()).json(path, schema="category string, pattern string, action string, _bad string", columnNameOfCorruptRecord="_bad")
+        rows = lines.select("category", "action", F.when(F.col("_bad").isNull(), F.col("pattern")).otherwise(F.raise_error(F.concat(F.lit("not a rule: "), F.col("_bad"))).cast("string")).alias("pattern"))
+    else:
+        rows = spark.read.csv(path, header=True)
     action = F.coalesce(F.nullif(F.lower(F.trim("action")), F.lit("")), F.lit("exempt"))
+    action = F.when(action.isin("violate", "exempt"), action).otherwise(F.raise_error(F.concat(F.lit("not an action: "), action)).cast("string"))
     return rows.select(F.coalesce(F.trim("category"), F.lit("")).alias("category"), F.trim("pattern").alias("pattern"), action.alias("action")).where("pattern <> ''")
 
 
+def read_keyword_lines(spark: SparkSession, path: str, category: str) -> DataFrame:
+    """(category, word, source): a word a line of text files; blank lines and those beginning with # or // left out."""
+    word = F.trim("value")
+    return spark.read.text(path).select(F.lit(category).alias("category"), word.alias("word"), F.lit("admin_import").alias("source")).where((F.col("word") != "") & ~F.col("word").rlike("^(#|//)"))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line_no, line) of text files in UTF-8 or GBK, numbered from 0 in each file."""
+    files = decode_files(spark, path)
+    return files.select("path", F.posexplode(F.split("text", r"\r?\n"))).select("path", F.col("pos").alias("line_no"), F.col("col").alias("line"))
+
+
+def read_chats(spark: SparkSession, path: str, text: str = "content", sender: str = "sender", time: str = "time") -> DataFrame:
+    """(text, sender, time) of group chats as CSV in UTF-8 or GBK: trimmed messages that aren't blank; missing columns are null."""
+    rows = decode_files(spark, path).select(F.split("text", r"\r?\n").alias("lines"))
+    rows = rows.select(F.lower(F.get("lines", F.lit(0))).alias("head"), F.explode(F.slice("lines", 2, F.greatest(F.lit(0), F.size("lines") - 1))).alias("line")).where("trim(line) <> ''")
+    cells = F.from_csv("line", ", ".join(f"c{k} string" for k in range(16)))
+    names = F.transform(F.split("head", ","), lambda x: F.trim(x))
+    rows = rows.select(names.alias("names"), cells.alias("x")).select("names", F.array(*(F.col(f"x.c{k}") for k in range(16))).alias("cells"))
+    cell = lambda name: F.get("cells", F.array_position("names", name).cast("int") - 1)
+    return rows.select(F.trim(cell(text)).alias("text"), F.trim(cell(sender)).alias("sender"), F.trim(cell(time)).alias("time")).where("text <> ''")
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, pool, text, category, source, image_path): lines that are JSON objects, numbered in file order.
 

@@ -37,12 +37,13 @@ def rules(spark: SparkSession) -> DataFrame:
 
 def pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, pool, category, embedding): members of the violating and the safe pool."""
-    v = load(spark, sf_dir, "embeddings").where("vec_id % 2 = 1 OR vec_id % 10 = 0")
+    v = load(spark, sf_dir, "embeddings")
     return v.select("vec_id", F.when(F.col("label") < 5, "black").otherwise("white").alias("pool"), F.col("label").cast("string").alias("category"), "embedding")
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("request_id"), F.col("embedding").alias("query"))
+    """Every vector asks for its nearest among the others."""
+    return load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("request_id"), F.col("embedding").alias("query"))
 
 
 def audit_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,11 +69,14 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(frame_id, md5, phash): pages stand for image frames, hashed from their urls."""
-    p = load(spark, sf_dir, "pages").where("page_id % 5 <> 0")
-    return p.select(F.col("page_id").alias("frame_id"), F.md5("url").alias("md5"), F.sha2("url", 256).alias("phash"))
+    """(frame_id, md5, phash): pages stand for image frames, hashed from their urls, with 0, 2, 5 or 7 bits turned."""
+    digits, h, k = "0123456789abcdef", F.sha2("url", 256), F.col("page_id") % 4
+    first, last = F.substring(h, 1, 1), F.substring(h, 64, 1)
+    head = F.when(k >= 2, F.translate(first, digits, "76543210fedcba98")).otherwise(first)
+    tail = F.when(k == 0, last).when(k == 3, F.translate(last, digits, "fedcba9876543210")).otherwise(F.translate(last, digits, "32107654ba98fedc"))
+    return load(spark, sf_dir, "pages").select(F.col("page_id").alias("frame_id"), F.md5(F.concat("url", k.cast("string"))).alias("md5"), F.concat(head, F.substring(h, 2, 62), tail).alias("phash"))
 
 
 def whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = load(spark, sf_dir, "pages").where("page_id % 5 = 0 OR page_id % 15 = 7")
-    return p.select(F.col("page_id").alias("white_id"), F.md5("url").alias("white_md5"), F.sha2("url", 256).alias("white_phash"))
+    p = load(spark, sf_dir, "pages").where("page_id % 3 <> 1")
+    return p.select(F.col("page_id").alias("white_id"), F.md5(F.concat("url", F.lit("0"))).alias("white_md5"), F.sha2("url", 256).alias("white_phash"))
