@@ -31,6 +31,28 @@ def test_files(spark, tmp_path):
     assert [r.pool for r in files.read_images(spark, str(tmp_path / "img")).collect()] == ["black"]
 
 
+def test_import_files(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "k").mkdir()
+    (tmp_path / "k" / "a.csv").write_text("\n,\nCategory,Word\nc,w\ncategory,keyword\n")
+    (tmp_path / "k" / "b.csv").write_text("d,x\n,y\n")
+    rows = files.read_keyword_import(spark, str(tmp_path / "k")).collect()
+    assert sorted(r[:2] for r in map(tuple, rows)) == [("c", "w"), ("category", "keyword"), ("d", "x")], "only the first filled row of a file can be its header"
+    (tmp_path / "w.txt").write_text("one\n\n# no\n two \n")
+    assert [r.word for r in files.read_keyword_lines(spark, str(tmp_path / "w.txt"), "c").collect()] == ["one", "two"]
+    (tmp_path / "g.csv").write_bytes("time,sender,content\n1,a,你好\n2,b,  \n3,,\"x, y\"\n".encode("gbk"))
+    assert [tuple(r) for r in files.read_chats(spark, str(tmp_path / "g.csv")).collect()] == [("你好", "a", "1"), ("x, y", None, "3")]
+    (tmp_path / "l.txt").write_bytes("甲\r\n乙".encode("gbk"))
+    assert [(r.line_no, r.line) for r in files.read_lines(spark, str(tmp_path / "l.txt")).collect()] == [(0, "甲"), (1, "乙")]
+    (tmp_path / "r.json").write_text('[{"pattern": "a", "action": "VIOLATE"}, {"category": "c", "pattern": "b"}]')
+    assert [tuple(r) for r in files.read_rules(spark, str(tmp_path / "r.json")).collect()] == [("", "a", "violate"), ("c", "b", "exempt")]
+    for bad, text in (("allow", '{"pattern": "a", "action": "allow"}'), ("not a rule", "[1, 2]")):
+        (tmp_path / "bad.jsonl").write_text(text)
+        with pytest.raises(Exception, match=bad):
+            files.read_rules(spark, str(tmp_path / "bad.jsonl")).collect()
+
+
 def test_round_trips(spark, tmp_path):
     rows = spark.createDataFrame([(1, "black", "a,b\n\"c\"", "x", "s", None), (2, "white", "d", "y", "s", None)], "line_no long, pool string, text string, category string, source string, image_path string")
     files.write_manifest(rows.drop("line_no"), str(tmp_path / "m"))

@@ -213,3 +213,36 @@ def test_logs_pages_are_checked_and_median_is_the_upper(spark):
     assert logs.band_stats(df).first().median == 0.4
     with pytest.raises(ValueError):
         logs.page(df, 0)
+
+
+def test_the_funnel_takes_overrides_frames_and_the_light_model(spark):
+    from tidegate.functions import text as T
+    from tidegate.plans import funnel
+
+    make = spark.createDataFrame
+    requests = make([(k, t, "full" if k % 2 else "standard") for k, t in enumerate(["", "plain", "bad word", "listed", "fine", "lit"])], "request_id long, text string, key_tier string")
+    queries = make([(1, [1.0, 0.0]), (2, [1.0, 0.0])], "request_id long, query array<double>")
+    pools = make([(1, "black", "b", [1.0, 0.1]), (2, "white", "w", [0.2, 1.0])], "vec_id long, pool string, category string, embedding array<double>")
+    words = make([("abuse", "bad")], "category string, word string")
+    rules = make([], RULE)
+    verdicts = make([], "request_id long, is_violation boolean, category string, confidence double")
+    listed = requests.where("request_id = 3").select(T.text_hash(F.col("text")).alias("hash"), F.lit("white").alias("color")).union(make([("frame", "black")], "hash string, color string"))
+    light = make([(5, True)], "request_id long, violation boolean")
+    frames = make([(4, False, "frame"), (1, True, None)], "request_id long, whitelisted boolean, hash string")
+    over = make([(1, 0.999, 0.0, 0.1, float("nan")), (2, 0.5, None, None, None)], "request_id long, semantic_threshold double, margin_w double, confidence_low double, confidence_high double")
+    out = {r.request_id: r for r in funnel.audit(requests, queries, pools, words, rules, verdicts, listed, light=light, frames=frames, overrides=over).collect()}
+    assert out[0].source == "basic_rules_pass" and out[0].has_violation is False
+    assert out[1].tier == "violation" and out[1].error is None
+    assert out[2].error == "overrides_not_permitted" and out[2].has_violation is None and out[2].tier is None
+    assert (out[3].source, out[3].has_violation) == ("permanent_list", False)
+    assert (out[4].source, out[4].has_violation) == ("permanent_list", True), "a frame's hash is looked up, too"
+    assert (out[5].source, out[5].has_violation) == ("semantic", True), "the light model alone is a strong signal"
+    assert len(out) == 6
+
+
+def test_hashing_a_long_token_among_many_short_ones():
+    from tests.test_text import fnv
+    from tidegate.functions.hashing import _fnv
+
+    data = [b"x" * 200_000, b"", *(str(k).encode() for k in range(20_000))]
+    assert _fnv(data).tolist()[:50] == [fnv(d) for d in data[:50]]
