@@ -65,3 +65,10 @@ def test_empty_and_very_long_urls(spark):
     assert m.judge(spark.createDataFrame([], PAGES), none, RULES).count() == 0
     r = m.judge(spark.createDataFrame([(1, long, "a", 1), (None, long, "a", 1)], PAGES), none, RULES).collect()
     assert [x.rule for x in r] == ["com/fr/"] * 2
+
+
+def test_ports_and_addresses(spark):
+    hosts = ["a.b.com", "a.b.com:80", "10.0.0.1", "10.0.0.1:8080", "x.co.uk:443", "[::1]", "", "com"]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {r.host: (r.d, r.s) for r in df.select("host", m.domain_of(df["host"]).alias("d"), m.suffix_of(df["host"]).alias("s")).collect()}
+    assert got == {"a.b.com": ("b.com", "com"), "a.b.com:80": ("b.com", "com"), "10.0.0.1": ("10.0.0.1", ""), "10.0.0.1:8080": ("10.0.0.1", ""), "x.co.uk:443": ("x.co.uk", "co.uk"), "[::1]": ("[::1]", ""), "": ("", ""), "com": ("com", "com")}

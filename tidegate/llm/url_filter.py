@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.llm.common import checkpoint
+
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
 #: Suffixes of two labels below which names are registered; all others have one label. A parameter.
@@ -22,14 +24,23 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _bare(host: Column) -> Column:
+    return F.regexp_replace(host, r":[0-9]*$", "")
+
+
+def _address(host: Column) -> Column:
+    """Whether a host is an IP address; such a host is its own domain, without a suffix."""
+    return _bare(host).rlike(r"^([0-9]+(\.[0-9]+){3}|\[.*\])$")
+
+
 def suffix_of(host: Column, two: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
-    last = F.substring_index(host, ".", -2)
-    return F.when(last.isin(*two), last).otherwise(F.substring_index(host, ".", -1)) if two else F.substring_index(host, ".", -1)
+    last = F.substring_index(_bare(host), ".", -2)
+    return F.when(_address(host), "").when(last.isin(*two), last).otherwise(F.substring_index(_bare(host), ".", -1))
 
 
 def domain_of(host: Column, two: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
-    last = F.substring_index(host, ".", -2)
-    return F.when(last.isin(*two), F.substring_index(host, ".", -3)).otherwise(last) if two else last
+    last = F.substring_index(_bare(host), ".", -2)
+    return F.when(_address(host), _bare(host)).when(last.isin(*two), F.substring_index(_bare(host), ".", -3)).otherwise(last)
 
 
 def longest_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
@@ -65,7 +76,7 @@ def _moments(groups: DataFrame, rate: Column) -> tuple[float, float]:
 
 def reputations(outcomes: DataFrame, z: float, two: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame, float, float]:
     """Posterior rates of bad outcomes: tables for hosts, registered domains and suffixes, and those above all."""
-    hosts = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    hosts = checkpoint(outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")))
     hosts = hosts.withColumn("domain", domain_of(F.col("host"), two)).withColumn("suffix", suffix_of(F.col("host"), two))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -91,19 +102,25 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], id_col: str
     strengths are estimated at each level. A host is blocked if the lower bound of its rate (mean less ``z``
     posterior deviations) is over ``limit``; a host without outcomes has its domain's, suffix's or overall rate,
     with the spread of the prior. Where a rule fits, the longest decides. Null urls and those without ``://``
-    have an empty host and path. Repeated rows are each judged; an empty table gives no rows.
+    have an empty host and path. Ports count for the host, not for its domain; IP addresses are domains of their own.
+    Repeated rows are each judged; an empty table gives no rows. Other columns are not read.
     """
     seen = outcomes.where("url IS NOT NULL AND bad IS NOT NULL").select(host_of(F.col("url")).alias("host"), F.col("bad").cast("long").alias("bad"))
     hosts, domains, suffixes, total, m2 = reputations(seen, z, two)
     page = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     page = page.withColumn("domain", domain_of(F.col("host"), two)).withColumn("suffix", suffix_of(F.col("host"), two))
-    # rates are joined to the distinct hosts, so that a host with a third of all pages is one row until the last join
-    names = page.select("host", "domain", "suffix").distinct()
+    # rates are joined to the distinct hosts; those with over a 2000th of all pages (2,000 at most) are broadcast, so
+    # that a host with a third of them never meets in one task, and stand in no one's way in the other join
+    names = checkpoint(page.groupBy("host", "domain", "suffix").agg(F.count("*").alias("pages")))
     rate = F.coalesce("host_rate", "domain_rate", "suffix_rate", F.lit(total))
     prior = rate - z * F.sqrt(rate * (1 - rate) / (m2 + 1))
     known = names.join(hosts, "host", "left").join(domains, "domain", "left").join(suffixes, "suffix", "left")
-    known = known.select(F.col("host").alias("h"), rate.alias("bad_rate"), F.coalesce("host_bound", prior).alias("bound"))
-    page = page.withColumn("fit", longest_rule(F.col("host"), F.col("path"), rules))
-    method = F.when(F.col("bound") > limit, "block").otherwise("allow")
-    out = page.join(known, page["host"] == known["h"], "left")
-    return out.select("id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", method).alias("verdict"), "bad_rate", "bound")
+    known = checkpoint(known.select(F.col("host").alias("h"), rate.alias("bad_rate"), F.coalesce("host_bound", prior).alias("bound"), "pages"))
+    often = (known.agg(F.sum("pages")).first()[0] or 0) / 2000
+    hot = known.where(F.col("pages") > often).select(F.col("h").alias("hot"), F.struct("bad_rate", "bound").alias("hot_rates"))
+    rest = known.where(F.col("pages") <= often).select("h", F.struct("bad_rate", "bound").alias("rates"))
+    page = page.withColumn("fit", longest_rule(F.col("host"), F.col("path"), rules)).join(F.broadcast(hot), F.col("host") == F.col("hot"), "left")
+    key = F.when(F.col("hot").isNull(), F.col("host")).otherwise(F.concat(F.lit("\0"), F.pmod(F.xxhash64("id"), F.lit(4096)).cast("string")))
+    out = page.join(rest, key == F.col("h"), "left").withColumn("r", F.coalesce("hot_rates", "rates"))
+    method = F.when(F.col("r.bound") > limit, "block").otherwise("allow")
+    return out.select("id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", method).alias("verdict"), "r.bad_rate", "r.bound")
