@@ -153,15 +153,16 @@ class _Links:
                 self._all(idx)
 
 
-def link_fingerprints(codes: DataFrame, reach: int = 3, leaf: int = 8192, sample: int = 65536) -> DataFrame:
+def link_fingerprints(codes: DataFrame, reach: int = 3, leaf: int = 8192, sample: int | None = None) -> DataFrame:
     """Links among (rep, fp) rows of distinct fingerprints as (a, b) edges that keep every component whole.
 
     Fingerprints within ``reach`` are within half of it over the upper or the lower 32 bits, so there is a tree
-    for each half: with so short a reach few fingerprints lie near a boundary and are copied. A tree's top is fitted on at most ``2 * sample`` fingerprints, chosen by hash; every fingerprint is routed
-    through it. A leaf gives one edge for each fingerprint that has a link, towards the first of its component,
+    for each half: with so short a reach few fingerprints lie near a boundary and are copied. A tree's top is fitted on at most ``2 * sample`` fingerprints, chosen by hash (sixteen for each leaf by
+    default, 65,536 at least and 2**20 at most); every fingerprint is routed through it. A leaf gives one edge for each fingerprint that has a link, towards the first of its component,
     so that a dense group costs no more rows than it has members.
     """
     total = codes.count()
+    sample = min(1 << 20, max(65536, 16 * total // leaf)) if sample is None else sample
     share = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(min(1.0, sample / max(1, total)) * (1 << 30))
     some = codes.where(share).select("fp").limit(2 * sample).toPandas()["fp"].to_numpy(dtype=np.int64).view(np.uint64)
     masks = [(1 << 32) - 1, ALL_BITS - (1 << 32) + 1]
