@@ -20,6 +20,7 @@ class Defaults:
     margin_norm: float = 0.3
     w_top: float = 0.6
     w_margin: float = 0.4
+    rerank_top_k: int = 5
     rerank_w_top: float = 0.5
     rerank_w_margin: float = 0.3
     rerank_w_rerank: float = 0.2

@@ -57,6 +57,17 @@ def fuse(text: Column, image: Column, mode: str = "pool", w_text: float = 0.4, w
     return F.when(text.isNull(), i).when(image.isNull(), t).otherwise(both)
 
 
+def build_query(text: Column, images: Column, mode: str = "pool", w_text: float = 0.4, w_image: float = 0.6) -> Column:
+    """The query vector of a request: its text's and the plain mean of its frames', fused; one alone as it is, none null.
+
+    ``images`` is an array of vectors; null or empty stands for no frame.
+    """
+    some = F.coalesce(F.size(images), F.lit(0)) > 0
+    mean = F.when(some, mean_vectors(images))
+    alone = lambda v: v.cast("array<double>")
+    return F.when(text.isNull(), mean).when(~some, alone(text)).otherwise(fuse(text, mean, mode, w_text, w_image))
+
+
 def frame_indices(total: Column, count: int = 5) -> Column:
     """``count`` frame numbers spread evenly from first to last, halves rounded to even; none of no frames."""
     n = F.greatest(F.lit(1), F.least(F.lit(count), total))

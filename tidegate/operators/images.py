@@ -44,6 +44,28 @@ def image_dedup(frames: DataFrame, known: DataFrame, distance: int = 3) -> DataF
     return rows.select("frame_id", F.coalesce("exact", "near").alias("white_id"), F.when(F.col("exact").isNotNull(), "md5").when(F.col("near").isNotNull(), "phash").alias("how"))
 
 
+def scan_stats(files: DataFrame) -> DataFrame:
+    """One row of counts over (path, valid) of image files: scanned, unique, deduped, unclassified, invalid, valid, black, white.
+
+    Paths that differ in case alone are one file, the first by path; files in no pool's folder are unclassified,
+    whether or not they can be read. ``valid`` says whether a file could be decoded.
+    """
+    first = files.groupBy(F.lower("path").alias("key")).agg(F.min_by("valid", "path").alias("valid"), F.min("path").alias("path"), F.count("*").alias("n"))
+    pool, good = image_pool(F.col("path")), F.coalesce("valid", F.lit(False))
+    rows = first.select("n", pool.alias("pool"), good.alias("good"))
+    known = F.col("pool").isNotNull()
+    return rows.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("scanned"),
+        F.count("*").alias("unique"),
+        (F.coalesce(F.sum("n"), F.lit(0)) - F.count("*")).alias("deduped"),
+        F.count_if(~known).alias("unclassified"),
+        F.count_if(known & ~F.col("good")).alias("invalid"),
+        F.count_if(known & F.col("good")).alias("valid"),
+        F.count_if((F.col("pool") == "black") & F.col("good")).alias("black"),
+        F.count_if((F.col("pool") == "white") & F.col("good")).alias("white"),
+    )
+
+
 def image_pool(path):
     """black or white by the nearest folder whose name holds either (black first); null if none does."""
     folders = F.reverse(F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1))

@@ -113,7 +113,21 @@ def rerank_local(top: DataFrame, queries: DataFrame, encoded: DataFrame) -> Data
     rows = top.join(encoded, "vec_id", "left").join(queries, "request_id")
     score = F.coalesce(V.cosine(F.col("query"), F.col("again")), F.col("score"))
     best = Window.partitionBy("request_id", "pool").orderBy(F.desc(F.round("rerank_score", 9)), F.desc("vec_id"))
-    return rows.withColumn("rerank_score", score).withColumn("rerank", F.row_number().over(best)).select("request_id", "pool", "vec_id", "score", "rerank_score", "rerank")
+    return rows.withColumn("rerank_score", score).withColumn("rerank", F.row_number().over(best)).select("request_id", "pool", "rank", "vec_id", "score", "rerank_score", "rerank")
+
+
+def rerank_responses(top: DataFrame, responses: DataFrame) -> DataFrame:
+    """Candidates with what a rerank service answered: (request_id, pool, index, relevance), where index counts from 0 by rank.
+
+    A candidate that the answer lacks has no score; relevance is kept within 0 and 1. Indexes beyond the candidates are passed over.
+    """
+    answers = responses.groupBy("request_id", "pool", (F.col("index") + 1).alias("rank")).agg(F.max(clip01(F.col("relevance"))).alias("rerank_score"))
+    return top.join(answers, ["request_id", "pool", "rank"], "left")
+
+
+def rerank_max(reranked: DataFrame, k: int = DEFAULTS.rerank_top_k) -> DataFrame:
+    """(request_id, rerank_max): the best rerank score among the first k violating candidates by rank; null where none has one."""
+    return reranked.where((F.col("pool") == "black") & (F.col("rank") <= k)).groupBy("request_id").agg(F.max("rerank_score").alias("rerank_max"))
 
 
 def degraded(requests: DataFrame, pools: DataFrame) -> DataFrame:

@@ -362,7 +362,7 @@ def decide_tier(spark, sf_dir):
     return _confidence(spark, sf_dir).groupBy(decisions.tier(F.col("confidence")).alias("tier")).agg(F.count("*").alias("n"))
 
 
-RERANK = """rr AS (SELECT t.request_id, t.pool, t.vec_id, t.score, coalesce(list_cosine_similarity(q.query::DOUBLE[], e.embedding::DOUBLE[]), t.score) AS rerank_score
+RERANK = """rr AS (SELECT t.request_id, t.pool, t.rank, t.vec_id, t.score, coalesce(list_cosine_similarity(q.query::DOUBLE[], e.embedding::DOUBLE[]), t.score) AS rerank_score
       FROM top t JOIN qv q USING (request_id) LEFT JOIN embeddings e ON e.vec_id = t.vec_id + 1 AND t.vec_id % 3 = 0)"""
 
 
@@ -378,10 +378,11 @@ def rerank_local(spark, sf_dir):
     return _reranked(spark, sf_dir)[1].select("request_id", "pool", "vec_id", F.round("rerank_score", 6).alias("rerank_score"), "rerank")
 
 
-@query(f"WITH {POOLS}, {RERANK}, m AS (SELECT request_id, max(rerank_score) AS rerank_max FROM rr WHERE pool = 'black' GROUP BY request_id) SELECT request_id, round(greatest(0.0, least(1.0, 0.5 * black_top + 0.3 * margin / 0.3 + 0.2 * coalesce(rerank_max, 0))), 5) AS confidence FROM sig LEFT JOIN m USING (request_id)")
+@query(f"WITH {POOLS}, {RERANK}, m AS (SELECT request_id, max(rerank_score) AS rerank_max FROM rr WHERE pool = 'black' AND rank <= 3 GROUP BY request_id) SELECT request_id, round(greatest(0.0, least(1.0, 0.5 * black_top + 0.3 * margin / 0.3 + 0.2 * coalesce(rerank_max, 0))), 5) AS confidence FROM sig LEFT JOIN m USING (request_id)")
 def rerank_confidence(spark, sf_dir):
     top, again = _reranked(spark, sf_dir)
-    best = again.where("pool = 'black'").groupBy("request_id").agg(F.max("rerank_score").alias("rerank_max"))
+    """The first three candidates are reranked."""
+    best = semantic.rerank_max(again, 3)
     return semantic.rerank_confidence(semantic.semantic_signals(top).join(best, "request_id", "left")).select("request_id", F.round("confidence", 5).alias("confidence"))
 
 
@@ -476,6 +477,34 @@ def rule_errors(spark, sf_dir):
     return keywords.rule_errors(spark.createDataFrame(rows, "id long, action string, pattern string")).select("id")
 
 
+@query(
+    f"""WITH {POOLS}, a AS (SELECT request_id, pool, rank, (request_id * 7 + rank * 3) % 11 / 8.0 - 0.1 AS x FROM top WHERE (request_id + rank) % 4 <> 0)
+    SELECT top.request_id, top.pool, top.rank::INTEGER AS rank, top.vec_id, round(CASE WHEN x IS NOT NULL THEN greatest(0.0, least(1.0, x)) END, 6) AS rerank_score FROM top LEFT JOIN a USING (request_id, pool, rank)"""
+)
+def rerank_responses(spark, sf_dir):
+    top = semantic.vector_topk(D.query_vectors(spark, sf_dir), D.pools(spark, sf_dir), others=True)
+    i, r = F.col("request_id"), F.col("rank")
+    answers = top.where((i + r) % 4 != 0).select("request_id", "pool", (r - 1).alias("index"), ((i * 7 + r * 3) % 11 / 8.0 - 0.1).alias("relevance"))
+    out = semantic.rerank_responses(top, answers)
+    return out.select("request_id", "pool", "rank", "vec_id", F.round("rerank_score", 6).alias("rerank_score"))
+
+
+@query(
+    """WITH p AS (SELECT a.vec_id, CASE WHEN a.vec_id % 4 <> 0 THEN a.embedding::DOUBLE[] END AS t, CASE WHEN a.vec_id % 4 <> 1 THEN list_transform(list_zip(b.embedding::DOUBLE[], c.embedding::DOUBLE[]), lambda z: (z[1] + z[2]) / 2) END AS i
+               FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings c ON c.vec_id = a.vec_id + 2),
+    f AS (SELECT vec_id, CASE WHEN t IS NULL THEN i WHEN i IS NULL THEN t ELSE list_transform(list_zip(t, i), lambda z: 0.4 * z[1] / sqrt(list_dot_product(t, t)) + 0.6 * z[2] / sqrt(list_dot_product(i, i))) END AS v, t IS NOT NULL AND i IS NOT NULL AS two FROM p)
+    SELECT vec_id, round(CASE WHEN two THEN v[1] / sqrt(list_dot_product(v, v)) ELSE v[1] END, 6) AS first, round(CASE WHEN two THEN v[64] / sqrt(list_dot_product(v, v)) ELSE v[64] END, 6) AS last FROM f"""
+)
+def multimodal_query(spark, sf_dir):
+    """Text and two frames, frames alone, or text alone."""
+    e = D.load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    after = lambda n, name: e.select((F.col("vec_id") - n).alias("vec_id"), F.col("embedding").alias(name))
+    rows = e.join(after(1, "b"), "vec_id").join(after(2, "c"), "vec_id")
+    text, images = F.when(F.col("vec_id") % 4 != 0, F.col("embedding")), F.when(F.col("vec_id") % 4 != 1, F.array("b", "c"))
+    v = rows.select("vec_id", V.build_query(text, images).alias("v"))
+    return v.select("vec_id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[63], 6).alias("last"))
+
+
 # decisions
 
 @query("SELECT doc_id, CASE WHEN n_chars % 7 = 0 THEN 0.67 WHEN n_chars % 7 = 1 THEN 0.67 ELSE n_chars / 1000.0::DOUBLE END::DOUBLE AS threshold FROM documents")
@@ -581,6 +610,21 @@ def image_pool(spark, sf_dir):
     return rows.select("path", images.image_pool(F.col("path")).alias("pool"))
 
 
+@query(
+    """WITH f AS (SELECT CASE page_id % 5 WHEN 0 THEN '/i/black/' WHEN 1 THEN '/i/White/' WHEN 2 THEN '/I/white/' ELSE '/i/none/' END || (page_id // 10) || '.png' AS path, page_id % 7 <> 0 AS valid FROM pages),
+    u AS (SELECT lower(path) AS key, arg_min(valid, path) AS valid, min(path) AS path, count(*) AS n FROM (SELECT path, bool_and(valid) AS valid, count(*) AS n FROM f GROUP BY path) GROUP BY lower(path)),
+    n AS (SELECT count(*) AS scanned FROM f)
+    SELECT (SELECT scanned FROM n) AS scanned, count(*) AS unique, (SELECT scanned FROM n) - count(*) AS deduped, count(*) FILTER (WHERE key LIKE '%none%') AS unclassified, count(*) FILTER (WHERE key NOT LIKE '%none%' AND NOT valid) AS invalid,
+           count(*) FILTER (WHERE key NOT LIKE '%none%' AND valid) AS valid, count(*) FILTER (WHERE key LIKE '%black%' AND valid) AS black, count(*) FILTER (WHERE key LIKE '%white%' AND valid) AS white FROM u""".replace("AS unique,", 'AS "unique",')
+)
+def image_scan_stats(spark, sf_dir):
+    """Pages stand for image files; some paths are met twice or differ in case."""
+    k = F.col("page_id") % 5
+    folder = F.when(k == 0, "/i/black/").when(k == 1, "/i/White/").when(k == 2, "/I/white/").otherwise("/i/none/")
+    files = D.load(spark, sf_dir, "pages").select(F.concat(folder, F.expr("page_id div 10").cast("string"), F.lit(".png")).alias("path"), (F.col("page_id") % 7 != 0).alias("valid"))
+    return images.scan_stats(files.groupBy("path").agg(F.bool_and("valid").alias("valid"), F.count("*").alias("n")).select("path", "valid", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("path", "valid"))
+
+
 # logs
 
 @query(f"WITH {LOGS} SELECT request_id, ts, confidence FROM logs WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20' AND has_violation AND key_tier = 'full' AND category = 'c1'")
