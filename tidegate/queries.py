@@ -490,10 +490,12 @@ def rerank_responses(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT a.vec_id, CASE WHEN a.vec_id % 4 <> 0 THEN a.embedding::DOUBLE[] END AS t, CASE WHEN a.vec_id % 4 <> 1 THEN list_transform(list_zip(b.embedding::DOUBLE[], c.embedding::DOUBLE[]), lambda z: (z[1] + z[2]) / 2) END AS i
+    """WITH p AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS t, list_transform(list_zip(b.embedding::DOUBLE[], c.embedding::DOUBLE[]), lambda z: (z[1] + z[2]) / 2) AS i
                FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings c ON c.vec_id = a.vec_id + 2),
-    f AS (SELECT vec_id, CASE WHEN t IS NULL THEN i WHEN i IS NULL THEN t ELSE list_transform(list_zip(t, i), lambda z: 0.4 * z[1] / sqrt(list_dot_product(t, t)) + 0.6 * z[2] / sqrt(list_dot_product(i, i))) END AS v, t IS NOT NULL AND i IS NOT NULL AS two FROM p)
-    SELECT vec_id, round(CASE WHEN two THEN v[1] / sqrt(list_dot_product(v, v)) ELSE v[1] END, 6) AS first, round(CASE WHEN two THEN v[64] / sqrt(list_dot_product(v, v)) ELSE v[64] END, 6) AS last FROM f"""
+    n AS (SELECT *, sqrt(list_dot_product(t, t)) AS nt, sqrt(list_dot_product(i, i)) AS ni FROM p),
+    f AS (SELECT vec_id, vec_id % 4 > 1 AS two, CASE vec_id % 4 WHEN 0 THEN i WHEN 1 THEN t ELSE list_transform(list_zip(t, i), lambda z: 0.4 * z[1] / nt + 0.6 * z[2] / ni) END AS v FROM n),
+    g AS (SELECT *, CASE WHEN two THEN sqrt(list_dot_product(v, v)) ELSE 1 END AS size FROM f)
+    SELECT vec_id, round(v[1] / size, 6) AS first, round(v[64] / size, 6) AS last FROM g"""
 )
 def multimodal_query(spark, sf_dir):
     """Text and two frames, frames alone, or text alone."""
