@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import decontaminate, html_extract, license_scan, line_dedup, packing, quality, simhash_dedup, substring_dedup, topk_search, url_filter
+from tidegate.llm import centroid_clusters, decontaminate, html_extract, license_scan, line_dedup, packing, quality, simhash_dedup, source_audit, substring_dedup, token_store, topk_search, url_filter
 from tidegate.llm.common import table
 
 
@@ -78,6 +78,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the shard files of a new folder hold them."""
+    import public_tokenizers
+
+    folder = token_store.new_folder(spark, "tokens")
+    token_store.write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_store.read_documents(spark, folder)
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -89,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": op8_html_extract,
     "op9_quality_resample": op9_quality_resample,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_token_store": op11_token_store,
+    "op12_source_audit": op12_source_audit,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -162,4 +182,45 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
+    "op12_source_audit": r"""
+        WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        t AS (SELECT i, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT i) >= 30),
+        c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        v AS (SELECT lang, count(term) AS v FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+        w AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+        s AS (SELECT lang, source, term, n, v, sum(n) OVER (PARTITION BY lang, source) AS total,
+                     sum(n) OVER (PARTITION BY lang, term) AS m, sum(n) OVER (PARTITION BY lang) AS whole FROM w JOIN v USING (lang)),
+        p AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 5)::HUGEINT) // (total + 5 * v) AS p,
+                     1 + (1000000000 * (m + 5)::HUGEINT) // (whole + 5 * v) AS q FROM s),
+        pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+                        coalesce((SELECT sum(abs(x.p - y.p)) FROM p x JOIN p y USING (lang, term)
+                                  WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0)::BIGINT AS value
+                 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+        term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+        r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+              FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+        SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50""",
+    "op13_centroid_clusters": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        c AS (
+            SELECT 0 AS round, (row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1)::INTEGER AS cluster, x AS c
+            FROM v WHERE vec_id IS NOT NULL QUALIFY cluster < 16
+            UNION ALL
+            (WITH near AS (SELECT v.x, arg_min(cluster, (list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), cluster)) AS cluster
+                           FROM v, c WHERE c.round < 3 GROUP BY vec_id, x),
+             part AS (SELECT cluster, j, sum(x[j]) AS s, count(*) AS n FROM near, range(1, 65) t(j) GROUP BY cluster, j),
+             mean AS (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS c FROM part GROUP BY cluster)
+             SELECT c.round + 1, c.cluster, coalesce(mean.c, c.c) FROM c LEFT JOIN mean USING (cluster) WHERE c.round < 3)),
+        f AS (
+            SELECT vec_id, min((list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), cluster)) AS best
+            FROM v, c WHERE c.round = 3 GROUP BY vec_id, x),
+        g AS (SELECT vec_id, best[2]::INTEGER AS cluster, best[1]::BIGINT AS distance FROM f)
+        SELECT vec_id, g.cluster, distance, sum(distance) OVER (PARTITION BY g.cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+               sha256(array_to_string(list_transform(c.c, lambda x: x::VARCHAR), ',')) AS centroid_sha256
+        FROM g JOIN c ON c.round = 3 AND c.cluster = g.cluster""",
 }
