@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.llm.common import checkpoint
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: What parts terms: all of ASCII but its letters.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 WHOLE = 1_000_000_000
-
-
-def terms_of(text: Column) -> Column:
-    return F.filter(F.split(F.translate(text, UPPER, LOWER), BETWEEN), lambda t: t != "")
+#: For each byte what stands for it: letters of ASCII in lower case, all else of ASCII a space, the rest itself.
+FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
+MOST_HELD = 400_000  # counts that a task keeps before it hands them on
+MOST_NAMES = 1_000_000  # sources of all languages that are broadcast
 
 
 def share(count: Column, total: Column, kept: Column, prior: int) -> Column:
@@ -24,16 +25,47 @@ def share(count: Column, total: Column, kept: Column, prior: int) -> Column:
 
 
 def term_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences, and documents that hold the term; summed in the map tasks before they meet."""
-    rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"))), terms_of(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("t"))
-    each = lambda held, n, d: F.transform(held, lambda t: F.struct(t.alias("term"), F.lit(n).alias("n"), F.lit(d).alias("docs")))
-    both = F.concat(each(F.col("t"), 1, 0), each(F.array_distinct("t"), 0, 1))
-    return rows.select("lang", "source", F.inline(both)).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    """(lang, source, term, n, docs): occurrences, and documents that hold the term, summed by task as far as ``MOST_HELD`` reaches.
+
+    In UTF-8 what parts terms is single bytes, so a text is folded and parted as bytes, without looking at its letters.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[Counter, Counter]] = {}
+        n = 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (times, within) in held.items():
+                terms = list(times)
+                yield pa.RecordBatch.from_pydict({
+                    "lang": pa.array([lang] * len(terms), pa.string()), "source": pa.array([source] * len(terms), pa.string()), "term": pa.array(terms, pa.binary()).cast(pa.string()),
+                    "n": pa.array(list(times.values()), pa.int64()), "docs": pa.array([within[t] for t in terms], pa.int64()),
+                })
+
+        for batch in batches:
+            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                terms = text.encode().translate(FOLDED).split()
+                times, within = held.setdefault((lang, source), (Counter(), Counter()))
+                n -= len(times)
+                times.update(terms)
+                within.update(set(terms))
+                n += len(times)
+                if n > MOST_HELD:
+                    yield from rows()
+                    held, n = {}, 0
+        yield from rows()
+
+    plain = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
+    return plain.mapInArrow(run, "lang string, source string, term string, n long, docs long")
 
 
 def wide_vectors(counts: DataFrame, sources: DataFrame, min_docs: int) -> DataFrame:
-    """(lang, term, v): each kept term's occurrences by source, in the order of the language's ``sources`` (lang, names)."""
-    rows = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("m")).where(F.col("docs") >= min_docs)
+    """(lang, term, v): each kept term's occurrences by source, in the order of the language's ``sources`` (lang, names).
+
+    Counts of a term meet once, so that neither the sums by source nor those of the language move them again.
+    """
+    own = counts.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    rows = own.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("m")).where(F.col("docs") >= min_docs)
     return rows.join(sources, "lang").select("lang", "term", F.transform("names", lambda s: F.coalesce(F.try_element_at("m", s), F.lit(0))).alias("v"))
 
 
@@ -52,20 +84,23 @@ def divergence(docs: DataFrame, min_docs: int = 30, prior: int = 5, top: int = 5
     """
     groups = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"))))
     sources = checkpoint(groups.distinct().groupBy("lang").agg(F.array_sort(F.collect_list("source")).alias("names")))
-    wide = checkpoint(wide_vectors(term_counts(docs, text_col, lang_col, source_col), sources, min_docs))
+    # broadcast only if what it holds is few; the kept terms of a language then stay where they are
+    few = (sources.agg(F.sum(F.size("names") + F.length(F.array_join("names", "")) / 100)).first()[0] or 0) <= MOST_NAMES
+    small = F.broadcast if few else (lambda df: df)
+    wide = checkpoint(wide_vectors(term_counts(docs, text_col, lang_col, source_col), small(sources), min_docs))
     # per language: V, and N of each source, summed place by place
     sums = wide.select("lang", F.posexplode("v").alias("k", "n")).groupBy("lang", "k").agg(F.sum("n").alias("n"), F.count("*").alias("kept"))
     totals = sums.groupBy("lang").agg(F.max("kept").alias("kept"), F.transform(F.array_sort(F.collect_list(F.struct("k", "n"))), lambda x: x["n"]).alias("totals"))
     langs = checkpoint(sources.join(totals, "lang", "left").select("lang", "names", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("totals", F.transform("names", lambda _: F.lit(0).cast("long"))).alias("totals")))
     p = F.zip_with("v", "totals", lambda n, total: share(n, total, F.col("kept"), prior))
-    shares = wide.join(langs.where("kept > 0"), "lang").select("lang", "term", "v", "names", p.alias("p"), "totals", "kept")
+    shares = wide.join(small(langs.where("kept > 0")), "lang").select("lang", "term", "v", "names", p.alias("p"), "totals", "kept")
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
 
     place = F.sequence(F.lit(0), F.size("names") - 1)
     pairs = F.flatten(F.transform(place, lambda a: F.transform(F.filter(place, lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b"), F.abs(F.get("p", a) - F.get("p", b)).alias("f")))))
     none = langs.select("lang", "names", F.transform("names", lambda _: F.lit(0).cast("long")).alias("p"))  # pairs of languages without terms
     met = shares.select("lang", "names", "p").unionByName(none).select("lang", F.inline(pairs)).groupBy("lang", "a", "b").agg(F.sum("f").alias("value"))
-    named = met.join(langs.select("lang", "names"), "lang").select("lang", F.get("names", F.col("a")).alias("x"), F.get("names", F.col("b")).alias("y"), "value")
+    named = met.join(small(langs.select("lang", "names")), "lang").select("lang", F.get("names", F.col("a")).alias("x"), F.get("names", F.col("b")).alias("y"), "value")
     both = named.select("lang", F.explode(F.array(F.struct(F.col("x").alias("source"), F.col("y").alias("item")), F.struct(F.col("y").alias("source"), F.col("x").alias("item")))).alias("s"), "value")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pair = both.select("lang", "s.source", F.lit("pair").alias("part"), "s.item", "value").withColumn("rank", F.row_number().over(order))
