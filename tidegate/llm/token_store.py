@@ -9,6 +9,7 @@ import struct
 import tempfile
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,20 +23,49 @@ MAGIC = b"TGWM"
 CHUNK = 1 << 16  # bytes of a plane that are compressed together
 BLOCK = 1 << 12  # bits between two entries of a rank directory
 SHARD = 1 << 20  # a shard ends with the document that brings it to so many ids
-MOST_KNOWN, LONGEST_KNOWN = 400_000, 48  # words whose ids are remembered, and their length
+MOST_KNOWN, LONGEST_KNOWN = 300_000, 48  # words whose ids are remembered, and their length
 ODD_SPACE = re.compile(r" (?:\s|\Z)")
 BEFORE_WORD = re.compile(r"(?= \S)")
+#: Between an ASCII letter and a sign, but not the apostrophe.
+PART = re.compile(r"(?<=[A-Za-z])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[A-Za-z])")
+
+
+class Remembered:
+    """Values of at most twice ``most`` keys: what wasn't asked for since it was last full is forgotten."""
+
+    def __init__(self, most: int):
+        self.most, self.now, self.before = most, {}, {}
+
+    def find(self, keys: list[str]) -> tuple[list[bytes | None], list[int]]:
+        """The values of keys, and the places of those that aren't known."""
+        values = list(map(self.now.get, keys))
+        if None not in values:
+            return values, []
+        gone = []
+        for k in [k for k, x in enumerate(values) if x is None]:
+            x = values[k] = self.before.get(keys[k])
+            if x is None:
+                gone.append(k)
+            else:
+                self.now[keys[k]] = x
+        return values, gone
+
+    def keep(self, keys: list[str], values: list[bytes]) -> None:
+        if len(self.now) >= self.most:
+            self.now, self.before = {}, self.now
+        self.now.update((k, x) for k, x in zip(keys, values, strict=True) if len(k) <= LONGEST_KNOWN)
 
 
 class Encoder:
     """Ids of whole texts by a tokenizer of the tokenizers library, as 32-bit integers in bytes.
 
-    A byte-level tokenizer never joins what stands before a space with the word after it, so texts are cut there and
-    the ids of short words are remembered. Texts that hold the string of an added token are encoded whole, as all are if
-    the tokenizer isn't of that kind.
+    A byte-level tokenizer never joins what stands before a space with the word after it, nor an ASCII letter with a sign
+    next to it (but the apostrophe), so texts are cut there and the ids of words and their parts are remembered. Texts that
+    hold the string of an added token are encoded whole, as all are if the tokenizer isn't of that kind.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -43,10 +73,24 @@ class Encoder:
         before = made.get("pre_tokenizer") or {}
         self.by_word = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not made.get("normalizer") and not made["model"].get("dropout")
         self.added = [t["content"] for t in made.get("added_tokens") or ()]
-        self.known: dict[str, bytes] = {}
+        self.words, self.parts = Remembered(MOST_KNOWN), Remembered(MOST_KNOWN)
 
     def plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def cut_up(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece, by its parts."""
+        cut = [PART.split(p) for p in pieces]
+        parts = list({part for own in cut for part in own})
+        values, gone = self.parts.find(parts)
+        if gone:
+            new = [parts[k] for k in gone]
+            found = self.plain(new)
+            for k, x in zip(gone, found, strict=True):
+                values[k] = x
+            self.parts.keep(new, found)
+        ids = dict(zip(parts, values, strict=True))
+        return [b"".join([ids[part] for part in own]) for own in cut]
 
     def ids(self, text: str | None) -> bytes:
         if not text:
@@ -54,25 +98,35 @@ class Encoder:
         if not self.by_word or any(t in text for t in self.added):
             return self.plain([text])[0]
         if ODD_SPACE.search(text):
-            pieces = [p for p in BEFORE_WORD.split(text) if p]
-        else:
-            first, *rest = text.split(" ")
-            pieces = [first, *(" " + w for w in rest)]
-        known = self.known
-        new = {p for p in pieces if p not in known}
-        if not new:
-            return b"".join([known[p] for p in pieces])
-        own = list(new)
-        found = dict(zip(own, self.plain(own), strict=True))
-        out = b"".join([known.get(p) or found.get(p, b"") for p in pieces])
-        if len(known) > MOST_KNOWN:
-            known.clear()
-        known.update((p, x) for p, x in found.items() if len(p) <= LONGEST_KNOWN)
-        return out
+            return b"".join(self.cut_up([p for p in BEFORE_WORD.split(text) if p]))
+        words = text.split(" ")
+        first = words.pop(0)
+        values, gone = self.words.find(words)
+        if gone:
+            new = list({words[k] for k in gone})
+            found = self.cut_up([" " + w for w in new])
+            self.words.keep(new, found)
+            ids = dict(zip(new, found, strict=True))
+            for k in gone:
+                values[k] = ids[words[k]]
+        return (self.cut_up([first])[0] if first else b"") + b"".join(values)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a worker: tasks that run in it one after the other share what it remembers."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _packed(data: bytes) -> bytes:
-    return zlib.compress(data, 1)
+    """Compressed, unless the beginning shows that it doesn't pay: the lower planes of common ids are as good as noise."""
+    some = data[:4096]
+    return zlib.compress(data, 1 if len(zlib.compress(some, 1)) < 0.9 * len(some) else 0)
 
 
 def build_shard(docs: list[tuple[int | None, int]], ids: np.ndarray, part: int, place: int, start: int) -> bytes:
@@ -259,7 +313,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
     where.create_dir(path, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, (files, base) = Encoder(tokenizer), _open(folder)
+        known, (files, base) = encoder(tokenizer), _open(folder)
         task = TaskContext.get()
         part, last = task.partitionId(), b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
         held, data, size, place, start = [], [], 0, 0, 0
@@ -276,7 +330,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = encoder.ids(text) + last
+                own = known.ids(text) + last
                 held.append((i, len(own) // 4))
                 data.append(own)
                 size += len(own) // 4
