@@ -28,6 +28,20 @@ def test_keyword_scan(spark):
     assert hits(spark, [("c", "x")], None) == []
 
 
+def test_how_a_word_is_written_goes_before_how_it_sounds(spark):
+    known = {"赌": "du", "賭": "du", "博": "bo", "网": "wang", "網": "wang", "捡": "jian", "见": "jian", "闻": "wen", "裸": "luo", "聊": "liao"}
+
+    def found(words, text):
+        lex = spark.createDataFrame(words, "category string, word string")
+        return [(r.start, r.end, r.word, r.kind) for r in keywords.keyword_hits(spark.createDataFrame([(1, text)], TEXTS), lex, known).collect()]
+
+    assert found([("c", "赌博网")], "来賭博網") == [(1, 4, "赌博网", "traditional")]
+    assert found([("c", "捡闻")], "见闻很多") == [(0, 2, "捡闻", "pinyin_full")]
+    assert found([("c", "捡闻+裸聊")], "见闻裸聊") == [], "an AND rule needs its words as they are written"
+    assert found([("c", "捡闻+裸聊")], "捡闻裸聊") == [(0, 4, "捡闻+裸聊", "literal")]
+    assert found([("c", "捡闻+裸聊")], "jianwen裸聊") == [(0, 9, "捡闻+裸聊", "literal")], "spelled in Latin letters they stand in the text"
+
+
 def test_a_lexicon_in_parts_gives_the_same(spark):
     lex = spark.createDataFrame([("c", w) for w in ("ab", "bc", "cd", "x+y")], "category string, word string")
     texts = spark.createDataFrame([(1, "abcd"), (2, "y x")], TEXTS)
@@ -124,12 +138,78 @@ def test_near_hashes_by_bands_equal_all_pairs(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(256) for _ in range(30)]
     flip = lambda h, n: h ^ sum(1 << b for b in rng.sample(range(256), n))
-    frames = [(k, "m", f"{flip(h, k % 9):064x}") for k, h in enumerate(base)]
+    frames = [(k, "m", f"{flip(h, k % 26):064x}") for k, h in enumerate(base)]
+    # turned bits that lie evenly over the bands, the worst case
+    frames += [(100 + k, "m", f"{h ^ sum(1 << (32 * (j % 8) + j // 8 + k) for j in range(k)):064x}") for k, h in enumerate(base[:24])]
     known = [(k, "w", f"{h:064x}") for k, h in enumerate(base)]
     a, b = spark.createDataFrame(frames, "frame_id long, md5 string, phash string"), spark.createDataFrame(known, "white_id long, white_md5 string, white_phash string")
-    for d in (0, 3, 5, 8, 40):
+    for d in (0, 3, 5, 7, 8, 12, 15, 16, 23, 40):
         want = {(i, j, (int(x, 16) ^ int(y, 16)).bit_count()) for i, _, x in frames for j, _, y in known if (int(x, 16) ^ int(y, 16)).bit_count() <= d}
-        assert {tuple(r) for r in images.near_hashes(a, b, d).collect()} == want
+        near = images.near_hashes(a, b, d)
+        assert {tuple(r) for r in near.collect()} == want and (d < 5 or len(want) > d)
+        plan = near._jdf.queryExecution().executedPlan().toString()
+        assert ("Cartesian" in plan or "NestedLoop" in plan) == (d > 23)
+
+
+def test_key_references(spark):
+    rng = random.Random(8)
+    keys = sorted({"".join(rng.choice("ab-_") for _ in range(rng.randint(1, 6))) for _ in range(120)} | {"UNIQUE-1", "x" * 50})
+    refs = sorted({k[: rng.randint(1, 6)] for k in keys} | {"UNI", "U*N?I", "none", "", "**", "x" * 49, "x" * 50, "x" * 51, *keys[:20]})
+    out = caches.resolve_keys(spark.createDataFrame([(r,) for r in refs], "ref string"), spark.createDataFrame([(k,) for k in keys], "key string").repartition(4))
+    got = {r.ref: (r.key, r.n) for r in out.collect()}
+    for ref in refs:
+        prefix = "".join(c for c in ref if c.isalnum() or c in "_-")
+        found = [k for k in keys if prefix and k.startswith(prefix)]
+        assert got[ref] == (ref if ref in keys else found[0] if len(found) == 1 else None, len(found)), ref
+    assert got["U*N?I"] == ("UNIQUE-1", 1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_samples_keep_few_rows_a_task(spark):
+    rows = spark.createDataFrame([("black" if k % 5 else "white", k, f"t{k}", "s") for k in range(200)], "pool string, line_no int, text string, source string").repartition(6)
+    got = [(r.pool, r.line_no, r.turn) for r in corpus.balanced_sample(rows, 90).orderBy("turn", "pool").collect()]
+    black, white = [k for k in range(200) if k % 5], [k for k in range(200) if not k % 5]
+    want = [x for t in range(200) for x in ([("black", black[t], t + 1)] if t < len(black) else []) + ([("white", white[t], t + 1)] if t < len(white) else [])][:90]
+    assert got == want
+    for df in (corpus.balanced_sample(rows, 10), corpus.sample_examples(rows, 5, 20)):
+        assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
+    drawn = corpus.sample_examples(rows, 7, 20).collect()
+    assert len(drawn) == 7 and all((r.line_no in black[:20]) or (r.line_no in white[:20]) for r in drawn)
+
+
+def test_inserts_upserts_and_removals(spark):
+    make = lambda *rows: spark.createDataFrame(list(rows), "a int, b string, seq int")
+    table, new = make((1, "x", 0)), make((1, "y", 1), (2, "z", 3), (2, "w", 2), (3, None, 4))
+    assert {tuple(r) for r in corpus.fresh_rows(table, new, ["a"], "seq").collect()} == {(2, "w", 2), (3, None, 4)}
+    assert tuple(corpus.insert_ignore(table, new, ["a"], "seq").first()) == (2, 2)
+    assert {tuple(r) for r in corpus.upsert(table, new, ["a"], "seq").collect()} == {(1, "y", 1), (2, "z", 3), (3, None, 4)}
+    assert {r.a for r in corpus.remove(new, table, ["a"]).collect()} == {2, 3}
+
+
+def test_review_reports(spark, tmp_path):
+    import json
+
+    from tidegate.operators import review
+
+    make = lambda rows: spark.createDataFrame(rows, "request_id string, has_violation boolean, confidence double, source string, text string")
+    rows = [(f"v{k}", True, 0.4 + k / 100, "s", None) for k in range(7)] + [("s0", False, 0.42, "s", None)]
+    lost, judged = make(rows), make([(*r[:4], "text") for r in rows])
+    verdicts = spark.createDataFrame([(f"v{k}", True) for k in range(7)] + [("s0", True)], "request_id string, is_violation boolean")
+    run = lambda sample, v: review.report(sample, v, logs.band_stats(sample)).first()
+    r = run(lost, None)
+    assert (r["mode"], r.skipped_reason, r.sampled, r.reviewed, r.action) == ("statistical", "llm_unavailable", 0, 0, None)
+    r = run(lost.where("false"), verdicts)
+    assert (r["mode"], r.skipped_reason, r.sampled, r.action) == ("statistical", "no_samples", 0, None)
+    r = run(lost, verdicts)
+    assert (r["mode"], r.skipped_reason, r.sampled, r.text_missing, r.reviewed, r.consistent_rate) == ("statistical", "text_unavailable", 8, 8, 0, None)
+    assert (r.action, r.watched) == ("watch", "confidence_high")
+    assert run(lost.where("request_id IN ('v1', 's0')"), verdicts).action is None
+    r = run(judged.union(lost.limit(1)), verdicts)
+    assert (r["mode"], r.skipped_reason, r.sampled, r.text_missing, r.reviewed, r.missed, r.action, r.confidence_high) == ("full", None, 9, 1, 8, 1, "raise_high", 0.8)
+    path = review.write_report(review.report(judged, verdicts, logs.band_stats(judged)), str(tmp_path), "2024-01-01T00:00:00")
+    (part,) = (tmp_path / "2024-01-01T00-00-00.json").glob("part-*.json")
+    assert path.endswith("2024-01-01T00-00-00.json") and json.loads(part.read_text())["reviewed"] == 8
 
 
 def test_rate_limit_counts_admitted_only(spark):
@@ -215,31 +295,6 @@ def test_logs_pages_are_checked_and_median_is_the_upper(spark):
         logs.page(df, 0)
 
 
-def test_the_funnel_takes_overrides_frames_and_the_light_model(spark):
-    from tidegate.functions import text as T
-    from tidegate.plans import funnel
-
-    make = spark.createDataFrame
-    requests = make([(k, t, "full" if k % 2 else "standard") for k, t in enumerate(["", "plain", "bad word", "listed", "fine", "lit"])], "request_id long, text string, key_tier string")
-    queries = make([(1, [1.0, 0.0]), (2, [1.0, 0.0])], "request_id long, query array<double>")
-    pools = make([(1, "black", "b", [1.0, 0.1]), (2, "white", "w", [0.2, 1.0])], "vec_id long, pool string, category string, embedding array<double>")
-    words = make([("abuse", "bad")], "category string, word string")
-    rules = make([], RULE)
-    verdicts = make([], "request_id long, is_violation boolean, category string, confidence double")
-    listed = requests.where("request_id = 3").select(T.text_hash(F.col("text")).alias("hash"), F.lit("white").alias("color")).union(make([("frame", "black")], "hash string, color string"))
-    light = make([(5, True)], "request_id long, violation boolean")
-    frames = make([(4, False, "frame"), (1, True, None)], "request_id long, whitelisted boolean, hash string")
-    over = make([(1, 0.999, 0.0, 0.1, float("nan")), (2, 0.5, None, None, None)], "request_id long, semantic_threshold double, margin_w double, confidence_low double, confidence_high double")
-    out = {r.request_id: r for r in funnel.audit(requests, queries, pools, words, rules, verdicts, listed, light=light, frames=frames, overrides=over).collect()}
-    assert out[0].source == "basic_rules_pass" and out[0].has_violation is False
-    assert out[1].tier == "violation" and out[1].error is None
-    assert out[2].error == "overrides_not_permitted" and out[2].has_violation is None and out[2].tier is None
-    assert (out[3].source, out[3].has_violation) == ("permanent_list", False)
-    assert (out[4].source, out[4].has_violation) == ("permanent_list", True), "a frame's hash is looked up, too"
-    assert (out[5].source, out[5].has_violation) == ("semantic", True), "the light model alone is a strong signal"
-    assert len(out) == 6
-
-
 def test_hashing_a_long_token_among_many_short_ones():
     from tests.test_text import fnv
     from tidegate.functions.hashing import _fnv

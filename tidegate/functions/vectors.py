@@ -39,22 +39,47 @@ def mean_vectors(vectors: Column) -> Column:
     return F.transform(total, lambda x: x / F.size(vectors))
 
 
+def max_vectors(vectors: Column) -> Column:
+    """The largest of each component of an array of vectors of one length."""
+    first = F.transform(vectors[0], lambda x: x.cast("double"))
+    return F.aggregate(vectors, first, lambda s, v: F.zip_with(s, v, lambda x, y: F.greatest(x, y.cast("double"))))
+
+
+def _held(value: Column, then) -> Column:
+    """``then`` of a column that is worked out once: it stands in an array of one."""
+    return F.transform(F.array(value), then)[0]
+
+
+def pool_images(images: Column) -> Column:
+    """One vector of several images: each normalised, their mean normalised."""
+    unit = F.transform(images, lambda v: l2_normalize(v))
+    return _held(_held(unit, lambda x: mean_vectors(x)), lambda v: l2_normalize(v))
+
+
 def fuse(text: Column, image: Column, mode: str = "pool", w_text: float = 0.4, w_image: float = 0.6) -> Column:
-    """One vector of a text's and an image's: side by side, or weighted and added; normalised. One alone is normalised.
+    """One vector of a text's and an image's, each normalised and weighted: side by side or added, then normalised. One alone is normalised.
 
-    Modes: concat, weighted_avg, pool (the same where both are there). Both null gives null; vectors of unlike
-    length raise an error unless they are put side by side.
+    Modes: concat, weighted_avg, pool (the same where both are there). Neither there, or vectors of unlike length that are
+    to be added, raise an error.
     """
+    return fuse_images(text, F.when(image.isNotNull(), F.array(image)), mode, w_text, w_image)
+
+
+def fuse_images(text: Column, images: Column, mode: str = "pool", w_text: float = 0.4, w_image: float = 0.6) -> Column:
+    """``fuse`` of a text's vector and an array of images' vectors, null or empty if there is none."""
     if mode not in ("concat", "weighted_avg", "pool"):
         raise ValueError(f"unknown mode: {mode}")
-    t, i = l2_normalize(text), l2_normalize(image)
+    wrong = lambda why: F.raise_error(F.lit(why)).cast("array<double>")
+    some = F.coalesce(F.size(images), F.lit(0)) > 0
+    image = F.when(some, pool_images(images))
+    scaled = lambda v, w: F.transform(v, lambda x: x * w)
     if mode == "concat":
-        both = l2_normalize(F.concat(t, i))
+        both = lambda p: F.concat(scaled(p["t"], w_text), scaled(p["i"], w_image))
     else:
-        same = F.when(F.size(text) == F.size(image), t).otherwise(F.raise_error(F.lit("vectors of unlike length")).cast("array<double>"))
-        both = F.transform(F.array(F.struct(same.alias("t"), i.alias("i"))), lambda p: F.zip_with(p["t"], p["i"], lambda x, y: w_text * x + w_image * y))[0]
-        both = F.transform(F.array(both), lambda v: l2_normalize(v))[0]
-    return F.when(text.isNull(), i).when(image.isNull(), t).otherwise(both)
+        both = lambda p: F.when(F.size(p["t"]) == F.size(p["i"]), F.zip_with(p["t"], p["i"], lambda x, y: w_text * x + w_image * y)).otherwise(wrong("vectors of unlike length"))
+    parts = F.struct(l2_normalize(text).alias("t"), image.alias("i"))
+    fused = _held(_held(parts, both), lambda v: l2_normalize(v))
+    return F.when(text.isNull() & ~some, wrong("neither text nor image")).when(text.isNull(), image).when(~some, l2_normalize(text)).otherwise(fused)
 
 
 def build_query(text: Column, images: Column, mode: str = "pool", w_text: float = 0.4, w_image: float = 0.6) -> Column:

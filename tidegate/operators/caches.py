@@ -122,10 +122,18 @@ def provider_order(providers: DataFrame) -> DataFrame:
     return providers.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("active"), "priority", "provider")))
 
 
-def resolve_keys(references: DataFrame, keys: DataFrame) -> DataFrame:
-    """(ref, key, n): a key equal to the reference, else the one that begins with it; null if none or several do."""
-    bare = references.withColumn("prefix", F.regexp_replace("ref", r"[^A-Za-z0-9_-]", ""))
-    exact = bare.join(keys.select(F.col("key").alias("exact")), F.col("ref") == F.col("exact"), "left")
-    met = exact.join(keys.select("key"), F.col("key").startswith(F.col("prefix")) & (F.col("prefix") != ""), "left")
-    rows = met.groupBy("ref").agg(F.max("exact").alias("exact"), F.count("key").alias("n"), F.max("key").alias("one"))
-    return rows.select("ref", F.coalesce("exact", F.when(F.col("n") == 1, F.col("one"))).alias("key"), "n")
+def resolve_keys(references: DataFrame, keys: DataFrame, longest: int = 1024) -> DataFrame:
+    """(ref, key, n): a key equal to the reference, else the one that begins with it; null if none or several do; ``n`` keys begin with it.
+
+    What a reference holds besides letters, digits, ``_`` and ``-`` is left out of the prefix; a reference without any
+    finds no key but its equal. For each length that references have, at most ``longest``, keys are counted by their
+    first letters within the tasks that read them; what meets the references is one row a prefix, so a prefix of a third of all
+    keys costs no more than another.
+    """
+    bare = references.select("ref", F.regexp_replace("ref", r"[^A-Za-z0-9_-]", "").alias("prefix")).distinct()
+    lengths = sorted(r["n"] for r in bare.where(F.length("prefix").between(1, longest)).select(F.length("prefix").alias("n")).distinct().collect())
+    begins = F.filter(F.array(*(F.struct(F.lit(n).alias("n"), F.substring("key", 1, n).alias("prefix")) for n in lengths)), lambda x: F.length(x["prefix"]) == x["n"]) if lengths else F.array().cast("array<struct<n:int,prefix:string>>")
+    counted = keys.select("key", F.explode(F.transform(begins, lambda x: x["prefix"])).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("n"), F.max("key").alias("one"))
+    equal = keys.select(F.col("key").alias("exact")).distinct()
+    rows = bare.join(equal, F.col("ref") == F.col("exact"), "left").join(counted, "prefix", "left")
+    return rows.select("ref", F.coalesce("exact", F.when(F.col("n") == 1, F.col("one"))).alias("key"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -40,16 +40,23 @@ def pool_conflicts(rows: DataFrame) -> DataFrame:
 
 
 def balanced_sample(rows: DataFrame, n: int) -> DataFrame:
-    """black[0], white[0], black[1], ... up to ``n`` rows; a pool that has run out is passed over."""
-    turn = F.row_number().over(Window.partitionBy("pool").orderBy("line_no"))
-    return rows.withColumn("turn", turn).orderBy("turn", "pool").limit(n)
+    """black[0], white[0], black[1], ... up to ``n`` rows; a pool that has run out is passed over.
+
+    Of a pool only the first ``n`` rows can be drawn, so every task hands on that many of each at most.
+    """
+    return first_of_each(rows, ["pool"], ["line_no"], n).withColumnRenamed("place", "turn").orderBy("turn", "pool").limit(n)
+
+
+def first_of_each(rows: DataFrame, group: list[str], order: list, k: int) -> DataFrame:
+    """The first ``k`` rows of each group, with ``place`` from 1: tasks keep ``k`` rows a group, and those are merged."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("place") <= k)
 
 
 def sample_examples(rows: DataFrame, n: int = 20, head: int = 400, most_chars: int = 200, seed: int = 7) -> DataFrame:
     """``n`` texts drawn by hash from the first ``head`` short ones of each pool; a text in both pools is black's."""
     short = rows.where((F.length("text") <= most_chars) & (F.trim("text") != ""))
-    heads = short.withColumn("k", F.row_number().over(Window.partitionBy("pool").orderBy("line_no"))).where(F.col("k") <= head)
-    return keep_first(heads, ["text"], "pool").orderBy(F.xxhash64("text", F.lit(seed))).limit(n).drop("k")
+    heads = first_of_each(short, ["pool"], ["line_no"], head).drop("place")
+    return keep_first(heads, ["text"], "pool").orderBy(F.xxhash64("text", F.lit(seed)), "text").limit(n)
 
 
 def corpus_stats(rows: DataFrame) -> DataFrame:
@@ -69,9 +76,16 @@ def resume(rows: DataFrame, done: DataFrame) -> DataFrame:
     return rows.join(done.select("id"), "id", "left_anti")
 
 
+def fresh_rows(table: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows of ``new`` to insert: of each key that the table lacks the first in order, found within the tasks before they meet."""
+    rest = [c for c in new.columns if c not in keys]
+    first = new.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("x")).select(*keys, "x.*")
+    return first.join(table.select(*keys).distinct(), keys, "left_anti").select(*new.columns)
+
+
 def insert_ignore(table: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
     """(inserted, skipped) rows of ``new``: the first of each key that the table lacks is inserted."""
-    fresh = keep_first(new, keys, order).join(table.select(*keys), keys, "left_anti")
+    fresh = fresh_rows(table, new, keys, order)
     return new.agg(F.count("*").alias("total")).crossJoin(fresh.agg(F.count("*").alias("inserted"))).select("inserted", (F.col("total") - F.col("inserted")).alias("skipped"))
 
 
@@ -82,6 +96,16 @@ def upsert(table: DataFrame, new: DataFrame, keys: list[str], order: str) -> Dat
     return table.join(latest.select(*keys), keys, "left_anti").unionByName(latest)
 
 
+def remove(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """The table without rows of those keys."""
+    return table.join(gone.select(*keys).distinct(), keys, "left_anti")
+
+
+def metadata_text(text, most: int = 200):
+    """What a vector's metadata keeps of its text: the first ``most`` letters."""
+    return F.substring(text, 1, most)
+
+
 def knowledge_version(words: DataFrame, rules: DataFrame, revision: int) -> DataFrame:
     """kw{largest word id}-r{largest rule id}-rev{revision}"""
     both = words.agg(F.coalesce(F.max("id"), F.lit(0)).alias("w")).crossJoin(rules.agg(F.coalesce(F.max("id"), F.lit(0)).alias("r")))

@@ -61,24 +61,28 @@ def permanent_list(hashes: DataFrame, listed: DataFrame) -> DataFrame:
 def decide(signals: DataFrame, basic: DataFrame, verdicts: DataFrame, d: Defaults = DEFAULTS) -> DataFrame:
     """(request_id, tier, has_violation, confidence, category, source) from signals, rule summary and model verdicts.
 
-    Signals may have ``low`` and ``high``, thresholds of a row's own.
+    In order: a request without any basic risk passes, whatever lies near it; where retrieval has no answer a strong signal
+    decides; below ``low`` it is safe, without a category; above ``high`` a violation; between them a verdict counts, if
+    there is one. Signals may have ``low`` and ``high``, thresholds of a row's own; ``basic`` may have ``skip_llm``, whose
+    rows take no verdict.
     """
     own = [c for c in ("low", "high") if c in signals.columns]
     rows = basic.join(signals.select("request_id", F.col("confidence").alias("semantic"), "triggered", F.col("category").alias("semantic_category"), *own), "request_id", "left")
     rows = rows.join(verdicts.select("request_id", F.struct("is_violation", "category", "confidence").alias("verdict")), "request_id", "left")
-    semantic, category = F.col("semantic"), F.col("semantic_category")
-    level = tier(semantic, F.col("low") if own else d.confidence_low, F.col("high") if own else d.confidence_high)
-    sure = lambda hit: F.struct(F.lit(hit).alias("has_violation"), semantic.alias("confidence"), category.alias("category"), F.lit("semantic").alias("source"))
-    clear = F.struct(F.lit(False).alias("has_violation"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("category"), F.lit("basic_rules_pass").alias("source"))
-    # without a retrieved vector the rules decide alone
+    semantic, category, risk = F.col("semantic"), F.col("semantic_category"), F.col("risk")
+    verdict = F.when(~F.coalesce("skip_llm", F.lit(False)), F.col("verdict")) if "skip_llm" in basic.columns else F.col("verdict")
+    rows = rows.withColumn("verdict", verdict)
+    level = tier(semantic, F.coalesce("low", F.lit(d.confidence_low)) if own else d.confidence_low, F.coalesce("high", F.lit(d.confidence_high)) if own else d.confidence_high)
+    none = F.lit(None).cast("string")
+    outcome = lambda hit, confidence, kind, source: F.struct(F.lit(hit).alias("has_violation"), confidence.alias("confidence"), kind.alias("category"), F.lit(source).alias("source"))
     decided = (
-        F.when(semantic.isNull() & ~F.col("risk"), clear)
+        F.when(~risk, outcome(False, F.lit(0.0), none, "basic_rules_pass"))
         .when(semantic.isNull(), without_retrieval(F.col("strong"), category, F.col("hit_category")))
-        .when(level == "safe", sure(False))
-        .when(level == "violation", sure(True))
+        .when(level == "safe", outcome(False, semantic, none, "semantic"))
+        .when(level == "violation", outcome(True, semantic, category, "semantic"))
         .otherwise(merge(semantic, F.col("triggered"), category, F.col("verdict"), d.llm_weight))
     )
-    return rows.withColumn("out", decided).select("request_id", F.when(semantic.isNotNull(), level).alias("tier"), "out.*")
+    return rows.withColumn("out", decided).select("request_id", F.when(risk & semantic.isNotNull(), level).alias("tier"), "out.*")
 
 
 OVERRIDES = ["semantic_threshold", "margin_w", "confidence_low", "confidence_high"]
@@ -108,7 +112,7 @@ def semantic_detail(signals: DataFrame) -> DataFrame:
 def exempted_detail(judged: DataFrame, rules: DataFrame) -> DataFrame:
     """(request_id, category, word, start, end, reason) of exempted hits; the reason is the rule's note, else its pattern."""
     why = rules.select(F.col("id").alias("rule_id"), F.coalesce(F.nullif(F.col("note"), F.lit("")), "pattern").alias("reason"))
-    return judged.where("rule_id IS NOT NULL").join(F.broadcast(why), "rule_id").select("request_id", "category", "word", "start", "end", "reason")
+    return judged.where("rule_id IS NOT NULL").join(why, "rule_id").select("request_id", "category", "word", "start", "end", "reason")
 
 
 def to_judge(decided: DataFrame, d: Defaults = DEFAULTS) -> DataFrame:

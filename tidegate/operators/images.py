@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,22 +12,39 @@ from tidegate.functions.hashing import hamming
 BITS = 256
 
 
+NARROWEST = 32  # bits of a band that hashes have to agree in, with or without turned bits
+MOST_TURNED = 2
+
+
+def _turned(width: int, n: int) -> list[int]:
+    """All numbers of ``width`` bits with at most ``n`` bits set."""
+    return [sum(1 << b for b in bits) for k in range(n + 1) for bits in combinations(range(width), k)]
+
+
 def near_hashes(frames: DataFrame, known: DataFrame, distance: int) -> DataFrame:
     """(frame_id, white_id, distance): every pair of hashes at most ``distance`` bits apart.
 
     Cut into distance + 1 bands, such hashes agree in one band at least, so an equi-join on (band, digits) finds all
-    pairs; where bands would be narrower than 8 digits the pairs come from the whole comparison of both tables.
+    pairs. Where bands would be narrower than ``NARROWEST`` bits there are eight of that width, in one of which such hashes
+    differ by an eighth of the distance at most: the known hashes are listed with so many bits turned in each band (33 values a
+    band for one bit, 529 for two). Distances beyond 23 of 256 bits are half of all pairs' and compared whole.
     """
-    digits = BITS // 4
     bands = distance + 1
-    width = digits // bands
-    if width < 8:
-        pairs = frames.crossJoin(known)
-    else:
+    if BITS // bands >= NARROWEST:
+        digits, width = BITS // 4, BITS // 4 // bands
         cut = lambda h: F.array(*(F.struct(F.lit(b).alias("band"), F.substring(h, b * width + 1, width if b < bands - 1 else digits).alias("part")) for b in range(bands)))
-        a = frames.select("*", F.inline(cut(F.col("phash"))))
-        b = known.select("*", F.inline(cut(F.col("white_phash"))))
+        a, b = frames.select("*", F.inline(cut(F.col("phash")))), known.select("*", F.inline(cut(F.col("white_phash"))))
+        pairs = a.join(b, ["band", "part"]).drop("band", "part")
+    elif distance // (BITS // NARROWEST) <= MOST_TURNED:
+        digits = NARROWEST // 4
+        number = lambda h, b: F.conv(F.substring(h, b * digits + 1, digits), 16, 10).cast("long")
+        cut = lambda h: F.array(*(F.struct(F.lit(b).alias("band"), number(h, b).alias("part")) for b in range(BITS // NARROWEST)))
+        masks = F.array(*map(F.lit, _turned(NARROWEST, distance // (BITS // NARROWEST))))
+        a, b = frames.select("*", F.inline(cut(F.col("phash")))), known.select("*", F.inline(cut(F.col("white_phash"))))
+        b = b.select("*", F.explode(masks).alias("mask")).withColumn("part", F.col("part").bitwiseXOR(F.col("mask"))).drop("mask")
         pairs = a.join(b, ["band", "part"]).drop("band", "part")
+    else:
+        pairs = frames.crossJoin(known)
     rows = pairs.withColumn("distance", hamming(F.col("phash"), F.col("white_phash"))).where(F.col("distance") <= distance)
     return rows.select("frame_id", "white_id", "distance").distinct()
 

@@ -11,12 +11,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegate.functions import patterns
 from tidegate.functions import text as T
 from tidegate.operators import pinyin
 
 SEPARATORS = ["@", "·", "・", "*"]
-#: Of hits of one word and span the first of these stands.
-KINDS = ["literal", "pinyin_full", "pinyin_fuzzy", "pinyin_init", "case", "fullwidth", "traditional", "simplified", "symbol"]
+#: Of hits of one word and span the first of these stands: how a word is written goes before how it sounds.
+KINDS = ["literal", "case", "fullwidth", "traditional", "simplified", "symbol", "pinyin_full", "pinyin_fuzzy", "pinyin_init"]
 KIND_ORDER = {k: n for n, k in enumerate(KINDS)}
 
 
@@ -73,7 +74,10 @@ class Lexicon:
         return machine
 
     def occurrences(self, text: str) -> Iterator[tuple]:
-        """(word, category, kind, rule, term, terms, matched, start, end) of every occurrence, overlaps included."""
+        """(word, category, kind, rule, term, terms, matched, start, end) of every occurrence, overlaps included.
+
+        Terms of AND rules count where they stand in the text itself, not where Han characters only sound like them.
+        """
         if self.direct is not None:
             for last, (variant, own) in self.direct.iter(text):
                 for o in own:
@@ -85,7 +89,10 @@ class Lexicon:
             for last, (variant, own) in self.said.iter(heard):
                 start = last - len(variant) + 1
                 for o in own:
-                    yield (*o, variant, start, last + 1) if where is None else (*o, variant, where[start], where[last] + 1)
+                    if where is None:
+                        yield *o, variant, start, last + 1
+                    elif o[3] is None:
+                        yield *o, variant, where[start], where[last] + 1
 
     def hits(self, text: str) -> list[tuple]:
         """(start, end, category, word, kind): one for each word and span, the first kind; AND rules whose terms are all there.
@@ -113,32 +120,39 @@ class Lexicon:
 
 
 class Rules:
-    """Rules of one action in order of id, found by the phrases that every match of them holds; built in a worker."""
+    """Rules of one action in order of id, found by what a text must hold for them to match; built in a worker.
 
-    def __init__(self, rows: list[tuple]):
+    A row is (id, category, pattern, clauses): every clause has a string that the text holds (``patterns.required``). A rule
+    is posted under the strings of one clause, that which the fewest texts hold by ``weights``, else the longest; only
+    where one of them is found are its other clauses looked at, and only then the expression runs.
+    """
+
+    def __init__(self, rows: list[tuple], weights: dict[str, int] | None = None):
         self.rows, self.always, self.machine = rows, [], None
         self.compiled: dict[int, re.Pattern] = {}
-        at: dict[str, list[int]] = {}
-        for k, (*_, phrases) in enumerate(rows):
-            for phrase in phrases:
-                at.setdefault(phrase, []).append(k)
-            if not phrases:
+        self.rest: list[list] = []
+        posted: dict[str, list[int]] = {}
+        for k, (*_, clauses) in enumerate(rows):
+            order = sorted(clauses, key=lambda c: (sum((weights or {}).get(s, 0) for s in c), -min(map(len, c)), len(c)))
+            self.rest.append(order[1:])
+            for s in order[0] if order else ():
+                posted.setdefault(s, []).append(k)
+            if not order:
                 self.always.append(k)
-        if at:
+        if posted:
             self.machine = ahocorasick.Automaton()
-            for phrase, own in at.items():
-                self.machine.add_word(phrase, (phrase, own))
+            for n, s in enumerate(posted):
+                self.machine.add_word(s, n)
             self.machine.make_automaton()
+        self.posted = list(posted.values())
 
     def candidates(self, text: str) -> list[int]:
-        """Places of the rules all of whose phrases the text holds, whatever their case, and of those without phrases."""
+        """Places of the rules whose every clause the text meets, and of those without clauses."""
         if self.machine is None:
             return self.always
-        count: dict[int, int] = {}
-        for _, own in {x[0]: x for _, x in self.machine.iter(text.lower())}.values():
-            for k in own:
-                count[k] = count.get(k, 0) + 1
-        return sorted(self.always + [k for k, n in count.items() if n == len(self.rows[k][3])])
+        folded = patterns.fold(text)
+        found = {k for n in {n for _, n in self.machine.iter(folded)} for k in self.posted[n]}
+        return sorted([*self.always, *(k for k in found if patterns.holds(folded, self.rest[k]))])
 
     def search(self, k: int, text: str) -> re.Match | None:
         if k not in self.compiled:
@@ -162,42 +176,51 @@ class Rules:
 
 def rule_errors(rules: DataFrame) -> DataFrame:
     """(id, error): rules whose action isn't violate or exempt, or whose pattern isn't a Python regular expression."""
-
-    @F.pandas_udf("string")
-    def wrong(patterns: pd.Series) -> pd.Series:
-        def one(pattern: str | None) -> str | None:
-            try:
-                re.compile(pattern)
-            except (re.error, TypeError) as error:
-                return f"pattern: {error}"
-            return None
-
-        return patterns.map(one)
-
-    bad = F.when(~F.coalesce(F.col("action").isin("violate", "exempt"), F.lit(False)), F.concat(F.lit("action: "), F.coalesce("action", F.lit("none")))).otherwise(wrong("pattern"))
+    action = F.concat(F.lit("action: "), F.coalesce("action", F.lit("none")))
+    pattern = F.concat(F.lit("pattern: "), patterns.analysed("pattern")["error"])
+    bad = F.when(~F.coalesce(F.col("action").isin("violate", "exempt"), F.lit(False)), action).otherwise(pattern)
     return rules.select("id", bad.alias("error")).where("error IS NOT NULL")
 
 
-def active_rules(rules: DataFrame, action: str, most: int = 1_000_000) -> list[tuple]:
-    """(id, category, pattern, phrases) of the active rules of an action, in order of id.
+def active_rules(rules: DataFrame, *actions: str, most_chars: int = 64_000_000) -> list[list[tuple]]:
+    """For each action the (id, category, pattern, clauses) of its active rules, in order of id.
 
-    Rules are settings that people write; over ``most`` of them, or any that ``rule_errors`` names, raise an error
-    before a text is read.
+    Rules are settings that people write; their expressions are read on the executors. More of them than a broadcast of
+    ``most_chars`` holds, or any that ``rule_errors`` names, raise an error before a text is read.
     """
-    own = rules.where("is_active").where(F.coalesce(F.col("action") == action, F.lit(False)) | ~F.coalesce(F.col("action").isin("violate", "exempt"), F.lit(False)))
-    rows = own.select("id", F.coalesce("category", F.lit("")).alias("category"), "pattern", "action", T.pattern_phrases(F.col("pattern")).alias("phrases")).orderBy("id").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rules")
-    out = []
-    for r in rows:
-        if r["action"] != action:
+    known = F.coalesce(F.col("action").isin("violate", "exempt"), F.lit(False))
+    own = rules.where("is_active").where(F.col("action").isin(*actions) | ~known)
+    chars = own.agg(F.sum(F.length("pattern") + F.lit(64))).first()[0] or 0
+    if chars > most_chars:
+        raise ValueError(f"rules of {chars} characters, over {most_chars}")
+    found = own.select("id", F.coalesce("category", F.lit("")).alias("category"), "pattern", "action", patterns.analysed("pattern").alias("x")).orderBy("id").collect()
+    out: dict[str, list[tuple]] = {a: [] for a in actions}
+    for r in found:
+        if r["action"] not in out:
             raise ValueError(f"rule {r['id']}: action {r['action']!r}")
-        try:
-            re.compile(r["pattern"])
-        except (re.error, TypeError) as error:
-            raise ValueError(f"rule {r['id']}: {error}") from error
-        out.append((r["id"], r["category"], r["pattern"], list(r["phrases"] or ())))
-    return out
+        if r["x"]["error"] is not None:
+            raise ValueError(f"rule {r['id']}: {r['x']['error']}")
+        out[r["action"]].append((r["id"], r["category"], r["pattern"], [frozenset(c) for c in r["x"]["clauses"]]))
+    return [out[a] for a in actions]
+
+
+def literal_weights(texts: DataFrame, rows: list[tuple], most: int = 1000) -> dict[str, int]:
+    """In how many of some texts each string of rules with a choice of clauses stands; decides where rules are posted, not what they find."""
+    wanted = sorted({s for *_, clauses in rows if len(clauses) > 1 for c in clauses for s in c})
+    if not wanted:
+        return {}
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine = ahocorasick.Automaton()
+        for n, s in enumerate(shared.value):
+            machine.add_word(s, n)
+        machine.make_automaton()
+        for pdf in batches:
+            yield pd.DataFrame({"n": [n for t in pdf["text"] if t for n in {n for _, n in machine.iter(patterns.fold(t))}]}, dtype="int64")
+
+    found = texts.select("text").limit(most).mapInPandas(run, "n long").groupBy("n").agg(F.count("*").alias("texts")).collect()
+    return {wanted[r["n"]]: r["texts"] for r in found}
 
 
 def lexicon_parts(variants: DataFrame, most_chars: int = 64_000_000) -> Iterator[list[tuple]]:
@@ -252,6 +275,33 @@ def and_hits(hits: DataFrame, variants: DataFrame) -> DataFrame:
     return own.where(F.col("n") == named).select("request_id", "word", "category", F.lit("literal").alias("kind"), "start", "end")
 
 
+def _judges(texts: DataFrame, words: DataFrame, rules: DataFrame | None, known: dict[str, str] | None, most_chars: int) -> Iterator:
+    """For each part of the lexicon what builds (lexicon, exempting rules, violating rules) in a worker; the latter come with the first part."""
+    exempt, violate = active_rules(rules, "exempt", "violate") if rules is not None else ([], [])
+    weights = literal_weights(texts, [*exempt, *violate])
+    for part, rows in enumerate(lexicon_parts(automaton_rows(words), most_chars)):
+        shared = texts.sparkSession.sparkContext.broadcast((rows, known or {}, exempt, violate if part == 0 else [], weights))
+
+        def make(shared=shared):
+            rows, known, exempt, violate, weights = shared.value
+            return Lexicon(rows, sound_rows(rows, known) if known else [], known), Rules(exempt, weights), Rules(violate, weights)
+
+        yield make
+
+
+HIT = "category string, word string, kind string, start int, end int, rule_id long, violates boolean"
+
+
+def _judged(made, text: str, window: int) -> Iterator[tuple]:
+    """Rows of ``HIT`` of one text."""
+    lexicon, exempt, violate = made
+    for start, end, category, word, kind in lexicon.hits(text):
+        around = text[max(0, start - window) : end + window]
+        yield category, word, kind, start, end, exempt.first(around, category) if exempt.rows else None, False
+    for rule, category, pattern, start, end in violate.matches(text):
+        yield category, pattern, "literal", start, end, rule, True
+
+
 def judged_hits(texts: DataFrame, words: DataFrame, rules: DataFrame | None = None, known: dict[str, str] | None = None, window: int = 8, most_chars: int = 64_000_000) -> DataFrame:
     """(request_id, category, word, kind, start, end, rule_id, violates): all that lexicon and rules find, in one pass over the texts.
 
@@ -261,28 +311,49 @@ def judged_hits(texts: DataFrame, words: DataFrame, rules: DataFrame | None = No
     active violating rule is a hit of its own, with its rule and ``violates`` true. A lexicon of over ``most_chars``
     is scanned in parts; texts are never shuffled.
     """
-    exempt, violate = (active_rules(rules, a) for a in ("exempt", "violate")) if rules is not None else ([], [])
-    context = texts.sparkSession.sparkContext
-    found = []
-    for part, rows in enumerate(lexicon_parts(automaton_rows(words), most_chars)):
-        shared = context.broadcast((rows, known or {}, exempt, violate if part == 0 else []))
-
-        def make(shared=shared):
-            rows, known, exempt, violate = shared.value
-            return Lexicon(rows, sound_rows(rows, known) if known else [], known), Rules(exempt), Rules(violate)
-
-        def each(made, i, text):
-            lexicon, exempt, violate = made
-            for start, end, category, word, kind in lexicon.hits(text):
-                around = text[max(0, start - window) : end + window]
-                yield i, category, word, kind, start, end, exempt.first(around, category) if exempt.rows else None, False
-            for rule, category, pattern, start, end in violate.matches(text):
-                yield i, category, pattern, "literal", start, end, rule, True
-
-        found.append(_scan(texts, make, each, "request_id long, category string, word string, kind string, start int, end int, rule_id long, violates boolean"))
+    each = lambda made, i, text: ((i, *hit) for hit in _judged(made, text, window))
+    found = [_scan(texts, make, each, f"request_id long, {HIT}") for make in _judges(texts, words, rules, known, most_chars)]
     return reduce(DataFrame.unionByName, found)
 
 
+def judged_texts(texts: DataFrame, words: DataFrame, rules: DataFrame | None = None, known: dict[str, str] | None = None, window: int = 8, most_chars: int = 64_000_000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(request_id, *carry, hits, error): a row a text with what ``judged_hits`` finds in it, in order of place; the text itself stays behind.
+
+    A text on which the scan breaks off has no hits and the error. ``carry`` names columns of text or whole type that
+    pass through. Texts are read once for each part of the lexicon.
+    """
+    names = [c.split()[0] for c in HIT.split(", ")]
+    kinds = dict(texts.dtypes)
+
+    def run_with(make):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            made = make()
+            for pdf in batches:
+                hits, errors = [], []
+                for text in pdf["text"]:
+                    own, error = [], None
+                    try:
+                        own = sorted(_judged(made, text, window), key=lambda h: (h[3], h[4], h[0] or "", h[1], h[6])) if text else []
+                    except Exception as broke:
+                        error = f"{type(broke).__name__}: {broke}"
+                    hits.append([dict(zip(names, h, strict=True)) for h in own])
+                    errors.append(error)
+                yield pdf.drop(columns="text").assign(hits=hits, error=errors)
+
+        return run
+
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in ("request_id", *carry)]) + f", hits array<struct<{', '.join(f'`{n}`:' + c.split()[1] for n, c in zip(names, HIT.split(', '), strict=True))}>>, error string"
+    parts = [texts.select("request_id", *carry, "text").mapInPandas(run_with(make), schema) for make in _judges(texts, words, rules, known, most_chars)]
+    if len(parts) == 1:
+        return parts[0]
+    whole = reduce(DataFrame.unionByName, parts).groupBy("request_id", *carry).agg(F.flatten(F.collect_list("hits")).alias("hits"), F.max("error").alias("error"))
+    return whole.withColumn("hits", F.array_sort("hits", lambda a, b: F.when(_place(a) < _place(b), -1).when(_place(a) > _place(b), 1).otherwise(0)))
+
+
+def _place(hit):
+    return F.struct(hit["start"], hit["end"], F.coalesce(hit["category"], F.lit("")), hit["word"], hit["violates"])
+
+
 def keyword_hits(texts: DataFrame, words: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
     """(request_id, category, word, kind, start, end): hits of words and AND rules, one for each word and span."""
     return judged_hits(texts, words, known=known).select("request_id", "category", "word", "kind", "start", "end")
@@ -294,34 +365,37 @@ def regex_exempt(texts: DataFrame, words: DataFrame, rules: DataFrame, known: di
 
 
 def rule_candidates(texts: DataFrame, rules: DataFrame) -> DataFrame:
-    """(request_id, rule_id, pattern): rules that may match: those all of whose phrases the text holds, and all without phrases."""
-    rows = [(r["id"], "", r["pattern"], list(r["phrases"])) for r in rules.select("id", "pattern", T.pattern_phrases(F.col("pattern")).alias("phrases")).orderBy("id").collect()]
-    shared = texts.sparkSession.sparkContext.broadcast(rows)
+    """(request_id, rule_id, pattern): rules that may match a text: those whose every clause it meets, and all without clauses."""
+    exempt, violate = active_rules(rules.withColumn("is_active", F.lit(True)), "exempt", "violate")
+    rows = sorted([*exempt, *violate])
+    shared = texts.sparkSession.sparkContext.broadcast((rows, literal_weights(texts, rows)))
     each = lambda made, i, text: ((i, made.rows[k][0], made.rows[k][2]) for k in made.candidates(text))
     blank = texts.select("request_id", F.when(F.coalesce("text", F.lit("")) == "", " ").otherwise(F.col("text")).alias("text"))
-    return _scan(blank, lambda: Rules(shared.value), each, "request_id long, rule_id long, pattern string")
+    return _scan(blank, lambda: Rules(*shared.value), each, "request_id long, rule_id long, pattern string")
 
 
 def regex_violate(texts: DataFrame, rules: DataFrame) -> DataFrame:
     """(request_id, rule_id, category, word, start, end): the first match of each active violating rule in each text.
 
-    The phrases of all rules make one automaton; a rule whose phrases a text lacks is passed over before any
-    expression runs. Expressions are Python's; places count code points.
+    A rule is looked at only in texts that hold the rarest string it needs, and its expression runs only where they hold all
+    it needs. Expressions are Python's; places count code points.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(active_rules(rules, "violate"))
+    (rows,) = active_rules(rules.where("action IS DISTINCT FROM 'exempt'"), "violate")
+    shared = texts.sparkSession.sparkContext.broadcast((rows, literal_weights(texts, rows)))
     each = lambda made, i, text: ((i, *m) for m in made.matches(text))
-    return _scan(texts, lambda: Rules(shared.value), each, "request_id long, rule_id long, category string, word string, start int, end int")
+    return _scan(texts, lambda: Rules(*shared.value), each, "request_id long, rule_id long, category string, word string, start int, end int")
 
 
 def phrase_index(rules: DataFrame) -> DataFrame:
-    """(phrase, rule_ids): the rules that each phrase points to."""
-    rows = rules.select(F.col("id"), F.explode(T.pattern_phrases(F.col("pattern"))).alias("phrase"))
+    """(phrase, rule_ids): the rules that each of the strings they need points to."""
+    rows = rules.select(F.col("id"), F.explode(patterns.literals(F.col("pattern"))).alias("phrase"))
     return rows.groupBy("phrase").agg(F.sort_array(F.collect_set("id")).alias("rule_ids"))
 
 
 def rules_for_phrases(rules: DataFrame, phrases: DataFrame) -> DataFrame:
-    rows = rules.select(F.col("id").alias("rule_id"), F.explode(T.pattern_phrases(F.col("pattern"))).alias("phrase"))
-    return rows.join(phrases, "phrase").select("rule_id").distinct()
+    """Other columns of (phrase, ...) with the rules that need one of a row's phrases, each once: (..., rule_id)."""
+    rows = rules.select(F.col("id").alias("rule_id"), F.explode(patterns.literals(F.col("pattern"))).alias("phrase"))
+    return phrases.join(rows, "phrase").drop("phrase").distinct()
 
 
 def preprocess_keywords(items: DataFrame, spoken=T.normalize_keyword) -> DataFrame:
@@ -339,5 +413,19 @@ def preprocess_keywords(items: DataFrame, spoken=T.normalize_keyword) -> DataFra
 
 def dedup_words(words: DataFrame) -> DataFrame:
     """(id, kept_id): each word and the smallest id of its category that reads the same without width and punctuation."""
-    same = Window.partitionBy("category", T.dedup_form(F.col("word")))
-    return words.select("id", F.min("id").over(same).alias("kept_id"))
+    rows = words.select("id", "category", T.dedup_form(F.col("word")).alias("form"))
+    first = rows.groupBy("category", "form").agg(F.min("id").alias("kept_id")).select(F.col("category").alias("c"), F.col("form").alias("f"), "kept_id")
+    return rows.join(first, F.col("category").eqNullSafe(F.col("c")) & F.col("form").eqNullSafe(F.col("f")), "left").select("id", "kept_id")
+
+
+def search(words: DataFrame, part: str | None = None, category: str | None = None) -> DataFrame:
+    """Words of a category, or of all, that hold a part in any case."""
+    rows = words if category is None else words.where(F.col("category") == category)
+    return rows if not part else rows.where(F.contains(F.lower("word"), F.lit(part.lower())))
+
+
+def rules_filter(rules: DataFrame, category: str | None = None, action: str | None = None, active: bool = True) -> DataFrame:
+    """Rules of a category and an action, or of all; those that aren't active only if asked for."""
+    for name, value in (("category", category), ("action", action)):
+        rules = rules if value is None else rules.where(F.col(name) == value)
+    return rules.where("is_active") if active else rules

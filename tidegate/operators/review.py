@@ -50,19 +50,33 @@ def watch(stats: DataFrame, d: Defaults = DEFAULTS) -> DataFrame:
     return stats.withColumn("watch", F.when(F.col("share") >= d.share_high, "high").when(F.col("share") <= d.share_low, "low"))
 
 
-def report(sample: DataFrame, verdicts: DataFrame | None, band: DataFrame) -> DataFrame:
-    """One row: the mode (skipped, statistical or full), why, and the counts of a full review.
+def report(sample: DataFrame, verdicts: DataFrame | None, band: DataFrame, d: Defaults = DEFAULTS) -> DataFrame:
+    """One row: mode, skipped_reason, sampled, text_missing, the counts and rates of ``agreement``, action and thresholds.
 
-    No verdicts: skipped. No samples: skipped. No text to judge again: statistical. ``sample`` has ``text``.
+    Without a judging model (no ``verdicts``) nothing is sampled: statistical, llm_unavailable. Without samples: statistical,
+    no_samples. Where no text can be judged again: statistical, text_unavailable, and what to watch in the band's share of
+    violations is the suggestion. Else full, over the rows that have a text. ``sample`` has ``text``, ``band`` is one row of
+    ``band_stats``. Without a full review nothing is reviewed and there is no rate.
     """
     spark = sample.sparkSession
-    if verdicts is None:
-        verdicts = spark.createDataFrame([], "request_id string, is_violation boolean")
-        ready = False
-    else:
-        ready = True
-    texts = sample.agg(F.count("*").alias("n"), F.count("text").alias("texts"))
-    stats = suggest(agreement(sample.where("text IS NOT NULL"), verdicts))
-    mode = F.when(F.lit(not ready) | (F.col("n") == 0), "skipped").when(F.col("texts") == 0, "statistical").otherwise("full")
-    why = F.when(F.lit(not ready), "no_judge").when(F.col("n") == 0, "no_samples")
-    return texts.select("n", mode.alias("mode"), why.alias("skipped_reason")).crossJoin(stats).crossJoin(band.select("share"))
+    judged = verdicts if verdicts is not None else spark.createDataFrame([], "request_id string, is_violation boolean")
+    rows = sample if verdicts is not None else sample.limit(0)
+    texts = rows.agg(F.count("*").alias("sampled_"), F.count_if(F.col("text").isNull()).alias("text_missing"))
+    stats = suggest(agreement(rows.where("text IS NOT NULL"), judged), d).drop("sampled")
+    none, lost = F.col("sampled") == 0, F.col("text_missing") == F.col("sampled")
+    why = F.when(F.lit(verdicts is None), "llm_unavailable").when(none, "no_samples").when(lost, "text_unavailable")
+    one = texts.withColumnRenamed("sampled_", "sampled").crossJoin(stats).crossJoin(watch(band, d).select("share", "watch")).withColumn("skipped_reason", why)
+    full = F.col("skipped_reason").isNull()
+    statistical = F.when((F.col("skipped_reason") == "text_unavailable") & F.col("watch").isNotNull(), "watch").when(full, F.col("action"))
+    at = F.when(F.col("watch") == "high", "confidence_high").when(F.col("watch") == "low", "confidence_low")
+    out = one.withColumns({"mode": F.when(full, "full").otherwise("statistical"), "action": statistical, "watched": F.when(F.col("skipped_reason") == "text_unavailable", at)})
+    only = ["reviewed", "consistent", "agree_violation", "orig_violations", "missed", "false_alarm", "judge_failed"]
+    out = out.withColumns({c: F.when(full, F.col(c)).otherwise(F.lit(0)) for c in only}).withColumns({c: F.when(full, F.col(c)) for c in ("consistent_rate", "violation_agree_rate", "safe_agree_rate", "confidence_high", "alternative_low")})
+    return out.select("mode", "skipped_reason", "sampled", "text_missing", *only, "consistent_rate", "violation_agree_rate", "safe_agree_rate", "action", "watched", "confidence_high", "alternative_low", F.when(~none, F.col("share")).alias("share"))
+
+
+def write_report(report: DataFrame, folder: str, ts: str) -> str:
+    """The report as one line of JSON in ``folder``/<ts with - for :>.json, one row by construction; the path."""
+    path = f"{folder.rstrip('/')}/{ts.replace(':', '-')}.json"
+    report.withColumn("ts", F.lit(ts)).coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    return path

@@ -130,6 +130,23 @@ def rerank_max(reranked: DataFrame, k: int = DEFAULTS.rerank_top_k) -> DataFrame
     return reranked.where((F.col("pool") == "black") & (F.col("rank") <= k)).groupBy("request_id").agg(F.max("rerank_score").alias("rerank_max"))
 
 
+def degraded_reasons(rows: DataFrame, sizes: dict[str, tuple[int, int]]) -> DataFrame:
+    """(request_id, reason): why retrieval has no answer for rows of (request_id, text_hash, image_whitelist, query, wrong), or null.
+
+    empty_input: neither text nor frame; semantic_exception: a vector that can't be compared; embedding_error: no vector;
+    empty_black_pool and empty_white_pool: nothing to compare with. A vector of no length finds nothing, as in an empty pool.
+    """
+    empty = lambda pool: F.lit(not sizes.get(pool, (0, 0))[0])
+    reason = (
+        F.when(F.col("text_hash").isNull() & (F.size("image_whitelist") <= 0), "empty_input")
+        .when(F.col("wrong").isNotNull(), "semantic_exception")
+        .when(F.col("query").isNull(), "embedding_error")
+        .when(empty("black") | ~(V.norm(F.col("query")) >= V.EPS), "empty_black_pool")
+        .when(empty("white"), "empty_white_pool")
+    )
+    return rows.select("request_id", reason.alias("reason"))
+
+
 def degraded(requests: DataFrame, pools: DataFrame) -> DataFrame:
     """(request_id, reason): why retrieval has no answer: empty_input, embedding_error, empty_black_pool, empty_white_pool, or null."""
     n = pools.agg(F.count_if(F.col("pool") == "black").alias("black"), F.count_if(F.col("pool") == "white").alias("white")).first()

@@ -2,72 +2,61 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegate.operators.images import image_pool
+from tidegate.sources import records
 
 MANIFEST = "pool string, text string, category string, source string, image_path string"
 IMAGES = "*.{png,jpg,jpeg,gif,webp,bmp,PNG,JPG,JPEG,GIF,WEBP,BMP}"
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", header: bool = True) -> DataFrame:
-    """Rows of which at least one cell isn't blank."""
-    rows = spark.read.csv(path, header=header, multiLine=True, quote='"', escape='"', encoding=encoding)
-    return rows.where(F.trim(F.concat_ws("", *rows.columns)) != "")
-
-
-def decode_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text): whole files as UTF-8 (with or without a mark), else GBK; files that are neither raise an error."""
-    def one(data: bytes) -> str:
-        for name in ("utf-8-sig", "gbk", "utf-8"):
-            try:
-                return data.decode(name)
-            except UnicodeDecodeError:
-                continue
-        raise ValueError("neither UTF-8 nor GBK")
-
-    @F.pandas_udf("string")
-    def decode(data: pd.Series) -> pd.Series:
-        return data.map(one)
-
-    return spark.read.format("binaryFile").load(path).select("path", decode("content").alias("text"))
+def read_csv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """Rows of which at least one cell isn't blank, of files in UTF-8 or GBK; columns are named as in the first file, or c0, c1 and so on."""
+    if not header:
+        rows = records.read_cells(spark, path)
+        width = rows.agg(F.max(F.size("cells"))).first()[0] or 0
+        return rows.select(*(F.get("cells", F.lit(k)).alias(f"c{k}") for k in range(width)))
+    top = records.read_cells(spark, path).orderBy("path", "record_no").limit(1).collect()
+    names = [c.strip() for c in top[0]["cells"]] if top else []
+    return records.read_table(spark, path, names).drop("path", "record_no")
 
 
 def read_corpus(spark: SparkSession, path: str, text: str, category: str | None, source: str) -> DataFrame:
-    """(text, category, source): trimmed texts that aren't blank; a missing category is empty."""
-    rows = read_csv(spark, path)
-    kind = F.coalesce(F.trim(F.col(category)), F.lit("")) if category in rows.columns else F.lit("")
+    """(text, category, source): trimmed texts that aren't blank; a missing category is empty. Files may be UTF-8 or GBK."""
+    rows = records.read_table(spark, path, [text, *([category] if category else [])], required=(text,))
+    kind = F.coalesce(F.trim(F.col(category)), F.lit("")) if category else F.lit("")
     return rows.select(F.trim(F.col(text)).alias("text"), kind.alias("category"), F.lit(source).alias("source")).where("text <> ''")
 
 
 def _stem():
-    return F.regexp_extract(F.regexp_replace(F.col("_metadata.file_name"), "%20", " "), r"^(.*?)(\.[^.]*)?$", 1)
+    name = F.url_decode(F.replace(F.regexp_extract("path", r"([^/]*)$", 1), F.lit("+"), F.lit("%2B")))
+    return F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1)
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
-    """(category, word): a word a line of *.txt files below the path, those beginning with # or // left out; the file's stem is the category."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path)
-    word = F.trim(F.col("value"))
+    """(category, word): a word a line of *.txt files below the path, in UTF-8 or GBK, those beginning with # or // left out; the file's stem is the category."""
+    rows = records.decoded_lines(spark, path, "*.txt")
+    word = F.trim(F.col("line"))
     return rows.select(_stem().alias("category"), word.alias("word")).where((F.col("word") != "") & ~F.col("word").rlike("^(#|//)"))
 
 
 def read_lexicon_csv(spark: SparkSession, path: str, word: str = "word", kind: str = "type") -> DataFrame:
-    """(category, word) of *.csv files below the path; without a type the file's stem is the category."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(path, header=True)
-    own = F.coalesce(F.nullif(F.trim(F.col(kind)), F.lit("")), _stem()) if kind in rows.columns else _stem()
+    """(category, word) of *.csv files below the path, in UTF-8 or GBK; without a type the file's stem is the category."""
+    rows = records.read_table(spark, path, [word, kind], "*.csv", required=(word,))
+    own = F.coalesce(F.nullif(F.trim(F.col(kind)), F.lit("")), _stem())
     return rows.select(own.alias("category"), F.trim(F.col(word)).alias("word")).where("word <> ''")
 
 
 def read_keyword_import(spark: SparkSession, path: str, header: tuple[str, ...] = ("category", "word", "keyword", "类别", "分类", "关键词")) -> DataFrame:
     """(category, word, source) of CSV files of two columns; a first filled row of a file that names columns is passed over."""
-    rows = spark.read.schema("category string, word string").csv(path).withColumn("file", F.col("_metadata.file_path")).withColumn("at", F.monotonically_increasing_id())
-    rows = rows.where("coalesce(trim(category), '') <> '' AND coalesce(trim(word), '') <> ''")
-    tops = rows.groupBy("file").agg(F.min("at").alias("top"))
-    named = F.lower(F.trim("category")).isin(*header) & F.lower(F.trim("word")).isin(*header)
-    rows = rows.join(F.broadcast(tops), "file").where((F.col("at") != F.col("top")) | ~named)
-    return rows.select(F.trim("category").alias("category"), F.trim("word").alias("word"), F.lit("admin_import").alias("source")).where("word <> ''")
+    cell = lambda k: F.trim(F.coalesce(F.get("cells", F.lit(k)), F.lit("")))
+    rows = records.read_cells(spark, path).select("path", "record_no", cell(0).alias("category"), cell(1).alias("word")).where("category <> '' AND word <> ''")
+    tops = rows.groupBy("path").agg(F.min("record_no").alias("top"))
+    named = F.lower("category").isin(*header) & F.lower("word").isin(*header)
+    rows = rows.join(tops, "path").where((F.col("record_no") != F.col("top")) | ~named)
+    return rows.select("category", "word", F.lit("admin_import").alias("source"))
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
@@ -93,35 +82,39 @@ def read_keyword_lines(spark: SparkSession, path: str, category: str) -> DataFra
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, line) of text files in UTF-8 or GBK, numbered from 0 in each file."""
-    files = decode_files(spark, path)
-    return files.select("path", F.posexplode(F.split("text", r"\r?\n"))).select("path", F.col("pos").alias("line_no"), F.col("col").alias("line"))
+    return records.decoded_lines(spark, path).select("path", "line_no", "line")
 
 
 def read_chats(spark: SparkSession, path: str, text: str = "content", sender: str = "sender", time: str = "time") -> DataFrame:
-    """(text, sender, time) of group chats as CSV in UTF-8 or GBK: trimmed messages that aren't blank; missing columns are null."""
-    rows = decode_files(spark, path).select(F.split("text", r"\r?\n").alias("lines"))
-    rows = rows.select(F.lower(F.get("lines", F.lit(0))).alias("head"), F.explode(F.slice("lines", 2, F.greatest(F.lit(0), F.size("lines") - 1))).alias("line")).where("trim(line) <> ''")
-    cells = F.from_csv("line", ", ".join(f"c{k} string" for k in range(16)))
-    names = F.transform(F.split("head", ","), lambda x: F.trim(x))
-    rows = rows.select(names.alias("names"), cells.alias("x")).select("names", F.array(*(F.col(f"x.c{k}") for k in range(16))).alias("cells"))
-    cell = lambda name: F.get("cells", F.array_position("names", name).cast("int") - 1)
-    return rows.select(F.trim(cell(text)).alias("text"), F.trim(cell(sender)).alias("sender"), F.trim(cell(time)).alias("time")).where("text <> ''")
+    """(text, sender, time) of group chats as CSV in UTF-8 or GBK: trimmed messages that aren't blank; a missing sender or time is null.
+
+    Names of columns count in any case; a file without the column of messages raises an error.
+    """
+    rows = records.read_table(spark, path, [text, sender, time], required=(text,))
+    return rows.select(F.trim(F.col(text)).alias("text"), F.nullif(F.trim(F.col(sender)), F.lit("")).alias("sender"), F.nullif(F.trim(F.col(time)), F.lit("")).alias("time")).where("text <> ''")
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, pool, text, category, source, image_path): lines that are JSON objects, numbered in file order.
+def read_manifest(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """(line_no, pool, text, category, source, image_path): lines that are JSON objects, numbered from 1 in file order, blank lines counted.
 
-    Line numbers grow with file and place in it and leave gaps between splits of a file.
+    Files follow one another by path. Other lines are passed over, or with ``strict`` raise an error that names the line.
     """
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id()).where(F.trim("value") != "")
-    rows = lines.withColumn("x", F.from_json("value", f"{MANIFEST}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
-    return rows.where("x IS NOT NULL AND x._corrupt IS NULL AND trim(value) LIKE '{%'").select("line_no", "x.pool", "x.text", "x.category", "x.source", "x.image_path")
+    lines = records.decoded_lines(spark, path)
+    per = lines.groupBy("path").agg(F.count("*").alias("n"))
+    first = per.select("path", F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    rows = lines.where(F.trim("line") != "").join(first, "path").select((F.col("before") + F.col("line_no") + 1).alias("line_no"), "line")
+    rows = rows.withColumn("x", F.from_json("line", f"{MANIFEST}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    good = F.coalesce(F.col("x").isNotNull() & F.col("x._corrupt").isNull() & F.trim("line").startswith("{"), F.lit(False))
+    if strict:
+        wrong = F.raise_error(F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(": not a JSON object"))).cast("boolean")
+        good = F.when(good, True).otherwise(wrong)
+    return rows.where(good).select("line_no", "x.pool", "x.text", "x.category", "x.source", "x.image_path")
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(path, pool, length): image files below the path, with the pool that their folders name."""
+    """(path, pool, length): image files below the path in order, with the pool that their folders name."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", IMAGES).load(path)
-    return files.select("path", image_pool(F.col("path")).alias("pool"), "length").where("pool IS NOT NULL")
+    return files.select("path", image_pool(F.col("path")).alias("pool"), "length").where("pool IS NOT NULL").orderBy("path")
 
 
 def write_manifest(rows: DataFrame, path: str) -> None:
@@ -141,23 +134,26 @@ def save_pools(pools: DataFrame, path: str) -> None:
     pools.write.mode("overwrite").partitionBy("pool").parquet(path)
 
 
-def load_pools(spark: SparkSession, path: str, dim: int | None = None) -> DataFrame:
-    """The pools as saved; vectors of another length than ``dim`` raise an error when they are read."""
-    rows = spark.read.parquet(path)
+def load_pools(spark: SparkSession, path: str, dim: int | None = None, rows: dict[str, int] | None = None) -> DataFrame:
+    """The pools as saved; vectors of another length than ``dim`` raise an error when they are read.
+
+    With ``rows``, how many vectors each pool should have, pools that have another number raise one at once.
+    """
+    saved = spark.read.parquet(path)
+    if rows is not None:
+        found = {r["pool"]: r["n"] for r in saved.groupBy("pool").agg(F.count("*").alias("n")).collect()}
+        if found != rows:
+            raise ValueError(f"pools of {found} vectors, not {rows}")
     if dim is None:
-        return rows
+        return saved
     wrong = F.raise_error(F.lit(f"a vector has not {dim} components")).cast("array<float>")
-    return rows.withColumn("embedding", F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(wrong))
-
-
-def append_new(rows: DataFrame, path: str, key: str) -> None:
-    """Append rows whose key the table lacks; a rerun of the same batch adds nothing."""
-    spark = rows.sparkSession
-    try:
-        known = spark.read.parquet(path).select(key)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        rows.dropDuplicates([key]).write.parquet(path)
-        return
-    rows.dropDuplicates([key]).join(known, key, "left_anti").write.mode("append").parquet(path)
+    return saved.withColumn("embedding", F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(wrong))
+
+
+def write_log_export(logs: DataFrame, path: str) -> None:
+    """The nine columns of a log as CSV with a header, each file beginning with a UTF-8 mark so that spreadsheets read it as such."""
+    from tidegate.operators.logs import export
+
+    rows = export(logs)
+    first, *rest = rows.columns
+    rows.select(*(F.col(c).alias("\ufeff" + c if c == first else c) for c in (first, *rest))).write.mode("overwrite").csv(path, header=True, escape='"', quoteAll=True)

@@ -1,16 +1,11 @@
-"""Streaming forms: audit logs into a table, windowed counts, and rate limits kept in state."""
+"""Streaming forms: audit logs and decisions into a log sink, and windowed counts."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidegate.config import DEFAULTS, Defaults
-from tidegate.sources.files import append_new
+from tidegate.sources.log_sink import LogSink
 
 
 def windowed_counts(logs: DataFrame, length: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
@@ -19,32 +14,13 @@ def windowed_counts(logs: DataFrame, length: str = "10 minutes", late: str = "30
     return counted.agg(F.count("*").alias("n"), F.count_if("has_violation").alias("violations")).select(F.col("w.start").alias("start"), "source", "n", "violations")
 
 
-def write_logs(logs: DataFrame, path: str, checkpoint: str):
-    """Append each batch once: rows whose request_id is known, from a batch that is run again, are passed over."""
-    return logs.writeStream.foreachBatch(lambda batch, _: append_new(batch, path, "request_id")).option("checkpointLocation", checkpoint)
+def write_logs(logs: DataFrame, path: str, checkpoint: str, key: str = "request_id"):
+    """Append each batch once under its number; a key that comes again is passed over if its row is the same, else the stream stops."""
+    sink = LogSink(logs.sparkSession, path, key)
+    return logs.writeStream.foreachBatch(lambda batch, number: sink.append(batch, number)).option("checkpointLocation", checkpoint)
 
 
-def audited(requests: DataFrame, decide, path: str, checkpoint: str):
+def audited(requests: DataFrame, decide, path: str, checkpoint: str, key: str = "request_id"):
     """``decide`` (a batch plan such as the funnel) over each batch of requests, its decisions appended once."""
-    return requests.writeStream.foreachBatch(lambda batch, _: append_new(decide(batch), path, "request_id")).option("checkpointLocation", checkpoint)
-
-
-def rate_limited(events: DataFrame, d: Defaults = DEFAULTS) -> DataFrame:
-    """(user_id, event_id, admitted): the sliding limit over a stream of (user_id, event_id, t), t in seconds.
-
-    State is the times admitted in the last window, at most the limit. A batch's events are taken in order of time.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
-        out = []
-        for t in rows["t"]:
-            seen = [x for x in seen if t - x <= d.rate_window_s]
-            out.append(len(seen) < d.rate_limit)
-            if out[-1]:
-                seen.append(t)
-        state.update((seen,))
-        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "admitted": out})
-
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, admitted boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    sink = LogSink(requests.sparkSession, path, key)
+    return requests.writeStream.foreachBatch(lambda batch, number: sink.append(decide(batch), number)).option("checkpointLocation", checkpoint)

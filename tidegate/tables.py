@@ -35,6 +35,52 @@ def rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RULES, RULE_SCHEMA)
 
 
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(category, word): the distinct words of the documents of each language, as a lexicon of the tables' own; ß, whose capital is moot, as ss."""
+    docs = load(spark, sf_dir, "documents")
+    return docs.select(F.coalesce("lang", F.lit("")).alias("category"), F.explode(F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("ß"), F.lit("ss")), "[ \n]+")).alias("word")).where("word <> ''").distinct()
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(line_no, line, category): turns of conversations as lines of a keyword file; in some the words are parted by plus signs."""
+    c = load(spark, sf_dir, "conversations")
+    start = F.substring_index(F.coalesce("text", F.lit("")), " ", 3)
+    k = F.col("turn") % 4
+    line = F.when(k == 0, F.replace(start, F.lit(" "), F.lit(" + "))).when(k == 1, F.concat(F.lit(" "), start, F.lit(" "))).when(k == 2, F.concat(F.replace(start, F.lit(" "), F.lit("+")), F.lit("++"))).otherwise(F.when(F.col("conv_id") % 3 == 0, F.lit(" + ")).otherwise(start))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_no"), line.alias("line"), F.col("role").alias("category"))
+
+
+def table_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of the tables' own: expressions of several shapes over the first three words of each benchmark item."""
+    w = F.split(F.regexp_replace("text", r"[^A-Za-z ]+", " "), " +")
+    k = F.col("item_id") % 5
+    a, b, c = (F.get(w, F.lit(n)) for n in range(3))
+    x = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    pattern = F.when(k == 0, x(a, "[ \n]+", b)).when(k == 1, x("(?:", a, "|", b, ") ", c)).when(k == 2, x(a, "[a-z ]{0,3}", b)).when(k == 3, x(a, " ", b, "(?: ", c, ")?")).otherwise(x(a, "(?:ly|ing)? ", b, ".{1,3}"))
+    action = F.when(F.col("item_id") % 3 == 0, "exempt").otherwise("violate")
+    return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.when(F.col("item_id") % 2 == 0, "").otherwise("own").alias("category"), pattern.alias("pattern"), action.alias("action"), F.lit(None).cast("string").alias("note"), (F.col("item_id") % 7 != 0).alias("is_active"))
+
+
+def light(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(request_id, violation): what a light model says of labelled documents."""
+    return load(spark, sf_dir, "labels").select(F.col("doc_id").alias("request_id"), (F.col("quality") == 0).alias("violation"))
+
+
+def request_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(request_id, frame, whitelisted, distance, hash): each page is the one frame of the request of its number."""
+    known = F.col("page_id") % 9 != 0
+    return load(spark, sf_dir, "pages").select(F.col("page_id").alias("request_id"), F.lit(0).alias("frame"), known.alias("whitelisted"), F.when(known, (F.col("page_id") % 5).cast("int")).alias("distance"), F.md5("url").alias("hash"))
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(request_id, reply): what a judging model answers, in several forms, some of them no verdict."""
+    i = F.col("doc_id")
+    yes = F.when(F.col("toxic") == 1, "true").otherwise("false")
+    said = F.concat(F.lit('{"is_violation": '), yes, F.lit(', "category": '), F.when(F.col("toxic") == 1, F.lit('"abuse"')).otherwise(F.lit("null")), F.lit(', "confidence": '), F.when(F.col("quality") == 1, "0.9").otherwise("1.5"), F.lit("}"))
+    reply = F.when(i % 13 == 0, F.lit("no idea")).when(i % 11 == 0, F.concat(F.lit("Sure: "), said, F.lit(" done"))).when(i % 17 == 0, F.lit('{"is_violation": "yes"}')).when(i % 19 == 0, F.lit("[1]")).when(i % 23 == 0, F.lit(None)).otherwise(said)
+    return load(spark, sf_dir, "labels").select(i.alias("request_id"), reply.alias("reply"))
+
+
 def pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, pool, category, embedding): members of the violating and the safe pool."""
     v = load(spark, sf_dir, "embeddings")
