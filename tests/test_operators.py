@@ -130,8 +130,20 @@ def test_tiers_and_merge(spark):
 def test_topk_ties_zero_vectors_and_short_pools(spark):
     pools = spark.createDataFrame([(1, "black", "a", [1.0, 0.0]), (2, "black", "b", [2.0, 0.0]), (3, "black", "c", [0.0, 0.0]), (4, "white", "d", [0.0, 1.0])], "vec_id long, pool string, category string, embedding array<double>")
     queries = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 0.0]), (9, None)], "request_id long, query array<double>")
-    rows = semantic.vector_topk(queries, pools, 2).orderBy("pool", "rank").collect()
-    assert [(r.request_id, r.pool, r.rank, r.vec_id) for r in rows] == [(7, "black", 1, 2), (7, "black", 2, 1), (7, "white", 1, 4)]
+    for small in (semantic.SMALL, 0):
+        rows = semantic.vector_topk(queries, pools, 2, small=small).orderBy("pool", "rank").collect()
+        assert [(r.request_id, r.pool, r.rank, r.vec_id) for r in rows] == [(7, "black", 1, 2), (7, "black", 2, 1), (7, "white", 1, 4)]
+        assert semantic.vector_topk(queries, pools.where("false"), 2, small=small).collect() == []
+
+
+def test_topk_of_broadcast_and_packed_pools_agree(spark):
+    rng = random.Random(4)
+    vec = lambda: [round(rng.gauss(0, 1), 1) for _ in range(3)]
+    pools = spark.createDataFrame([(k, "black" if k % 3 else "white", f"c{k % 4}", vec()) for k in range(150)], "vec_id long, pool string, category string, embedding array<double>").repartition(4)
+    queries = spark.createDataFrame([(k, vec()) for k in range(60)], "request_id long, query array<double>").repartition(3)
+    for others in (False, True):
+        a, b = (sorted((r.request_id, r.pool, r.rank, r.vec_id, r.category, round(r.score, 9)) for r in semantic.vector_topk(queries, pools, 4, others, small).collect()) for small in (semantic.SMALL, 0))
+        assert a == b and len(a) == 60 * 8
 
 
 def test_near_hashes_by_bands_equal_all_pairs(spark):

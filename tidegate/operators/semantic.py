@@ -22,48 +22,93 @@ def add_vectors(pool: DataFrame, new: DataFrame) -> DataFrame:
     return fresh.join(pool.select("pool", "id"), ["pool", "id"], "left_anti").withColumn("embedding", V.l2_normalize(F.col("embedding")))
 
 
-def vector_topk(queries: DataFrame, pools: DataFrame, k: int = DEFAULTS.top_k, others: bool = False) -> DataFrame:
+SMALL = 64_000_000  # bytes of a pool that are broadcast
+
+
+def _unit_rows(ids, vectors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, rows normalised, which were kept): vectors of no length, or none that is finite, are left out."""
+    m = np.stack([np.asarray(x, dtype=np.float64) for x in vectors]) if len(vectors) else np.empty((0, 0))
+    length = np.sqrt((m * m).sum(axis=1))
+    good = np.isfinite(length) & (length >= V.EPS)
+    return np.asarray(ids, dtype="<i8")[good], m[good] / length[good, None], good
+
+
+def _nearest(q_ids: np.ndarray, q: np.ndarray, p_ids: np.ndarray, p: np.ndarray, k: int, others: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row of the query, place in the pool, score, rank) of each query's k nearest, equal scores in order of falling id."""
+    s = q @ p.T
+    if others:
+        s[q_ids[:, None] == p_ids[None, :]] = -np.inf
+    near = s.round(9)
+    # all that reach the k-th score, ties included; they are put in order afterwards
+    least = np.partition(near, len(p_ids) - k, axis=1)[:, len(p_ids) - k] if len(p_ids) > k else np.full(len(q_ids), -np.inf)
+    row, col = np.nonzero((near >= least[:, None]) & (s > -np.inf))
+    order = np.lexsort((-p_ids[col], -near[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    row, col, place = row[place < k], col[place < k], place[place < k]
+    return row, col, s[row, col], place + 1
+
+
+def vector_topk(queries: DataFrame, pools: DataFrame, k: int = DEFAULTS.top_k, others: bool = False, small: int = SMALL) -> DataFrame:
     """(request_id, pool, rank, vec_id, category, score): each query's k nearest by cosine in each pool.
 
-    Equal scores go to the larger vec_id. Queries and pools are packed in blocks of ``BLOCK`` rows, every block of
-    queries meets every block of a pool once, and each meeting hands on k rows a query. Queries and vectors of no
-    length have no neighbours. With ``others``, a vector whose vec_id is the request_id is no neighbour of it.
+    Equal scores go to the larger vec_id. Queries and vectors of no length have no neighbours. With ``others``, a vector whose
+    vec_id is the request_id is no neighbour of it. Pools of at most ``small`` bytes, which are counted first, are broadcast
+    and each block of queries meets them where it lies; nothing is shuffled. Larger pools are packed in blocks of ``BLOCK``
+    rows as the queries are, every block of the one meets every block of the other once, as one matrix product, and each
+    meeting hands on k rows a query.
     """
+    rows = pools.where("embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("id"), "pool", F.col("embedding").alias("v"), F.col("category").alias("kind"))
+    asked = queries.where("query IS NOT NULL").select(F.col("request_id").cast("long").alias("id"), F.col("query").alias("v"))
+    held = rows.agg(F.sum(F.size("v") * 8 + F.coalesce(F.length("kind"), F.lit(0)) + F.lit(64))).first()[0] or 0
+    return _topk_of_small(asked, rows, k, others) if held <= small else _topk_of_blocks(asked, rows, k, others)
 
+
+RESULT = "request_id long, pool string, rank int, vec_id long, category string, score double"
+
+
+def _topk_of_small(asked: DataFrame, rows: DataFrame, k: int, others: bool) -> DataFrame:
+    pdf = rows.toArrow().to_pandas()
+    parts = []
+    for pool, part in pdf.groupby("pool", sort=True):
+        ids, m, good = _unit_rows(part["id"], part["v"].tolist())
+        if len(ids):
+            parts.append((pool, ids, m, part["kind"].to_numpy(dtype=object)[good]))
+    shared = asked.sparkSession.sparkContext.broadcast(parts)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), BLOCK):
+                some = pdf.iloc[at : at + BLOCK]
+                q_ids, q, _ = _unit_rows(some["id"], some["v"].tolist())
+                for pool, ids, m, kinds in shared.value if len(q_ids) else ():
+                    row, col, score, rank = _nearest(q_ids, q, ids, m, k, others)
+                    yield pd.DataFrame({"request_id": q_ids[row], "pool": pool, "rank": rank, "vec_id": ids[col], "category": kinds[col], "score": score})
+
+    return asked.mapInPandas(run, RESULT)
+
+
+def _topk_of_blocks(asked: DataFrame, rows: DataFrame, k: int, others: bool) -> DataFrame:
     def packed(rows: DataFrame, name: str) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for group, part in pdf.groupby("pool", sort=False) if "pool" in pdf else [("", pdf)]:
+                for group, part in pdf.groupby("pool", sort=False):
                     for at in range(0, len(part), BLOCK):
                         some = part.iloc[at : at + BLOCK]
-                        m = np.stack([np.asarray(x, dtype=np.float64) for x in some["v"]])
-                        length = np.sqrt((m * m).sum(axis=1))
-                        good = np.isfinite(length) & (length >= V.EPS)
-                        m = m[good] / length[good, None]
-                        yield pd.DataFrame({"pool": [group], "n": [len(m)], f"{name}_ids": [some["id"].to_numpy(dtype="<i8")[good].tobytes()], f"{name}_vecs": [m.astype("<f8").tobytes()], f"{name}_kinds": [some["kind"][good].tolist()]})
+                        ids, m, good = _unit_rows(some["id"], some["v"].tolist())
+                        yield pd.DataFrame({"pool": [group], "n": [len(ids)], f"{name}_ids": [ids.tobytes()], f"{name}_vecs": [m.astype("<f8").tobytes()], f"{name}_kinds": [some["kind"][good].tolist()]})
 
-        return rows.where("v IS NOT NULL").mapInPandas(run, f"pool string, n int, {name}_ids binary, {name}_vecs binary, {name}_kinds array<string>").where("n > 0")
+        return rows.mapInPandas(run, f"pool string, n int, {name}_ids binary, {name}_vecs binary, {name}_kinds array<string>").where("n > 0")
 
-    q = packed(queries.select(F.col("request_id").cast("long").alias("id"), F.col("query").alias("v"), F.lit(None).cast("string").alias("kind")), "q").select("q_ids", "q_vecs")
-    p = packed(pools.select(F.col("vec_id").cast("long").alias("id"), "pool", F.col("embedding").alias("v"), F.col("category").alias("kind")), "p").select("pool", "p_ids", "p_vecs", "p_kinds")
+    q = packed(asked.select("id", "v", F.lit("").alias("pool"), F.lit(None).cast("string").alias("kind")), "q").select("q_ids", "q_vecs")
+    p = packed(rows, "p").select("pool", "p_ids", "p_vecs", "p_kinds")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 q_ids, p_ids = np.frombuffer(r.q_ids, "<i8"), np.frombuffer(r.p_ids, "<i8")
-                s = np.frombuffer(r.q_vecs, "<f8").reshape(len(q_ids), -1) @ np.frombuffer(r.p_vecs, "<f8").reshape(len(p_ids), -1).T
-                if others:
-                    s[q_ids[:, None] == p_ids[None, :]] = -np.inf
-                near = s.round(9)
-                # all that reach the k-th score, ties included; they are put in order afterwards
-                least = np.partition(near, len(p_ids) - k, axis=1)[:, len(p_ids) - k] if len(p_ids) > k else np.full(len(q_ids), -np.inf)
-                row, col = np.nonzero((near >= least[:, None]) & (s > -np.inf))
-                order = np.lexsort((-p_ids[col], -near[row, col], row))
-                row, col = row[order], col[order]
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                row, col = row[place < k], col[place < k]
-                kinds = np.array(r.p_kinds, dtype=object)
-                yield pd.DataFrame({"request_id": q_ids[row], "pool": r.pool, "vec_id": p_ids[col], "category": kinds[col], "score": s[row, col]})
+                row, col, score, _ = _nearest(q_ids, np.frombuffer(r.q_vecs, "<f8").reshape(len(q_ids), -1), p_ids, np.frombuffer(r.p_vecs, "<f8").reshape(len(p_ids), -1), k, others)
+                yield pd.DataFrame({"request_id": q_ids[row], "pool": r.pool, "vec_id": p_ids[col], "category": np.array(r.p_kinds, dtype=object)[col], "score": score})
 
     met = q.crossJoin(p).mapInPandas(compare, "request_id long, pool string, vec_id long, category string, score double")
     best = Window.partitionBy("request_id", "pool").orderBy(F.desc(F.round("score", 9)), F.desc("vec_id"))
