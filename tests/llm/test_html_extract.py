@@ -141,3 +141,118 @@ def test_hostile_markup_takes_linear_time():
 
     for bad in ('<a "', '<p>a<b c="d', "<", "</", "<!--", "<svg><p>", "<div a='"):
         assert seconds(bad * 40_000) < 5, bad
+
+
+LONG = "A reader's remark that goes on for a good while, as they do, and says nothing that the story said."
+NAMED = "".join(f"<div class={c}><p>Remark by a reader, number {c}, that is as long as a paragraph of the story itself.</p></div>" for c in "ab")
+SAID = "".join(f"<div class=x7><b>{who}</b> <span>{k + 2} days ago</span><p>{LONG}</p><a href=r>Reply</a></div>" for k, who in enumerate(("Anna", "Ben", "Cleo", "Dora", "Emil", "Fay", "Gus", "Hal")))
+UNNAMED = "<div>" + "".join(f"<div><b>{who}</b><p>{LONG} {LONG}</p></div>" for who in ("Anna", "Ben", "Cleo", "Dora", "Emil", "Fay")) + "</div>"
+MIDDLE = STORY.index("</p>") + 4
+
+
+def test_names_alone_cut_nothing_out_of_an_article():
+    first, second, *rest = LINES.split("\n")
+    for name in ("class=share-price", "class=menu-of-the-day", "class=notice-period", "class=comment-analysis", "id=related-work", "class=advertising-history", "id=discussion", "class='review thread-safety'", "class=social-policy"):
+        page = f"<body>{NAV}<article>{STORY[:MIDDLE]}<div {name}><p>A paragraph that belongs here.</p></div>{STORY[MIDDLE:]}</article>"
+        assert m.main_text(page) == "\n".join([first, second, "A paragraph that belongs here.", *rest]), name
+
+
+def test_parts_whose_names_say_nothing_else_go():
+    for name in ("share-buttons", "ad-slot", "adSlot top", "related-articles", "newsletter-signup", "cookie-notice", "social-links", "sidebar-left", "sponsored_content", "promo-box"):
+        page = f"<body>{NAV}<article>{STORY[:MIDDLE]}<div class='{name}'><p>Not of the story.</p></div>{STORY[MIDDLE:]}</article>"
+        assert m.main_text(page) == LINES, name
+
+
+def test_remarks_are_told_by_names_anywhere_and_by_shape():
+    for name in ("comments", "user-comments", "comment-list", "reader-comments-section", "disqus_thread", "post-comments", "commentArea"):
+        for page in (f"<body>{NAV}<div class=post>{STORY}</div><section class='{name}'>{NAMED * 6}</section>", f"<article>{STORY}<section id='{name}'>{NAMED}</section></article>"):
+            assert m.main_text(page) == LINES, name
+    for around in ("<div>{}</div>", "<section class=discussion>{}</section>", "<ul class=q>{}</ul>", "<div class='b9 z'>{}</div>"):
+        remarks = around.format(SAID if "<ul" not in around else SAID.replace("<div class=x7>", "<li class=x7>").replace("</div>", "</li>"))
+        for page in (f"<body>{NAV}<div class=post>{STORY}</div>{remarks}", f"<article>{STORY}{remarks}</article>", f"<body>{NAV}<main>{STORY}</main>{remarks}"):
+            assert m.main_text(page) == LINES, around
+    nested = "".join(f"<article><header><a href=u>{w}</a> <time>10:3{k}</time></header><p>{LONG}</p></article>" for k, w in enumerate(("Anna", "Ben", "Cleo")))
+    assert m.main_text(f"<article>{STORY}{nested}</article>") == LINES
+    says = "".join(f"<li><p>{w} says: on 2024-01-0{k + 1}</p><p>{LONG}</p></li>" for k, w in enumerate(("Anna", "Ben", "Cleo")))
+    assert m.main_text(f"<article>{STORY}<ol>{says}</ol></article>") == LINES
+
+
+def test_what_only_looks_like_remarks_stays():
+    terms = "".join(f"<li><b>Term {k}</b> is explained here in some words.</li>" for k in range(4))
+    live = "".join(f"<div class=entry><time>1{k}:30</time><h3>What happened</h3><p>Some words on what happened then.</p></div>" for k in range(4))
+    parts = "".join(f"<section><h2>Part {k}</h2><p>Some words of the part, as parts have them.</p></section>" for k in range(4))
+    said = "".join(f"<blockquote><p>Quoted words number {k}.</p></blockquote>" for k in range(3))
+    for part, n in ((f"<ul>{terms}</ul>", 4), (live, 12), (parts, 8), (said, 3)):
+        got = m.main_text(f"<article>{STORY}{part}</article>").split("\n")
+        assert got[:7] == LINES.split("\n") and len(got) == 7 + n, part
+
+
+def test_forms_around_the_page_and_forms_in_it():
+    page = f"<form id=aspnetForm>{NAV}<article>{STORY}</article><div class=comments>{NAMED * 8}</div></form>"
+    assert m.main_text(page) == LINES
+    assert m.main_text(f"<body><div>{STORY}<form><label>Your name</label><p>Fill in this form to hear from us.</p></form></div>") == LINES
+
+
+def test_a_short_main_element_beside_a_long_list_of_remarks():
+    assert m.main_text(f"<body>{NAV}<main><p>One sentence is all there is.</p></main>{UNNAMED}") == "One sentence is all there is."
+    assert m.main_text(f"<body>{NAV}<main><p>One sentence is all there is.</p></main><div class=comments>{NAMED * 9}</div>") == "One sentence is all there is."
+
+
+def test_nested_open_tags_take_linear_time():
+    import time
+
+    n = 20_000
+    for bad in ("<i>" * n + "<td>x" * n, "<p><x-a>" + "<i>" * n + "<div></div>" * n, "<svg><foreignobject>" + "<i>" * n, "<div>" * n + "<header></header>" * n, "<ul>" + "<i>" * n + "<li>x" * n, "<dl>" + "<b>" * n + "<dd>x<dt>y" * n, "<table>" + "<tr><td>" * n, ("<div><b>a</b> 10:30 " * 3000) + "x"):
+        began = time.perf_counter()
+        m.main_text(bad)
+        assert time.perf_counter() - began < 6, bad[:40]
+
+
+def slow_choice(root):
+    """The first choice by the rules written out over all nodes, for pages whose names and shapes say nothing."""
+    every, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        every.append(n)
+        todo += [k for k in n.kids if not isinstance(k, str) and not k.drop]
+    sums = {id(n): sum(k.density for k in n.kids if not isinstance(k, str) and not k.drop) for n in every}
+    inner = [n for n in every if n is not root and slow(n)[0] and n.tag not in m.PARTS]
+    loose = sum(len("".join(k.split())) if isinstance(k, str) else slow(k)[0] for k in root.kids if isinstance(k, str) or k.tag in m.PARTS and not k.drop)
+    best = max(inner, key=lambda n: (sums[id(n)], n.density, -n.depth)) if inner and 2 * loose <= slow(root)[0] else root
+    up = best
+    while up is not None:
+        if up.tag in m.CONTAINER and 2 * slow(best)[0] >= slow(up)[0]:
+            return {id(up)}
+        up = up.up
+    return {id(best)}
+
+
+def test_the_choice_equals_the_rules_written_out():
+    import random
+
+    rng = random.Random(11)
+
+    def page(depth=0):
+        kind = rng.random()
+        words = " ".join(rng.choice(("plain", "words", "of", "a", "text")) for _ in range(rng.randint(1, 25)))
+        if depth > 4 or kind < 0.4:
+            return f"<p>{words}</p>"
+        if kind < 0.5:
+            return f"<ul>{''.join(f'<li><a href=x>{rng.choice(words.split())}</a>' for _ in range(rng.randint(1, 5)))}</ul>"
+        tag = rng.choice(("div", "div", "section", "article", "main", "table"))
+        inner = "".join(page(depth + 1) for _ in range(rng.randint(1, 4)))
+        return f"<table><tr><td>{inner}</table>" if tag == "table" else f"<{tag}>{inner}</{tag}>"
+
+    for _ in range(300):
+        root = m.parse("<body>" + "".join(page() for _ in range(rng.randint(1, 3))))
+        nodes = m.measure(root)
+        m.mark(nodes)
+        if any(n.hint or n.weak for n in nodes):
+            continue
+        want = slow_choice(root)
+        for n in nodes:
+            n.chars = n.tags = n.link_chars = n.link_tags = 0
+            n.density = n.total = 0.0
+        chosen = m.main_nodes(root)
+        covered = {id(x) for top in chosen for x in m._order(top)}
+        assert want <= covered
