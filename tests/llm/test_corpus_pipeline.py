@@ -30,11 +30,12 @@ def test_each_stage_works_on_all_that_is_left(spark):
     texts = [r.text for r in near.collect()]
     assert len(texts) == len(set(texts)) < len(after)
     ids = {r.doc_id for r in near.collect()}
-    block = decontaminate.Items([(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()], 5)
+    seen: dict = {}
+    items = [w for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(w := decontaminate.codes_of(r.text, seen)) > 1]
     held = set()
     for i in ids:
-        codes = block.codes(after[i].text)
-        for _, words in block.items:
+        codes = decontaminate.codes_of(after[i].text, seen)
+        for words in items:
             if len(set(words.tolist()).intersection(codes.tolist())) >= 0.8 * len(set(words.tolist())):
                 _, matches, _, _, a, b = align(words, codes)
                 if matches >= 0.8 * max(len(words), b - a):

@@ -102,10 +102,44 @@ def test_short_items_are_found_whole(spark):
     assert got == {(2, 2), (3, 3), (4, 4), (5, 5), (10, 5)}
 
 
-def test_blocks_of_items_give_the_same(spark):
+def test_common_seeds_serve_where_an_item_has_no_rare_ones(spark):
     docs, items, want = made(2)
-    got = m.contaminated_pairs(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), block_chars=1000).collect()
-    assert {(r.id, r.item_id) for r in got} == want
+    frames = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    for rare, fallback in ((0, 24), (1, 8), (10**9, 0)):
+        got = m.contaminated_pairs(*frames, rare=rare, fallback=fallback).collect()
+        assert {(r.id, r.item_id) for r in got} == want, (rare, fallback)
+    # an item that is in every document, beside a rare one
+    common = items[0][1]
+    many = [(k, f"own{k} words{k} {common} and more{k}" + (" " + items[1][1] if k == 7 else ""), "a", "b") for k in range(400)]
+    got = {(r.id, r.item_id) for r in m.contaminated_pairs(spark.createDataFrame(many, DOCS).repartition(5), frames[1], rare=20).collect()}
+    assert got == {(k, 0) for k in range(400)} | {(7, 1)}
+
+
+def test_rare_seeds_are_chosen_by_their_frequency(spark):
+    seeds = spark.createDataFrame([(k, 1, k, 9) for k in range(8)] + [(10, 2, 0, 3), (11, 2, 1, 3), (99, 3, 0, 3)], "key long, unit long, place int, words int")
+    hits = spark.createDataFrame([(d, 0, k, 0) for k, n in ((0, 1), (1, 2), (2, 3), (3, 50), (4, 60), (10, 70), (11, 80)) for d in range(n)], "a long, b long, key long, pos int")
+    got = sorted((r.unit, r.key) for r in m.chosen_seeds(seeds, hits, 3, 2).collect())
+    assert got == [(1, 0), (1, 1), (1, 2), (2, 10), (2, 11)]
+    assert sorted((r.unit, r.key) for r in m.chosen_seeds(seeds, hits, 3, 4).collect()) == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 10), (2, 11)]
+
+
+def test_the_filter_has_every_seed_and_little_else(spark):
+    rng = np.random.default_rng(3)
+    keys = rng.integers(-(2**63), 2**63 - 1, 20_000)
+    bits = m.seed_filter(spark.createDataFrame([(int(k),) for k in keys], "key long").repartition(3))
+    one, two = m.slots(keys, len(bits))
+    assert (bits[one] & bits[two]).all()
+    one, two = m.slots(rng.integers(-(2**63), 2**63 - 1, 50_000), len(bits))
+    assert (bits[one] & bits[two]).mean() < 0.05
+
+
+def test_no_cross_join_and_nothing_broadcast_without_a_bound(spark, monkeypatch):
+    docs, items, want = made(3)
+    monkeypatch.setattr(m, "SMALL", 0)
+    out = m.contaminated_pairs(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    assert {(r.id, r.item_id) for r in out.collect()} == want
 
 
 def test_equals_an_alignment_of_every_document_with_every_item(spark):
@@ -113,23 +147,35 @@ def test_equals_an_alignment_of_every_document_with_every_item(spark):
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     docs += [(1000 + r.item_id, "before it " + r.text + " after it") for r in items.collect()[:10]]
     got = {(r.id, r.item_id) for r in m.contaminated_pairs(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
-    block = m.Items([(r.item_id, r.text) for r in items.collect()], 5)
-    want = set()
+    want, seen = set(), {}
     for d, t in docs:
-        codes = block.codes(t)
-        for item, words in block.items:
+        codes = m.codes_of(t, seen)
+        for r in items.collect():
+            words = m.codes_of(r.text, seen)
+            if len(words) < 2:
+                continue
             _, matches, _, _, j0, j1 = align(words, codes)
             if matches >= 0.8 * max(len(words), j1 - j0):
-                want.add((d, item))
+                want.add((d, r.item_id))
     assert got == want and len(want) >= 10
 
 
+def test_documents_without_leaks_keep_their_columns(spark):
+    item = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(1, item, "x", "l"), (2, "clean", "x", "l"), (None, None, "x", "l"), (None, item + " and more", "x", "l"), (3, "", "x", "l"), (2, "clean", "x", "l")], DOCS)
+    items = spark.createDataFrame([(1, item, "a")], ITEMS)
+    left = m.without_leaks(docs, items)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in left.collect()) == [(-1, ""), (2, "clean"), (2, "clean"), (3, "")]
+    assert m.without_leaks(docs, items.where("false")).count() == 6
+
+
 def test_nulls_empty_long_repeated_rows_and_items(spark):
     item = "one two three four five six seven eight"
     docs = [(1, None, "a", "b"), (2, "", "a", "b"), (3, "word " * 200000 + item, "a", "b"), (3, "word " * 200000 + item, "a", "b"), (None, item, "a", "b"), (4, item * 1, "a", "b"), (5, (item + " ") * 50, "a", "b")]
     items = [(1, item, "a"), (1, item, "a"), (2, None, "a"), (None, item, "a"), (3, "", "a"), (4, "one two nine", "a"), (5, "six", "a")]
     got = m.contaminated_pairs(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
     assert sorted({(r.id or -1, r.item_id) for r in got}) == [(-1, 1), (3, 1), (4, 1), (5, 1)]
-    assert sum(r.id == 3 for r in got) == 2
+    assert sum(r.id == 3 for r in got) == 1, "rows that repeat an id and text are one document"
     assert m.contaminated_pairs(spark.createDataFrame([], DOCS), spark.createDataFrame(items, ITEMS)).count() == 0
     assert m.contaminated_pairs(spark.createDataFrame(docs, DOCS), spark.createDataFrame([], ITEMS)).count() == 0

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: short word n-grams seed a Smith-Waterman alignment of passages with test items."""
+"""Benchmark decontamination: rare word n-grams join passages with test items, a Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -6,114 +6,196 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import WORD, align, gram_codes, seed_windows
+from tidegate.llm.common import WORD, align, checkpoint, gram_codes, seed_windows, word_codes
 
-LEAKS = "array<struct<item_id:bigint,similarity:double,score:int,start_word:int,end_word:int>>"
+SHORT = 5  # items of so many words are seeded with pairs of words
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26  # of the filter of seeds
+SMALL = 32_000_000  # bytes of items that are broadcast
+FOUND = "a long, b long, item_id long, similarity double, score int, start_word int, end_word int"
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-class Items:
-    """A block of test items of at least ``least`` words: their words as small numbers, and their seeds.
+def codes_of(text: str | None, seen: dict) -> np.ndarray:
+    return word_codes(words_of(text), seen)
 
-    Seeds are all runs of ``n`` words of an item, of two words if it has five words or fewer: with a fifth of the words
-    replaced one such run stays whole. ``seeds`` has, for each length of run, the codes and where they lie in items.
+
+def seed_codes(codes: np.ndarray, size: int) -> np.ndarray:
+    """Keys of the runs of ``size`` words, in order; runs of unlike sizes have unlike keys."""
+    grams = gram_codes(codes, size)
+    return (grams ^ np.uint64(size * 0x9E3779B97F4A7C15 % 2**64)).view(np.int64)
+
+
+def seed_size(words: int, seed: int) -> int:
+    return min(2, words) if words <= SHORT else seed
+
+
+def slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Two places of each key in a filter of ``bits`` bits, a power of two."""
+    u = keys.view(np.uint64)
+    return np.stack([u >> np.uint64(7), u >> np.uint64(35)]) & np.uint64(bits - 1)
+
+
+def item_rows(benchmark: DataFrame, item_col: str, item_text: str, least: int) -> DataFrame:
+    """(unit, item_id, codes): items of at least ``least`` words, once each, their words as codes; a unit is an item's id with its text."""
+    good = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).distinct()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict = {}
+        for pdf in batches:
+            yield pdf[["unit", "item_id"]].assign(codes=[codes_of(t, seen).view(np.int64).tolist() for t in pdf["text"]])
+
+    rows = good.withColumn("unit", F.xxhash64("item_id", "text")).mapInPandas(run, "unit long, item_id long, codes array<long>")
+    return rows.where(F.size("codes") >= max(1, least))
+
+
+def seed_rows(items: DataFrame, seed: int) -> DataFrame:
+    """(key, unit, place, words): every run of ``seed`` words of every item, of two words if it is short."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for unit, codes in zip(pdf["unit"], pdf["codes"], strict=True):
+                keys = seed_codes(np.asarray(codes, dtype=np.int64).view(np.uint64), seed_size(len(codes), seed))
+                yield pd.DataFrame({"key": keys, "unit": unit, "place": np.arange(len(keys), dtype=np.int32), "words": np.int32(len(codes))})
+
+    return items.select("unit", "codes").mapInPandas(run, "key long, unit long, place int, words int")
+
+
+def seed_filter(seeds: DataFrame) -> np.ndarray:
+    """Bits of a filter that has every seed: sixteen a seed, within ``LEAST_BITS`` and ``MOST_BITS``; made in the tasks, word by word."""
+    n = seeds.count()
+    bits = LEAST_BITS
+    while bits < min(MOST_BITS, 16 * n):
+        bits *= 2
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros(bits // 64, dtype=np.uint64)
+        for pdf in batches:
+            at = slots(pdf["key"].to_numpy(dtype=np.int64), bits).ravel()
+            np.bitwise_or.at(held, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        some = np.flatnonzero(held)
+        yield pd.DataFrame({"word": some, "bits": held[some].view(np.int64)})
+
+    words = seeds.select("key").mapInPandas(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(a, b, id, text): rows of one id and text have one pair of hashes."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.select(F.xxhash64("id", "text").alias("a"), F.xxhash64("text", "id").alias("b"), "id", "text")
+
+
+def seed_hits(rows: DataFrame, known: np.ndarray, sizes: list[int]) -> DataFrame:
+    """(a, b, key, pos): where a run of words of a text may be a seed, by the filter; a few others come along."""
+    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(known))
+    bits = len(known)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, seen = np.unpackbits(shared.value).astype(bool), {}
+        for pdf in batches:
+            out = []
+            for a, b, text in zip(pdf["a"], pdf["b"], pdf["text"], strict=True):
+                codes = codes_of(text, seen)
+                for size in sizes:
+                    keys = seed_codes(codes, size)
+                    if len(keys):
+                        one, two = slots(keys, bits)
+                        at = np.flatnonzero(held[one] & held[two])
+                        if len(at):
+                            out.append((a, b, keys[at].tolist(), at.tolist()))
+            yield pd.DataFrame(out, columns=["a", "b", "keys", "places"])
+
+    found = rows.where("text IS NOT NULL").select("a", "b", "text").mapInPandas(run, "a long, b long, keys array<long>, places array<int>")
+    return found.select("a", "b", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("pos"))))
+
+
+def chosen_seeds(seeds: DataFrame, hits: DataFrame, rare: int, fallback: int) -> DataFrame:
+    """Seeds that occur at most ``rare`` times in the corpus, and for items with fewer such than ``fallback`` the next rarest up to that number.
+
+    Seeds that occur nowhere find nothing and don't count. Of equally common ones those are taken that a hash puts first, so
+    that they lie all over the item.
     """
+    times = hits.groupBy("key").agg(F.count("*").alias("times"))
+    ranked = seeds.join(times, "key").withColumn("rank", F.row_number().over(Window.partitionBy("unit").orderBy("times", F.xxhash64("key", "place"))))
+    return ranked.where((F.col("times") <= rare) | (F.col("rank") <= fallback)).select("key", "unit", "place", "words")
+
+
+def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 2, seed: int = 3, least: float = 0.8, rare: int = 200, fallback: int = 24) -> DataFrame:
+    """(a, b, id, item_id, similarity, score, start_word, end_word): passages of documents that copy or paraphrase an item.
+
+    Words are runs of letters, digits and underscores, lower-cased. A passage counts if an alignment matches at least
+    ``least`` of the longer of the item and the aligned stretch. Runs of ``seed`` words of an item are its seeds (of two words, if
+    it has five or fewer). A filter of all seeds, bounded by ``MOST_BITS``, finds where texts may hold one; how often each
+    occurs says which are rare (``chosen_seeds``), and rows of rare seeds join rows of texts by key, a hot key's split by the
+    skew join. Where a seed is met a window of the text goes to its item and is aligned; whole texts never move but
+    those that meet a seed, once each. So a passage with up to a fifth of its words replaced keeps a seed; a copy whose words
+    are inserted and deleted in turn, so that no three of the item's stay together, may be missed (the README has the recall).
 
-    def __init__(self, rows: list[tuple[int, str]], least: int, n: int = 3):
-        self.vocabulary, self.items = {}, []
-        places: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        for item, text in rows:
-            words = words_of(text)
-            if len(words) < max(1, least):
-                continue
-            codes = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], dtype=np.uint64)
-            size = min(n, len(words) if len(words) < 3 else 2) if len(words) <= 5 else n
-            for p, code in enumerate(gram_codes(codes, size).tolist()):
-                places.setdefault(size, {}).setdefault(code, []).append((len(self.items), p))
-            self.items.append((item, codes))
-        self.seeds = [(size, np.array(sorted(own), dtype=np.uint64), [own[c] for c in sorted(own)]) for size, own in sorted(places.items())]
-
-    def codes(self, text: str | None) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.array([get(w, 0) for w in words_of(text)], dtype=np.uint64)
-
-    def starts(self, codes: np.ndarray) -> dict[int, list[int]]:
-        """Item to the places in the text where it would begin, one for each seed met."""
-        out: dict[int, list[int]] = {}
-        for size, known, places in self.seeds:
-            if len(codes) < size:
-                continue
-            at = np.nonzero(np.convolve(codes > 0, np.ones(size, dtype=np.int32), "valid") == size)[0]
-            if not len(at):
-                continue
-            grams = gram_codes(codes, size)[at]
-            k = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-            same = known[k] == grams
-            for pos, s in zip(at[same].tolist(), k[same].tolist(), strict=True):
-                for item, p in places[s]:
-                    out.setdefault(item, []).append(pos - p)
-        return out
-
-
-def leaks_in(text: str | None, items: Items, least: float) -> list[dict]:
-    """The passages of a text that align with an item: at least ``least`` of its words matched, in order."""
-    codes = items.codes(text)
-    out = []
-    for k, begun in items.starts(codes).items():
-        item, words = items.items[k]
-        slack = max(4, len(words) // 4)
-        found = []
-        for lo, hi in seed_windows(begun, len(words), slack, len(codes)):
-            # no alignment matches more words than occur in the stretch
-            if np.isin(words, codes[lo:hi]).sum() < least * len(words):
-                continue
-            score, matches, _, _, start, end = align(words, codes[lo:hi])
-            if matches >= least * max(len(words), end - start):
-                found.append({"item_id": item, "similarity": matches / max(len(words), end - start), "score": score, "start_word": lo + start, "end_word": lo + end})
-        out += {(f["start_word"], f["end_word"]): f for f in found}.values()
-    return sorted(out, key=lambda f: (f["item_id"], f["start_word"]))
-
-
-def _scan(shared, least: float):
-    @F.pandas_udf(LEAKS)
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        block = shared.value
-        for texts in batches:
-            yield pd.Series([leaks_in(t, block, least) for t in texts])
-
-    return scan
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 2, seed: int = 3, least: float = 0.8, block_chars: int = 16_000_000) -> Column:
-    """A column for ``docs``: the list of passages of its text that copy or paraphrase an item.
-
-    Words are runs of letters, digits and underscores, lower-cased. A passage counts if an alignment matches at
-    least ``least`` of the longer of the item and the aligned stretch. Every run of ``seed`` words of an item is a
-    seed (of two words, if it has five or fewer), so a passage with up to a fifth of its words replaced keeps one; a
-    copy whose words are inserted and deleted in turn, so that no three of the item's stay together, may be missed
-    (the README has the recall). Items are read in blocks of about ``block_chars`` characters, the bound on what is
-    broadcast; each block is a scan, without a shuffle of texts. Null and empty texts have no passages; items that are
-    null or have fewer than ``n`` words match nothing, as a single word is in any text; repeated items count once; no
-    items, empty lists. Other columns are not read.
+    Null and empty texts have no passages; items that are null or have fewer than ``n`` words match nothing, as a single word is in
+    any text; repeated items count once, and so do rows that repeat an id and text (``a`` and ``b`` are their hashes);
+    texts of any length are one row; empty tables give no rows. Other columns are not read.
     """
-    good = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t"))
-    chars = good.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = -(-chars // block_chars)
-    parts = [F.array().cast(LEAKS)]
-    for b in range(blocks):
-        rows = good.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).distinct().collect()
-        items = Items(sorted((r["i"], r["t"]) for r in rows), n, seed)
-        parts.append(_scan(docs.sparkSession.sparkContext.broadcast(items), least)(F.col(text_col)))
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
-
-
-def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """(id, item_id, similarity, score, start_word, end_word): each aligned passage of each document."""
-    found = docs.select(F.col(id_col).alias("id"), F.explode(leaks(docs, benchmark, text_col, **more)).alias("x"))
-    return found.select("id", "x.*")
+    spark = docs.sparkSession
+    items = checkpoint(item_rows(benchmark, item_col, item_text, n))
+    seeds = seed_rows(items, seed)
+    lengths = [r["s"] for r in items.select(F.when(F.size("codes") <= SHORT, F.least(F.lit(2), F.size("codes"))).otherwise(F.lit(seed)).alias("s")).distinct().collect()]
+    if not lengths:
+        return spark.createDataFrame([], FOUND.replace("item_id", "id long, item_id", 1))
+    rows = keyed(docs, id_col, text_col)
+    hits = checkpoint(seed_hits(rows, seed_filter(seeds), sorted(lengths)))
+    met = hits.join(chosen_seeds(seeds, hits, rare, fallback), "key")
+    per = met.groupBy("a", "b", "unit").agg(F.collect_set(F.col("pos") - F.col("place")).alias("starts"), F.max("words").alias("words"))
+    asked = checkpoint(per.groupBy("a", "b").agg(F.collect_list(F.struct("unit", "words", "starts")).alias("asked")))
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict = {}
+        for pdf in batches:
+            out = []
+            for a, b, text, asked in zip(pdf["a"], pdf["b"], pdf["text"], pdf["asked"], strict=True):
+                codes = codes_of(text, seen).view(np.int64)
+                for x in asked:
+                    for lo, hi in seed_windows(list(x["starts"]), x["words"], max(4, x["words"] // 4), len(codes)):
+                        out.append((a, b, x["unit"], lo, codes[lo:hi].tolist()))
+                        if len(out) == 2000:
+                            yield pd.DataFrame(out, columns=["a", "b", "unit", "lo", "stretch"])
+                            out = []
+            yield pd.DataFrame(out, columns=["a", "b", "unit", "lo", "stretch"])
+
+    texts = rows.join(asked.select("a", "b"), ["a", "b"], "left_semi").dropDuplicates(["a", "b"])
+    stretches = texts.join(asked, ["a", "b"]).select("a", "b", "text", "asked").mapInPandas(windows, "a long, b long, unit long, lo int, stretch array<long>")
+    held = items.agg(F.sum(F.size("codes") * 8 + 64)).first()[0] or 0
+    both = stretches.join(F.broadcast(items) if held <= SMALL else items, "unit")
+
+    def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                words, stretch = np.asarray(r.codes), np.asarray(r.stretch)
+                # no alignment matches more words than occur in the stretch
+                if np.isin(words, stretch).sum() < least * len(words):
+                    continue
+                score, matches, _, _, start, end = align(words, stretch)
+                whole = max(len(words), end - start)
+                if matches >= least * whole:
+                    out.append((r.a, r.b, r.item_id, matches / whole, score, r.lo + start, r.lo + end))
+            yield pd.DataFrame(out, columns=["a", "b", "item_id", "similarity", "score", "start_word", "end_word"])
+
+    found = both.select("a", "b", "item_id", "lo", "codes", "stretch").mapInPandas(aligned, FOUND).dropDuplicates(["a", "b", "item_id", "start_word", "end_word"])
+    return found.join(texts.select("a", "b", "id"), ["a", "b"]).select("a", "b", "id", "item_id", "similarity", "score", "start_word", "end_word")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """The documents that hold no passage of an item, with all their columns; null and empty texts stay."""
+    found = checkpoint(contaminated_pairs(docs, benchmark, id_col, text_col, **more).select("a", "b").distinct())
+    at = docs.columns
+    a, b = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")), F.xxhash64(F.col(text_col).cast("string"), F.col(id_col).cast("long"))
+    marked = docs.select(F.struct(*at).alias("row_"), a.alias("a_"), b.alias("b_"))
+    return marked.join(found, (F.col("a_") == F.col("a")) & (F.col("b_") == F.col("b")), "left_anti").select("row_.*")
