@@ -7,21 +7,21 @@ SCHEMA = "vec_id long, embedding array<double>, label int, score long"
 
 
 def brute(rows, k, scale=64, every=20):
-    good = {}
+    good = []
     for i, v, *_ in rows:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            good[i] = [int(np.floor(scale * x)) for x in v]
-    out = set()
-    for i, q in good.items():
+            good.append((i, [int(np.floor(scale * x)) for x in v]))
+    out = []
+    for n, (i, q) in enumerate(good):
         if i % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(q, x)), j) for j, x in good.items() if j != i)
-            out |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(scores[:k])}
-    return out
+            scores = sorted((-sum(a * b for a, b in zip(q, x)), j) for m, (j, x) in enumerate(good) if m != n)
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores[:k])]
+    return sorted(out)
 
 
 def run(spark, rows, **more):
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
-    return {tuple(r) for r in m.search(df, df.where("vec_id % 20 = 0"), **more).collect()}
+    return sorted(tuple(r) for r in m.search(df, df.where("vec_id % 20 = 0"), **more).collect())
 
 
 @pytest.mark.parametrize("case", ["clusters", "uneven norms", "hot vector"])
@@ -60,9 +60,16 @@ def test_annuli_are_passed_over(spark):
 def test_nulls_ties_repeats_lengths_and_large_numbers(spark):
     rows = [(k, [float(k % 3), 1.0], 0, 0) for k in range(50)] + [(100, None, 0, 0), (120, [1.0, None], 0, 0), (140, [float("nan"), 1.0], 0, 0), (160, [float("inf"), 1.0], 0, 0), (None, [1.0, 1.0], 0, 0), (180, [], 0, 0), (200, [1.0, 2.0, 3.0], 0, 0), (40, [1.0, 1.0], 0, 0)]
     assert run(spark, rows) == brute(rows, 20)
-    assert run(spark, []) == set()
+    assert run(spark, []) == []
     big = [(k, [1e30 * (k % 2 * 2 - 1), float(k)], 0, 0) for k in range(0, 60, 5)]
     got = run(spark, big)
     assert {s for *_, s in got} == {2**63 - 1, -(2**63)}
     mid = [(k, [1e6 * k, -1e6, 3.0], 0, 0) for k in range(40)]
     assert run(spark, mid) == brute(mid, 20)
+
+
+def test_rows_that_repeat_an_id_are_all_candidates_and_all_asked(spark):
+    rows = [(k, [float(k % 7), 1.0, -float(k % 3)], 0, 0) for k in range(60)]
+    rows += [(20, [3.0, 1.0, 0.0], 0, 0), (20, [3.0, 1.0, 0.0], 0, 0), (20, rows[20][1], 0, 0), (5, [9.0, 9.0, 9.0], 0, 0), (5, [9.0, 9.0, 9.0], 0, 0)] + [(7, [8.0, 8.0, 8.0], 0, 0)] * 30
+    for k in (3, 20, 200):
+        assert run(spark, rows, k=k) == brute(rows, k)

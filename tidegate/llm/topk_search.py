@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidegate.llm.common import checkpoint
 
 BLOCK = 1024  # vectors of an annulus, or queries, that are compared at once
-RESULT = "query_id long, vec_id long, score long"
+RESULT = "query long, vec_id long, uid long, score long"
 
 
 def quantize(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -79,7 +79,7 @@ class Pivots:
 
 def fit_pivots(rows: DataFrame, total: int, dim: int, rings: int, sample: int, most: int) -> Pivots:
     """At most ``most`` pivots, far apart, and annuli of like numbers, fitted on at most ``2 * sample`` vectors chosen by hash."""
-    share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, sample / max(1, total)) * (1 << 30))
+    share = F.pmod(F.xxhash64("uid"), F.lit(1 << 30)) < int(min(1.0, sample / max(1, total)) * (1 << 30))
     some = matrix([r["vec"] for r in rows.where(share).select("vec").limit(2 * sample).collect()], dim)
     some = np.unique(some, axis=0) if len(some) else np.zeros((1, dim), np.int64)
     count = int(min(most, max(2, total // (rings * BLOCK // 4)), len(some)))
@@ -98,37 +98,38 @@ def fit_pivots(rows: DataFrame, total: int, dim: int, rings: int, sample: int, m
 
 
 def blocks(rows: DataFrame, pivots: Pivots, dim: int, total: int) -> DataFrame:
-    """(cell, low, high, norm, ids, vecs): the index. Annuli of any size, in rows of at most ``BLOCK`` vectors."""
+    """(cell, low, high, norm, ids, uids, vecs): the index. Annuli of any size, in rows of at most ``BLOCK`` vectors."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 cell, d = pivots.cells(matrix(pdf["vec"], dim))
-                yield pd.DataFrame({"cell": cell, "dist": d, "id": pdf["id"], "vec": pdf["vec"]})
+                yield pd.DataFrame({"cell": cell, "dist": d, "id": pdf["id"], "uid": pdf["uid"], "vec": pdf["vec"]})
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come in order of cell; a block ends with its cell or when it is full."""
         cell, held = None, []
         for pdf in batches:
-            for c, d, i, v in zip(pdf["cell"], pdf["dist"], pdf["id"], pdf["vec"], strict=True):
+            for c, d, i, u, v in zip(pdf["cell"], pdf["dist"], pdf["id"], pdf["uid"], pdf["vec"], strict=True):
                 if held and (c != cell or len(held) == BLOCK):
                     yield block(cell, held)
                     held = []
                 cell = c
-                held.append((d, i, v))
+                held.append((d, i, u, v))
         if held:
             yield block(cell, held)
 
     def block(cell: int, held: list) -> pd.DataFrame:
         m = matrix([v for *_, v in held], dim)
         d = [x for x, *_ in held]
+        packed = lambda k: np.array([x[k] for x in held], dtype="<i8").tobytes()
         norm = float(np.sqrt((m.astype(np.float64) ** 2).sum(1)).max())
-        return pd.DataFrame({"cell": [cell], "low": [min(d)], "high": [max(d)], "norm": [norm], "n": [len(held)], "ids": [np.array([i for _, i, _ in held], dtype="<i8").tobytes()], "vecs": [m.tobytes()]})
+        return pd.DataFrame({"cell": [cell], "low": [min(d)], "high": [max(d)], "norm": [norm], "n": [len(held)], "ids": [packed(1)], "uids": [packed(2)], "vecs": [m.tobytes()]})
 
-    dealt = rows.mapInPandas(run, "cell long, dist double, id long, vec binary")
-    salt = F.pmod(F.xxhash64("id"), F.lit(max(1, total // (64 * BLOCK))))  # a cell with a third of all vectors is many tasks' work
+    dealt = rows.mapInPandas(run, "cell long, dist double, id long, uid long, vec binary")
+    salt = F.pmod(F.xxhash64("uid"), F.lit(max(1, total // (64 * BLOCK))))  # a cell with a third of all vectors is many tasks' work
     dealt = dealt.repartition("cell", salt).sortWithinPartitions("cell", "dist")
-    return dealt.mapInPandas(pack, "cell long, low double, high double, norm double, n long, ids binary, vecs binary")
+    return dealt.mapInPandas(pack, "cell long, low double, high double, norm double, n long, ids binary, uids binary, vecs binary")
 
 
 def bounds(q: np.ndarray, pivots: Pivots, cells: pd.DataFrame) -> np.ndarray:
@@ -151,14 +152,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     Vectors are indexed by nearest pivot and distance to it. Each round a query's next annuli, best bound first,
     are compared in blocks, four times as many as before; a query stops when the next bound is below its k-th
     score. The directory has ``pivots * rings`` rows at most. Vectors that are null or hold a null or non-finite
-    component take no part; of rows that repeat an id the vector that is largest as bytes is taken; a query is not
-    its own answer; vectors of unlike lengths meet as if filled up with zeros. Empty tables give no rows.
+    component take no part. Rows that repeat an id stand each for itself: all are candidates and, among the queries, asked;
+    a query's own row, one row of its id and vector, is no answer of it, another one is. Rows alike in both are compared
+    once and counted as often as they are. Vectors of unlike lengths meet as if filled up with zeros. Empty tables give no
+    rows; other columns aren't read, whatever their names.
     """
-    rows = quantize(vectors, id_col, vec_col, scale)
-    rows = checkpoint(rows.groupBy("id").agg(F.max("vec").alias("vec")))
-    asked = checkpoint(quantize(queries, id_col, vec_col, scale).groupBy("id").agg(F.max("vec").alias("vec")))
-    total, size = rows.agg(F.count("*"), F.max(F.length("vec"))).first()
     spark = vectors.sparkSession
+    rows = quantize(vectors, id_col, vec_col, scale).groupBy("id", "vec").agg(F.count("*").alias("times"))
+    rows = checkpoint(rows.withColumn("uid", F.monotonically_increasing_id()))
+    asked = quantize(queries, id_col, vec_col, scale).groupBy("id", "vec").agg(F.count("*").alias("asked"))
+    own = rows.select(F.col("id").alias("i"), F.col("vec").alias("v"), F.col("uid").alias("own"), "times")
+    asked = asked.join(own, (F.col("id") == F.col("i")) & (F.col("vec") == F.col("v")), "left")
+    # the row that a query mustn't find, if its own is the only one
+    alone = F.when(F.col("times") == 1, F.col("own")).otherwise(F.lit(-1))
+    asked = checkpoint(asked.select("id", "vec", "asked", "own", alone.alias("skip")).withColumn("query", F.monotonically_increasing_id()))
+    total, size = rows.agg(F.count("*"), F.max(F.length("vec"))).first()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim = max(1, size // 8, (asked.agg(F.max(F.length("vec"))).first()[0] or 0) // 8)
@@ -180,37 +188,42 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
                     place = np.argsort(np.argsort(-top, axis=1, kind="stable"), axis=1, kind="stable")
                     least = part["least"].to_numpy(dtype=np.float64, na_value=-np.inf)
                     go = (place >= first) & (place < last) & (top >= least[:, None])
-                    ids = part["id"].to_numpy(dtype="<i8")
-                    out = [(int(cells["cell"][c]), ids[w].tobytes(), least[w].tobytes(), q[w].tobytes()) for c in np.nonzero(go.any(axis=0))[0] for w in (go[:, c],)]
-                    yield pd.DataFrame(out, columns=["cell", "q_ids", "q_least", "q_vecs"])
+                    names, skips = part["query"].to_numpy(dtype="<i8"), part["skip"].to_numpy(dtype="<i8")
+                    out = [(int(cells["cell"][c]), names[w].tobytes(), skips[w].tobytes(), least[w].tobytes(), q[w].tobytes()) for c in np.nonzero(go.any(axis=0))[0] for w in (go[:, c],)]
+                    yield pd.DataFrame(out, columns=["cell", "q_names", "q_skips", "q_least", "q_vecs"])
 
         return run
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                ids, q_ids = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.q_ids, "<i8")
+                ids, uids, names, skips = (np.frombuffer(x, "<i8") for x in (r.ids, r.uids, r.q_names, r.q_skips))
                 s = products(np.frombuffer(r.q_vecs, "<i8").reshape(-1, dim), np.frombuffer(r.vecs, "<i8").reshape(-1, dim))
-                good = (s >= np.frombuffer(r.q_least, "<f8")[:, None]) & (q_ids[:, None] != ids[None, :])
+                good = (s >= np.frombuffer(r.q_least, "<f8")[:, None]) & (skips[:, None] != uids[None, :])
                 out = []
                 for a in np.nonzero(good.any(axis=1))[0]:
                     at = np.nonzero(good[a])[0]
                     at = at[np.lexsort((ids[at], -s[a, at]))[:k]]
-                    out.append(pd.DataFrame({"query_id": q_ids[a], "vec_id": ids[at], "score": s[a, at]}))
+                    out.append(pd.DataFrame({"query": names[a], "vec_id": ids[at], "uid": uids[at], "score": s[a, at]}))
                 if out:
                     yield pd.concat(out)
 
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "uid")
     top = spark.createDataFrame([], RESULT)
     first, last = 0, 4
     while first < len(cells):
-        known = top.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
-        state = asked.join(known, asked["id"] == known["query_id"], "left").select("id", "vec", F.col("least").cast("double").alias("least"))
-        todo = checkpoint(state.mapInPandas(plan(first, last), "cell long, q_ids binary, q_least binary, q_vecs binary"))
+        known = top.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+        state = asked.join(known, "query", "left").select("query", "skip", "vec", F.col("least").cast("double").alias("least"))
+        todo = checkpoint(state.mapInPandas(plan(first, last), "cell long, q_names binary, q_skips binary, q_least binary, q_vecs binary"))
         if todo.isEmpty():
             break
-        found = todo.join(stored, "cell").select("q_ids", "q_least", "q_vecs", "ids", "vecs").mapInPandas(compare, RESULT)
+        found = todo.join(stored, "cell").select("q_names", "q_skips", "q_least", "q_vecs", "ids", "uids", "vecs").mapInPandas(compare, RESULT)
         ranked = top.unionByName(found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         top = checkpoint(ranked.drop("rank"))
         first, last = last, last + 3 * last
-    return top.withColumn("rank", F.row_number().over(best)).select("query_id", "rank", "vec_id", "score")
+    # rows alike in id and vector stand as often as they are, but for the query's own
+    some = top.join(asked.select("query", F.col("id").alias("query_id"), "asked", "own"), "query").join(rows.select("uid", "times"), "uid")
+    often = F.col("times") - F.coalesce((F.col("uid") == F.col("own")).cast("int"), F.lit(0))
+    each = some.where(often > 0).select("query", "query_id", "asked", "vec_id", "uid", "score", F.explode(F.sequence(F.lit(1), F.least(often, F.lit(k)).cast("int"))))
+    ranked = each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.col("asked").cast("int"))).alias("n_")).drop("n_")
