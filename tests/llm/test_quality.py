@@ -88,3 +88,49 @@ def test_nulls_empty_long_repeated_rows_and_no_labels(spark):
     assert len(got) == len(rows) and {r.log_weight for r in got if r.id in (1000, 1001)} == {0.0}
     assert m.resample(docs, spark.createDataFrame([], LABELS), bits=14).count() == len(rows)
     assert m.resample(spark.createDataFrame([], DOCS), marks, bits=14).count() == 0
+
+
+def written_out(rows, target, sure=8.0, least=1.0, temperature=0.25):
+    """Weights from n-grams as they are, in dictionaries: no codes, no buckets, none of the module's functions."""
+    import re
+
+    def grams(text):
+        tokens = re.findall(r"\w+|[^\w\s]+", text or "")
+        out = {("w", t) for t in tokens} | {("p", a, b) for a, b in zip(tokens, tokens[1:], strict=False)}
+        words = [t for t in tokens if t[0].isalnum() or t[0] == "_"]
+        same = sum(a == b for a, b in zip(words, words[1:], strict=False))
+        if 64 * same > len(tokens):
+            out.add(("again", int(math.log2(64 * same / len(tokens)))))
+        return out
+
+    own = [(i, grams(t)) for i, t, *_ in rows]
+    raw, hit = {}, {}
+    for i, gs in own:
+        for g in gs:
+            raw[g] = raw.get(g, 0) + 1
+            hit[g] = hit.get(g, 0) + (i in target)
+    share = sum(i in target for i, _ in own) / len(own)
+    lr = {g: math.log((hit[g] + 1) / (raw[g] * share + 1)) for g in raw}
+    half, run, middle = sum(hit.values()) / 2, 0, 0.0
+    for g in sorted(lr, key=lr.get):
+        run += hit[g]
+        middle = lr[g]
+        if run >= half:
+            break
+
+    def telling(g):
+        far = lr[g] - middle
+        z = 2 * (math.sqrt(hit[g] + 0.375) - math.sqrt(raw[g] * share * math.exp(middle) + 0.375))
+        return far if abs(far) >= least and abs(z) >= (sure / 2 if abs(far) >= 2 * least else sure) else 0.0
+
+    return {i: sum(telling(g) for g in gs) / temperature for i, gs in own}
+
+
+def test_weights_equal_dictionaries_of_whole_ngrams(spark):
+    rows, labels = made(400, seed=4)
+    rows = [(i, t + (" echo" * 12 if i % 9 == 0 else "") + ", done.", a, b) for i, t, a, b in rows]
+    target = {i for i, q, t, _ in labels if q == 1 and not t}
+    want = written_out(rows, target)
+    got = {r.id: r.log_weight for r in m.weigh(spark.createDataFrame(rows, DOCS).repartition(3), spark.createDataFrame(labels, LABELS), bits=24).collect()}
+    assert sum(w < -3 for w in want.values()) > 50
+    assert all(math.isclose(got[i], want[i], rel_tol=1e-4, abs_tol=1e-3) for i in want), max((abs(got[i] - want[i]), i) for i in want)
