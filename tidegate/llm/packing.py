@@ -44,11 +44,15 @@ def best_fit(items: list[tuple[int, object, object]], capacity: int) -> list[int
 def pieces(sizes: DataFrame, capacity: int) -> DataFrame:
     """(id, piece, start, length, source, cluster): documents longer than a bin are cut; all but the last piece fill one. With ``words``, also the piece's text."""
     n = F.greatest(F.lit(1), F.ceil(F.col("size") / capacity)).cast("int")
-    cut = sizes.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("piece"))
-    start = F.col("piece").cast("long") * capacity
-    length = F.least(F.lit(capacity), F.col("size") - start).cast("int")
-    text = [F.array_join(F.slice("words", (start + 1).cast("int"), length), "").alias("text")] if "words" in sizes.columns else []
-    return cut.select("id", "piece", start.alias("start"), length.alias("length"), "source", "cluster", *text)
+
+    def piece(k):
+        start = k.cast("long") * capacity
+        length = F.least(F.lit(capacity), F.col("size") - start).cast("int")
+        text = [F.array_join(F.slice("words", (start + 1).cast("int"), length), "").alias("text")] if "words" in sizes.columns else []
+        return F.struct(k.alias("piece"), start.alias("start"), length.alias("length"), *text)
+
+    # pieces are cut before they part, so that none carries the words of its whole document
+    return sizes.select("id", "source", "cluster", F.inline(F.transform(F.sequence(F.lit(0), n - 1), piece)))
 
 
 def pack(sizes: DataFrame, capacity: int = 1024, group_rows: int = 4096) -> DataFrame:
