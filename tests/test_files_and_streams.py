@@ -82,6 +82,16 @@ def test_gbk_corpora_and_lexicons(spark, tmp_path):
     assert {tuple(r) for r in files.read_lexicon_csv(spark, str(tmp_path / "lex")).collect()} == {("甲", "乙"), ("k", "丙")}
 
 
+def test_corpora_by_file_and_by_class(spark, tmp_path):
+    (tmp_path / "safe.csv").write_text("t\nfine\n")
+    (tmp_path / "bad.csv").write_text("t,k\nawful,abuse\nworse,\n")
+    (tmp_path / "mixed.csv").write_text("text,label\nok,normal\nno,spam\n ,spam\n")
+    at = lambda n: str(tmp_path / n)
+    rows = files.read_corpora(spark, [(at("safe.csv"), "t")], [(at("bad.csv"), "t", "k")], [(at("mixed.csv"), "text", "label")]).collect()
+    assert sorted(map(tuple, rows)) == [("awful", "abuse", "bad.csv", "black"), ("fine", "", "safe.csv", "white"), ("no", "spam", "mixed.csv", "black"), ("ok", "normal", "mixed.csv", "white"), ("worse", "", "bad.csv", "black")]
+    assert files.read_corpora(spark).collect() == []
+
+
 def test_manifest_lines_have_no_gaps_and_may_be_strict(spark, tmp_path):
     (tmp_path / "m").mkdir()
     (tmp_path / "m" / "a.jsonl").write_text('{"pool": "black", "text": "a"}\n\nbroken\n{"pool": "white", "text": "b"}\n')

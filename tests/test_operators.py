@@ -313,3 +313,24 @@ def test_hashing_a_long_token_among_many_short_ones():
 
     data = [b"x" * 200_000, b"", *(str(k).encode() for k in range(20_000))]
     assert _fnv(data).tolist()[:50] == [fnv(d) for d in data[:50]]
+
+
+def test_a_light_model_on_words(spark):
+    texts = spark.createDataFrame([(1, "good words"), (2, "bad"), (3, ""), (4, None)], TEXTS)
+    weights = spark.range(64).select(F.col("id").cast("int").alias("bucket"), F.array(F.sin(F.col("id"))).alias("embedding"))
+    run = lambda **more: {r.request_id: r.score for r in semantic.light_model(texts, weights, [[1.0], [-1.0]], [0.1, 0.0], 64, **more).collect()}
+    words = lambda c: F.split(c, " ")
+    by_word, by_letter = run(cut=words), run()
+    assert by_word[3] == by_word[4] == by_letter[3] and by_word[1] != by_letter[1]
+    again = semantic.light_model(spark.createDataFrame([(1, "words good")], TEXTS), weights, [[1.0], [-1.0]], [0.1, 0.0], 64, cut=words).first().score
+    assert abs(again - by_word[1]) < 1e-12
+
+
+def test_vectors_of_another_length_are_not_added(spark):
+    import pytest
+
+    pool = spark.createDataFrame([("black", 1)], "pool string, id int")
+    new = spark.createDataFrame([("black", 1, 0, [1.0, 0.0]), ("black", 2, 1, [3.0, 4.0]), ("black", 2, 2, [9.0, 0.0])], "pool string, id int, seq int, embedding array<double>")
+    assert [(r.id, r.seq, r.embedding) for r in semantic.add_vectors(pool, new, 2).collect()] == [(2, 1, [0.6, 0.8])]
+    with pytest.raises(Exception, match="not 3 components"):
+        semantic.add_vectors(pool, new, 3).collect()

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegate.sources.log_sink import Conflict, LogSink
-from tidegate.sources.versions import Published, replace_after_backup
+from tidegate.sources.versions import Published, dedup_lexicon, merge_manifest, replace_after_backup
 from tidegate.streaming import audit
 
 ROW = "request_id string, v int, note string"
@@ -46,6 +46,26 @@ def test_a_change_waits_for_its_backup(spark, tmp_path, monkeypatch):
     assert table.current() == 2 and table.read().count() == 2
 
 
+def test_manifests_are_merged_and_lexicons_cleared_by_version(spark, tmp_path):
+    make = lambda *rows: spark.createDataFrame(list(rows), "line_no long, pool string, text string")
+    table = Published(spark, str(tmp_path / "m"))
+    table.publish(make((1, "black", "a"), (2, "white", "a"), (5, "black", "b")))
+    new = make((1, "black", "b"), (2, "black", "c"), (3, "black", "c"))
+
+    def wrong(df):
+        assert df.count() > 100, "too few"
+
+    with pytest.raises(AssertionError, match="too few"):
+        merge_manifest(table, new, wrong)
+    assert table.read().count() == 3
+    merge_manifest(table, new)
+    assert sorted(tuple(r) for r in table.read().collect()) == [(1, "black", "a"), (2, "white", "a"), (5, "black", "b"), (7, "black", "c")]
+    words = Published(spark, str(tmp_path / "w"))
+    words.publish(spark.createDataFrame([(1, "c", "ab"), (2, "c", "ａｂ"), (3, "d", "ab"), (4, "c", "a, b!"), (5, "c", "AB")], "id long, category string, word string"))
+    assert dedup_lexicon(words, Published(spark, str(tmp_path / "wb"))) == (1, 2)
+    assert sorted(r.id for r in words.read().collect()) == [1, 3, 5]
+
+
 def batch(spark, *rows):
     return spark.createDataFrame(rows, ROW)
 

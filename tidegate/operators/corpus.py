@@ -53,10 +53,10 @@ def first_of_each(rows: DataFrame, group: list[str], order: list, k: int) -> Dat
 
 
 def sample_examples(rows: DataFrame, n: int = 20, head: int = 400, most_chars: int = 200, seed: int = 7) -> DataFrame:
-    """``n`` texts drawn by hash from the first ``head`` short ones of each pool; a text in both pools is black's."""
+    """``n`` texts drawn by a hash with a seed from the first ``head`` short ones of each pool; a text in both pools is black's."""
     short = rows.where((F.length("text") <= most_chars) & (F.trim("text") != ""))
     heads = first_of_each(short, ["pool"], ["line_no"], head).drop("place")
-    return keep_first(heads, ["text"], "pool").orderBy(F.xxhash64("text", F.lit(seed)), "text").limit(n)
+    return keep_first(heads, ["text"], "pool").orderBy(F.md5(F.concat("text", F.lit(str(seed)))), "text").limit(n)
 
 
 def corpus_stats(rows: DataFrame) -> DataFrame:

@@ -85,6 +85,12 @@ def scan_stats(files: DataFrame) -> DataFrame:
     )
 
 
+def collect_images(files: DataFrame) -> DataFrame:
+    """(path, pool) of the images that are used, of (path, valid): of paths that differ in case alone the first, in a pool's folder, that can be decoded."""
+    first = files.groupBy(F.lower("path").alias("key")).agg(F.min_by("valid", "path").alias("valid"), F.min("path").alias("path"))
+    return first.select("path", image_pool(F.col("path")).alias("pool"), "valid").where("valid AND pool IS NOT NULL").select("path", "pool")
+
+
 def image_pool(path):
     """black or white by the nearest folder whose name holds either (black first); null if none does."""
     folders = F.reverse(F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1))

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions import patterns
@@ -398,17 +398,17 @@ def rules_for_phrases(rules: DataFrame, phrases: DataFrame) -> DataFrame:
     return phrases.join(rows, "phrase").drop("phrase").distinct()
 
 
-def preprocess_keywords(items: DataFrame, spoken=T.normalize_keyword) -> DataFrame:
+def preprocess_keywords(items: DataFrame, spoken: Callable[[Column], Column] | None = None) -> DataFrame:
     """Lines as (category, word, match_type, line_no), the first of those that sound alike in a category.
 
-    ``spoken`` maps a term to how it sounds; without a dictionary of readings that is its normal form. Blank
-    lines and lines of plus signs alone are left out.
+    ``spoken`` (such as ``pinyin.spoken`` gives) maps a list of terms in their normal form to how they sound; without it
+    that is the normal form. Blank lines and lines of plus signs alone are left out.
     """
     rows = items.withColumn("terms", T.keyword_terms(F.col("line"))).where(F.size("terms") > 0)
-    key = F.array_join(F.transform("terms", lambda x: spoken(x)), "+")
-    first = Window.partitionBy("category", "key").orderBy("line_no")
-    rows = rows.withColumn("key", key).withColumn("n", F.row_number().over(first)).where("n = 1")
-    return rows.select("category", F.array_join("terms", "+").alias("word"), T.match_type(F.col("line")).alias("match_type"), "line_no")
+    normal = rows.withColumn("normal", F.transform("terms", T.normalize_keyword))
+    keyed = normal.withColumn("key", F.array_join(spoken(F.col("normal")) if spoken else F.col("normal"), "+"))
+    first = keyed.withColumn("n", F.row_number().over(Window.partitionBy("category", "key").orderBy("line_no"))).where("n = 1")
+    return first.select("category", F.array_join("terms", "+").alias("word"), T.match_type(F.col("line")).alias("match_type"), "line_no")
 
 
 def dedup_words(words: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 HAN = re.compile(r"[一-鿿]+")
 #: Whole syllables that are taken for each other.
@@ -29,11 +29,11 @@ def syllables(word: str, known: dict[str, str]) -> list[str]:
 
 
 def spoken(known: dict[str, str]):
-    """A column function: how a word sounds, its syllables joined by apostrophes, in lower case."""
+    """A function of a column of lists of words: how each sounds, its syllables joined by apostrophes, in lower case."""
 
-    @F.pandas_udf(StringType())
-    def run(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: None if w is None else "'".join(syllables(w, known)).lower())
+    @F.pandas_udf(ArrayType(StringType()))
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda words: None if words is None else ["'".join(syllables(w, known)).lower() for w in words])
 
     return run
 

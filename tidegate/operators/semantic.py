@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,8 +15,11 @@ from tidegate.functions import vectors as V
 BLOCK = 2048
 
 
-def add_vectors(pool: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of ``new`` to append: the first of each (pool, id) that the pool lacks, normalised."""
+def add_vectors(pool: DataFrame, new: DataFrame, dim: int | None = None) -> DataFrame:
+    """Rows of ``new`` to append: the first of each (pool, id) that the pool lacks, normalised. Vectors of another length than ``dim`` raise an error."""
+    if dim is not None:
+        wrong = F.raise_error(F.concat(F.lit(f"a vector has not {dim} components: "), F.col("id").cast("string"))).cast(dict(new.dtypes)["embedding"])
+        new = new.withColumn("embedding", F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(wrong))
     first = Window.partitionBy("pool", "id").orderBy("seq")
     fresh = new.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
     return fresh.join(pool.select("pool", "id"), ["pool", "id"], "left_anti").withColumn("embedding", V.l2_normalize(F.col("embedding")))
@@ -116,6 +119,18 @@ def _topk_of_blocks(asked: DataFrame, rows: DataFrame, k: int, others: bool) ->
     return top.select("request_id", "pool", "rank", "vec_id", "category", "score")
 
 
+def own_ranks(top: DataFrame, wanted: DataFrame, d: Defaults = DEFAULTS) -> DataFrame:
+    """Neighbours within each request's own numbers, of (request_id, top_k, black_top_k, white_top_k): a pool's own, else top_k, else the default.
+
+    ``top`` has to hold as many neighbours as any request may want.
+    """
+    rows = top.join(wanted.select("request_id", "top_k", "black_top_k", "white_top_k"), "request_id", "left")
+    own = F.when(F.col("pool") == "black", F.col("black_top_k")).otherwise(F.col("white_top_k"))
+    general = F.coalesce(F.when(F.col("top_k") >= 1, F.col("top_k").cast("int")), F.lit(d.top_k))
+    most = F.when(own >= 1, own.cast("int")).otherwise(general)
+    return rows.where(F.col("rank") <= most).select(*top.columns)
+
+
 def pool_stats(pools: DataFrame) -> DataFrame:
     return pools.groupBy("pool").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim"))
 
@@ -206,15 +221,20 @@ def degraded(requests: DataFrame, pools: DataFrame) -> DataFrame:
     return requests.select("request_id", reason.alias("reason"))
 
 
-def light_model(texts: DataFrame, weights: DataFrame, linear: list[list[float]], bias: list[float], n_buckets: int, violation: int = 1) -> DataFrame:
+def characters(text: Column) -> Column:
+    return F.split(text, "")
+
+
+def light_model(texts: DataFrame, weights: DataFrame, linear: list[list[float]], bias: list[float], n_buckets: int, violation: int = 1, cut: Callable[[Column], Column] = characters) -> DataFrame:
     """(request_id, label, score, violation): mean of the buckets' vectors, a linear layer and softmax.
 
-    ``weights`` is (bucket, embedding); texts are cut into characters. An empty text has the bias alone.
+    ``weights`` is (bucket, embedding); ``cut`` parts a text into tokens, characters unless a segmenter of words is given (a
+    column function, such as a pandas UDF around one). An empty text has the bias alone.
     """
     from tidegate.functions.hashing import buckets, ngrams
 
     dim = len(linear[0])
-    tokens = texts.select("request_id", F.explode(F.filter(F.split("text", ""), lambda c: c != "")).alias("token")).groupBy("request_id", "token").agg(F.count("*").alias("times"))
+    tokens = texts.select("request_id", F.explode(F.filter(cut(F.col("text")), lambda c: c != "")).alias("token")).groupBy("request_id", "token").agg(F.count("*").alias("times"))
     # each distinct token is hashed and looked up once
     rows = tokens.select("token").distinct().select("token", F.explode(buckets(ngrams(F.col("token")), n_buckets)).alias("bucket")).join(weights, "bucket")
     per = rows.groupBy("token").agg(F.count("*").alias("n"), *(F.sum(F.col("embedding")[k]).alias(f"s{k}") for k in range(dim)))

@@ -117,6 +117,11 @@ VOCABULARY = r"""
 ]+')) AS word FROM documents),
     words AS (SELECT * FROM vocab WHERE word <> '')"""
 
+#: Words of the documents that are written as Han characters, how those sound, and words to be found by sound.
+HAN_OF = {"the": "见", "and": "闻", "of": "捡", "in": "文", "to": "赌", "that": "博", "on": "独", "he": "昂", "der": "见", "und": "闻", "la": "赌", "de": "博", "que": "昂"}
+READINGS = [("见", "jqie"), ("捡", "jqie"), ("闻", "wqen"), ("文", "wqen"), ("赌", "dqu"), ("独", "dqu"), ("博", "bqo"), ("昂", "ang"), ("安", "an")]
+SOUND_WORDS = [("sound", "捡闻"), ("sound", "赌博"), ("sound", "见文赌"), ("near", "安闻"), ("near", "安博"), ("pair", "捡闻+赌博")]
+
 
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.requests(spark, sf_dir).select("request_id", T.normalize_text(F.col("text")).alias("text"), "key_tier")
@@ -175,6 +180,27 @@ def parse_keyword(spark, sf_dir):
     return D.lines(spark, sf_dir).select("line_no", F.size(t).alias("n"), F.array_join(t, "|").alias("terms"), T.match_type(F.col("line")).alias("match_type"))
 
 
+def _as_han(word: str) -> str:
+    return f"CASE {word} {' '.join(f"WHEN '{w}' THEN '{c}'" for w, c in HAN_OF.items())} ELSE {word} END"
+
+
+@query(
+    rf"""WITH w AS (SELECT conv_id * 1000 + turn AS line_no, role AS category, turn % 2 = 0 AS plus, list_transform(string_split(coalesce(text, ''), ' ')[1:2], lambda w: {_as_han('w')}) AS ws FROM conversations),
+    l AS (SELECT line_no, category, CASE WHEN plus THEN array_to_string(ws, '+') ELSE ws[1] END AS line FROM w),
+    t AS (SELECT *, list_filter(list_transform(string_split(line, '+'), lambda x: trim(x, ' ')), lambda x: x <> '') AS terms FROM l),
+    k AS (SELECT *, array_to_string(list_transform(terms, lambda x: lower(array_to_string(list_transform(regexp_extract_all(lower(regexp_replace(x, '[\s\-_.,;:!?''"()\[\]{{}}<>/\\|@#$%^&*=~`]', '', 'g')), '(?s).'), lambda c: CASE c {' '.join(f"WHEN '{c}' THEN '{x}'" for c, x in READINGS)} ELSE c END), chr(39)))), '+') AS key FROM t WHERE len(terms) > 0)
+    SELECT line_no, category, array_to_string(terms, '+') AS word FROM k QUALIFY row_number() OVER (PARTITION BY category, key ORDER BY line_no) = 1"""
+)
+def pinyin_key(spark, sf_dir):
+    """Of lines that sound alike in a category the first, some words written as Han characters."""
+    written = F.create_map(*(F.lit(x) for p in HAN_OF.items() for x in p))
+    words = F.transform(F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 2), lambda w: F.coalesce(written[w], w))
+    line = F.when(F.col("turn") % 2 == 0, F.array_join(words, "+")).otherwise(words[0])
+    lines = D.load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_no"), line.alias("line"), F.col("role").alias("category"))
+    known = pinyin.readings(spark.createDataFrame(READINGS, "char string, syllable string"))
+    return keywords.preprocess_keywords(lines, pinyin.spoken(known)).select("line_no", "category", "word")
+
+
 @query(rf"""WITH {LINES}, f AS (SELECT *, array_to_string(list_transform(terms, lambda t: lower(regexp_replace(t, '[\s\-_.,;:!?''"()\[\]{{}}<>/\\|@#$%^&*=~`]', '', 'g'))), '+') AS key FROM parts WHERE len(terms) > 0)
     SELECT category, array_to_string(terms, '+') AS word, CASE WHEN len(terms) > 1 THEN 'and' ELSE 'word' END AS match_type, line_no FROM f QUALIFY row_number() OVER (PARTITION BY category, key ORDER BY line_no) = 1""")
 def keyword_preprocess(spark, sf_dir):
@@ -437,6 +463,16 @@ def vector_topk(spark, sf_dir):
     return top.select("request_id", "pool", "rank", "vec_id", "category", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {POOLS}, t AS (SELECT *, row_number() OVER (PARTITION BY request_id, pool ORDER BY round(score, 9) DESC, vec_id DESC)::INTEGER AS own FROM met) SELECT request_id, pool, own AS rank, vec_id FROM t WHERE own <= CASE WHEN pool = 'white' AND request_id % 2 = 0 THEN 2 WHEN request_id % 9 > 0 THEN request_id % 9 ELSE 5 END")
+def topk_override(spark, sf_dir):
+    """Numbers of neighbours of a request's own, for both pools or one; what isn't 1 or more falls back."""
+    q = D.query_vectors(spark, sf_dir)
+    i = F.col("request_id")
+    own = q.select("request_id", (i % 9).cast("int").alias("top_k"), F.when(i % 2 == 1, -3).alias("black_top_k"), F.when(i % 2 == 0, 2).alias("white_top_k"))
+    top = semantic.own_ranks(semantic.vector_topk(q, D.pools(spark, sf_dir), 8, others=True), own)
+    return top.select("request_id", "pool", "rank", "vec_id")
+
+
 def _confidence(spark, sf_dir):
     top = semantic.vector_topk(D.query_vectors(spark, sf_dir), D.pools(spark, sf_dir), others=True)
     return semantic.semantic_confidence(semantic.semantic_signals(top))
@@ -581,12 +617,6 @@ def vector_metadata(spark, sf_dir):
     return D.load(spark, sf_dir, "documents").select("doc_id", corpus.metadata_text(F.col("text")).alias("text"))
 
 
-#: Words of the documents that are written as Han characters, how those sound, and words to be found by sound.
-HAN_OF = {"the": "见", "and": "闻", "of": "捡", "in": "文", "to": "赌", "that": "博", "on": "独", "he": "昂", "der": "见", "und": "闻", "la": "赌", "de": "博", "que": "昂"}
-READINGS = [("见", "jqie"), ("捡", "jqie"), ("闻", "wqen"), ("文", "wqen"), ("赌", "dqu"), ("独", "dqu"), ("博", "bqo"), ("昂", "ang"), ("安", "an")]
-SOUND_WORDS = [("sound", "捡闻"), ("sound", "赌博"), ("sound", "见文赌"), ("near", "安闻"), ("near", "安博"), ("pair", "捡闻+赌博")]
-
-
 def _heard() -> list[tuple]:
     """(category, word, spelling, kind): every way the words of one line can stand in a text, each character as a Han character or spelled.
 
@@ -840,6 +870,22 @@ def image_pool(spark, sf_dir):
     return D.load(spark, sf_dir, "pages").select("page_id", images.image_pool(F.concat(folder, name)).alias("pool"))
 
 
+@query(
+    """WITH f AS (SELECT CASE page_id % 5 WHEN 0 THEN '/i/black/' WHEN 1 THEN '/i/White/' WHEN 2 THEN '/I/white/' ELSE '/i/none/' END || (page_id // 10) || '.png' AS path, page_id % 7 <> 0 AS valid FROM pages),
+    u AS (SELECT lower(path) AS key, arg_min(valid, path) AS valid, min(path) AS path FROM (SELECT path, bool_and(valid) AS valid FROM f GROUP BY path) GROUP BY lower(path))
+    SELECT path, CASE WHEN key LIKE '%black%' THEN 'black' ELSE 'white' END AS pool FROM u WHERE valid AND key NOT LIKE '%none%'"""
+)
+def image_collect(spark, sf_dir):
+    """Pages stand for image files: those that are used, with their pools."""
+    return images.collect_images(_image_files(spark, sf_dir).groupBy("path").agg(F.bool_and("valid").alias("valid")))
+
+
+def _image_files(spark, sf_dir):
+    k = F.col("page_id") % 5
+    folder = F.when(k == 0, "/i/black/").when(k == 1, "/i/White/").when(k == 2, "/I/white/").otherwise("/i/none/")
+    return D.load(spark, sf_dir, "pages").select(F.concat(folder, F.expr("page_id div 10").cast("string"), F.lit(".png")).alias("path"), (F.col("page_id") % 7 != 0).alias("valid"))
+
+
 @query(
     """WITH f AS (SELECT CASE page_id % 5 WHEN 0 THEN '/i/black/' WHEN 1 THEN '/i/White/' WHEN 2 THEN '/I/white/' ELSE '/i/none/' END || (page_id // 10) || '.png' AS path, page_id % 7 <> 0 AS valid FROM pages),
     u AS (SELECT lower(path) AS key, arg_min(valid, path) AS valid, min(path) AS path, count(*) AS n FROM (SELECT path, bool_and(valid) AS valid, count(*) AS n FROM f GROUP BY path) GROUP BY lower(path)),
@@ -849,9 +895,7 @@ def image_pool(spark, sf_dir):
 )
 def image_scan_stats(spark, sf_dir):
     """Pages stand for image files; some paths are met twice or differ in case."""
-    k = F.col("page_id") % 5
-    folder = F.when(k == 0, "/i/black/").when(k == 1, "/i/White/").when(k == 2, "/I/white/").otherwise("/i/none/")
-    files = D.load(spark, sf_dir, "pages").select(F.concat(folder, F.expr("page_id div 10").cast("string"), F.lit(".png")).alias("path"), (F.col("page_id") % 7 != 0).alias("valid"))
+    files = _image_files(spark, sf_dir)
     return images.scan_stats(files.groupBy("path").agg(F.bool_and("valid").alias("valid"), F.count("*").alias("n")).select("path", "valid", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("path", "valid"))
 
 
@@ -1047,6 +1091,27 @@ def balanced_sample(spark, sf_dir):
     return corpus.balanced_sample(rows_of(spark, sf_dir), 80).select("pool", "line_no", "turn")
 
 
+@query(
+    f"""WITH {CORPUS}, h AS (SELECT pool, line_no, text FROM corp WHERE length(text) <= 200 AND trim(text, ' ') <> '' QUALIFY row_number() OVER (PARTITION BY pool ORDER BY line_no) <= 400),
+    f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY text ORDER BY pool) = 1) SELECT pool, line_no, text FROM f ORDER BY md5(text || '7'), text LIMIT 20"""
+)
+def sample_examples(spark, sf_dir):
+    return corpus.sample_examples(rows_of(spark, sf_dir)).select("pool", "line_no", "text")
+
+
+@query(
+    """WITH t AS (SELECT doc_id // 3 AS id, doc_id AS seq, lang FROM documents WHERE doc_id % 3 = 0), n AS (SELECT doc_id // 6 AS id, doc_id AS seq, source AS lang FROM documents WHERE doc_id % 4 = 1),
+    l AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1), u AS (SELECT * FROM t WHERE id NOT IN (SELECT id FROM l) UNION ALL SELECT * FROM l)
+    SELECT * FROM u WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"""
+)
+def settings_upsert(spark, sf_dir):
+    """Rows put over others of their key, the last of several, and some keys taken away."""
+    d, labels = D.load(spark, sf_dir, "documents"), D.load(spark, sf_dir, "labels")
+    table = d.where("doc_id % 3 = 0").select(F.expr("doc_id div 3").alias("id"), F.col("doc_id").alias("seq"), "lang")
+    new = d.where("doc_id % 4 = 1").select(F.expr("doc_id div 6").alias("id"), F.col("doc_id").alias("seq"), F.col("source").alias("lang"))
+    return corpus.remove(corpus.upsert(table, new, ["id"], "seq"), labels.where("toxic = 1").select(F.col("doc_id").alias("id")), ["id"])
+
+
 @query(f"WITH {CORPUS} SELECT pool, count(*) AS raw, count(DISTINCT text) AS unique_texts, count(*) - count(DISTINCT text) AS dropped, count(DISTINCT source) AS sources FROM corp GROUP BY pool")
 def corpus_stats(spark, sf_dir):
     return corpus.corpus_stats(rows_of(spark, sf_dir))

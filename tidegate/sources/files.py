@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidegate.operators.corpus import pool_of
 from tidegate.operators.images import image_pool
 from tidegate.sources import records
 
@@ -30,6 +33,21 @@ def read_corpus(spark: SparkSession, path: str, text: str, category: str | None,
     return rows.select(F.trim(F.col(text)).alias("text"), kind.alias("category"), F.lit(source).alias("source")).where("text <> ''")
 
 
+def read_corpora(spark: SparkSession, safe: list[tuple[str, str]] = (), violating: list[tuple[str, str, str | None]] = (), classed: list[tuple[str, str, str]] = (), normal: str = "normal") -> DataFrame:
+    """(text, category, source, pool) of several corpora: the pool is white or black by the file, or by its rows' class.
+
+    ``safe`` has (path, text column), ``violating`` (path, text column, category column or null), ``classed`` (path, text column,
+    class column), whose class ``normal`` is white and all others black. The source is the file's name.
+    """
+    name = lambda path: path.rstrip("/").rsplit("/", 1)[-1]
+    parts = [read_corpus(spark, p, t, None, name(p)).withColumn("pool", F.lit("white")) for p, t in safe]
+    parts += [read_corpus(spark, p, t, c, name(p)).withColumn("pool", F.lit("black")) for p, t, c in violating]
+    parts += [read_corpus(spark, p, t, c, name(p)).withColumn("pool", pool_of(F.col("category"), normal)) for p, t, c in classed]
+    if not parts:
+        return spark.createDataFrame([], "text string, category string, source string, pool string")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _stem():
     name = F.url_decode(F.replace(F.regexp_extract("path", r"([^/]*)$", 1), F.lit("+"), F.lit("%2B")))
     return F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1)

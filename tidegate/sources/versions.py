@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidegate.operators import corpus, keywords
 
 
 class Published:
@@ -96,3 +99,24 @@ def replace_after_backup(table: Published, backup: Published, change: Callable[[
 
     kept = backup.publish(now, whole)
     return kept, table.publish(change(table.read()), check)
+
+
+def merge_manifest(table: Published, new: DataFrame, check: Callable[[DataFrame], None] | None = None) -> int:
+    """Publish the manifest with the lines of ``new`` behind its own, the first of each (pool, text); the version.
+
+    Lines keep their order: those of ``new`` are numbered from behind the last.
+    """
+    now = table.read()
+    last = now.agg(F.coalesce(F.max("line_no"), F.lit(0))).first()[0]
+    merged = corpus.manifest_merge(now, new.withColumn("line_no", F.col("line_no") + last))
+    return table.publish(merged.drop("file"), check)
+
+
+def dedup_lexicon(table: Published, backup: Published) -> tuple[int, int]:
+    """(backup's version, new version): of words of a category that read the same without width and punctuation the smallest id stays."""
+
+    def first(words: DataFrame) -> DataFrame:
+        kept = keywords.dedup_words(words).where("id = kept_id").select("id")
+        return words.join(kept, "id", "left_semi")
+
+    return replace_after_backup(table, backup, first)
