@@ -14,6 +14,7 @@ from tidegate.llm.common import WORD, align, checkpoint, gram_codes, seed_window
 SHORT = 5  # items of so many words are seeded with pairs of words
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26  # of the filter of seeds
 SMALL = 32_000_000  # bytes of items that are broadcast
+KNOWN = 200_000  # words whose codes a task remembers
 FOUND = "a long, b long, item_id long, similarity double, score int, start_word int, end_word int"
 
 
@@ -22,7 +23,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def codes_of(text: str | None, seen: dict) -> np.ndarray:
-    return word_codes(words_of(text), seen)
+    return word_codes(words_of(text), seen, KNOWN)
 
 
 def seed_codes(codes: np.ndarray, size: int) -> np.ndarray:
@@ -155,41 +156,79 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     per = met.groupBy("a", "b", "unit").agg(F.collect_set(F.col("pos") - F.col("place")).alias("starts"), F.max("words").alias("words"))
     asked = checkpoint(per.groupBy("a", "b").agg(F.collect_list(F.struct("unit", "words", "starts")).alias("asked")))
 
+    texts = rows.join(asked.select("a", "b"), ["a", "b"], "left_semi").dropDuplicates(["a", "b"])
+    given = texts.join(asked, ["a", "b"]).select("a", "b", "text", "asked")
+    held = items.agg(F.sum(F.size("codes") * 8 + 64)).first()[0] or 0
+    found = _aligned_here(given, items, least) if held <= SMALL else _aligned_there(given, items, least)
+    found = found.dropDuplicates(["a", "b", "item_id", "start_word", "end_word"])
+    return found.join(texts.select("a", "b", "id"), ["a", "b"]).select("a", "b", "id", "item_id", "similarity", "score", "start_word", "end_word")
+
+
+def _stretches(pdf: pd.DataFrame, seen: dict) -> Iterator[tuple]:
+    """(a, b, unit, lo, codes) of the windows of texts in which an item may lie."""
+    for a, b, text, asked in zip(pdf["a"], pdf["b"], pdf["text"], pdf["asked"], strict=True):
+        codes = codes_of(text, seen).view(np.int64)
+        for x in asked:
+            for lo, hi in seed_windows(list(x["starts"]), x["words"], max(4, x["words"] // 4), len(codes)):
+                yield a, b, x["unit"], lo, codes[lo:hi]
+
+
+def _passage(words: np.ndarray, stretch: np.ndarray, least: float) -> tuple | None:
+    """(similarity, score, start, end) of an item's best alignment in a stretch, if it counts."""
+    # no alignment matches more words than occur in the stretch
+    if np.isin(words, stretch).sum() < least * len(words):
+        return None
+    score, matches, _, _, start, end = align(words, stretch)
+    whole = max(len(words), end - start)
+    return (matches / whole, score, start, end) if matches >= least * whole else None
+
+
+COLUMNS = ["a", "b", "item_id", "similarity", "score", "start_word", "end_word"]
+
+
+def _aligned_here(given: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    """Passages of (a, b, text, asked) rows, with items that are few enough to be broadcast."""
+    shared = given.sparkSession.sparkContext.broadcast({r["unit"]: (r["item_id"], np.array(r["codes"], dtype=np.int64)) for r in items.collect()})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict = {}
+        for pdf in batches:
+            out = []
+            for a, b, unit, lo, stretch in _stretches(pdf, seen):
+                item, words = shared.value[unit]
+                got = _passage(words, stretch, least)
+                if got:
+                    out.append((a, b, item, got[0], got[1], lo + got[2], lo + got[3]))
+            yield pd.DataFrame(out, columns=COLUMNS)
+
+    return given.mapInPandas(run, FOUND)
+
+
+def _aligned_there(given: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    """The same with windows that go to their items, whose rows a join brings."""
+
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict = {}
         for pdf in batches:
             out = []
-            for a, b, text, asked in zip(pdf["a"], pdf["b"], pdf["text"], pdf["asked"], strict=True):
-                codes = codes_of(text, seen).view(np.int64)
-                for x in asked:
-                    for lo, hi in seed_windows(list(x["starts"]), x["words"], max(4, x["words"] // 4), len(codes)):
-                        out.append((a, b, x["unit"], lo, codes[lo:hi].tolist()))
-                        if len(out) == 2000:
-                            yield pd.DataFrame(out, columns=["a", "b", "unit", "lo", "stretch"])
-                            out = []
+            for a, b, unit, lo, stretch in _stretches(pdf, seen):
+                out.append((a, b, unit, lo, stretch.tolist()))
+                if len(out) == 2000:
+                    yield pd.DataFrame(out, columns=["a", "b", "unit", "lo", "stretch"])
+                    out = []
             yield pd.DataFrame(out, columns=["a", "b", "unit", "lo", "stretch"])
 
-    texts = rows.join(asked.select("a", "b"), ["a", "b"], "left_semi").dropDuplicates(["a", "b"])
-    stretches = texts.join(asked, ["a", "b"]).select("a", "b", "text", "asked").mapInPandas(windows, "a long, b long, unit long, lo int, stretch array<long>")
-    held = items.agg(F.sum(F.size("codes") * 8 + 64)).first()[0] or 0
-    both = stretches.join(F.broadcast(items) if held <= SMALL else items, "unit")
-
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                words, stretch = np.asarray(r.codes), np.asarray(r.stretch)
-                # no alignment matches more words than occur in the stretch
-                if np.isin(words, stretch).sum() < least * len(words):
-                    continue
-                score, matches, _, _, start, end = align(words, stretch)
-                whole = max(len(words), end - start)
-                if matches >= least * whole:
-                    out.append((r.a, r.b, r.item_id, matches / whole, score, r.lo + start, r.lo + end))
-            yield pd.DataFrame(out, columns=["a", "b", "item_id", "similarity", "score", "start_word", "end_word"])
-
-    found = both.select("a", "b", "item_id", "lo", "codes", "stretch").mapInPandas(aligned, FOUND).dropDuplicates(["a", "b", "item_id", "start_word", "end_word"])
-    return found.join(texts.select("a", "b", "id"), ["a", "b"]).select("a", "b", "id", "item_id", "similarity", "score", "start_word", "end_word")
+                got = _passage(np.asarray(r.codes), np.asarray(r.stretch), least)
+                if got:
+                    out.append((r.a, r.b, r.item_id, got[0], got[1], r.lo + got[2], r.lo + got[3]))
+            yield pd.DataFrame(out, columns=COLUMNS)
+
+    both = given.mapInPandas(windows, "a long, b long, unit long, lo int, stretch array<long>").join(items, "unit")
+    return both.select("a", "b", "item_id", "lo", "codes", "stretch").mapInPandas(aligned, FOUND)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
