@@ -64,7 +64,7 @@ def test_nodes_hold_their_rows_and_pairs_are_dropped(monkeypatch):
     seen = []
     monkeypatch.setattr(m, "exact", lambda p, q, f=m.exact: seen.append(len(p) * len(q)) or f(p, q))
     got = np.empty(2000, dtype=np.int64)
-    for rows, which in m.assign(t, x, c, m.CoverTree(c, 1)):
+    for rows, which in m.assign(t, x, c, m.CoverTree(c, m.FEW)):
         got[rows] = which
     assert (got == ((x[:, None, :] - c[None]) ** 2).sum(2).argmin(1)).all()
     assert sum(seen) < 2000 * 16 / 3
@@ -82,3 +82,30 @@ def test_nulls_lengths_ties_repeats_large_numbers_and_empty(spark):
     assert run(spark, [], dim=4) == run(spark, [(None, v(), "", "", 0)], dim=4) == []
     big = [(k, [1e5 * k, -3e6, 1e30 * (k % 2), 1.0], "a", "b", 1) for k in range(40)]
     assert run(spark, big, dim=4, k=3) == brute(big, dim=4, k=3)
+
+
+def test_a_common_vector_is_one_node_and_balls_lie_apart():
+    rng = np.random.default_rng(9)
+    x = rng.integers(-60, 60, size=(2000, 64))
+    x[rng.random(2000) < 0.35] = x[5]
+    t = m.CoverTree(x)
+    common = [k for k, (b, e, r) in enumerate(zip(t.begin, t.end, t.radius, strict=True)) if r == 0 and e - b > 500]
+    assert len(common) == 1
+    seen = []
+    m_exact = m.exact
+    try:
+        m.exact = lambda p, q: seen.append(len(p)) or m_exact(p, q)
+        c = np.unique(x, axis=0)[::60][:16]
+        got = np.empty(2000, dtype=np.int64)
+        for rows, which in m.assign(t, x, c, m.CoverTree(c, m.FEW)):
+            got[rows] = which
+    finally:
+        m.exact = m_exact
+    d = ((x[:, None, :] - c[None]) ** 2).sum(2)
+    assert (got == d.argmin(1)).all() and sum(seen) < 1500
+    y = np.floor(3000 * rng.normal(size=(20, 8))[rng.integers(20, size=1500)] + 30 * rng.normal(size=(1500, 8))).astype(np.int64)
+    t = m.CoverTree(y)
+    for own, reach in zip(t.children, t.radius, strict=True):
+        for k in own:
+            assert t.radius[k] <= reach + 1e-6
+    assert max(map(len, t.children)) > 3 and sum(not k for k in t.children) > 10

@@ -14,33 +14,42 @@ from tidegate.llm.common import checkpoint
 
 TREE = 2048  # vectors of one cover tree
 LEAF = 32
+MOST_BALLS = 256
+FEW = 1  # rows of a ball of centroids
 MOST = 2**27  # components are held within this, so that squared distances of 64 components fit 64 bits
 
 
 class CoverTree:
     """Nodes over rows of integers, each with a centre among its rows and the distance of the farthest.
 
-    A node's rows are split by a net: every row lies within half the node's reach of one of the chosen centres, which
-    lie farther than that apart. A node of few rows, of equal rows, or whose net would have more than an eighth as many
-    centres as rows is a leaf. ``order`` lists the rows so that those of a node are neighbours.
+    A node's rows are covered by balls of half its reach around rows of it, which lie farther than that apart. Balls of ``leaf``
+    rows or more are its children, and what lies in smaller ones, or in none of the first ``MOST_BALLS`` tried in an order
+    that a hash gives, is one leaf beside them. A node of few rows, of equal rows, or without two such parts is a leaf.
+    ``order`` lists the rows so that those of a node are neighbours.
     """
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
         x = points.astype(np.float64)
         self.order = np.arange(len(points))
         self.begin, self.end, self.centre, self.radius, self.children = [], [], [], [], []
+        whole: set[int] = set()  # leaves that aren't looked at again
         if len(points):
             self._add(x, 0, len(points))
         at = 0
         while at < len(self.begin):
             b, e, reach = self.begin[at], self.end[at], self.radius[at]
-            own = self._net(x, self.order[b:e], reach / 2, max(16, (e - b) // 8)) if e - b > leaf and reach > 0 else None
-            if own is not None:
-                self.order[b:e] = self.order[b:e][np.argsort(own, kind="stable")]
-                for n in np.bincount(own).tolist():
-                    self.children[at].append(len(self.begin))
-                    self._add(x, b, b + n)
-                    b += n
+            if e - b > leaf and reach > 0 and at not in whole:
+                own = self._balls(x, self.order[b:e], reach / 2, leaf)
+                sizes = np.bincount(own)
+                if np.count_nonzero(sizes) > 1:
+                    self.order[b:e] = self.order[b:e][np.argsort(own, kind="stable")]
+                    for ball, n in enumerate(sizes.tolist()):
+                        if n:
+                            if ball == 0:
+                                whole.add(len(self.begin))
+                            self.children[at].append(len(self.begin))
+                            self._add(x, b, b + n)
+                            b += n
             at += 1
 
     def _add(self, x: np.ndarray, begin: int, end: int) -> None:
@@ -55,20 +64,22 @@ class CoverTree:
         self.children.append([])
 
     @staticmethod
-    def _net(x: np.ndarray, rows: np.ndarray, reach: float, most: int) -> np.ndarray | None:
-        """For each row the number of its nearest centre; None if more than ``most`` centres are needed."""
-        own, near, n = np.zeros(len(rows), dtype=np.int64), np.full(len(rows), np.inf), 0
+    def _balls(x: np.ndarray, rows: np.ndarray, reach: float, leaf: int) -> np.ndarray:
+        """For each row the number of its ball, from 1; 0 for those in balls of fewer than ``leaf`` rows, or in none."""
+        own, left, n = np.zeros(len(rows), dtype=np.int64), np.argsort(rows * 0x9E3779B1 % 2**32, kind="stable"), 0
         place = x[rows]
-        while True:
-            k = int(near.argmax())
-            if near[k] <= reach * reach:
-                return own if n > 1 else None
-            if n == most:
-                return None
-            d = ((place - place[k]) ** 2).sum(axis=1)
-            closer = d < near
-            own[closer], near[closer] = n, d[closer]
-            n += 1
+        square = (place * place).sum(axis=1)
+        for _ in range(MOST_BALLS):
+            if len(left) < leaf:
+                break
+            k = left[0]
+            near = square[left] + square[k] - 2 * (place[left] @ place[k]) <= reach * reach
+            near[0] = True
+            if np.count_nonzero(near) >= leaf:
+                n += 1
+                own[left[near]] = n
+            left = left[~near]
+        return own
 
 
 def exact(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -183,7 +194,7 @@ def cluster(vectors: DataFrame, k: int = 16, rounds: int = 3, dim: int = 64, sca
     def sums(shared):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             centroids = shared.value
-            above, n, s = CoverTree(centroids, 1), np.zeros(len(centroids), np.int64), np.zeros((len(centroids), dim), np.int64)
+            above, n, s = CoverTree(centroids, FEW), np.zeros(len(centroids), np.int64), np.zeros((len(centroids), dim), np.int64)
             for pdf in batches:
                 for r in pdf.itertuples(index=False):
                     tree, points = _tree(r)
@@ -202,7 +213,7 @@ def cluster(vectors: DataFrame, k: int = 16, rounds: int = 3, dim: int = 64, sca
     def final(shared):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             centroids = shared.value
-            above = CoverTree(centroids, 1)
+            above = CoverTree(centroids, FEW)
             for pdf in batches:
                 for r in pdf.itertuples(index=False):
                     tree, points = _tree(r)
