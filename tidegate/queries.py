@@ -1080,10 +1080,12 @@ def manifest_merge(spark, sf_dir):
     return corpus.manifest_merge(rows.where("line_no % 3 <> 0"), rows.where("line_no % 3 <> 1")).select("pool", "line_no", "file")
 
 
-@query("SELECT text FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT text FROM documents WHERE doc_id % 2 = 1")
+@query(f"WITH {CORPUS}, labelled AS (SELECT text FROM corp WHERE pool = 'black' INTERSECT SELECT text FROM corp WHERE pool = 'white'), numbered AS (SELECT text FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT text FROM documents WHERE doc_id % 2 = 1) SELECT 'label' AS pooled_by, text FROM labelled UNION ALL SELECT 'number', text FROM numbered")
 def pool_conflicts(spark, sf_dir):
-    """Even documents as one pool, odd ones as the other: copies are in both."""
-    return corpus.pool_conflicts(D.load(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 2 == 0, "black").otherwise("white").alias("pool"), "text"))
+    """Conflicts of the labelled rows' pools, and of all documents with the even ones as one pool and the odd ones as the other: copies are in both."""
+    numbered = D.load(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 2 == 0, "black").otherwise("white").alias("pool"), "text")
+    found = lambda by, rows: corpus.pool_conflicts(rows).select(F.lit(by).alias("pooled_by"), "text")
+    return found("label", rows_of(spark, sf_dir)).unionByName(found("number", numbered))
 
 
 @query(f"WITH {CORPUS} SELECT pool, line_no, row_number() OVER (PARTITION BY pool ORDER BY line_no)::INTEGER AS turn FROM corp ORDER BY turn, pool LIMIT 80")
