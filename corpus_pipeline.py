@@ -27,7 +27,7 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a near copy (five-word shingles, similarity 0.8) of a smaller id that stays; equal rows once. Rows without an id stay."""
+    """Documents without a near copy (five-word shingles, SimHash links and min-hash bands, similarity 0.8) of a smaller id that stays; equal rows once. Rows without an id stay."""
     docs = docs.select(COLUMNS)
     first = near_copies.distinct_ids(docs).select("id").unionByName(spark.range(1).select(F.lit(None).cast("long").alias("id")))
     kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select(COLUMNS)

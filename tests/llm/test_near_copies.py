@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tidegate.llm import near_copies as m
 
@@ -82,3 +84,14 @@ def test_sketches_agree_as_the_sets_are_alike():
             same = m.BITS - int(np.bitwise_count((m.sketch(a) ^ m.sketch(b)).view(np.uint64)).sum())
             off.append(same / m.BITS - (1 + m.jaccard(a, b)) / 2)
         assert abs(np.mean(off)) < 0.01 and max(map(abs, off)) < 0.06
+
+
+def test_simhash_links_find_candidates_of_their_own(spark, monkeypatch):
+    """With no band at all, near copies that the fingerprints link go, and what isn't similar stays."""
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(9000)}" for _ in range(3000)]
+    texts = {1: " ".join(words), 2: " ".join([*words[:-1], "other"]), 3: " ".join(f"v{rng.randrange(9000)}" for _ in range(3000)), 4: " ".join(words[::-1]), 5: ""}
+    bands = m.coded
+    monkeypatch.setattr(m, "coded", lambda rows, shingle: bands(rows, shingle).withColumn("keys", F.slice("keys", 1, 0)))
+    assert brute(texts) == {1, 3, 4, 5}
+    assert near(spark, texts) == {1, 3, 4, 5}

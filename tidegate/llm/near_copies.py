@@ -1,4 +1,4 @@
-"""Near copies by Jaccard similarity: banded min-hashes of word shingles find candidates, the shingle sets verify them."""
+"""Near copies by Jaccard similarity: SimHash links and banded min-hashes of word shingles find candidates, the shingle sets verify them."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.llm import simhash_dedup
 from tidegate.llm.common import checkpoint, gram_codes, word_codes
 
 FEW = 32_000_000  # letters of leaders' texts that are broadcast
@@ -73,6 +74,17 @@ def coded(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInPandas(run, "id long, copy long, keys array<long>")
 
 
+def linked_keys(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, key) of (id, text) rows: a key for each group of ids whose SimHash fingerprints link, none for an id alone.
+
+    Its lower five bits are ``BANDS``, so that it is no key of a band.
+    """
+    found = simhash_dedup.near_duplicates(texts, "id", "text", shingle)
+    groups = found.groupBy("component").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("component")
+    key = F.xxhash64("component").bitwiseAND(F.lit(~31)).bitwiseOR(F.lit(BANDS))
+    return found.join(groups, "component").select("id", key.alias("key")).distinct()
+
+
 def sketch(grams: np.ndarray, hashes: np.ndarray | None = None) -> np.ndarray:
     """A bit of each of ``BITS`` min-hashes, in 64-bit integers; of an empty set all are 0."""
     if not len(grams):
@@ -147,9 +159,10 @@ def distinct_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Near copies have sets of ``shingle``-word shingles of at least that Jaccard similarity. So no document goes for
     a chain of links, and each that goes has a verified near copy that stays. Words are parted at ASCII white
     space, ASCII letters lower-cased. Copies with one set meet in an aggregation, texts without words (null and empty ones)
-    in one group. Pairs that share a band of min-hashes are looked at if their sketches agree in as many bits as the similarity
+    in one group. Documents whose SimHash fingerprints link (3 bits, the reach of ``simhash_dedup``'s trees) share a key; as edited
+    copies lie farther apart, those that share a band of min-hashes do too. Pairs of a key are looked at if their sketches agree in as many bits as the similarity
     asks for, but for 3.2 standard deviations (one true pair of a thousand is lost there, two at the bands), and
-    then compared word for word. In each round the documents that are the smallest of all their bands' keys stay, and
+    then compared word for word. In each round the documents that are the smallest of all their keys stay, and
     all others of those keys are compared with them: the similar ones go, the rest wait for the next round without them.
     Once a round drops under a tenth of what waits, all pairs are looked at at once, which decides no pair otherwise.
     Within a key sketches are compared pair by pair, in the join itself; no pair is left out for the size of its
@@ -160,7 +173,8 @@ def distinct_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     most = int(BITS * (1 - share) + 3.2 * (BITS * share * (1 - share)) ** 0.5)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     firsts = checkpoint(coded(rows, shingle).groupBy("copy").agg(F.min(F.struct("id", "keys")).alias("x")).select("x.id", "x.keys"))
-    live, texts, gone, more = firsts.select("id", F.explode("keys").alias("key")), None, [], True
+    linked = checkpoint(linked_keys(rows, shingle).join(firsts, "id", "left_semi"))
+    live, texts, gone, more = firsts.select("id", F.explode("keys").alias("key")).unionByName(linked), None, [], True
     while True:
         leaders = live.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").drop("last")
         met = checkpoint(live.join(leaders, "key"))
@@ -168,7 +182,9 @@ def distinct_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             break
         if texts is None:
             texts = checkpoint(rows.join(met.select("id").distinct(), "id", "left_semi"))
-            marks = checkpoint(sketches(texts, shingle).distinct())
+            links = linked.groupBy("id").agg(F.collect_set("key").alias("links"))
+            both = F.concat("keys", F.coalesce("links", F.array().cast("array<long>")))
+            marks = checkpoint(sketches(texts, shingle).distinct().join(links, "id", "left").select("id", both.alias("keys"), *WORDS))
         if not more:
             own = met.select("key", "id").join(marks, "id")
             # a pair comes out at the least key that both have, and so once
