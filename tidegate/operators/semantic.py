@@ -13,6 +13,7 @@ from tidegate.config import DEFAULTS, Defaults
 from tidegate.functions import vectors as V
 
 BLOCK = 2048
+TILE = 2048  # rows of a pool that a block of queries meets at once
 
 
 def add_vectors(pool: DataFrame, new: DataFrame, dim: int | None = None) -> DataFrame:
@@ -26,6 +27,7 @@ def add_vectors(pool: DataFrame, new: DataFrame, dim: int | None = None) -> Data
 
 
 SMALL = 64_000_000  # bytes of a pool that are broadcast
+MOST_PARTS = 1000  # into which larger pools are dealt
 
 
 def _unit_rows(ids, vectors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -37,19 +39,31 @@ def _unit_rows(ids, vectors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _nearest(q_ids: np.ndarray, q: np.ndarray, p_ids: np.ndarray, p: np.ndarray, k: int, others: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row of the query, place in the pool, score, rank) of each query's k nearest, equal scores in order of falling id."""
-    s = q @ p.T
-    if others:
-        s[q_ids[:, None] == p_ids[None, :]] = -np.inf
-    near = s.round(9)
-    # all that reach the k-th score, ties included; they are put in order afterwards
-    least = np.partition(near, len(p_ids) - k, axis=1)[:, len(p_ids) - k] if len(p_ids) > k else np.full(len(q_ids), -np.inf)
-    row, col = np.nonzero((near >= least[:, None]) & (s > -np.inf))
-    order = np.lexsort((-p_ids[col], -near[row, col], row))
-    row, col = row[order], col[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    row, col, place = row[place < k], col[place < k], place[place < k]
-    return row, col, s[row, col], place + 1
+    """(row of the query, place in the pool, score, rank) of each query's k nearest, equal scores in order of falling id.
+
+    The pool is met ``TILE`` rows at a time, so that memory doesn't grow with it. Of a tile only what reaches a query's k-th score
+    so far is rounded and put in order.
+    """
+    least = np.full(len(q_ids), -np.inf)
+    row, col, place, score = *(np.empty(0, np.int64) for _ in range(3)), np.empty(0)
+    for at in range(0, len(p_ids), TILE):
+        s = q @ p[at : at + TILE].T
+        if others:
+            s[q_ids[:, None] == p_ids[None, at : at + TILE]] = -np.inf
+        if s.shape[1] > k:
+            # at least k scores of the tile reach the least of the k best of as many slices of it
+            edges = np.arange(k) * s.shape[1] // k
+            least = np.maximum(least, np.maximum.reduceat(s, edges, axis=1).min(axis=1))
+        new_row, new_col = np.nonzero((s >= (least - 2e-9)[:, None]) & (s > -np.inf))  # what rounds to as much is no further off
+        row, col, score = np.append(row, new_row), np.append(col, at + new_col), np.append(score, s[new_row, new_col])
+        near = score.round(9)
+        order = np.lexsort((-p_ids[col], -near, row))
+        row, col, score, near = row[order], col[order], score[order], near[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col, score, near, place = (x[place < k] for x in (row, col, score, near, place))
+        last = place == k - 1
+        least[row[last]] = np.maximum(least[row[last]], near[last])
+    return row, col, score, place + 1
 
 
 def vector_topk(queries: DataFrame, pools: DataFrame, k: int = DEFAULTS.top_k, others: bool = False, small: int = SMALL) -> DataFrame:
@@ -57,14 +71,15 @@ def vector_topk(queries: DataFrame, pools: DataFrame, k: int = DEFAULTS.top_k, o
 
     Equal scores go to the larger vec_id. Queries and vectors of no length have no neighbours. With ``others``, a vector whose
     vec_id is the request_id is no neighbour of it. Pools of at most ``small`` bytes, which are counted first, are broadcast
-    and each block of queries meets them where it lies; nothing is shuffled. Larger pools are packed in blocks of ``BLOCK``
-    rows as the queries are, every block of the one meets every block of the other once, as one matrix product, and each
-    meeting hands on k rows a query.
+    and each block of queries meets them where it lies; only queries are shuffled, so that all cores have some. Larger pools are
+    packed in blocks of ``BLOCK`` rows as the queries are and dealt in parts of about ``small`` bytes; every block of the one meets
+    every block of the other once, and each part hands on k rows a query. The work is the number of pairs, queries times vectors.
     """
     rows = pools.where("embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("id"), "pool", F.col("embedding").alias("v"), F.col("category").alias("kind"))
     asked = queries.where("query IS NOT NULL").select(F.col("request_id").cast("long").alias("id"), F.col("query").alias("v"))
     held = rows.agg(F.sum(F.size("v") * 8 + F.coalesce(F.length("kind"), F.lit(0)) + F.lit(64))).first()[0] or 0
-    return _topk_of_small(asked, rows, k, others) if held <= small else _topk_of_blocks(asked, rows, k, others)
+    asked = asked.repartition(3 * asked.sparkSession.sparkContext.defaultParallelism)
+    return _topk_of_small(asked, rows, k, others) if held <= small else _topk_of_blocks(asked, rows, k, others, 1 + held // max(1_000_000, small))
 
 
 RESULT = "request_id long, pool string, rank int, vec_id long, category string, score double"
@@ -91,7 +106,7 @@ def _topk_of_small(asked: DataFrame, rows: DataFrame, k: int, others: bool) -> D
     return asked.mapInPandas(run, RESULT)
 
 
-def _topk_of_blocks(asked: DataFrame, rows: DataFrame, k: int, others: bool) -> DataFrame:
+def _topk_of_blocks(asked: DataFrame, rows: DataFrame, k: int, others: bool, parts: int) -> DataFrame:
     def packed(rows: DataFrame, name: str) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -104,16 +119,30 @@ def _topk_of_blocks(asked: DataFrame, rows: DataFrame, k: int, others: bool) ->
         return rows.mapInPandas(run, f"pool string, n int, {name}_ids binary, {name}_vecs binary, {name}_kinds array<string>").where("n > 0")
 
     q = packed(asked.select("id", "v", F.lit("").alias("pool"), F.lit(None).cast("string").alias("kind")), "q").select("q_ids", "q_vecs")
-    p = packed(rows, "p").select("pool", "p_ids", "p_vecs", "p_kinds")
+    p = packed(rows, "p").select("pool", "p_ids", "p_vecs", "p_kinds").repartition(min(parts, MOST_PARTS))
+
+    def best_of(q_ids: np.ndarray, pool: str, found: list) -> pd.DataFrame:
+        row, ids, kinds, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((-ids, -score.round(9), row))
+        row, ids, kinds, score = (x[order] for x in (row, ids, kinds, score))
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return pd.DataFrame({"request_id": q_ids[row[first]], "pool": pool, "vec_id": ids[first], "category": kinds[first], "score": score[first]})
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A block of queries meets the blocks of a part one after the other; its k best of each pool go on when the next one comes."""
+        last, q_ids, q, held = None, np.empty(0, "<i8"), np.empty((0, 0)), {}
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                q_ids, p_ids = np.frombuffer(r.q_ids, "<i8"), np.frombuffer(r.p_ids, "<i8")
-                row, col, score, _ = _nearest(q_ids, np.frombuffer(r.q_vecs, "<f8").reshape(len(q_ids), -1), p_ids, np.frombuffer(r.p_vecs, "<f8").reshape(len(p_ids), -1), k, others)
-                yield pd.DataFrame({"request_id": q_ids[row], "pool": r.pool, "vec_id": p_ids[col], "category": np.array(r.p_kinds, dtype=object)[col], "score": score})
-
-    met = q.crossJoin(p).mapInPandas(compare, "request_id long, pool string, vec_id long, category string, score double")
+                if r.q_ids != last:
+                    yield from (best_of(q_ids, pool, found) for pool, found in held.items())
+                    last, q_ids, held = r.q_ids, np.frombuffer(r.q_ids, "<i8"), {}
+                    q = np.frombuffer(r.q_vecs, "<f8").reshape(len(q_ids), -1)
+                p_ids = np.frombuffer(r.p_ids, "<i8")
+                row, col, score, _ = _nearest(q_ids, q, p_ids, np.frombuffer(r.p_vecs, "<f8").reshape(len(p_ids), -1), k, others)
+                held.setdefault(r.pool, []).append((row, p_ids[col], np.array(r.p_kinds, dtype=object)[col], score))
+        yield from (best_of(q_ids, pool, found) for pool, found in held.items())
+
+    met = q.join(p.hint("shuffle_replicate_nl")).mapInPandas(compare, "request_id long, pool string, vec_id long, category string, score double")
     best = Window.partitionBy("request_id", "pool").orderBy(F.desc(F.round("score", 9)), F.desc("vec_id"))
     top = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return top.select("request_id", "pool", "rank", "vec_id", "category", "score")
