@@ -2,8 +2,10 @@ import random
 from collections import OrderedDict, deque
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from tidegate import queries
 from tidegate.config import DEFAULTS
 from tidegate.operators import caches, corpus, decisions, images, keywords, logs, semantic
 
@@ -334,3 +336,34 @@ def test_vectors_of_another_length_are_not_added(spark):
     assert [(r.id, r.seq, r.embedding) for r in semantic.add_vectors(pool, new, 2).collect()] == [(2, 1, [0.6, 0.8])]
     with pytest.raises(Exception, match="not 3 components"):
         semantic.add_vectors(pool, new, 3).collect()
+
+
+def test_nearest_meets_a_pool_tile_by_tile(monkeypatch):
+    """The nearest over many tiles, ties included, are those of one sort, and no matrix is wider than a tile."""
+    rng = np.random.default_rng(2)
+    q, p = (rng.integers(1, 4, (n, 3)).astype(float) for n in (40, 900))
+    ids = rng.permutation(900)
+    monkeypatch.setattr(semantic, "TILE", 64)
+    row, col, score, rank = semantic._nearest(np.arange(40), q, ids, p, 5, True)
+    for i in range(40):
+        want = sorted((c for c in range(900) if ids[c] != i), key=lambda c: (-round(float(q[i] @ p[c]), 9), -ids[c]))[:5]
+        assert col[row == i].tolist() == want and rank[row == i].tolist() == [1, 2, 3, 4, 5]
+
+
+def test_a_large_pool_hands_on_k_rows_a_part(spark):
+    """What the last window sorts doesn't grow with the number of the pool's blocks."""
+    rng = random.Random(1)
+    pools = spark.createDataFrame([(k, "black", "c", [rng.gauss(0, 1), rng.gauss(0, 1)]) for k in range(3 * semantic.BLOCK)], "vec_id long, pool string, category string, embedding array<double>").coalesce(1)
+    top = semantic.vector_topk(pools.where("vec_id < 50").select(F.col("vec_id").alias("request_id"), F.col("embedding").alias("query")), pools, 4, True, small=0)
+    top.collect()
+    plan = top._jdf.queryExecution().executedPlan()
+    assert "Cartesian" in plan.toString() and top.count() == 200
+
+
+def test_rerank_queries_ask_once(spark, monkeypatch):
+    """The neighbours that a query uses twice come from one retrieval."""
+    kept = []
+    monkeypatch.setattr(queries, "checkpoint", lambda df: kept.append(df) or df)
+    for name in ("rerank_responses", "rerank_confidence", "override_application"):
+        assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").columns
+    assert len(kept) == 3

@@ -18,7 +18,7 @@ from tidegate.functions import text as T
 from tidegate.functions import vectors as V
 from tidegate.operators import asof, caches, corpus, decisions, images, keywords, logs, paging, pinyin, review, semantic
 from tidegate.plans import errors, funnel
-from tidegate.shared import new_folder
+from tidegate.shared import checkpoint, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -500,7 +500,7 @@ RERANK = """rr AS (SELECT t.request_id, t.pool, t.rank, t.vec_id, t.score, coale
 
 def _reranked(spark, sf_dir):
     q = D.query_vectors(spark, sf_dir)
-    top = semantic.vector_topk(q, D.pools(spark, sf_dir), others=True)
+    top = checkpoint(semantic.vector_topk(q, D.pools(spark, sf_dir), others=True))
     again = D.load(spark, sf_dir, "embeddings").where("(vec_id - 1) % 3 = 0 AND vec_id > 0").select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("again"))
     return top, semantic.rerank_local(top, q, again)
 
@@ -573,7 +573,7 @@ def light_model(spark, sf_dir):
 )
 def override_application(spark, sf_dir):
     """Thresholds of some requests' own; what isn't finite falls back to the default."""
-    signals, i = _confidence(spark, sf_dir), F.col("request_id")
+    signals, i = checkpoint(_confidence(spark, sf_dir)), F.col("request_id")
     own = signals.select("request_id", F.when(i % 3 == 0, 0.9).when(i % 3 == 1, float("nan")).alias("semantic_threshold"), F.when(i % 2 == 0, 0.0).alias("margin_w"), F.when(i % 5 == 0, 0.2).alias("confidence_low"), F.lit(float("inf")).alias("confidence_high"))
     out = decisions.with_overrides(signals, own)
     return out.select("request_id", F.round("confidence", 5).alias("confidence"), "triggered", decisions.tier(F.col("confidence"), F.col("low"), F.col("high")).alias("tier"))
@@ -672,7 +672,7 @@ def rule_errors(spark, sf_dir):
     SELECT top.request_id, top.pool, top.rank::INTEGER AS rank, top.vec_id, round(CASE WHEN x IS NOT NULL THEN greatest(0.0, least(1.0, x)) END, 6) AS rerank_score FROM top LEFT JOIN a USING (request_id, pool, rank)"""
 )
 def rerank_responses(spark, sf_dir):
-    top = semantic.vector_topk(D.query_vectors(spark, sf_dir), D.pools(spark, sf_dir), others=True)
+    top = checkpoint(semantic.vector_topk(D.query_vectors(spark, sf_dir), D.pools(spark, sf_dir), others=True))
     i, r = F.col("request_id"), F.col("rank")
     answers = top.where((i + r) % 4 != 0).select("request_id", "pool", (r - 1).alias("index"), ((i * 7 + r * 3) % 11 / 8.0 - 0.1).alias("relevance"))
     out = semantic.rerank_responses(top, answers)
