@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -107,11 +108,38 @@ INJECTIONS = {
 }
 
 
+_ORDER_WORDS = "instruction direction order command prompt rule guideline message context polic"
+#: What a text must hold, in any case, for a kind of ``INJECTIONS`` to match: of one choice a string of each list. No string holds
+#: white space, so that none arises where another kind's wording has become a space. Kinds that aren't named need a Han character.
+NEEDED = {
+    "override": [["ignore disregard forget override bypass skip drop discard cancel neglect follow obey apply"]],
+    "new orders": [[_ORDER_WORDS], ["from", "you", "now here point"]],
+    "role": [["you", "now"], ["pretend imagine mode"], ["act behave respond answer", "as like"]],
+    "disclosure": [["hidden system secret initial internal full developer", _ORDER_WORDS]],
+    "escape": [["jail filter limit restriction rules"]],
+    "verdict": [["safe harmless allowed compliant is_violation"]],
+    "delimiter": [["<"]],
+}
+
+
+def may_match(kind: str, text: Column) -> Column:
+    """Whether a text holds what a wording of that kind needs; null for null."""
+    if kind not in NEEDED:
+        return text.rlike(r"[\u4e00-\u9fff]")
+    low = F.lower(text)
+    some = lambda words: reduce(lambda x, y: x | y, (F.contains(low, F.lit(w)) for w in words.split()))
+    return reduce(lambda x, y: x | y, (reduce(lambda x, y: x & y, map(some, lists)) for lists in NEEDED[kind]))
+
+
 def sanitize(text: Column) -> Column:
-    """Every wording of ``INJECTIONS`` replaced by a space, runs of white space as one, trimmed; null stays null."""
-    for pattern in INJECTIONS.values():
-        text = F.regexp_replace(text, pattern, " ")
-    return F.trim(F.regexp_replace(text, r"\s{2,}", " "))
+    """Every wording of ``INJECTIONS`` replaced by a space, runs of white space as one, trimmed; null stays null.
+
+    An expression runs only over texts that hold what it needs; over others one that ends at once stands for it.
+    """
+    out = text
+    for kind, pattern in INJECTIONS.items():
+        out = F.regexp_replace(out, F.when(may_match(kind, text), pattern).otherwise(r"\A(?!)"), F.lit(" "))
+    return F.trim(F.regexp_replace(out, r"\s{2,}", " "))
 
 
 def animated(frames: Column, inputs: Column) -> Column:
@@ -121,7 +149,8 @@ def animated(frames: Column, inputs: Column) -> Column:
 
 def user_block(text: Column, context: Column, animated: Column) -> Column:
     """What the judging model is given: sanitised text and context between delimiters, and a word before them if frames are of one animation."""
-    part = lambda name, x: F.concat(F.lit(f"<{name}>\n"), F.when(F.coalesce(sanitize(x), F.lit("")) == "", "(none)").otherwise(sanitize(x)), F.lit(f"\n</{name}>"))
+    clean = lambda x: F.regexp_replace(F.coalesce(sanitize(x), F.lit("")), r"\A\z", "(none)")
+    part = lambda name, x: F.concat(F.lit(f"<{name}>\n"), clean(x), F.lit(f"\n</{name}>"))
     return F.concat(F.when(animated, "Several frames of one animation.\n").otherwise(""), part("text", text), F.lit("\n"), part("context", context))
 
 
