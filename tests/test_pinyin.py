@@ -1,3 +1,5 @@
+import pyarrow as pa
+
 from tidegate.operators import keywords, pinyin
 
 READINGS = {"捡": "jian", "见": "jian", "闻": "wen", "很": "hen", "多": "duo", "赌": "du", "博": "bo", "网": "wang", "安": "an", "昂": "ang", "全": "quan"}
@@ -28,3 +30,10 @@ def test_homophones_are_one_keyword(spark):
     more = spark.createDataFrame([(1, "捡闻+赌博", "x"), (2, "见 闻 + 独博", "x"), (3, "見聞", "x"), (4, None, "x"), (5, " + ", "x")], "line_no long, line string, category string")
     known = READINGS | {"独": "du"}
     assert [(r.line_no, r.match_type) for r in keywords.preprocess_keywords(more, pinyin.spoken(known)).orderBy("line_no").collect()] == [(1, "and"), (3, "word")]
+
+
+def test_a_scan_holds_a_piece_of_what_it_finds_whatever_the_batch():
+    batch = pa.RecordBatch.from_pydict({"request_id": list(range(3000)), "text": ["x", None, ""] * 1000})
+    run = keywords._scanner(lambda: 100, lambda made, i, text: ((i, text, None) for _ in range(made)), "request_id long, word string, start int")
+    sizes = [b.num_rows for b in run(iter([batch, batch]))]
+    assert sum(sizes) == 200_000 and max(sizes) <= keywords.HITS_AT_ONCE
