@@ -1,0 +1,15 @@
+from tidegate.operators import keywords
+
+
+def test_common_and_rare_spellings_keep_the_smallest_id_and_few_are_broadcast(spark):
+    spellings = [("x", w) for w in ("Word", "Word，", "【Word】", "Ｗｏｒｄ", "rare", "ra re", "", None)] + [("y", "Word"), (None, "Word"), (None, None), (None, "word.")]
+    rows = [(100 * n + k, *spelling) for k, spelling in enumerate(spellings) for n in range(1, 40 if k % 3 == 0 else 3)]
+    form = lambda w: None if w is None else w.replace("Ｗｏｒｄ", "Word").strip("【】，.").replace(" ", "")
+    least = {}
+    for i, c, w in rows:
+        least[c, form(w)] = min(i, least.get((c, form(w)), i))
+    want = sorted((i, least[c, form(w)]) for i, c, w in rows)
+    words = spark.createDataFrame(rows, "id long, category string, word string").repartition(5)
+    for most in (1, 3, 20, 100_000):
+        assert sorted(map(tuple, keywords.dedup_words(words, most).collect())) == want
+    assert keywords.dedup_words(words.limit(0)).count() == 0

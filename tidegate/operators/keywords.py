@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidegate.functions import patterns
 from tidegate.functions import text as T
 from tidegate.operators import pinyin
+from tidegate.shared import checkpoint
 
 TEXTS_AT_ONCE, HITS_AT_ONCE = 500, 20_000  # rows that a scan holds beside its batch
 SEPARATORS = ["@", "·", "・", "*"]
@@ -429,11 +430,22 @@ def preprocess_keywords(items: DataFrame, spoken: Callable[[Column], Column] | N
     return first.select("category", F.array_join("terms", "+").alias("word"), T.match_type(F.col("line")).alias("match_type"), "line_no")
 
 
-def dedup_words(words: DataFrame) -> DataFrame:
-    """(id, kept_id): each word and the smallest id of its category that reads the same without width and punctuation."""
-    rows = words.select("id", "category", T.dedup_form(F.col("word")).alias("form"))
-    first = rows.groupBy("category", "form").agg(F.min("id").alias("kept_id")).select(F.col("category").alias("c"), F.col("form").alias("f"), "kept_id")
-    return rows.join(first, F.col("category").eqNullSafe(F.col("c")) & F.col("form").eqNullSafe(F.col("f")), "left").select("id", "kept_id")
+def dedup_words(words: DataFrame, most: int = 100_000) -> DataFrame:
+    """(id, kept_id): each word and the smallest id of its category that reads the same without width and punctuation.
+
+    Forms are made of distinct spellings, not of rows. Spellings with over a ``most``-th of the rows, ``most`` at most, are
+    broadcast, so the rows of a common word are never shuffled; rows of the others meet their spelling in a join.
+    """
+    spelled = words.groupBy("category", "word").agg(F.min("id").alias("least"), F.count("*").alias("rows"))
+    alike = Window.partitionBy("category", T.dedup_form(F.col("word")))
+    kept = checkpoint(spelled.withColumn("kept_id", F.min("least").over(alike)).select(F.col("category").alias("c"), F.col("word").alias("w"), "kept_id", "rows"))
+    often = (kept.agg(F.sum("rows")).first()[0] or 0) // most
+    same = F.col("category").eqNullSafe(F.col("c")) & F.col("word").eqNullSafe(F.col("w"))
+    common = F.broadcast(kept.where(F.col("rows") > often).select("c", "w", "kept_id")) if often else None
+    if common is None:
+        return words.join(kept.drop("rows"), same).select("id", "kept_id")
+    rest = words.join(common, same, "left_anti").join(kept.where(F.col("rows") <= often).drop("rows"), same)
+    return words.join(common, same).select("id", "kept_id").unionByName(rest.select("id", "kept_id"))
 
 
 def search(words: DataFrame, part: str | None = None, category: str | None = None) -> DataFrame:
