@@ -48,6 +48,26 @@ def test_words_give_the_ids_of_the_whole_text(plain):
     assert e.ids(None) == e.ids("") == b""
 
 
+def test_texts_encoded_together_have_the_ids_of_each(plain, monkeypatch):
+    """New words of all texts are joined and each encoded once, whatever is remembered or forgotten between them."""
+    monkeypatch.setattr(m, "JOINED", 7)
+    rng = np.random.default_rng(5)
+    odd = ["".join(rng.choice(list("ab'1 \n\t\u00e9\x1c .<\u0120"), size=30)) for _ in range(900)]
+    texts = [None, "", *TEXTS, *odd, *(" ".join(rng.choice(["these", "don't", "x.\nY", "\u0120b", "it's!", "\u8d4c\u535a", "#" * 60], 20)) for _ in range(50)), *TEXTS]
+    want = [plain(t) for t in texts]
+    for most in (600_000, 5):
+        monkeypatch.setattr(m, "MOST_KNOWN", most)
+        e = m.Encoder(PATH)
+        asked = []
+        inner = e.plain
+        e.plain = lambda of: asked.extend(of) or inner(of)  # noqa: B023
+        got = [np.frombuffer(x, "<u4").tolist() for x in e.ids_of(texts)]
+        assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+        assert sum(t.count(" these") for t in asked) <= 2, "a word of many texts is encoded once"
+        for k in range(0, len(texts), 10):
+            assert [np.frombuffer(x, "<u4").tolist() for x in e.ids_of(texts[k : k + 10])] == want[k : k + 10]
+
+
 def test_other_tokenizers_are_given_whole_texts():
     e = m.Encoder(P.path("word_bpe_49k.json"))
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,15 +24,15 @@ MAGIC = b"TGWM"
 CHUNK = 1 << 16  # bytes of a plane that are compressed together
 BLOCK = 1 << 12  # bits between two entries of a rank directory
 SHARD = 1 << 20  # a shard ends with the document that brings it to so many ids
-MOST_KNOWN, LONGEST_KNOWN = 300_000, 48  # words whose ids are remembered, and their length
+MOST_KNOWN, LONGEST_KNOWN = 600_000, 48  # words whose ids are remembered, and their length
+AT_ONCE = 1 << 23  # characters of the texts that are encoded together
+JOINED = 1000  # new words that are one text for the library
 ODD_SPACE = re.compile(r" (?:\s|\Z)")
 BEFORE_WORD = re.compile(r"(?= \S)")
-#: Between an ASCII letter and a sign, but not the apostrophe.
-PART = re.compile(r"(?<=[A-Za-z])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[A-Za-z])")
 
 
 class Remembered:
-    """Values of at most twice ``most`` keys: what wasn't asked for since it was last full is forgotten."""
+    """Values of twice ``most`` keys and those asked for at once: what wasn't asked for since it was last full is forgotten."""
 
     def __init__(self, most: int):
         self.most, self.now, self.before = most, {}, {}
@@ -41,13 +42,11 @@ class Remembered:
         values = list(map(self.now.get, keys))
         if None not in values:
             return values, []
-        gone = []
+        gone, again = [], []
         for k in [k for k, x in enumerate(values) if x is None]:
             x = values[k] = self.before.get(keys[k])
-            if x is None:
-                gone.append(k)
-            else:
-                self.now[keys[k]] = x
+            (gone if x is None else again).append(k)
+        self.keep([keys[k] for k in again], [values[k] for k in again])
         return values, gone
 
     def keep(self, keys: list[str], values: list[bytes]) -> None:
@@ -59,9 +58,10 @@ class Remembered:
 class Encoder:
     """Ids of whole texts by a tokenizer of the tokenizers library, as 32-bit integers in bytes.
 
-    A byte-level tokenizer never joins what stands before a space with the word after it, nor an ASCII letter with a sign
-    next to it (but the apostrophe), so texts are cut there and the ids of words and their parts are remembered. Texts that
-    hold the string of an added token are encoded whole, as all are if the tokenizer isn't of that kind.
+    A byte-level tokenizer never joins what stands before a space with the word after it, so texts are cut there, each word
+    of several texts is looked up once, and the ids of words are remembered. New words are encoded as one text: a word's ids
+    begin with the only one of them that has a space. Texts that hold the string of an added token are encoded whole, as all
+    are if the tokenizer isn't of that kind.
     """
 
     def __init__(self, path: str):
@@ -71,45 +71,85 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         made = json.loads(self.tokenizer.to_str())
         before = made.get("pre_tokenizer") or {}
-        self.by_word = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not made.get("normalizer") and not made["model"].get("dropout")
         self.added = [t["content"] for t in made.get("added_tokens") or ()]
-        self.words, self.parts = Remembered(MOST_KNOWN), Remembered(MOST_KNOWN)
+        self.by_word = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not made.get("normalizer") and not made["model"].get("dropout") and not any(" " in t for t in self.added)
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.spaced[[k for t, k in vocabulary.items() if t.startswith("\u0120")]] = True  # how a byte-level token spells a space
+        self.words = Remembered(MOST_KNOWN)
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def cut_up(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece, by its parts."""
-        cut = [PART.split(p) for p in pieces]
-        parts = list({part for own in cut for part in own})
-        values, gone = self.parts.find(parts)
-        if gone:
-            new = [parts[k] for k in gone]
-            found = self.plain(new)
-            for k, x in zip(gone, found, strict=True):
+    def after_space(self, words: list[str]) -> list[bytes]:
+        """Ids of different words with a space before each; a word holds no space and begins with no white space."""
+        values, gone = self.words.find(words)
+        for at in range(0, len(gone), JOINED):
+            part = gone[at : at + JOINED]
+            new = [words[k] for k in part]
+            data = self.plain([" " + " ".join(new)])[0]
+            begins = (4 * np.flatnonzero(self.spaced[np.frombuffer(data, "<u4")])).tolist()
+            if len(begins) == len(new) and begins[0] == 0:
+                found = [data[a:b] for a, b in zip(begins, [*begins[1:], len(data)], strict=True)]
+            else:
+                found = self.plain([" " + w for w in new])
+            for k, x in zip(part, found, strict=True):
                 values[k] = x
-            self.parts.keep(new, found)
-        ids = dict(zip(parts, values, strict=True))
-        return [b"".join([ids[part] for part in own]) for own in cut]
+            self.words.keep(new, found)
+        return values
 
     def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.by_word or any(t in text for t in self.added):
-            return self.plain([text])[0]
-        if ODD_SPACE.search(text):
-            return b"".join(self.cut_up([p for p in BEFORE_WORD.split(text) if p]))
-        words = text.split(" ")
-        first = words.pop(0)
-        values, gone = self.words.find(words)
-        if gone:
-            new = list({words[k] for k in gone})
-            found = self.cut_up([" " + w for w in new])
-            self.words.keep(new, found)
-            ids = dict(zip(new, found, strict=True))
-            for k in gone:
-                values[k] = ids[words[k]]
-        return (self.cut_up([first])[0] if first else b"") + b"".join(values)
+        return self.ids_of([text])[0]
+
+    def ids_of(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text."""
+        out, kinds = [b""] * len(texts), ([], [], [])
+        for k, text in enumerate(texts):
+            if text:
+                whole = not self.by_word or any(t in text for t in self.added)
+                kinds[0 if whole else 1 if ODD_SPACE.search(text) else 2].append(k)
+        for at, encode in zip(kinds, (self._whole, self._odd, self._even), strict=True):
+            for k, x in zip(at, encode([texts[k] for k in at]), strict=True):
+                out[k] = x
+        return out
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [self.plain([t])[0] for t in texts]
+
+    def _odd(self, texts: list[str]) -> list[bytes]:
+        """Of texts with spaces that no word follows."""
+        pieces = [[p for p in BEFORE_WORD.split(t) if p] for t in texts]
+        other = {p for own in pieces for p in own}
+        words = [p for p in other if p[0] == " " and " " not in p[1:] and not p[1:2].isspace() and len(p) > 1]
+        other = list(other.difference(words))
+        ids = dict(zip(other, self.plain(other), strict=True)) | dict(zip(words, self.after_space([w[1:] for w in words]), strict=True))
+        return [b"".join([ids[p] for p in own]) for own in pieces]
+
+    def _even(self, texts: list[str]) -> list[bytes]:
+        """Of texts in which a word follows each space."""
+        if not texts:
+            return []
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        first = np.asarray(cut.offsets)[:-1]
+        words = cut.flatten().dictionary_encode()
+        which = np.array(words.indices)
+        firsts = [t.split(" ", 1)[0] for t in texts]
+        alone = dict.fromkeys(firsts)  # no space stands before the first word
+        known = words.dictionary.to_pylist()
+        which[first] = np.array([*map({w: len(known) + k for k, w in enumerate(alone)}.get, firsts)], dtype=which.dtype)
+        used = np.zeros(len(known) + len(alone), bool)
+        used[which] = True  # a word that is only ever first isn't asked for
+        asked = np.flatnonzero(used[: len(known)]).tolist()
+        values = [b""] * len(known)
+        for k, x in zip(asked, self.after_space([known[k] for k in asked]), strict=True):
+            values[k] = x
+        values += self.plain(list(alone))
+        size = np.array([len(x) // 4 for x in values], dtype=np.int64)
+        begin, own = np.cumsum(size) - size, size[which]
+        end = np.cumsum(own)
+        ids = np.frombuffer(b"".join(values), "<u4")[np.repeat(begin[which] - end + own, own) + np.arange(int(end[-1]))]
+        cuts = [*(end[first] - own[first]).tolist(), len(ids)]
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -328,16 +368,28 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
             files.move(aside, f"{base}/{name}")
             return pa.RecordBatch.from_pydict({"part": [part], "place": [place], "name": [name], "ids": [len(ids)], "docs": [len(held)], "bytes": [len(content)]})
 
-        for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = known.ids(text) + last
-                held.append((i, len(own) // 4))
-                data.append(own)
-                size += len(own) // 4
-                if size >= shard:
-                    yield close()
-                    start, place = start + size, place + 1
-                    held, data, size = [], [], 0
+        def encoded() -> Iterator[tuple[int | None, bytes]]:
+            """(id, ids) of documents in their order, some at once."""
+            names, texts, n = [], [], 0
+            for batch in batches:
+                for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    names.append(i)
+                    texts.append(text)
+                    n += len(text or "")
+                    if n >= AT_ONCE:
+                        yield from zip(names, known.ids_of(texts), strict=True)
+                        names, texts, n = [], [], 0
+            yield from zip(names, known.ids_of(texts), strict=True)
+
+        for i, own in encoded():
+            own += last
+            held.append((i, len(own) // 4))
+            data.append(own)
+            size += len(own) // 4
+            if size >= shard:
+                yield close()
+                start, place = start + size, place + 1
+                held, data, size = [], [], 0
         if held:
             yield close()
 
